@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tarifa.llm import langid
+from tarifa.llm import langid, toxicity
 
 QUERIES = {
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_langid": langid.op10_langid,
 }
 
