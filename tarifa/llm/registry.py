@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tarifa.llm import html_text, langid, mixing, packing, simhash, toxicity, warc
+from tarifa.llm import html_text, langid, mixing, packing, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_packing": packing.op2_packing,
     "op9_warc": warc.op9_warc,
     "op3_simhash": simhash.op3_simhash,
