@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tarifa.llm import html_text, langid, mixing, packing, quality, simhash, suffix_dedup, toxicity, warc
+from tarifa.llm import html_text, langid, merkle, mixing, packing, quality, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
+    "op7_merkle": merkle.op7_merkle,
     "op5_quality": quality.op5_quality,
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_packing": packing.op2_packing,
