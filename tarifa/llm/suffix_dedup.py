@@ -480,3 +480,8 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", t
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def with_lengths(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """``docs`` with ``n_chars``, where it has such a column, as the length of the text in code points."""
+    return docs.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)) if n_chars in docs.columns else docs
