@@ -1 +1 @@
-"""tarifa.functions."""
+"""Column expressions."""
