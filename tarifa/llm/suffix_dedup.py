@@ -41,11 +41,14 @@ from tarifa.llm.common import partitions
 
 LENGTH, GRAM = 100, 32
 #: Pointers of a bucket (within a batch, and in all) from which it sends identifiers instead of bytes.
-HOT_BATCH, HOT = 64, 256
+HOT_BATCH, HOT = 512, 4096
 _STEP, _FLUSH = 1 << 20, 1 << 19
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_PTR = np.dtype([("h", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("s", "<u4"), ("n", "<u2"), ("hot", "u1")])
-_WIN = np.dtype([("k1", "<u8"), ("k2", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("s", "<u4")])
+_PTR = np.dtype([("h", "<u8"), ("doc", "<i8"), ("th", "<u4"), ("s", "<u4"), ("n", "u1")])
+_RUN = np.dtype([("doc", "<i8"), ("th", "<u4"), ("s", "<u4"), ("n", "<u4")])
+_WIN = np.dtype([("k1", "<u8"), ("k2", "<u8"), ("doc", "<i8"), ("th", "<u4"), ("s", "<u4")])
+#: A pointer of a list as one long: start, windows, whether its bucket is hot, bucket to send to.
+_BUCKET_BITS = 22
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -114,8 +117,8 @@ def pointers(b: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.
 
 def _pack(rows: np.ndarray, extra: bytes = b"") -> bytes:
     """Columns of a structured array one after the other, then ``extra``, compressed."""
-    raw = b"".join(np.ascontiguousarray(rows[c]).tobytes() for c in rows.dtype.names)
-    return zstandard.compress(struct.pack("<q", len(rows)) + raw + extra, 1)
+    raw = b"".join((np.diff(rows[c], prepend=rows[c].dtype.type(0)) if c == "doc" else np.ascontiguousarray(rows[c])).tobytes() for c in rows.dtype.names)
+    return zstandard.compress(struct.pack("<q", len(rows)) + raw + extra, 3)
 
 
 def _unpack(blob: bytes, dtype: np.dtype) -> tuple[np.ndarray, bytes]:
@@ -124,7 +127,8 @@ def _unpack(blob: bytes, dtype: np.dtype) -> tuple[np.ndarray, bytes]:
     out = np.empty(n, dtype)
     for c in dtype.names:
         size = n * dtype[c].itemsize
-        out[c] = np.frombuffer(raw, dtype[c], n, at)
+        column = np.frombuffer(raw, dtype[c], n, at)
+        out[c] = np.cumsum(column) if c == "doc" else column
         at += size
     return out, raw[at:]
 
@@ -158,7 +162,7 @@ def _send_pointers(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
     for kind, part, to in (
         (_PLAIN, rows[~hot], rows["h"][~hot] % np.uint64(buckets)),
         (_HOT, rows[hot], np.arange(int(hot.sum()), dtype=np.uint64) // np.uint64(1024) * _C1 % np.uint64(buckets)),
-        (_MARK, np.array([(h, 0, 0, 0, 0, 1) for h in marks], _PTR), marks % np.uint64(buckets)),
+        (_MARK, np.array([(h, 0, 0, 0, 0) for h in marks], _PTR), marks % np.uint64(buckets)),
     ):
         order = np.argsort(to, kind="stable")
         edge = np.flatnonzero(np.concatenate(([True], np.diff(to[order]) != 0, [True]))) if len(order) else [0]
@@ -200,7 +204,7 @@ def _runs(doc: np.ndarray, th: np.ndarray, start: np.ndarray, flag: np.ndarray)
     d, t, s = doc[at], th[at], start[at].astype(np.int64)
     new = np.concatenate(([True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1] + 1)))
     first = np.flatnonzero(new)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (d[first], t[first], s[first], np.diff(np.append(first, len(at))))], ["doc", "th", "s", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (d[first], t[first].astype(np.int64), s[first], np.diff(np.append(first, len(at))))], ["doc", "th", "s", "n"])
 
 
 def _windows(rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +224,7 @@ def _keys(contexts: list[bytes], lengths: np.ndarray, length: int) -> tuple[np.n
 
 
 def _identity(doc_id: str, text: str) -> list[Column]:
-    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th")]
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF)).alias("th")]
 
 
 def _packed(docs: DataFrame, text: str) -> DataFrame:
@@ -229,7 +233,7 @@ def _packed(docs: DataFrame, text: str) -> DataFrame:
     names = [f.name for f in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(1)
+        squeeze = zstandard.ZstdCompressor(3)
         for b in batches:
             z = [None if t is None else squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(z, pa.binary())], [*names, "__z"])
@@ -244,7 +248,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
         raise ValueError("length must be 64 or more")
     spark = docs.sparkSession
     n_parts = partitions(spark)
-    buckets = 16 * n_parts
+    buckets = min(16 * n_parts, 1 << _BUCKET_BITS)
     rows = docs.select(*_identity(doc_id, text), F.col(text).alias("text"))
 
     def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +264,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
                 h, s, n = pointers(np.frombuffer(b"".join([x[0] for x in held]), np.uint8), ends, length)
                 own = np.searchsorted(ends, s, side="right")
                 out = np.empty(len(h), _PTR)
-                out["h"], out["s"], out["n"], out["hot"] = h, s - begin[own], n, 0
+                out["h"], out["s"], out["n"] = h, s - begin[own], n
                 out["doc"], out["th"] = np.array([x[1] for x in held], np.int64)[own], np.array([x[2] for x in held], np.int64)[own]
                 found.append(out)
             held.clear()
@@ -286,31 +290,27 @@ def repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in _by_bucket(batches):
             parts = {k: [_unpack(d, _PTR)[0] for kind, d in blobs if kind == k] for k in (_MARK, _PLAIN, _HOT)}
-            out = parts[_HOT]
-            for x in out:
-                x["hot"] = 1
+            out = [(x, np.ones(len(x), bool)) for x in parts[_HOT]]
             if parts[_PLAIN]:
                 plain = np.concatenate(parts[_PLAIN])
                 marks = np.concatenate([x["h"] for x in parts[_MARK]]) if parts[_MARK] else np.zeros(0, np.uint64)
                 _, inverse, count = np.unique(plain["h"], return_inverse=True, return_counts=True)
                 marked = np.isin(plain["h"], marks)
-                plain["hot"] = marked | (count[inverse] > HOT)
-                out.append(plain[marked | (count[inverse] > 1)])
-            for x in out:
+                stays = marked | (count[inverse] > 1)
+                out.append((plain[stays], (marked | (count[inverse] > HOT))[stays]))
+            for x, hot in out:
                 if len(x):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x["doc"]), pa.array(x["th"]), pa.array(x["h"].view(np.int64)), pa.array(x["s"].astype(np.int64)), pa.array(x["n"].astype(np.int32)), pa.array(x["hot"] > 0)],
-                        ["doc", "th", "h", "s", "n", "hot"],
-                    )
+                    pointer = ((x["s"].astype(np.int64) << 7 | x["n"]) << 1 | hot) << _BUCKET_BITS | (x["h"] % np.uint64(buckets)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x["doc"]), pa.array(x["th"].astype(np.int64)), pa.array(pointer)], ["doc", "th", "p"])
 
-    shared = sent.mapInArrow(meet, "doc long, th long, h long, s long, n int, hot boolean")
-    lists = shared.groupBy("doc", "th").agg(F.collect_list(F.struct("s", "n", "h", "hot")).alias("p"))
+    shared = sent.mapInArrow(meet, "doc long, th long, p long")
+    lists = shared.groupBy("doc", "th").agg(F.collect_list("p").alias("p"))
     texts = _packed(docs.select(*_identity(doc_id, text), F.col(text).alias("text")).where(F.octet_length("text") >= length), "text")
     joined = texts.join(lists, ["doc", "th"]).select("doc", "th", "__z", "p")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain: list[tuple[np.ndarray, list[bytes]]] = []
-        hot: list[tuple[np.ndarray, list[bytes]]] = []
+        plain: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
+        hot: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -326,11 +326,27 @@ def repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
                     out[1].append(kind)
                     out[2].append(_pack(part[pick], b"".join([contexts[i] for i in pick]) if contexts is not None else b""))
 
+            def done(runs: np.ndarray) -> None:
+                if len(runs):
+                    out[0].append(int(runs["doc"][0] % buckets))
+                    out[1].append(_MARK)
+                    out[2].append(_pack(runs))
+
             if plain:
-                part, contexts = np.concatenate([x[0] for x in plain]), [c for x in plain for c in x[1]]
-                send(_PLAIN, part["h"] % np.uint64(buckets), part, contexts)
+                part, to, contexts = np.concatenate([x[0] for x in plain]), np.concatenate([x[1] for x in plain]), [c for x in plain for c in x[2]]
+                order = np.lexsort((part["s"], part["th"], part["doc"]))
+                first: dict[bytes, int] = {}
+                fresh, again = [], []
+                for i in order.tolist():  # of equal bytes in a batch the earliest goes on, the others are decided
+                    k = first.setdefault(contexts[i], i)
+                    if k == i:
+                        fresh.append(i)
+                    elif part[i] != part[k]:
+                        again.append(i)
+                done(part[again])
+                send(_PLAIN, to[fresh], part[fresh], [contexts[i] for i in fresh])
             if hot:
-                part, contexts = np.concatenate([x[0] for x in hot]), [c for x in hot for c in x[1]]
+                part, contexts = np.concatenate([x[0] for x in hot]), [c for x in hot for c in x[2]]
                 order = np.lexsort((part["s"], part["th"], part["doc"]))
                 part, contexts = part[order], [contexts[i] for i in order]
                 lengths = part["n"].astype(np.int64)
@@ -341,20 +357,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
                 again = _flagged(w["k1"], w["k2"], w["doc"], w["th"], w["s"])
                 send(_HOT, w["k1"][~again] % np.uint64(buckets), w[~again], None)
                 runs = _runs(w["doc"], w["th"], w["s"], again)
-                if runs.num_rows:
-                    done = np.empty(runs.num_rows, _PTR)
-                    done["h"], done["hot"] = 0, 0
-                    for name, column in (("doc", 0), ("th", 1), ("s", 2)):
-                        done[name] = runs.column(column).to_numpy()
-                    n = runs.column(3).to_numpy()
-                    while len(done):  # a run longer than the field holds goes in parts
-                        done["n"] = np.minimum(n, 60_000)
-                        out[0].append(int(done["doc"][0] % buckets))
-                        out[1].append(_MARK)
-                        out[2].append(_pack(done))
-                        more = n > 60_000
-                        done, n = done[more], n[more] - 60_000
-                        done["s"] += 60_000
+                whole = np.empty(runs.num_rows, _RUN)
+                for i, name in enumerate(_RUN.names):
+                    whole[name] = runs.column(i).to_numpy()
+                done(whole)
             plain.clear()
             hot.clear()
             size = 0
@@ -363,19 +369,19 @@ def repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
 
         for b in batches:
             docs_, ths, zs, lists_ = b.columns
-            flat, sizes = lists_.flatten(), lists_.value_lengths().to_pylist()
-            s, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            h, is_hot = flat.field(2).to_numpy().view(np.uint64), flat.field(3).to_numpy(zero_copy_only=False)
+            flat, sizes = lists_.flatten().to_numpy(), lists_.value_lengths().to_pylist()
+            to, is_hot, n, s = flat & ((1 << _BUCKET_BITS) - 1), flat >> _BUCKET_BITS & 1 == 1, flat >> (_BUCKET_BITS + 1) & 127, flat >> (_BUCKET_BITS + 8)
             at = 0
             for doc, th, z, m in zip(docs_.to_pylist(), ths.to_pylist(), zs.to_pylist(), sizes):
                 x = zstandard.decompress(z)
-                part = np.empty(m, _PTR)
-                part["doc"], part["th"], part["s"], part["n"], part["h"], part["hot"] = doc, th, s[at : at + m], n[at : at + m], h[at : at + m], is_hot[at : at + m]
-                at += m
-                for to, mine in ((plain, part[part["hot"] == 0]), (hot, part[part["hot"] == 1])):
+                for held, which in ((plain, ~is_hot[at : at + m]), (hot, is_hot[at : at + m])):
+                    mine = at + np.flatnonzero(which)
                     if len(mine):
-                        to.append((mine, [x[p : p + q + length - 1] for p, q in zip(mine["s"].tolist(), mine["n"].tolist())]))
-                        size += int(mine["n"].sum()) + len(mine) * (length - 1 if to is plain else 5 * length)
+                        part = np.empty(len(mine), _RUN)
+                        part["doc"], part["th"], part["s"], part["n"] = doc, th, s[mine], n[mine]
+                        held.append((part, to[mine], [x[p : p + q + length - 1] for p, q in zip(s[mine].tolist(), n[mine].tolist())]))
+                        size += int(n[mine].sum()) + len(mine) * (length - 1 if held is plain else 5 * length)
+                at += m
                 if size >= 8 * _STEP:
                     yield from flush()
         yield from flush()
@@ -387,12 +393,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
             rows_, contexts = [], []
             for kind, d in blobs:
                 if kind == _PLAIN:
-                    part, raw = _unpack(d, _PTR)
+                    part, raw = _unpack(d, _RUN)
                     rows_.append(part)
                     edge = np.concatenate(([0], np.cumsum(part["n"].astype(np.int64) + length - 1))).tolist()
                     contexts += [raw[p:q] for p, q in zip(edge, edge[1:])]
                 elif kind == _MARK:
-                    part, _ = _unpack(d, _PTR)
+                    part, _ = _unpack(d, _RUN)
                     yield pa.RecordBatch.from_arrays([pa.array(part[c].astype(np.int64)) for c in ("doc", "th", "s", "n")], ["doc", "th", "s", "n"])
             if rows_:
                 part = np.concatenate(rows_)
