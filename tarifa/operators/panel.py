@@ -129,14 +129,23 @@ def lagged_change(df: DataFrame, group: Sequence[str], value: str, period: str =
 def transitions(df: DataFrame, group: Sequence[str], real: str, estimated: str, n: str, step: float = 3.0, reliable: int = 3) -> DataFrame:
     """Changes between each period and the next available one: both directions, their pair, the residual gap and reliability.
 
-    Values are taken as they are (reports round them before); directions are strict at ``step`` percent.
+    Values are taken as they are (reports round them before); directions are strict at ``step`` percent. A change in the
+    number of products is the first cause, before any reading of price or quality.
     """
     w = Window.partitionBy(*group).orderBy("period")
     rows = df.select(*group, F.col("period").alias("t"), F.lead("period").over(w).alias("t1"), pct_change(real, F.lead(real).over(w)).alias("real_pct"), pct_change(estimated, F.lead(estimated).over(w)).alias("estimated_pct"), F.col(n).alias("n_t"), F.lead(n).over(w).alias("n_t1"))
     rows = rows.where("t1 IS NOT NULL").withColumn("gap_pct", F.col("real_pct") - F.col("estimated_pct"))
     rows = rows.withColumn("label", F.concat_ws("/", direction("real_pct", step), direction("estimated_pct", step)))
-    moved = direction("estimated_pct", step).isin("hausse", "baisse")
-    cause = F.when(F.col("real_pct").isNull() | F.col("estimated_pct").isNull(), "indéterminé").when(moved, "composition").when(F.abs("gap_pct") > step, "prix ou qualité").otherwise("aucune")
+    real, estimate = direction("real_pct", step), direction("estimated_pct", step)
+    moves = ("hausse", "baisse")
+    cause = (
+        F.when(F.col("n_t") != F.col("n_t1"), "effectif")
+        .when((real == "indéterminé") | (estimate == "indéterminé"), None)
+        .when(real.isin(*moves) & estimate.isin(*moves) & (real != estimate), "prix_et_qualite")
+        .when(estimate.isin(*moves), "qualite")
+        .when(real.isin(*moves), "prix")
+        .otherwise("aucune")
+    )
     return rows.withColumns({"cause": cause, "limited": (F.col("n_t") < reliable) | (F.col("n_t1") < reliable)})
 
 
@@ -155,8 +164,8 @@ def tiers(df: DataFrame, brand: str = "brand", price: str = "price", least: int
     edges = F.array_distinct(F.when(planned == 3, F.col("__q3")).when(planned == 2, F.col("__q2")).otherwise(F.array(F.element_at("__q2", 1), F.element_at("__q2", 3))))
     rows = rows.withColumns({"tiers_planned": planned, "__e": edges}).withColumn("tiers_found", F.size("__e") - 1)
     place = F.greatest(F.size(F.filter("__e", lambda e: e < p)), F.lit(1))
-    names = F.when(F.col("tiers_planned") == 3, F.array(*map(F.lit, ("Économique", "Milieu", "Premium")))).when(F.col("tiers_planned") == 2, F.array(*map(F.lit, ("Économique", "Premium")))).otherwise(F.array(F.lit("Unique")))
-    tier = F.when((F.col("tiers_planned") == 1), "Unique").when(F.col("tiers_found") >= 1, F.get(names, place - 1))
+    names = F.when(F.col("tiers_planned") == 3, F.array(*map(F.lit, ("Économique", "Milieu de gamme", "Premium")))).when(F.col("tiers_planned") == 2, F.array(*map(F.lit, ("Économique", "Premium")))).otherwise(F.array(F.lit("Gamme unique")))
+    tier = F.when(F.col("tiers_planned") == 1, "Gamme unique").when(F.col("tiers_found") >= 1, F.get(names, place - 1))
     return rows.withColumn("tier", tier).drop("__q3", "__q2", "__e")
 
 

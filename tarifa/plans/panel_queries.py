@@ -284,8 +284,8 @@ def present_in_all_periods(spark, d):
 
 
 _TIERS = f"""{PARTS}, q AS (SELECT brand, count(*) AS n, quantile_cont(price, 1/3.0) AS a, quantile_cont(price, 2/3.0) AS b, quantile_cont(price, 0.5) AS m FROM parts GROUP BY 1 HAVING count(*) >= 5),
-  tiered AS (SELECT p.*, n AS n_brand, CASE WHEN n >= 15 THEN CASE WHEN price <= a THEN 'Économique' WHEN price <= b THEN 'Milieu' ELSE 'Premium' END
-     WHEN n >= 10 THEN CASE WHEN price <= m THEN 'Économique' ELSE 'Premium' END ELSE 'Unique' END AS tier FROM parts p JOIN q ON p.brand = q.brand)"""
+  tiered AS (SELECT p.*, n AS n_brand, CASE WHEN n >= 15 THEN CASE WHEN price <= a THEN 'Économique' WHEN price <= b THEN 'Milieu de gamme' ELSE 'Premium' END
+     WHEN n >= 10 THEN CASE WHEN price <= m THEN 'Économique' ELSE 'Premium' END ELSE 'Gamme unique' END AS tier FROM parts p JOIN q ON p.brand = q.brand)"""
 
 
 @query(f"WITH {_TIERS} SELECT brand, tier, count(*) AS n, min(price) AS low, max(price) AS high FROM tiered GROUP BY 1, 2")
@@ -374,7 +374,7 @@ def matched_deltas(spark, d):
         x AS (SELECT category, period AS t, lead(period) OVER w AS t1, (lead(r) OVER w - r) / r * 100 AS real_pct, (lead(e) OVER w - e) / e * 100 AS est_pct, n AS n_t, lead(n) OVER w AS n_t1 FROM g WINDOW w AS (PARTITION BY category ORDER BY period)),
         y AS (SELECT *, CASE WHEN real_pct > 3 THEN 'hausse' WHEN real_pct < -3 THEN 'baisse' ELSE 'stable' END AS a, CASE WHEN est_pct > 3 THEN 'hausse' WHEN est_pct < -3 THEN 'baisse' ELSE 'stable' END AS b FROM x WHERE t1 IS NOT NULL)
         SELECT category, t, t1, round(real_pct, 4) + 0.0 AS real_pct, round(est_pct, 4) + 0.0 AS estimated_pct, round(real_pct - est_pct, 4) + 0.0 AS gap_pct, a || '/' || b AS label,
-               CASE WHEN b <> 'stable' THEN 'composition' WHEN abs(real_pct - est_pct) > 3 THEN 'prix ou qualité' ELSE 'aucune' END AS cause, n_t < 3 OR n_t1 < 3 AS limited FROM y"""
+               CASE WHEN n_t <> n_t1 THEN 'effectif' WHEN a <> 'stable' AND b <> 'stable' AND a <> b THEN 'prix_et_qualite' WHEN b <> 'stable' THEN 'qualite' WHEN a <> 'stable' THEN 'prix' ELSE 'aucune' END AS cause, n_t < 3 OR n_t1 < 3 AS limited FROM y"""
 )
 def transitions_classify(spark, d):
     g = panel(spark, d).groupBy("category", "period").agg(F.round(S.geo_mean("price"), 2).alias("r"), F.round(F.avg("price"), 2).alias("e"), F.count("*").alias("n"))
