@@ -31,6 +31,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch between Spark and Python: texts are long, and a batch is held several times.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session sends at most ``BATCH_ROWS`` rows to Python at once."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -49,7 +61,7 @@ def partitions(spark: SparkSession) -> int:
 
 def documents(df: DataFrame, columns: Sequence[str] = ("doc_id", "text")) -> DataFrame:
     """The named columns alone, so that extra columns can't clash with the operators' own."""
-    return df.select(*[F.col(c) for c in columns])
+    return bounded_batches(df).select(*[F.col(c) for c in columns])
 
 
 def text_or_empty(column: str | Column = "text") -> Column:

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifa.llm.common import documents
+from tarifa.llm.common import bounded_batches, documents
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -66,7 +66,7 @@ class Model:
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", buckets: int = BUCKETS, alpha: float = 0.5) -> Model:
     """Counts over every row of ``train`` with a language; no sample."""
-    rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    rows = bounded_batches(train).select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     languages = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarifa.llm.common import materialize
+from tarifa.llm.common import bounded_batches, materialize
 from tarifa.llm.tokens import Encoder
 
 LENGTH, END = 2048, 1
@@ -43,7 +43,7 @@ _FAN = 1024
 
 def tokenize(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", end: int = END, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """doc_id, source, chunk, pos, before, n, ids: ids are 16-bit, ``end`` included; before are the tokens of the source earlier in the chunk."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
+    rows = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     path = public_tokenizers.path(vocabulary) if "/" not in vocabulary else vocabulary
     tail = np.array([end], np.uint16).tobytes()

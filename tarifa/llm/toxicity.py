@@ -30,9 +30,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifa.llm.common import documents, materialize
+from tarifa.llm.common import bounded_batches, documents, materialize
 
-MAX_TRAIN_PER_CLASS = 25_000
+MAX_TRAIN_PER_CLASS = 15_000
 MAX_WORDS = 20_000
 #: Least log-likelihood ratio (G squared) of a word with the label, and least texts it is in.
 MIN_G2, MIN_TEXTS = 10.0, 2
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = chosen.where("y = 0").orderBy(*by_hash).limit(MAX_TRAIN_PER_CLASS).union(chosen.where("y = 1").orderBy(*by_hash).limit(MAX_TRAIN_PER_CLASS))
     # at most 2 x MAX_TRAIN_PER_CLASS ids of a few bytes: a proven bound for the broadcast
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "y")
+    rows = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "y")
     rows = materialize(rows, "toxicity-train")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text scores under ``threshold``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at = bounded_batches(docs).columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value

@@ -52,7 +52,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from tarifa.llm.common import scratch
+from tarifa.llm.common import bounded_batches, scratch
 
 SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, date string, payload_bytes long, payload binary"
 _ARROW = pa.schema(
@@ -352,7 +352,7 @@ def archive(pages: DataFrame, path: str, least_bytes: int = 1000, page_id: str =
     Of the rows with an equal payload the one with the largest page_id is the response, the others
     revisit it (rows that share that id are all responses).
     """
-    register(pages.sparkSession)
+    register(bounded_batches(pages).sparkSession)
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("target_uri"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.select("page_id", "target_uri", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
     large = rows.where(F.col("payload_bytes") >= least_bytes)
