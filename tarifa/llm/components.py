@@ -12,8 +12,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component) of every node that has a link; component is the smallest node reachable.
 
     Each round labels a node with its smallest neighbour (or itself), replaces both ends of every link
-    by their labels and drops links within a label, so the links shrink at least by half the nodes of
-    each component's boundary; long chains take logarithmically many rounds. All is joins and
+    by their labels and drops links within a label; a link from a node to its label keeps both connected
+    as a link between their labels. All is joins and
     aggregations with partial sums: a node with very many links is pre-aggregated before the shuffle,
     and the joins may be split by AQE. Links with a null end are left out.
     """
