@@ -20,7 +20,7 @@ def oracle():
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
     def value(v):
-        if v is None or v != v:
+        if v is pd.NA or v is None or v != v:
             return "null"
         return f"{float(v):.4f}" if isinstance(v, (int, float)) and not isinstance(v, bool) or type(v).__name__ in ("Decimal", "int64", "int32", "float64") else str(v)
 
