@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarifa.llm.common import partitions
+from tarifa.llm.common import bounded_batches, partitions
 
 LENGTH, GRAM = 100, 32
 #: Pointers of a bucket (within a batch, and in all) from which it sends identifiers instead of bytes.
@@ -248,8 +248,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
         raise ValueError("length must be 64 or more")
     spark = docs.sparkSession
     n_parts = partitions(spark)
-    buckets = min(16 * n_parts, 1 << _BUCKET_BITS)
-    rows = docs.select(*_identity(doc_id, text), F.col(text).alias("text"))
+    buckets = min(2 * n_parts, 1 << _BUCKET_BITS)  # a task sends a blob or two to each
+    rows = bounded_batches(docs).select(*_identity(doc_id, text), F.col(text).alias("text"))
 
     def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
@@ -382,7 +382,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
                         held.append((part, to[mine], [x[p : p + q + length - 1] for p, q in zip(s[mine].tolist(), n[mine].tolist())]))
                         size += int(n[mine].sum()) + len(mine) * (length - 1 if held is plain else 5 * length)
                 at += m
-                if size >= 8 * _STEP:
+                if size >= 16 * _STEP:
                     yield from flush()
         yield from flush()
 
