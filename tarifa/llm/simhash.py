@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarifa.llm.common import documents, materialize
@@ -247,14 +247,107 @@ def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bl
     return found.join(joined, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 8, blocks: int = 11) -> DataFrame:
-    """The rows of ``docs`` but for near-duplicates: of each component the smallest doc_id stays.
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct XXH64 hashes of the windows that ``fingerprint`` takes; none for a blank text."""
+    w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    n = max(1, len(w) - shingle + 1) if w else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + shingle]), 42) for i in range(n)), np.uint64, n))
+
+
+#: Documents that the order of the prefixes is learned from, and shingles it holds. They set the cost, never the result.
+_ORDER_DOCS, _ORDER_SHINGLES = 20_000, 200_000
+
+
+def _common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted hashes of shingles that several documents of a sample have."""
+    n = docs.count()
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // _ORDER_DOCS))) == 0)
+    found = sample.mapInArrow(_sets(shingle), "doc_id long, s array<long>").select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    rows = found.where("n > 2").orderBy(F.desc("n"), "h").limit(_ORDER_SHINGLES).toPandas()
+    return np.sort(rows.h.to_numpy(np.int64).view(np.uint64))
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t, shingle).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "s"])
 
-    Of rows that share the smallest doc_id, and of rows whose doc_id is null, all stay. Eight of 64 bits
-    are an angle whose cosine is 0.92.
+    return run
+
+
+def _prefixes(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, fp, hash and size of the shingle set, and its prefix, of every row.
+
+    Sets are ordered by (common in the sample, hash). Two sets of similarity 0.8 or more share a member of their first
+    n - ceil(0.8 n) + 1 in any common order, so no pair is missed.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = sent.value
+        for b in batches:
+            fp, sig, size, prefix = [], [], [], []
+            for t in b.column(1).to_pylist():
+                s, f = shingle_set(t, shingle), fingerprint(t, shingle)
+                h = xxhash.xxh64_intdigest(s.tobytes(), 7)
+                n, late = len(s), np.searchsorted(common, s, "right") > np.searchsorted(common, s)
+                first = np.concatenate((s[~late], s[late]))[: n - (4 * n + 4) // 5 + 1] if n else s
+                fp.append(f), sig.append(h - (h >> 63 << 64)), size.append(n), prefix.append(first.view(np.int64))
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(fp, pa.int64()), pa.array(sig, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, kind)], ["doc_id", "fp", "sig", "size", "prefix"]
+            )
+
+    return docs.mapInArrow(run, "doc_id long, fp long, sig long, size long, prefix array<long>")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of 0.8 or more."""
+    pairs = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-candidates")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, s array<long>"), "near-sets")
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return materialize(both.where(9 * shared >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"), "near-links")
+
+
+def near_components(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, component_id of every row: components of the pairs with Jaccard similarity 0.8 or more of their shingle sets.
+
+    Equal sets are one class. Candidates come from the Gray-order index and from neighbours in a shared prefix first, linear
+    in number; once the verified ones are contracted, all pairs with a shared prefix member that are still in different
+    components and of fitting sizes are verified too. Every link is checked on the whole sets, and no pair is left out.
+    """
+    docs = documents(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
+    found = materialize(_prefixes(docs, shingle), "near-prefixes")
+    classes = materialize(found.groupBy("fp", "sig", "size").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "near-classes")
+    named = classes.where("rep IS NOT NULL")
+    by_key = Window.partitionBy("key").orderBy("size", "rep")
+    filed = named.select(F.explode("prefix").alias("key"), "rep", "size")
+    shared = filed.select("key", "rep", "size", F.lead("rep").over(by_key).alias("after"), F.first("rep").over(by_key).alias("head"), F.count("*").over(by_key.rowsBetween(0, 1)).alias("left"))
+    shared = materialize(shared.where("left > 1 OR rep <> head"), "near-shared")
+    by_fp = named.groupBy("fp").agg(F.min("rep").alias("rep"))
+    first = near_links(by_fp).union(named.join(by_fp.toDF("fp", "one"), "fp").select("rep", "one"))
+    first = first.union(shared.select("rep", F.explode(F.array("after", "head"))).where("col IS NOT NULL"))
+    links = _verified(first, docs, shingle)
+    names = materialize(connected_components(links), "near-names")
+    members = shared.join(names, F.col("rep") == F.col("node"), "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("c"))
+    open_keys = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    members = materialize(members.join(open_keys, "key"), "near-open")
+    x, y = members.toDF("key", "a", "n", "ca"), members.toDF("key", "b", "m", "cb")
+    rest = x.join(y, "key").where("ca < cb AND 5 * n >= 4 * m AND 5 * m >= 4 * n").select("a", "b")
+    names = connected_components(links.union(_verified(rest, docs, shingle)))
+    labels = named.join(names, F.col("rep") == F.col("node"), "left").select("fp", "sig", "size", F.coalesce("component", "rep").alias("component_id"))
+    return found.join(labels, ["fp", "sig", "size"], "left").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """The rows of ``docs`` but for near-duplicates: of each component of ``near_components`` the smallest doc_id stays.
+
+    Of rows that share the smallest doc_id, and of rows whose doc_id is null, all stay.
     """
-    found = components(docs, shingle, radius, blocks)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    gone = near_components(docs, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
 
 
