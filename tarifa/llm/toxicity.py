@@ -10,7 +10,9 @@ be common in toxic texts are not pushed over the threshold.
 
 The classifier is fitted on at most ``MAX_TRAIN_PER_CLASS`` labelled rows per class (those with
 the smallest hash of their id: a documented, deterministic bound), its vocabulary holds at most
-``MAX_WORDS`` words. Scoring reads the whole text of every document.
+``MAX_WORDS`` words. Where the bound makes the classes' sampling rates differ, the fitted bias is
+lowered by ln(rate of toxic / rate of clean), so that scores keep to the prior of all labels.
+Scoring reads the whole text of every document.
 
 Edge cases: null and empty texts score like a text without known words; rows whose label is null
 are not learned from; without any label the score is 0.5 of nothing known, reported as the prior
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tarifa.llm.common import bounded_batches, documents, materialize
 
-MAX_TRAIN_PER_CLASS = 15_000
+MAX_TRAIN_PER_CLASS = 25_000
 MAX_WORDS = 20_000
 #: Least log-likelihood ratio (G squared) of a word with the label, and least texts it is in.
 MIN_G2, MIN_TEXTS = 10.0, 2
@@ -106,6 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     chosen = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = chosen.where("y = 0").orderBy(*by_hash).limit(MAX_TRAIN_PER_CLASS).union(chosen.where("y = 1").orderBy(*by_hash).limit(MAX_TRAIN_PER_CLASS))
+    sizes = {r["y"]: r["count"] for r in chosen.groupBy("y").count().collect()}
+    rates = [min(1.0, MAX_TRAIN_PER_CLASS / max(1, sizes.get(y, 0))) for y in (0, 1)]
     # at most 2 x MAX_TRAIN_PER_CLASS ids of a few bytes: a proven bound for the broadcast
     rows = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").select("text", "y")
     rows = materialize(rows, "toxicity-train")
@@ -162,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     index = [np.asarray(x, np.int64) for x in train.x]
     twin = [x if np.array_equal(x, t) else np.asarray(t, np.int64) for x, t in zip(index, train.twin)]
     w, b = _gradient_descent(index, twin, train.y.to_numpy(float), len(vocabulary), l2, cf, steps)
-    return Model(float(b), {x: float(w[i]) for x, i in place.items() if w[i]})
+    return Model(float(b) - math.log(rates[1] / rates[0]), {x: float(w[i]) for x, i in place.items() if w[i]})
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
