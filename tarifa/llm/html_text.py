@@ -16,7 +16,7 @@ wins. A region without a decided block is good inside an article container, and
 where the page has no good block at all.
 
 Edge cases: null or empty html gives an empty text; markup that never closes is closed at the
-end of the page; nothing is cut by length; repeated rows are each extracted.
+end of the page, but of an unclosed svg, video or the like only the tag is skipped; nothing is cut by length; repeated rows are each extracted.
 """
 
 from __future__ import annotations
@@ -48,9 +48,14 @@ STOP_WORDS = frozenset(
     """.split()
 )
 
-_RAW = "script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|audio|video|title"
+#: Elements that are left out with all they hold. Those of _TEXT_ONLY hold no markup: unclosed, they reach to the end of the
+#: page, as in browsers; of the others an unclosed tag alone is skipped. Those of _FOREIGN may close themselves.
+_TEXT_ONLY = frozenset("script style noscript textarea iframe title".split())
+_FOREIGN = frozenset("svg math".split())
+_RAW = _TEXT_ONLY | _FOREIGN | frozenset("template select object canvas audio video".split())
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>|<[!?/][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
 _HINT = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -133,14 +138,24 @@ def _blocks(page: str) -> list[_Block]:
                 now.linked += len(piece.strip())
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    endless: set[str] = set()  # elements without an end tag from here on
+    while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
-        tag = m[3] or m[6]
+        tag = m[2] or m[5]
         if tag is None:
             continue
-        tag, ends, attributes = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
-        if tag == "a":
+        tag, ends, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
+        if tag in _RAW:
+            if not ends and tag not in endless and not (tag in _FOREIGN and attributes.endswith("/")):
+                end = _RAW_END[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in _TEXT_ONLY:
+                    at = len(page)
+                else:
+                    endless.add(tag)
+        elif tag == "a":
             link = 0 if ends else 1
         elif tag == "br":
             now.parts.append(" ")
