@@ -255,7 +255,7 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
 
 
 #: Documents that the order of the prefixes is learned from, and shingles it holds. They set the cost, never the result.
-_ORDER_DOCS, _ORDER_SHINGLES = 20_000, 200_000
+_ORDER_DOCS, _ORDER_SHINGLES = 5_000, 200_000
 
 
 def _common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
@@ -303,11 +303,27 @@ def _prefixes(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of 0.8 or more."""
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of 0.8 or more.
+
+    Sets that are so similar differ in a ninth of their sizes' sum at most. A quarter of the hash space, shortened to 32 bits,
+    can only show fewer differences: pairs over the bound there go before whole sets are moved.
+    """
     pairs = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-candidates")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
+            parts = [np.unique((x[x % 4 == 0] >> np.uint64(2)).astype(np.uint32)).view(np.int32) for x in sets]
+            columns = [b.column(0), pa.array(parts, pa.list_(pa.int32())), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(map(len, sets), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "s", "n"])
+
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, s array<long>"), "near-sets")
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    sets = materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, part array<int>, s array<long>, n long"), "near-sets")
+    parts, whole = sets.select("doc_id", "part", "n"), sets.select("doc_id", "s")
+    apart = F.size("pa") + F.size("pb") - 2 * F.size(F.array_intersect("pa", "pb"))
+    left = pairs.join(parts.toDF("a", "pa", "na"), "a").join(parts.toDF("b", "pb", "nb"), "b").where(9 * apart <= F.col("na") + F.col("nb"))
+    left = materialize(left.select("a", "b").distinct(), "near-likely")
+    both = left.join(whole.toDF("a", "sa"), "a").join(whole.toDF("b", "sb"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return materialize(both.where(9 * shared >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"), "near-links")
 
@@ -325,11 +341,12 @@ def near_components(docs: DataFrame, shingle: int = 5) -> DataFrame:
     named = classes.where("rep IS NOT NULL")
     by_key = Window.partitionBy("key").orderBy("size", "rep")
     filed = named.select(F.explode("prefix").alias("key"), "rep", "size")
-    shared = filed.select("key", "rep", "size", F.lead("rep").over(by_key).alias("after"), F.first("rep").over(by_key).alias("head"), F.count("*").over(by_key.rowsBetween(0, 1)).alias("left"))
-    shared = materialize(shared.where("left > 1 OR rep <> head"), "near-shared")
+    beside = [F.lead(F.struct("rep", "size")).over(by_key).alias("after"), F.first(F.struct("rep", "size")).over(by_key).alias("head")]
+    shared = materialize(filed.select("key", "rep", "size", *beside).where("after IS NOT NULL OR rep <> head.rep"), "near-shared")
     by_fp = named.groupBy("fp").agg(F.min("rep").alias("rep"))
     first = near_links(by_fp).union(named.join(by_fp.toDF("fp", "one"), "fp").select("rep", "one"))
-    first = first.union(shared.select("rep", F.explode(F.array("after", "head"))).where("col IS NOT NULL"))
+    near = shared.select("rep", "size", F.explode(F.array("after", "head")).alias("o")).where("5 * size >= 4 * o.size AND 5 * o.size >= 4 * size")
+    first = first.union(near.select("rep", "o.rep"))
     links = _verified(first, docs, shingle)
     names = materialize(connected_components(links), "near-names")
     members = shared.join(names, F.col("rep") == F.col("node"), "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("c"))
