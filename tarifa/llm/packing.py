@@ -1,147 +1,196 @@
 """Mixture-controlled packing of documents into sequences of fixed length.
 
-Each source is a queue of token blocks (its documents in input order, long ones in blocks of at most
-one window). Sources are served by deficit round-robin: a source earns its target share of every
-window; a block is sent when the share earned so far covers its middle, so what a source was sent
-too little or too much (its deficit) carries over to the next windows, and never exceeds a block.
-The round in which a block is sent is a function of its place in the queue alone,
-
-    round(block) = (tokens of the queue before it + half its own) / (share of the source x all tokens)
-
-so the schedule needs no sequential pass: partitions get their queue offsets and deficits from a prefix
-sum over (source, input chunk), then blocks are dealt by ranges of rounds, which hold nearly equal
-numbers of tokens, and the place of every block follows from a second prefix sum. Windows are cut
-every ``length`` tokens of that order, so only the very last sequence is padded.
-
-Tokens are made once and kept in a table of the shared folder; the schedule only reads its
-narrow columns.
-
-Edge cases: a null text is empty and gives one piece with the end token alone; a null source is a queue
-of its own; repeated rows are packed each by itself; empty tables give no piece.
+Each source is a queue of tokens (its documents in input order). Sources are served by deficit round-robin: in every window
+each source earns its target share of the window's tokens, and what it earned but was not sent (its deficit, a
+fraction of a token here, as documents may be cut anywhere) carries over to the next window. A source whose queue is empty
+leaves the round and the others share its part by their weights.
+
+``Schedule`` is that round-robin in closed form. Sources are the leaves of a balanced binary tree; of the first T tokens sent,
+an inner node passes floor(T x weight of its left half / its weight) to the left and the others to the right. Both numbers never
+fall when T grows and add up to T, so what a source was sent after any number of windows is a composition of such steps, off its
+share by less than the depth of the tree, in whole-number arithmetic. So are the window in which the x-th token of a
+queue is sent, and its place there: no task has to look at the windows before. Between two sources running empty
+the weights stay the same; there are at most as many such phases as sources.
+
+Distribution: tokens are made once and kept in a table of the shared folder with their place in their source's queue within
+their chunk (a task's rows). One aggregation over (source, chunk) and a running sum per source give each chunk its place in the
+queues; then every document cuts itself into pieces. Texts and ids are never sorted. The driver gets one
+number per source.
+
+Default targets are the sources' shares of all tokens, the only ones that hold up to the last window when everything is
+packed; ``weights`` sets others. Windows are cut every ``length`` tokens, so only the very last sequence is padded.
+
+Edge cases: a null text is empty and gives one piece with the end token alone; a null source is a queue of its own;
+repeated rows are packed each by itself; empty tables give no piece; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarifa.llm.common import bounded_batches, materialize
+from tarifa.llm.common import bounded_batches, materialize, table
 from tarifa.llm.tokens import Encoder
 
 LENGTH, END = 2048, 1
-#: Tokens that one range of rounds holds, about.
-RANGE = 1 << 22
-_FAN = 1024
-
-
-def tokenize(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", end: int = END, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """doc_id, source, chunk, pos, before, n, ids: ids are 16-bit, ``end`` included; before are the tokens of the source earlier in the chunk."""
+#: Resolution of weights that are no whole numbers.
+_UNIT = 1 << 40
+
+
+class _Phase:
+    """The round-robin between two sources running empty: ``active`` sources, by weight, from the ``begin``-th token on."""
+
+    def __init__(self, begin: int, active: list[int], weights: list[int]):
+        self.begin, self.end = begin, begin
+        self.leaf = {s: i for i, s in enumerate(active)}
+        self.sums = [0, *accumulate(weights)]
+        self._paths: dict[int, list[tuple[bool, int, int]]] = {}
+
+    def _path(self, s: int) -> list[tuple[bool, int, int]]:
+        """From the root to the source: whether to the right, weight of the left half, weight of the node."""
+        found = self._paths.get(s)
+        if found is None:
+            found, at, lo, hi = [], self.leaf[s], 0, len(self.sums) - 1
+            while hi - lo > 1:
+                mid = (lo + hi) // 2
+                right = at >= mid
+                found.append((right, self.sums[mid] - self.sums[lo], self.sums[hi] - self.sums[lo]))
+                lo, hi = (mid, hi) if right else (lo, mid)
+            self._paths[s] = found
+        return found
+
+    def sent(self, s: int, t: int) -> tuple[int, int]:
+        """Of the first ``t`` tokens of the phase: those of the source, and those of the sources before it."""
+        before = 0
+        for right, a, c in self._path(s):
+            left = t * a // c
+            if right:
+                before += left
+                t -= left
+            else:
+                t = left
+        return t, before
+
+    def first(self, s: int, n: int) -> int:
+        """Least t for which the source has ``n`` (1 or more) of the first ``t`` tokens."""
+        for right, a, c in reversed(self._path(s)):
+            n = (n - 1) * c // (c - a) + 1 if right else -(-n * c // a)
+        return n
+
+
+class Schedule:
+    """Pieces of the documents of sources that hold ``totals`` tokens, served by ``weights`` (default: the totals)."""
+
+    def __init__(self, totals: list[int], weights: list[float] | None = None, length: int = LENGTH):
+        self.length = length
+        whole = [float(w) for w in weights] if weights else []
+        if any(w < 0 or w != w for w in whole):
+            raise ValueError("weights must be 0 or more")
+        scaled = [round(w / max(sum(whole), 1e-300) * _UNIT) for w in whole] if weights else list(totals)
+        left, begin = list(totals), 0
+        self.phases: list[_Phase] = []
+        self.taken: list[list[int]] = [[] for _ in totals]  # of each source, the tokens sent before each phase it is in
+        self.of: list[list[int]] = [[] for _ in totals]  # and the phase
+        while any(left):
+            active = [s for s, n in enumerate(left) if n and scaled[s]]
+            by = scaled
+            if not active:  # only sources without weight are left
+                active, by = [s for s, n in enumerate(left) if n], left
+            phase = _Phase(begin, active, [by[s] for s in active])
+            some = sum(left[s] for s in active)
+            # it lasts until a source would owe more than it has
+            span = min([some, *(phase.first(s, left[s] + 1) - 1 for s in active)])
+            phase.end = begin + span
+            for s in active:
+                self.taken[s].append(totals[s] - left[s])
+                self.of[s].append(len(self.phases))
+                left[s] -= phase.sent(s, span)[0]
+            self.phases.append(phase)
+            begin += span
+
+    def pieces(self, s: int, at: int, n: int) -> Iterator[tuple[int, int, int, int]]:
+        """start, length, sequence, offset of the pieces of a document with ``n`` tokens that is ``at`` tokens into queue ``s``."""
+        x, stop, length = at, at + n, self.length
+        k = bisect_right(self.taken[s], x) - 1
+        while x < stop:
+            while k + 1 < len(self.taken[s]) and self.taken[s][k + 1] <= x:
+                k += 1
+            phase, base = self.phases[self.of[s][k]], self.taken[s][k]
+            w = (phase.begin + phase.first(s, x - base + 1) - 1) // length
+            lo, hi = max(0, w * length - phase.begin), min(phase.end, (w + 1) * length) - phase.begin
+            d0, p0 = phase.sent(s, lo)
+            d1, p1 = phase.sent(s, hi)
+            end = min(stop, base + d1)
+            yield x - at, end - x, w, phase.begin + lo - w * length + p1 - p0 + x - base - d0
+            x = end
+
+
+def tokenize(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end: int = END, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """doc_id, source, chunk, before, n, ids: ids are 16-bit, ``end`` included; before are the tokens of the source earlier in the chunk."""
     rows = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    path = public_tokenizers.path(vocabulary) if "/" not in vocabulary else vocabulary
     tail = np.array([end], np.uint16).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, chunk, pos, seen = Encoder.at(path), TaskContext.get().partitionId(), 0, {}
+        encoder, chunk, seen = Encoder.at(vocabulary), TaskContext.get().partitionId(), {}
         for b in batches:
             ids, n, before = [], [], []
-            for t, s in zip(b.column(2).to_pylist(), b.column(1).to_pylist()):
-                ids.append(encoder.encode(t) + tail)
+            for t, s in zip(b.column(2), b.column(1).to_pylist()):
+                ids.append(encoder.encode(t.as_py()) + tail)
                 n.append(len(ids[-1]) // 2)
                 before.append(seen.get(s, 0))
                 seen[s] = before[-1] + n[-1]
-            k = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(np.full(k, chunk, np.int32)), pa.array(np.arange(pos, pos + k)), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "source", "chunk", "pos", "before", "n", "ids"],
+                [b.column(0), b.column(1), pa.array(np.full(b.num_rows, chunk, np.int32)), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
+                ["doc_id", "source", "chunk", "before", "n", "ids"],
             )
-            pos += k
 
-    return rows.mapInArrow(run, f"doc_id {kind}, source string, chunk int, pos long, before long, n long, ids binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, source string, chunk int, before long, n long, ids binary")
 
 
-def prefix_sums(totals: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """``totals`` (a row per non-negative long key) with the sum of ``value`` over smaller keys.
+def pack(docs: DataFrame, length: int = LENGTH, weights: dict[str | None, float] | None = None, with_ids: bool = False, **options) -> DataFrame:
+    """A row per piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, 32-bit).
 
-    Two levels, so that one task sees the keys of one group, and one the totals of the groups.
+    With ``weights`` sources that are not named weigh nothing and come when the named ones are empty.
     """
-    inner = Window.partitionBy("__hi").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.orderBy("__hi").rowsBetween(Window.unboundedPreceding, -1)
-    rows = totals.withColumn("__hi", F.floor(F.col(key) / _FAN))
-    groups = rows.groupBy("__hi").agg(F.sum(value).alias("__sum")).withColumn("__base", F.coalesce(F.sum("__sum").over(outer), F.lit(0))).select("__hi", "__base")
-    rows = rows.withColumn("__in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return rows.join(groups, "__hi").select(key, (F.col("__in") + F.col("__base")).alias(out))
-
-
-def schedule(tokens: DataFrame, length: int = LENGTH, weights: dict[str | None, float] | None = None) -> DataFrame:
-    """chunk, pos, start, length, sequence_id, offset of every piece of the documents of ``tokens``."""
-    meta = tokens.select("source", "chunk", "pos", "before", "n")
-    by_source = Window.partitionBy("source")
-    so_far = by_source.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    queues = meta.groupBy("source", "chunk").agg(F.sum("n").alias("own"))
-    queues = queues.select(
-        F.col("source").alias("q"), F.col("chunk").alias("c"), F.coalesce(F.sum("own").over(so_far), F.lit(0)).alias("base"), F.sum("own").over(by_source).alias("all"), "own"
-    )
-    queues = materialize(queues, "pack-queues")
-    total = queues.agg(F.sum("own")).first()[0] or 0
-    ranges = max(1, -(-total // RANGE))
-    rate = F.col("all").cast("double")  # tokens a source is sent per unit of rounds: in proportion to what it has
-    if weights:
-        whole = sum(weights.values())
-        share = F.lit(1.0)
-        for name, w in weights.items():
-            share = F.when(F.col("q").eqNullSafe(F.lit(name)), F.lit(w / whole)).otherwise(share)
-        rate = share * total
-        most = queues.agg(F.max(F.col("all") / rate)).first()[0] or 1.0
-        rate = rate * most
-    docs = meta.join(queues, F.col("source").eqNullSafe(F.col("q")) & (F.col("chunk") == F.col("c")))
-    blocks = docs.select("source", "chunk", "pos", (F.col("base") + F.col("before")).alias("at"), "n", rate.alias("rate"), F.explode(F.expr(f"sequence(0L, n - 1, {length}L)")).alias("start"))
-    size = F.least(F.lit(length), F.col("n") - F.col("start"))
-    blocks = blocks.select("source", "chunk", "pos", "start", size.alias("size"), ((F.col("at") + F.col("start") + size / 2) / F.col("rate")).alias("round"), (F.col("at") + F.col("start")).alias("at"))
-    blocks = blocks.withColumn("range", F.least(F.floor(F.col("round") * ranges), F.lit(ranges - 1)).cast("long"))
-    first = prefix_sums(blocks.groupBy("range").agg(F.sum("size").alias("t")), "range", "t", "range_at")
-    order = Window.partitionBy("range").orderBy("round", "source", "at").rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocks.withColumn("in_range", F.coalesce(F.sum("size").over(order), F.lit(0))).join(first, "range")
-    placed = placed.select("chunk", "pos", "start", "size", (F.col("range_at") + F.col("in_range")).alias("place"))
-    cut = placed.select("*", F.explode(F.expr(f"sequence(place div {length}, (place + size - 1) div {length})")).alias("sequence_id"))
-    low = F.greatest(F.col("place"), F.col("sequence_id") * length)
-    high = F.least(F.col("place") + F.col("size"), (F.col("sequence_id") + 1) * length)
-    return cut.select("chunk", "pos", (F.col("start") + low - F.col("place")).alias("start"), (high - low).alias("length"), "sequence_id", (low - F.col("sequence_id") * length).alias("offset"))
-
-
-def pack(docs: DataFrame, length: int = LENGTH, weights: dict[str | None, float] | None = None, with_ids: bool = False, **options) -> DataFrame:
-    """A row per piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, 32-bit)."""
     tokens = materialize(tokenize(docs, **options), "pack-tokens")
-    pieces = schedule(tokens, length, weights).groupBy("chunk", "pos").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
-    whole = tokens.select("doc_id", "source", "chunk", "pos", "n", "ids").join(pieces, ["chunk", "pos"]).select("doc_id", "source", "n", "ids", "pieces")
+    so_far = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    queues = materialize(tokens.groupBy("source", "chunk").agg(F.sum("n").alias("own")), "pack-queues")
+    totals = {r["source"]: r["n"] for r in queues.groupBy("source").agg(F.sum("own").alias("n")).collect()}  # a row per source
+    names = sorted(totals, key=lambda s: (s is None, s or ""))
+    plan = Schedule([totals[s] for s in names], [weights.get(s, 0.0) for s in names] if weights else None, length)
+    number = {s: i for i, s in enumerate(names)}
+    queues = queues.select(F.col("source").alias("q"), F.col("chunk").alias("c"), F.coalesce(F.sum("own").over(so_far), F.lit(0)).alias("base"))
+    whole = tokens.join(queues, F.col("source").eqNullSafe(F.col("q")) & (F.col("chunk") == F.col("c"))).select("doc_id", "source", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pieces = b.column(4)
-            owner = np.repeat(np.arange(b.num_rows), pieces.value_lengths().to_numpy(zero_copy_only=False))
-            flat = pieces.flatten()
-            start, size = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            held, wide, crc, ids = -1, b"", [], []
-            for k, s, n in zip(owner.tolist(), start.tolist(), size.tolist()):
-                if k != held:
-                    held, wide = k, np.frombuffer(b.column(3)[k].as_buffer(), np.uint16).astype("<u4").tobytes()
-                crc.append(zlib.crc32(memoryview(wide)[4 * s : 4 * (s + n)]))
-                if with_ids:
-                    ids.append(wide[4 * s : 4 * (s + n)])
-            at = pa.array(owner)
-            columns = [b.column(0).take(at), b.column(1).take(at), flat.field(0), flat.field(1), pa.array(crc, pa.int64()), b.column(2).take(at), flat.field(2), flat.field(3)]
-            names = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+            owner, crc, ids, cut = [], [], [], []
+            for i, (s, at, n) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))):
+                wide = memoryview(np.frombuffer(b.column(4)[i].as_buffer(), np.uint16).astype("<u4").tobytes())
+                for piece in plan.pieces(number[s], at, n):
+                    mine = wide[4 * piece[0] : 4 * (piece[0] + piece[1])]
+                    owner.append(i)
+                    cut.append(piece)
+                    crc.append(zlib.crc32(mine))
+                    if with_ids:
+                        ids.append(bytes(mine))
+            at = pa.array(owner, pa.int64())
+            start, size, sequence, offset = (pa.array([c[k] for c in cut], pa.int64()) for k in range(4))
+            columns = [b.column(0).take(at), b.column(1).take(at), start, size, pa.array(crc, pa.int64()), b.column(3).take(at), sequence, offset]
+            names_ = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             if with_ids:
-                columns, names = [*columns, pa.array(ids, pa.binary())], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                columns, names_ = [*columns, pa.array(ids, pa.binary())], [*names_, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names_)
 
     types = f"doc_id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return whole.mapInArrow(run, types)
@@ -154,5 +203,6 @@ def sequences(pieces: DataFrame) -> DataFrame:
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
-    found = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All documents, each window in the proportions of the corpus."""
+    found = pack(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
