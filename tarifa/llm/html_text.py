@@ -3,33 +3,41 @@
 A page is cut into blocks at block-level tags. The first pass labels each block from its
 stop-word density, its length, its link density and the containers it is in:
 
-* in a menu, header, footer, sidebar, notice, advert, form or comment container: bad;
+* in a menu, header, footer, sidebar, notice, advert, form or comment container: bad. A container is one by its element, or by a
+  class, id or role all of whose parts are container words or their companions (``cookie-notice``, ``site-footer``; neither
+  ``has-sidebar`` nor ``content-with-sidebar``); an article is one only as a reader's comment;
 * link density over ``MAX_LINK_DENSITY``: bad;
 * stop-word density of ``STOP_LOW`` or more and at least ``LONG`` characters: good;
-* outside an article container, ``LONG`` or more characters with no stop word and no sentence
-  mark: bad;
+* outside an article container, ``LONG`` or more characters of Latin script with no stop word and no
+  sentence mark: bad;
 * all others are ambiguous.
 
 The second pass gives each ambiguous block the label of the nearest decided block of the same
 region (an article region, or the rest of the page); of two equally near neighbours a good one
-wins. A region without a decided block is good inside an article container, and elsewhere only
-where the page has no good block at all.
+wins. A region without a decided block is good inside an article container. Where the page has no good block at all,
+all of its blocks are but those of links. Where class names alone would leave out every article of a page, they are
+not looked at, but for those of comments.
 
-Edge cases: null or empty html gives an empty text; markup that never closes is closed at the
-end of the page, but of an unclosed svg, video or the like only the tag is skipped; nothing is cut by length; repeated rows are each extracted.
+Both passes take time in proportion to the page, whatever its markup: a tag whose quotes don't close is read without regard to
+quotes, and after ``_TRIES`` of them all tags are.
+
+Edge cases: null or empty html gives an empty text; markup that never closes is closed at the end of the page, but of an
+unclosed svg, video or the like only the tag is skipped, and a tag without its ``>`` is text; nothing is cut by length;
+repeated rows are each extracted; an empty table gives an empty one; columns other than the three named are left out.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tarifa.llm.common import documents
+from tarifa.llm.common import documents, table
 
 LONG, STOP_LOW, MAX_LINK_DENSITY = 40, 0.08, 0.5
 
@@ -54,13 +62,14 @@ _TEXT_ONLY = frozenset("script style noscript textarea iframe title".split())
 _FOREIGN = frozenset("svg math".split())
 _RAW = _TEXT_ONLY | _FOREIGN | frozenset("template select object canvas audio video".split())
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
-_HINT = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][\w:-]*)|[!?/])")
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+_TRIES = 8
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_SENTENCE = re.compile(r"[.!?:;\u2026\u3002\uff01\uff1f\uff1b\uff1a\uff0e\u061f\u06d4\u0964\u0589]")
+_FOREIGN_LETTER = re.compile(r"[^\W\d_\u0000-\u024f\u1e00-\u1eff]")
 _MARKS = ".,;:!?()[]{}\"'&%$*#|/<>…«»“”„-–—"
 
 _BLOCK = frozenset(
@@ -82,8 +91,18 @@ _BAD_PARTS = frozenset(
     complementary search tagcloud skip
     """.split()
 )
+_COMMENT_PARTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Words that may stand beside a container word in its name.
+_COMPANIONS = frozenset(
+    """
+    area bar block body bottom box card center col column container content details div element entry field fixed footer form global group
+    header head holder id inner inline item items layout left link links list main message meta module new node outer page panel post
+    primary right row secondary section side site slot small sticky text thread title top unit user widget wrap wrapper
+    """.split()
+)
 _BAD_OUTSIDE = frozenset("header top bottom".split())
-_ARTICLE_PARTS = frozenset("articlebody postcontent entrycontent maincontent".split())
+_HIDDEN_CLASSES = frozenset("hidden hide invisible sr-only visually-hidden screen-reader-text".split())
+_ARTICLE_NAMES = frozenset("articlebody postcontent entrycontent maincontent".split())
 
 
 @dataclass
@@ -96,34 +115,80 @@ class _Block:
     label: int = 0  # 1 good, -1 bad, 0 ambiguous
 
 
-def _bad_container(tag: str, attributes: str, in_article: bool) -> bool:
+def _attributes(raw: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name; the first of a name counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _named(names: str, words: frozenset[str]) -> bool:
+    """Whether one of the names consists of container words and companions, one of ``words`` among them."""
+    for name in names.split():
+        parts = [p.lower() for p in _PART.findall(name)]
+        if any(p in words for p in parts) and all(p in words or p in _BAD_PARTS or p in _COMPANIONS or p.isdigit() for p in parts):
+            return True
+    return False
+
+
+def _bad_container(tag: str, attributes: dict[str, str], in_article: bool, lenient: bool) -> bool:
     if tag in _BAD_TAGS or tag == "header" and not in_article:
         return True
     if not attributes or tag in ("html", "body", "main"):
         return False
-    if _HIDDEN.search(attributes):
+    classes = attributes.get("class", "")
+    if attributes.get("hidden", "until-found").lower() != "until-found" or attributes.get("aria-hidden", "").lower() == "true" or _HIDING.search(attributes.get("style", "")):
         return True
-    for m in _HINT.finditer(attributes):
-        parts = {p.lower() for p in _PART.findall(m[1] or m[2] or m[3] or "")}
-        if parts & _BAD_PARTS or not in_article and parts & _BAD_OUTSIDE:
-            return True
-    return False
+    if not _HIDDEN_CLASSES.isdisjoint(classes.lower().split()):
+        return True
+    names = " ".join((classes, attributes.get("id", ""), attributes.get("role", ""), attributes.get("aria-label", "").replace(" ", "-")))
+    if tag == "article" or lenient:
+        return _named(names, _COMMENT_PARTS)
+    return _named(names, _BAD_PARTS) or not in_article and not _BAD_OUTSIDE.isdisjoint(names.lower().split())
 
 
-def _is_article(tag: str, attributes: str) -> bool:
-    if tag in ("article", "main"):
+def _is_article(tag: str, attributes: dict[str, str]) -> bool:
+    if tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article") or attributes.get("id", "").lower() == "main":
         return True
-    for m in _HINT.finditer(attributes) if attributes else ():
-        value = (m[1] or m[2] or m[3] or "").lower()
-        if value == "main" or any(re.sub(r"[^a-z]", "", v) in _ARTICLE_PARTS for v in value.split()):
-            return True
-    return False
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+    return any(re.sub(r"[^a-z]", "", name) in _ARTICLE_NAMES for name in names)
+
 
+def _tokens(page: str) -> Iterator[tuple[str, str | None, bool, str, int]]:
+    """Text before a tag, the tag's name (None: a comment or the like), whether it ends, its attributes, where it stops.
 
-def _blocks(page: str) -> list[_Block]:
+    The consumer may send a place from which to go on.
+    """
+    at, last, tries = 0, page.rfind(">"), 0
+    while m := _OPEN.search(page, at):
+        begin, tag = m.start(), m[2]
+        if page.startswith("<!--", begin):
+            stop = page.find("-->", begin + 4)
+            stop = len(page) if stop < 0 else stop + 3
+            attributes = ""
+        elif begin > last:
+            break
+        else:
+            end = -1
+            if tag is not None and tries < _TRIES:
+                end = _QUOTED.match(page, m.end()).end()
+                if not page.startswith(">", end):
+                    end, tries = -1, tries + 1
+            if end < 0:
+                end = page.find(">", m.end())
+            attributes, stop = page[m.end() : end], end + 1
+        go = yield page[at:begin], tag.lower() if tag else None, bool(m[1]), attributes, stop
+        at = stop if go is None else go
+    yield page[at:], None, False, "", len(page)
+
+
+def _blocks(page: str, lenient: bool = False) -> tuple[list[_Block], bool]:
+    """Blocks of a page, and whether an article lies within a container that is bad by its name."""
     out: list[_Block] = []
     stack: list[tuple[str, bool, int]] = []  # tag, within a bad container, region
-    regions, link, now = 0, 0, _Block()
+    held: Counter[str] = Counter()
+    regions, link, now, lost = 0, 0, _Block(), False
 
     def close() -> None:
         nonlocal now
@@ -131,28 +196,27 @@ def _blocks(page: str) -> list[_Block]:
             out.append(now)
         now = _Block(bad=stack[-1][1] if stack else False, region=stack[-1][2] if stack else 0)
 
-    def text(piece: str) -> None:
+    endless: set[str] = set()  # elements without an end tag from here on
+    tokens, go = _tokens(page), None
+    while True:
+        try:
+            piece, tag, ends, raw, at = tokens.send(go)
+        except StopIteration:
+            break
+        go = None
         if piece:
             now.parts.append(piece)
             if link:
                 now.linked += len(piece.strip())
-
-    at = 0
-    endless: set[str] = set()  # elements without an end tag from here on
-    while m := _TOKEN.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
         if tag is None:
             continue
-        tag, ends, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if tag in _RAW:
-            if not ends and tag not in endless and not (tag in _FOREIGN and attributes.endswith("/")):
+            if not ends and tag not in endless and not (tag in _FOREIGN and raw.endswith("/")):
                 end = _RAW_END[tag].search(page, at)
                 if end:
-                    at = end.end()
+                    go = end.end()
                 elif tag in _TEXT_ONLY:
-                    at = len(page)
+                    go = len(page)
                 else:
                     endless.add(tag)
         elif tag == "a":
@@ -164,27 +228,34 @@ def _blocks(page: str) -> list[_Block]:
             now.bad = now.bad or not ends
         elif tag in _BLOCK:
             if ends:
-                if tag in _HELD and any(s[0] == tag for s in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+                if held[tag]:
+                    while True:
+                        gone = stack.pop()[0]
+                        held[gone] -= 1
+                        if gone == tag:
+                            break
                 close()
             else:
                 bad, region = stack[-1][1:] if stack else (False, 0)
                 inside = region > 0
-                mine = bad or _bad_container(tag, attributes, inside)
+                attributes = _attributes(raw) if raw else {}
+                mine = bad or _bad_container(tag, attributes, inside, lenient)
                 if tag in _HELD:
-                    if not mine and not inside and _is_article(tag, attributes):
-                        regions += 1
-                        region = regions
+                    if not inside and _is_article(tag, attributes):
+                        if mine:
+                            lost = True
+                        else:
+                            regions += 1
+                            region = regions
                     stack.append((tag, mine, region))
+                    held[tag] += 1
                     close()
                 else:
                     close()
                     now.bad = mine
             link = 0
-    text(page[at:])
     close()
-    return out
+    return out, lost
 
 
 def _stop_density(text: str) -> float:
@@ -196,21 +267,44 @@ def _stop_density(text: str) -> float:
     return sum(map(STOP_WORDS.__contains__, found)) / max(1, len(found))
 
 
-def extract(page: str | None) -> str:
-    """Main text: the good blocks in page order, joined by one space."""
-    if not page:
-        return ""
+def _good(page: str, lenient: bool) -> tuple[list[_Block], bool]:
+    """Blocks with text outside bad containers, and whether every article of the page is lost to a container's name."""
+    found, lost = _blocks(page, lenient)
     kept = []
-    for b in _blocks(page):
+    for b in found:
         raw = "".join(b.parts)
         b.text = " ".join((html_lib.unescape(raw) if "&" in raw else raw).split())
         if b.text and not b.bad:
             kept.append(b)
+    return kept, lost and not any(b.region for b in kept)
+
+
+def _inherit(labels: list[int]) -> list[int]:
+    """Each 0 replaced by the nearest other label, the good one of two equally near; all 0 stays."""
+    near = [(len(labels) + 1, 0)] * len(labels)
+    for order in (range(len(labels)), range(len(labels) - 1, -1, -1)):
+        away, label = len(labels) + 1, 0
+        for i in order:
+            away, label = (0, labels[i]) if labels[i] else (away + 1, label)
+            if label and (away, -label) < (near[i][0], -near[i][1]):
+                near[i] = (away, label)
+    return [label for _, label in near]
+
+
+def extract(page: str | None) -> str:
+    """Main text: the good blocks in page order, joined by one space."""
+    if not page:
+        return ""
+    kept, lost = _good(page, False)
+    if lost:
+        kept, _ = _good(page, True)
     article = any(b.region for b in kept)
+    regions: dict[int, list[_Block]] = {}
     for b in kept:
         if article and not b.region:
             b.label = -1
             continue
+        regions.setdefault(b.region, []).append(b)
         n = len(b.text)
         if b.linked > MAX_LINK_DENSITY * n:
             b.label = -1
@@ -218,20 +312,14 @@ def extract(page: str | None) -> str:
             density = _stop_density(b.text)
             if density >= STOP_LOW:
                 b.label = 1
-            elif not b.region and not density and not re.search(r"[.!?:;]", b.text):
+            elif not b.region and not density and not _SENTENCE.search(b.text) and not _FOREIGN_LETTER.search(b.text):
                 b.label = -1
-    for region in {b.region for b in kept}:
-        own = [b for b in kept if b.region == region]
-        decided = [(i, b.label) for i, b in enumerate(own) if b.label]
-        for i, b in enumerate(own):
-            if not b.label and decided:
-                b.label = min(decided, key=lambda d: (abs(d[0] - i), -d[1]))[1] * 2
-        for b in own:
-            if not b.label and region:
-                b.label = 1
+    for region, own in regions.items():
+        for b, label in zip(own, _inherit([b.label for b in own])):
+            b.label = label or (1 if region else 0)
     if not any(b.label > 0 for b in kept):
         for b in kept:
-            b.label = b.label or 1
+            b.label = 1 if b.linked <= MAX_LINK_DENSITY * len(b.text) and (b.region or not article) else -1
     return " ".join(b.text for b in kept if b.label > 0)
 
 
@@ -252,4 +340,4 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
 
 
 def op4_html(spark, sf_dir: str) -> DataFrame:
-    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return main_text(table(spark, sf_dir, "pages"))

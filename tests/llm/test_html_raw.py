@@ -1,9 +1,17 @@
-"""Elements that are left out must not take the rest of the page with them."""
+"""Main-text extraction: elements that are left out, container names, hostile pages, and a plain reader of the test pages."""
 
+import re
+import time
+from html.parser import HTMLParser
+
+import duckdb
 import pytest
 
 from tarifa.llm import html_text
 
+SF = "/root/testdata/sf0.01"
+ENGLISH = "The story is about the man who was on the road to the sea and of what he had to do."
+
 
 @pytest.mark.parametrize("tag", ["<svg-icon></svg-icon>", "<object-x>", "<svg/>", "<svg width='1' />", "<math/>", "<video src='a>b'>", "<svg><path d='M0'/></svg>", "<SELECT><option>no</SELECT>", "<style>p{}</style>"])
 def test_text_after_the_element_stays(tag):
@@ -12,3 +20,114 @@ def test_text_after_the_element_stays(tag):
 
 def test_unclosed_script_is_no_text():
     assert html_text.extract("<p>one</p><script>let two = 2;") == "one"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="overflow-hidden"><article>{}</article></div>',
+        '<article class="post has-comments">{}</article>',
+        '<div class="content-with-sidebar"><article>{}</article></div>',
+        '<body class="no-sidebar"><div class="widget"><article>{}</article></div><p>x</p>',
+        '<div id="searchable-content"><p>{}</p></div>',
+        '<article class="sponsored">{}</article>',
+        '<div hidden="until-found"><p>{}</p></div>',
+    ],
+)
+def test_articles_stay(page):
+    assert html_text.extract(page.format(ENGLISH)) == ENGLISH
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<div class="cookie-notice"><p>{}</p></div>',
+        '<section id="commentsArea"><p>{}</p></section>',
+        '<article class="comment">{}</article>',
+        '<div id="comments"><article>{}</article></div>',
+        '<div class="Site_Footer"><p>{}</p></div>',
+        "<div hidden><p>{}</p></div>",
+        '<div style="color: red; DISPLAY:none"><p>{}</p></div>',
+        '<div class="sr-only"><p>{}</p></div>',
+        "<nav><p>{}</p></nav>",
+        "<form><p>{}</p></form>",
+        "<aside><p>{}</p></aside>",
+        "<footer>{}</footer>",
+        "<!-- {} -->",
+        "<noscript>{}</noscript>",
+    ],
+)
+def test_other_parts_go(part):
+    other = "It is not for the reader to say what the site had in mind with all of this."
+    assert html_text.extract(f"<p>{ENGLISH}</p>{part.format(other)}") == ENGLISH
+
+
+@pytest.mark.parametrize("text", ["他们在北京工作和生活已经很多年了" * 4, "привет мир как дела сегодня утром " * 3, "日本語の文章です。" * 9])
+def test_other_scripts_inherit(text):
+    assert text.strip() in html_text.extract(f"<p>{ENGLISH}</p><p>{text}</p>")
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [(None, ""), ("", ""), ("<", "<"), ("<p", "<p"), ('<p class="x', '<p class="x'), ("<!-- open", ""), ("<script>never closed", ""), ("plain words only", "plain words only"), ("<p>a &lt;b&gt; &amp;amp; &#233;  c</p>", "a <b> &amp; é c"), ("<p title='a>b'>one</p>", "one"), ("<p title='a>two", "two")],
+)
+def test_broken_pages(page, want):
+    assert html_text.extract(page) == want
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a b='", '<a ">" ', "<!", "<p>x</p>", "<svg>", "<div class='a-b ad'>", "<b></i></div>", "&amp", "<p>x<div>", '<p "a>'])
+def test_time_grows_with_the_page(unit):
+    begin = time.perf_counter()
+    html_text.extract(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - begin < 30  # a megabyte; seconds, not hours
+
+
+def test_neighbours_like_brute_force():
+    import random
+
+    r = random.Random(4)
+    for _ in range(300):
+        labels = [r.choice([0, 0, 0, 1, -1]) for _ in range(r.randrange(0, 12))]
+        decided = [(i, x) for i, x in enumerate(labels) if x]
+        want = [x or (min(decided, key=lambda d: (abs(d[0] - i), -d[1]))[1] if decided else 0) for i, x in enumerate(labels)]
+        assert html_text._inherit(labels) == want
+
+
+class Plain(HTMLParser):
+    """Text of the article element of a page, by the library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.out = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.out.append("\n" if tag != "b" else "")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.out.append("\n" if tag != "b" else "")
+
+    def handle_data(self, data):
+        if self.depth:
+            self.out.append(data)
+
+
+def test_query_against_a_plain_reader(spark):
+    got = {r["page_id"]: r for r in html_text.op4_html(spark, SF).collect()}
+    pages = duckdb.sql(f"SELECT page_id, url, html FROM '{SF}/pages.parquet'").fetchall()
+    assert len(got) == len(pages)
+    for page_id, url, html in pages:
+        reader = Plain()
+        reader.feed(html or "")
+        want = re.sub(r"\s+", " ", "".join(reader.out)).strip()
+        assert (got[page_id]["url"], got[page_id]["text"], got[page_id]["n_chars"]) == (url, want, len(want))
+
+
+def test_tables_of_every_kind(spark):
+    rows = [(1, "u", "<p>one</p>", "x", "y"), (1, "u", "<p>one</p>", "x", "y"), (None, None, None, None, None), (2, "v", f"<p>{'é ' * 300_000}</p>", "", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars string")
+    out = html_text.main_text(df)
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in out.collect()) == [(0, 0), (1, 3), (1, 3), (2, 599_999)]
+    assert html_text.main_text(df.limit(0)).count() == 0

@@ -3,7 +3,6 @@ import re
 from collections import Counter
 
 import pandas as pd
-import pytest
 
 from tarifa.llm import html_text, langid, merkle, quality, toxicity, warc
 
@@ -25,11 +24,6 @@ def test_short_blocks_take_the_nearest_label():
     assert out.endswith("sea. Why?") and "menu" not in out and "Home" not in out
 
 
-@pytest.mark.parametrize("page", [None, "", "<", "<p", "<p class=\"x", "<!-- open", "<script>never closed", "plain words only"])
-def test_broken_pages(page):
-    assert html_text.extract(page) == ("plain words only" if page and page.startswith("plain") else html_text.extract(page))
-
-
 def test_language_of_held_out_rows(spark):
     out = langid.op10_langid(spark, SF).toPandas().merge(pd.read_parquet(f"{SF}/documents.parquet"), on="doc_id")
     held = out[out.held_out]
