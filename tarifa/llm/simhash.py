@@ -7,17 +7,21 @@ if it is set in more than half of the hashes.
 Index: a fingerprint is filed under every choice of ``keep`` of ``blocks`` bit blocks, with the bits
 of those blocks (a shared masked pattern) as the upper node. Of two fingerprints with at most
 ``blocks - keep`` differing bits at least ``keep`` blocks agree, so they meet under some node: the
-search is exact. Within a node fingerprints are sorted by Gray rank and cut into a tree; an inner
-node holds the bits that all its members share. Pairs of nodes are visited from the top: the
+search is exact. Within every node fingerprints are sorted by Gray rank and cut into a binary tree; a tree
+node holds the bits that all its members share. Pairs of tree nodes are visited from the top: the
 differences of shared bits are added up and whole groups are left when the sum exceeds the radius;
-groups that can't differ by more are joined at once without looking at pairs, and groups already in
-one component are skipped. Only a spanning forest of links comes out, never all pairs.
+groups that can't differ by more are joined at once without looking at pairs. Small nodes are visited level by level, many at
+once; larger ones depth first, where groups already in one component are skipped and only a spanning forest comes out.
+
+A pattern that more than ``HOT`` fingerprints share is not searched in one task: its members are filed again, one
+level down, under each of ``radius + 1`` blocks of the bits that the pattern leaves open (of which one agrees), and so on.
 
 Equal fingerprints are one class, pre-aggregated before anything else, so copies never meet in pairs.
 
 Edge cases: null, empty and blank texts have fingerprint zero and link like any other; fewer words
 than a shingle make one shingle; rows that share a doc_id count as one document per row; rows with a
-null doc_id are fingerprinted, and their component is the smallest non-null id they reach.
+null doc_id are fingerprinted and link like any other, and their component is the smallest non-null id they reach (null if
+there is none); extra columns are left out; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,11 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarifa.llm.common import documents, materialize
+from tarifa.llm.common import documents, materialize, partitions, table, text_or_empty
 from tarifa.llm.components import connected_components
 
 SHINGLE, RADIUS, BLOCKS = 4, 4, 7
-_LEAF, _PLAIN, _DENSE = 16, 512, 4
+#: Members of a pattern from which it is filed again.
+HOT = 4096
+#: Members of a leaf of the depth-first tree; members from which a node is visited depth first; pairs of members visited at once.
+_LEAF, _DEEP, _ROOM = 16, 64, 1 << 20
 _PART = 1 << 15
 
 
@@ -159,31 +166,63 @@ def link_group(codes: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between representatives within runs of equal key (rows sorted by key).
+def _level_links(run: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked members of runs of equal ``run``, with codes in Gray order within each: all trees level by level."""
+    start = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+    size = np.diff(np.append(start, len(run)))
+    levels = [(codes, np.zeros(len(codes), np.uint64), start, size)]  # value, bits that vary, first node and nodes of each run
+    while levels[-1][3].max() > 1:
+        value, varying, at, n = levels[-1]
+        up = (n + 1) // 2
+        first = np.repeat(at - 2 * (np.cumsum(up) - up), up) + 2 * np.arange(up.sum())  # left child of each node above
+        last = np.repeat(at + n, up)
+        other = np.where(first + 1 < last, first + 1, first)
+        levels.append((value[first], varying[first] | varying[other] | (value[first] ^ value[other]), np.cumsum(up) - up, up))
+    owner = np.arange(len(start))
+    x, y = levels[-1][2], levels[-1][2]
+    a, b = [], []
+    for depth in range(len(levels) - 1, -1, -1):
+        value, varying, at, n = levels[depth]
+        open_ = varying[x] | varying[y]
+        apart = np.bitwise_count((value[x] ^ value[y]) & ~open_).astype(np.int64)
+        near = apart <= radius
+        x, y, owner, apart, open_ = x[near], y[near], owner[near], apart[near], open_[near]
+        # members that can't differ by more: a star around the first
+        whole = apart + np.bitwise_count(open_) <= radius
+        wx, wy, wo = x[whole] - at[owner[whole]], y[whole] - at[owner[whole]], owner[whole]
+        for side in (wx, wy):
+            low, high = start[wo] + (side << depth), start[wo] + np.minimum((side + 1) << depth, size[wo])
+            many = high - low
+            a.append(np.repeat(start[wo] + (wx << depth), many))
+            b.append(np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum()))
+        x, y, owner = x[~whole], y[~whole], owner[~whole]
+        if not depth or not len(x):
+            break
+        lower_at, lower_n = levels[depth - 1][2], levels[depth - 1][3]
+        cx, cy = lower_at[owner] + 2 * (x - at[owner]), lower_at[owner] + 2 * (y - at[owner])
+        end, same = lower_at[owner] + lower_n[owner], x == y
+        pairs = [(cx, cy, np.ones(len(x), bool)), (cx, cy + 1, cy + 1 < end), (cx + 1, cy, ~same & (cx + 1 < end)), (cx + 1, cy + 1, (cx + 1 < end) & (cy + 1 < end))]
+        x, y, owner = (np.concatenate(c) for c in zip(*((p[ok], q[ok], owner[ok]) for p, q, ok in pairs)))
+    a, b = np.concatenate(a), np.concatenate(b)
+    return a[a != b], b[a != b]
 
-    Short runs are compared by shifting the rows against themselves; a run that is long, or has more
-    near pairs than ``_DENSE`` per row, goes through the tree, which gives a spanning forest.
-    """
+
+def _links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between representatives within runs of equal key (rows sorted by key)."""
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     size = np.diff(edge)
-    group = np.repeat(np.arange(len(size)), size)
-    room = np.repeat(edge[1:], size) - np.arange(len(key))  # rows of the run from here on
-    room[np.repeat(size > _PLAIN, size)] = 0
-    found, at, d = [], np.arange(len(key)), 0
-    while True:
-        d += 1
-        at = at[room[at] > d]
-        if not len(at):
-            break
-        found.append((at[np.bitwise_count(fp[at] ^ fp[at + d]) <= radius], d))
-    first = np.concatenate([x for x, _ in found] or [np.zeros(0, np.int64)])
-    second = first + np.concatenate([np.full(len(x), k) for x, k in found] or [np.zeros(0, np.int64)])
-    pairs = np.bincount(group[first], minlength=len(size))
-    dense = (pairs > _DENSE * size) | (size > _PLAIN)
-    thin = ~dense[group[first]]
-    a, b = [rep[first[thin]]], [rep[second[thin]]]
-    for g in np.flatnonzero(dense):
+    a, b = [np.zeros(0, rep.dtype)], [np.zeros(0, rep.dtype)]
+    shallow = np.flatnonzero((size > 1) & (size <= _DEEP))
+    run = np.repeat(np.arange(len(size)), size)
+    many = np.cumsum(size[shallow] ** 2)
+    for part in np.split(shallow, np.searchsorted(many, np.arange(_ROOM, many[-1], _ROOM))) if len(shallow) else ():
+        if len(part):
+            rows = np.flatnonzero(np.isin(run, part)) if len(part) < len(size) else np.arange(len(key))
+            rows = rows[np.lexsort((gray_rank(fp[rows]), run[rows]))]
+            x, y = _level_links(run[rows], fp[rows], radius)
+            a.append(rep[rows[x]])
+            b.append(rep[rows[y]])
+    for g in np.flatnonzero(size > _DEEP):
         s, e = edge[g], edge[g + 1]
         root = link_group(fp[s:e], radius)
         at = np.flatnonzero(root != np.arange(e - s))
@@ -199,36 +238,101 @@ def masks(radius: int, blocks: int) -> list[int]:
     return [sum(c) for c in combinations(each, blocks - radius)]
 
 
-def near_links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """Links (a, b) between representatives that span the components of ``classes`` (fp, rep)."""
-    signed = [m - (m >> 63 << 64) for m in masks(radius, blocks)]
-    filed = classes.where("rep IS NOT NULL").select(
-        "fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("node", "pattern")
-    )
-    key = F.xxhash64("node", "pattern")
-    filed = filed.select(key.alias("key"), "fp", "rep")
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _open_blocks(mask: int, parts: int) -> list[int]:
+    """The bits that ``mask`` leaves open, in ``parts`` even blocks."""
+    free = [1 << i for i in range(64) if not mask >> i & 1]
+    cut = [len(free) * i // parts for i in range(parts + 1)]
+    return [sum(free[p:q]) for p, q in zip(cut, cut[1:])]
+
+
+_FILED = ["key", "mask", "fp", "rep"]
+
+
+def _search(filed: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) within the patterns of ``filed``; members of hot patterns come back as they are, with null links."""
+    n, most = partitions(filed.sparkSession), max(HOT, 2 << radius)  # fewer members than this leave a bit open for each block
     filed = filed.repartition(n, "key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for b in _ended(batches):
-            if b is not None:
-                key, fp, rep = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-                if held:
-                    key, fp, rep = (np.concatenate((x, y)) for x, y in zip(held.pop(), (key, fp, rep)))
-                cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
-                held.append([key[cut:], fp[cut:], rep[cut:]])
-                key, fp, rep = key[:cut], fp[:cut], rep[:cut]
-            elif held:
-                key, fp, rep = held.pop()
+        held: list[tuple[np.ndarray, ...]] = []
+        hot = None  # the pattern whose members pass
+
+        def back(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            none = pa.nulls(len(rows[0]), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, *map(pa.array, rows)], ["a", "b", *_FILED])
+
+        for batch in _ended(batches):
+            rows = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns) if batch is not None else None
+            if rows is not None and hot is not None:
+                more = int(np.searchsorted(rows[0], hot, "right"))
+                if more:
+                    yield back(tuple(c[:more] for c in rows))
+                    rows = tuple(c[more:] for c in rows)
+                if not len(rows[0]):
+                    continue
+                hot = None
+            if rows is None:
+                if not held:
+                    return
+                rows = held.pop()
             else:
-                return
-            if len(key):
-                a, c = _links(key, fp.view(np.uint64), rep, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+                if held:
+                    rows = tuple(np.concatenate(x) for x in zip(held.pop(), rows))
+                cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last pattern may go on in the next batch
+                tail = tuple(c[cut:] for c in rows)
+                if len(tail[0]) > most:
+                    hot = tail[0][0]
+                    yield back(tail)
+                else:
+                    held.append(tail)
+                rows = tuple(c[:cut] for c in rows)
+            if not len(rows[0]):
+                continue
+            edge = np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1], [True])))
+            size = np.diff(edge)
+            if size.max() > most:
+                large = np.repeat(size > most, size)
+                yield back(tuple(c[large] for c in rows))
+                rows = tuple(c[~large] for c in rows)
+            a, b = _links(rows[0], rows[2].view(np.uint64), rows[3], radius)
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), none, none, none, none], ["a", "b", *_FILED])
+
+    return filed.mapInArrow(run, "a long, b long, key long, mask long, fp long, rep long")
+
+
+def _file_again(rows: DataFrame, radius: int) -> DataFrame:
+    """``rows`` of hot patterns under each block of the bits that their pattern leaves open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, mask, fp, rep = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            for m in np.unique(mask):
+                mine = mask == m
+                for block in _open_blocks(int(m) & (2**64 - 1), radius + 1):
+                    signed = np.uint64(block).view(np.int64)
+                    fine = pa.array(np.full(int(mine.sum()), signed))
+                    yield pa.RecordBatch.from_arrays([pa.array(key[mine]), fine, pa.array(np.full(len(fine), m | signed)), pa.array(fp[mine]), pa.array(rep[mine])], ["key", "block", "mask", "fp", "rep"])
+
+    again = rows.select(*_FILED).mapInArrow(run, "key long, block long, mask long, fp long, rep long")
+    return again.select(F.xxhash64("key", "block", F.col("fp").bitwiseAND(F.col("block"))).alias("key"), "mask", "fp", "rep")
+
 
-    return filed.mapInArrow(run, "a long, b long")
+def near_links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """Links (a, b) between representatives that span the components of ``classes`` (distinct fp, rep)."""
+    signed = [F.lit(m - (m >> 63 << 64)).cast("long") for m in masks(radius, blocks)]
+    node = F.explode(F.array(*[F.struct(m.alias("mask"), F.col("fp").bitwiseAND(m).alias("pattern")) for m in signed]))
+    filed = classes.where("rep IS NOT NULL").select("fp", "rep", node.alias("node"))
+    filed = filed.select(F.xxhash64("node.mask", "node.pattern").alias("key"), "node.mask", "fp", "rep")
+    links: DataFrame | None = None
+    while True:  # a level of the index at a time; members of a pattern are distinct, so open bits end before hot patterns do
+        found = materialize(_search(filed, radius), "simhash-links")
+        own = found.where("a IS NOT NULL").select("a", "b")
+        links = own if links is None else links.union(own)
+        hot = found.where("a IS NULL")
+        if hot.isEmpty():
+            return links
+        filed = _file_again(hot, radius)
 
 
 def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -240,11 +344,12 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
 
 def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, fp, component_id of every row; doc_id must be an integer."""
-    found = materialize(fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), shingle), "simhash")
-    classes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    labels = connected_components(near_links(classes, radius, blocks))
-    joined = classes.join(labels, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return found.join(joined, "fp").select("doc_id", "fp", "component_id")
+    found = materialize(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle), "simhash")
+    classes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    names = connected_components(near_links(classes.select("fp", F.col("fp").alias("rep")), radius, blocks))
+    named = materialize(classes.join(names, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("c")), "simhash-names")
+    least = named.groupBy("c").agg(F.min("least").alias("component_id"))
+    return found.join(named.select("fp", "c").join(least, "c").drop("c"), "fp").select("doc_id", "fp", "component_id")
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -261,6 +366,7 @@ _ORDER_DOCS, _ORDER_SHINGLES = 5_000, 200_000
 def _common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     """Sorted hashes of shingles that several documents of a sample have."""
     n = docs.count()
+    docs = docs.select("doc_id", "text")
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // _ORDER_DOCS))) == 0)
     found = sample.mapInArrow(_sets(shingle), "doc_id long, s array<long>").select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     rows = found.where("n > 2").orderBy(F.desc("n"), "h").limit(_ORDER_SHINGLES).toPandas()
@@ -276,8 +382,17 @@ def _sets(shingle: int):
     return run
 
 
+#: What tells rows apart: the id and a hash of the text. Rows that agree in both are copies.
+_ROW = ["doc_id", "th"]
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text, th: a row per row of ``docs``."""
+    return documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("th", F.xxhash64(text_or_empty()))
+
+
 def _prefixes(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, fp, hash and size of the shingle set, and its prefix, of every row.
+    """doc_id, th, fp, hash and size of the shingle set, and its prefix, of every row.
 
     Sets are ordered by (common in the sample, hash). Two sets of similarity 0.8 or more share a member of their first
     n - ceil(0.8 n) + 1 in any common order, so no pair is missed.
@@ -296,17 +411,18 @@ def _prefixes(docs: DataFrame, shingle: int) -> DataFrame:
                 fp.append(f), sig.append(h - (h >> 63 << 64)), size.append(n), prefix.append(first.view(np.int64))
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(fp, pa.int64()), pa.array(sig, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, kind)], ["doc_id", "fp", "sig", "size", "prefix"]
+                [b.column(0), b.column(2), pa.array(fp, pa.int64()), pa.array(sig, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, kind)], [*_ROW, "fp", "sig", "size", "prefix"]
             )
 
-    return docs.mapInArrow(run, "doc_id long, fp long, sig long, size long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, th long, fp long, sig long, size long, prefix array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of 0.8 or more.
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) of classes whose shingle sets have a Jaccard similarity of 0.8 or more.
 
     Sets that are so similar differ in a ninth of their sizes' sum at most. A quarter of the hash space, shortened to 32 bits,
-    can only show fewer differences: pairs over the bound there go before whole sets are moved.
+    can only show fewer differences: pairs over the bound there go before whole sets are moved. A class's set is that of
+    its representative row.
     """
     pairs = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-candidates")
 
@@ -315,11 +431,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
             sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
             parts = [np.unique((x[x % 4 == 0] >> np.uint64(2)).astype(np.uint32)).view(np.int32) for x in sets]
             columns = [b.column(0), pa.array(parts, pa.list_(pa.int32())), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(map(len, sets), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "s", "n"])
+            yield pa.RecordBatch.from_arrays(columns, ["class", "part", "s", "n"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, part array<int>, s array<long>, n long"), "near-sets")
-    parts, whole = sets.select("doc_id", "part", "n"), sets.select("doc_id", "s")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    ids = classes.join(ids, "class").select("class", F.col("row.doc_id").alias("id"), F.col("row.th").alias("h"))
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("class", "text")
+    sets = materialize(texts.mapInArrow(run, "class long, part array<int>, s array<long>, n long"), "near-sets")
+    parts, whole = sets.select("class", "part", "n"), sets.select("class", "s")
     apart = F.size("pa") + F.size("pb") - 2 * F.size(F.array_intersect("pa", "pb"))
     left = pairs.join(parts.toDF("a", "pa", "na"), "a").join(parts.toDF("b", "pb", "nb"), "b").where(9 * apart <= F.col("na") + F.col("nb"))
     left = materialize(left.select("a", "b").distinct(), "near-likely")
@@ -328,46 +446,66 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     return materialize(both.where(9 * shared >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"), "near-links")
 
 
+def _near_rows(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, th, group of every row of ``_rows``: ``group`` numbers the components."""
+    found = materialize(_prefixes(docs, shingle), "near-prefixes")
+    same = ["fp", "sig", "size"]
+    # a class of equal sets; its number is taken from a table that is written, so it does not change
+    classes = found.groupBy(*same).agg(F.min(F.struct(F.col("doc_id").isNull(), *_ROW)).alias("row"), F.first("prefix").alias("prefix"))
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "near-classes")
+    by_key = Window.partitionBy("key").orderBy("size", "class")
+    filed = classes.select(F.explode("prefix").alias("key"), "class", "size")
+    beside = [F.lead(F.struct("class", "size")).over(by_key).alias("after"), F.first(F.struct("class", "size")).over(by_key).alias("head")]
+    shared = materialize(filed.select("key", "class", "size", *beside).where("after IS NOT NULL OR class <> head.class"), "near-shared")
+    by_fp = classes.groupBy("fp").agg(F.min("class").alias("rep"))
+    first = near_links(by_fp).union(classes.join(by_fp.toDF("fp", "one"), "fp").select("class", "one"))
+    near = shared.select("class", "size", F.explode(F.array("after", "head")).alias("o")).where("5 * size >= 4 * o.size AND 5 * o.size >= 4 * size")
+    first = first.union(near.select("class", "o.class"))
+    links = _verified(first, classes, docs, shingle)
+    names = materialize(connected_components(links), "near-names")
+    members = shared.join(names, F.col("class") == F.col("node"), "left").select("key", "class", "size", F.coalesce("component", "class").alias("c"))
+    open_keys = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    members = materialize(members.join(open_keys, "key"), "near-open")
+    x, y = members.toDF("key", "a", "n", "ca"), members.toDF("key", "b", "m", "cb")
+    rest = x.join(y, "key").where("ca < cb AND 5 * n >= 4 * m AND 5 * m >= 4 * n").select("a", "b")
+    names = connected_components(links.union(_verified(rest, classes, docs, shingle)))
+    labels = classes.join(names, F.col("class") == F.col("node"), "left").select(*same, F.coalesce("component", "class").alias("group"))
+    return found.join(labels, same).select(*_ROW, "group")
+
+
 def near_components(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, component_id of every row: components of the pairs with Jaccard similarity 0.8 or more of their shingle sets.
 
     Equal sets are one class. Candidates come from the Gray-order index and from neighbours in a shared prefix first, linear
     in number; once the verified ones are contracted, all pairs with a shared prefix member that are still in different
     components and of fitting sizes are verified too. Every link is checked on the whole sets, and no pair is left out.
+    component_id is the smallest doc_id of a component, null where it has none.
     """
-    docs = documents(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
-    found = materialize(_prefixes(docs, shingle), "near-prefixes")
-    classes = materialize(found.groupBy("fp", "sig", "size").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "near-classes")
-    named = classes.where("rep IS NOT NULL")
-    by_key = Window.partitionBy("key").orderBy("size", "rep")
-    filed = named.select(F.explode("prefix").alias("key"), "rep", "size")
-    beside = [F.lead(F.struct("rep", "size")).over(by_key).alias("after"), F.first(F.struct("rep", "size")).over(by_key).alias("head")]
-    shared = materialize(filed.select("key", "rep", "size", *beside).where("after IS NOT NULL OR rep <> head.rep"), "near-shared")
-    by_fp = named.groupBy("fp").agg(F.min("rep").alias("rep"))
-    first = near_links(by_fp).union(named.join(by_fp.toDF("fp", "one"), "fp").select("rep", "one"))
-    near = shared.select("rep", "size", F.explode(F.array("after", "head")).alias("o")).where("5 * size >= 4 * o.size AND 5 * o.size >= 4 * size")
-    first = first.union(near.select("rep", "o.rep"))
-    links = _verified(first, docs, shingle)
-    names = materialize(connected_components(links), "near-names")
-    members = shared.join(names, F.col("rep") == F.col("node"), "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("c"))
-    open_keys = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    members = materialize(members.join(open_keys, "key"), "near-open")
-    x, y = members.toDF("key", "a", "n", "ca"), members.toDF("key", "b", "m", "cb")
-    rest = x.join(y, "key").where("ca < cb AND 5 * n >= 4 * m AND 5 * m >= 4 * n").select("a", "b")
-    names = connected_components(links.union(_verified(rest, docs, shingle)))
-    labels = named.join(names, F.col("rep") == F.col("node"), "left").select("fp", "sig", "size", F.coalesce("component", "rep").alias("component_id"))
-    return found.join(labels, ["fp", "sig", "size"], "left").select("doc_id", "component_id")
+    rows = materialize(_near_rows(_rows(docs), shingle), "near-rows")
+    least = rows.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "group").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` but for near-duplicates: of each component of ``near_components`` the smallest doc_id stays.
+    """The rows of ``docs`` but for near-duplicates: of each component of ``near_components`` one row stays.
 
-    Of rows that share the smallest doc_id, and of rows whose doc_id is null, all stay.
+    It is the row with the smallest doc_id (null last); of rows that share it the one with the smallest hash of its text, and of
+    rows that agree in both any one. Null and blank texts are near-duplicates of each other.
     """
-    gone = near_components(docs, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    rows = materialize(_near_rows(_rows(docs), shingle), "near-rows")
+    own = F.struct(F.col("doc_id").isNull(), *_ROW)
+    best = rows.groupBy("group").agg(F.min(own).alias("best"))
+    gone = rows.join(best, "group").where(own != F.col("best")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__h")).distinct()
+    twice = materialize(rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__h")), "left_anti").groupBy(*_ROW).count().where("count > 1"), "near-copies")
+    marked = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__th", F.xxhash64(text_or_empty()))
+    kept = marked.join(gone, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left_anti")
+    if not twice.isEmpty():
+        copies = twice.select(F.col("doc_id").alias("__id"), F.col("th").alias("__h"))
+        same = F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h"))
+        kept = kept.join(copies, same, "left_anti").unionByName(kept.join(copies, same, "left_semi").dropDuplicates(["__doc", "__th"]))
+    return kept.select(*[kept[f"`{c}`"] for c in docs.columns])
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
-    found = components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
