@@ -8,21 +8,25 @@ suffixes up to that depth matter, so buckets are refined to depth ``length`` and
    filed under its smallest 32-gram bucket (the leftmost of equals), a choice that depends on the
    window's bytes alone: about one place in 36 is a pointer that goes into the sort. Buckets with a
    single pointer are done: their windows are unique.
-2. The pointers of the other buckets fetch the bytes of their windows. Buckets are refined by sorting
-   on the identifiers of later offsets: 32-gram identifiers give those of 64-grams, which refine
-   each other at the offset ``length - 64``; buckets that become single drop out at each step.
+2. The pointers of the other buckets fetch the bytes of their windows. There buckets are refined by sorting on the
+   bucket identifiers of later offsets: places of a 32-gram bucket are sorted by the bucket 32 places on, which gives them
+   the buckets of 64-grams; these take the place of the old identifiers and are reused in the same way, up to the largest power
+   of two within ``length``, and once more at the offset that ends at ``length``. Places that are single in their
+   bucket drop out of each sort.
 3. In each final bucket all windows but the earliest (doc_id, start) cover bytes that go.
 
-Buckets with very many pointers (a passage in a third of the documents) send the final identifiers of
-their windows instead of bytes; these are dealt out by identifier, after equal windows of a batch are
+Buckets with very many pointers (a passage in a third of the documents) send identifiers made from the bytes of their
+windows instead of the bytes; these are dealt out by identifier, after equal windows of a batch are
 reduced to the earliest, so no task gets the whole bucket.
 
-Identifiers are 64-bit mixes, and a final bucket is a pair of them, so that unequal windows meet with
+Identifiers that are sent are 64-bit mixes, and such a window has a pair of them, so that unequal windows meet with
 a probability of about 2^-64 per pair.
 
 Edge cases: null and empty texts have 0 bytes and keep nothing to remove; rows with equal doc_id and
 text are one place (neither is earlier); rows with equal doc_id and different texts are ordered by a
-hash of the text; a null doc_id comes last; texts shorter than ``length`` are kept whole.
+hash of the text; a null doc_id comes last; texts shorter than ``length`` are kept whole; repeated rows are looked at
+once and each gets the result; an empty table gives an empty one; extra columns stay as they are, but for names that begin with
+two underscores, which are the module's own. ``length`` is 64 to ``MAX_LENGTH``; others are refused.
 """
 
 from __future__ import annotations
@@ -37,17 +41,21 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarifa.llm.common import bounded_batches, partitions
+from tarifa.llm.common import bounded_batches, partitions, table
 
 LENGTH, GRAM = 100, 32
 #: Pointers of a bucket (within a batch, and in all) from which it sends identifiers instead of bytes.
 HOT_BATCH, HOT = 512, 4096
-_STEP, _FLUSH = 1 << 20, 1 << 19
+MAX_LENGTH = 1 << 15
+#: Bytes that pointers are made from at once (their arrays fit into a core's cache), pointers that are sent at once, bytes of
+#: windows that are sent at once, and bytes that are refined at once, about.
+_STEP, _FLUSH, _FETCH, _REFINE = 1 << 16, 1 << 19, 1 << 24, 1 << 20
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_PTR = np.dtype([("h", "<u8"), ("doc", "<i8"), ("th", "<u4"), ("s", "<u4"), ("n", "u1")])
+_PTR = np.dtype([("h", "<u8"), ("doc", "<i8"), ("th", "<u4"), ("s", "<u4"), ("n", "<u2")])
 _RUN = np.dtype([("doc", "<i8"), ("th", "<u4"), ("s", "<u4"), ("n", "<u4")])
+_CONTEXT = np.dtype([*_RUN.descr, ("h", "<u4")])
 _WIN = np.dtype([("k1", "<u8"), ("k2", "<u8"), ("doc", "<i8"), ("th", "<u4"), ("s", "<u4")])
-#: A pointer of a list as one long: start, windows, whether its bucket is hot, bucket to send to.
+#: A pointer of a list as one long: start, windows, whether its bucket is hot, low bits of its bucket.
 _BUCKET_BITS = 22
 
 
@@ -173,29 +181,57 @@ def _send_pointers(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
     return _blobs(*out)
 
 
-def _flagged(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, th: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which windows, in order of (doc, th, start), have an equal one before them.
+def _depth(length: int) -> int:
+    """The largest power of two within ``length``."""
+    return 1 << (length.bit_length() - 1)
 
-    Buckets of ``k1`` are refined by sorting on ``k2``, the bucket identifier of a later offset.
-    """
-    out = np.zeros(len(k1), bool)
-    order = np.argsort(k1)
-    new = np.concatenate(([True], k1[order[1:]] != k1[order[:-1]]))
-    bucket = np.cumsum(new)
-    several = ~(new & np.append(new[1:], True))
-    order, bucket = order[several], bucket[several].astype(np.uint64)
-    if not len(order):
+
+def _number(ids: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers of places by identifier, and which share one; those outside ``several`` are single and not sorted."""
+    at = np.flatnonzero(several)
+    own = ids[at]
+    order = np.argsort(own)
+    new = np.concatenate(([True], own[order[1:]] != own[order[:-1]])) if len(own) else np.zeros(0, bool)
+    number = np.arange(len(own), len(own) + len(ids), dtype=np.uint64)
+    number[at[order]] = np.cumsum(new).astype(np.uint64)
+    shared = np.zeros(len(ids), bool)
+    shared[at[order]] = ~(new & np.append(new[1:], True)) if len(own) else False
+    return number, shared
+
+
+def buckets_of(b: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Final bucket of each window that starts at ``at`` in the bytes ``b``, and whether it shares it, by refinement."""
+    ids = gram_ids(b, GRAM)
+    number, several = _number(ids, np.ones(len(ids), bool))
+    depth = GRAM
+    while 2 * depth <= length:  # the numbers of the places ``depth`` on refine each bucket
+        ids = number[:-depth] * np.uint64(len(b) * 2) + number[depth:]
+        number, several = _number(ids, several[:-depth] & several[depth:])
+        depth *= 2
+    last = at + (length - depth)
+    return _number(number[at] * np.uint64(len(b) * 2) + number[last], several[at] & several[last])
+
+
+def _earliest(bucket: np.ndarray, shared: np.ndarray, doc: np.ndarray, th: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which windows, in order of (doc, th, start), have one of another place in their bucket before them."""
+    out = np.zeros(len(bucket), bool)
+    at = np.flatnonzero(shared)
+    if not len(at):
         return out
-    later = _mix(bucket, k2[order])
-    again = np.argsort(later)
-    order, later = order[again], later[again]
-    edge = np.flatnonzero(np.concatenate(([True], later[1:] != later[:-1])))
+    order = at[np.argsort(bucket[at])]
+    own = bucket[order]
+    edge = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
     first = np.repeat(np.minimum.reduceat(order, edge), np.diff(np.append(edge, len(order))))
-    same_place = (doc[order] == doc[first]) & (th[order] == th[first]) & (start[order] == start[first])
-    out[order[~same_place]] = True
+    out[order] = ~((doc[order] == doc[first]) & (th[order] == th[first]) & (start[order] == start[first]))
     return out
 
 
+def _flagged(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, th: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """``_earliest`` of windows whose bytes stand in two identifiers: buckets of ``k1`` are refined by ``k2``."""
+    number, shared = _number(k1, np.ones(len(k1), bool))
+    return _earliest(*_number(_mix(number, k2), shared), doc, th, start)
+
+
 def _runs(doc: np.ndarray, th: np.ndarray, start: np.ndarray, flag: np.ndarray) -> pa.RecordBatch:
     """Flagged windows (in order) as runs of consecutive starts."""
     at = np.flatnonzero(flag)
@@ -214,13 +250,14 @@ def _windows(rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _keys(contexts: list[bytes], lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two 64-gram identifiers of every window of the contexts."""
+    """The two identifiers, of grams that begin and that end it, of every window of the contexts."""
     b = np.frombuffer(b"".join(contexts), np.uint8)
-    ids = gram_ids(b, 64)
+    depth = _depth(length)
+    ids = gram_ids(b, depth)
     size = np.fromiter(map(len, contexts), np.int64, len(contexts))
     owner, k = _windows(lengths, lengths)
     at = (np.cumsum(size) - size)[owner] + k
-    return ids[at], ids[at + length - 64]
+    return ids[at], ids[at + length - depth]
 
 
 def _identity(doc_id: str, text: str) -> list[Column]:
@@ -244,11 +281,12 @@ def _packed(docs: DataFrame, text: str) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, th, s, n: runs of window starts that have an equal window before them."""
-    if length < 64:
-        raise ValueError("length must be 64 or more")
+    if not 64 <= length <= MAX_LENGTH:
+        raise ValueError(f"length must be 64 to {MAX_LENGTH}")
     spark = docs.sparkSession
     n_parts = partitions(spark)
     buckets = min(2 * n_parts, 1 << _BUCKET_BITS)  # a task sends a blob or two to each
+    n_bits, h_mask = (length - GRAM + 1).bit_length(), (1 << _BUCKET_BITS) - 1
     rows = bounded_batches(docs).select(*_identity(doc_id, text), F.col(text).alias("text"))
 
     def point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,17 +338,17 @@ def repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
                 out.append((plain[stays], (marked | (count[inverse] > HOT))[stays]))
             for x, hot in out:
                 if len(x):
-                    pointer = ((x["s"].astype(np.int64) << 7 | x["n"]) << 1 | hot) << _BUCKET_BITS | (x["h"] % np.uint64(buckets)).astype(np.int64)
+                    pointer = ((x["s"].astype(np.int64) << n_bits | x["n"]) << 1 | hot) << _BUCKET_BITS | (x["h"] & np.uint64(h_mask)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(x["doc"]), pa.array(x["th"].astype(np.int64)), pa.array(pointer)], ["doc", "th", "p"])
 
     shared = sent.mapInArrow(meet, "doc long, th long, p long")
-    lists = shared.groupBy("doc", "th").agg(F.collect_list("p").alias("p"))
+    lists = shared.groupBy("doc", "th").agg(F.collect_set("p").alias("p"))  # repeated rows have the same pointers
     texts = _packed(docs.select(*_identity(doc_id, text), F.col(text).alias("text")).where(F.octet_length("text") >= length), "text")
     joined = texts.join(lists, ["doc", "th"]).select("doc", "th", "__z", "p")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
-        hot: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
+        plain: list[tuple[np.ndarray, list[bytes]]] = []
+        hot: list[tuple[np.ndarray, list[bytes]]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -333,7 +371,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
                     out[2].append(_pack(runs))
 
             if plain:
-                part, to, contexts = np.concatenate([x[0] for x in plain]), np.concatenate([x[1] for x in plain]), [c for x in plain for c in x[2]]
+                part, contexts = np.concatenate([x[0] for x in plain]), [c for x in plain for c in x[1]]
                 order = np.lexsort((part["s"], part["th"], part["doc"]))
                 first: dict[bytes, int] = {}
                 fresh, again = [], []
@@ -343,10 +381,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
                         fresh.append(i)
                     elif part[i] != part[k]:
                         again.append(i)
-                done(part[again])
-                send(_PLAIN, to[fresh], part[fresh], [contexts[i] for i in fresh])
+                done(part[again][list(_RUN.names)].astype(_RUN))
+                send(_PLAIN, part["h"][fresh] % np.uint32(buckets), part[fresh], [contexts[i] for i in fresh])
             if hot:
-                part, contexts = np.concatenate([x[0] for x in hot]), [c for x in hot for c in x[2]]
+                part, contexts = np.concatenate([x[0] for x in hot]), [c for x in hot for c in x[1]]
                 order = np.lexsort((part["s"], part["th"], part["doc"]))
                 part, contexts = part[order], [contexts[i] for i in order]
                 lengths = part["n"].astype(np.int64)
@@ -367,22 +405,25 @@ def repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
             if out[0]:
                 yield _blobs(*out)
 
+        last = None
         for b in batches:
             docs_, ths, zs, lists_ = b.columns
             flat, sizes = lists_.flatten().to_numpy(), lists_.value_lengths().to_pylist()
-            to, is_hot, n, s = flat & ((1 << _BUCKET_BITS) - 1), flat >> _BUCKET_BITS & 1 == 1, flat >> (_BUCKET_BITS + 1) & 127, flat >> (_BUCKET_BITS + 8)
+            h, is_hot = flat & h_mask, flat >> _BUCKET_BITS & 1 == 1
+            n, s = flat >> (_BUCKET_BITS + 1) & ((1 << n_bits) - 1), flat >> (_BUCKET_BITS + 1 + n_bits)
             at = 0
             for doc, th, z, m in zip(docs_.to_pylist(), ths.to_pylist(), zs.to_pylist(), sizes):
-                x = zstandard.decompress(z)
-                for held, which in ((plain, ~is_hot[at : at + m]), (hot, is_hot[at : at + m])):
-                    mine = at + np.flatnonzero(which)
-                    if len(mine):
-                        part = np.empty(len(mine), _RUN)
-                        part["doc"], part["th"], part["s"], part["n"] = doc, th, s[mine], n[mine]
-                        held.append((part, to[mine], [x[p : p + q + length - 1] for p, q in zip(s[mine].tolist(), n[mine].tolist())]))
-                        size += int(n[mine].sum()) + len(mine) * (length - 1 if held is plain else 5 * length)
+                if (doc, th) != last:  # repeated rows are one place
+                    last, x = (doc, th), zstandard.decompress(z)
+                    for held, which in ((plain, ~is_hot[at : at + m]), (hot, is_hot[at : at + m])):
+                        mine = at + np.flatnonzero(which)
+                        if len(mine):
+                            part = np.empty(len(mine), _CONTEXT)
+                            part["doc"], part["th"], part["s"], part["n"], part["h"] = doc, th, s[mine], n[mine], h[mine]
+                            held.append((part, [x[p : p + q + length - 1] for p, q in zip(s[mine].tolist(), n[mine].tolist())]))
+                            size += int(n[mine].sum()) + len(mine) * (length - 1 if held is plain else 5 * length)
                 at += m
-                if size >= 16 * _STEP:
+                if size >= _FETCH:
                     yield from flush()
         yield from flush()
 
@@ -393,7 +434,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
             rows_, contexts = [], []
             for kind, d in blobs:
                 if kind == _PLAIN:
-                    part, raw = _unpack(d, _RUN)
+                    part, raw = _unpack(d, _CONTEXT)
                     rows_.append(part)
                     edge = np.concatenate(([0], np.cumsum(part["n"].astype(np.int64) + length - 1))).tolist()
                     contexts += [raw[p:q] for p, q in zip(edge, edge[1:])]
@@ -402,13 +443,21 @@ def repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
                     yield pa.RecordBatch.from_arrays([pa.array(part[c].astype(np.int64)) for c in ("doc", "th", "s", "n")], ["doc", "th", "s", "n"])
             if rows_:
                 part = np.concatenate(rows_)
-                order = np.lexsort((part["s"], part["th"], part["doc"]))
-                part, contexts = part[order], [contexts[i] for i in order]
-                lengths = part["n"].astype(np.int64)
-                k1, k2 = _keys(contexts, lengths, length)
-                owner, k = _windows(part, lengths)
-                doc, th, s = part["doc"][owner], part["th"][owner], part["s"][owner] + k
-                yield _runs(doc, th, s, _flagged(k1, k2, doc, th, s))
+                order = np.lexsort((part["s"], part["th"], part["doc"], part["h"]))
+                part = part[order]
+                sizes = np.cumsum(part["n"].astype(np.int64) + length - 1)
+                new = np.flatnonzero(np.concatenate(([True], part["h"][1:] != part["h"][:-1])))
+                before = np.concatenate(([0], sizes))[new] // _REFINE
+                cuts = [*new[np.concatenate(([True], before[1:] != before[:-1]))].tolist(), len(part)]
+                for p, q in zip(cuts, cuts[1:]):  # whole initial buckets, about _REFINE bytes
+                    own = part[p:q]
+                    at = np.lexsort((own["s"], own["th"], own["doc"]))
+                    own, lengths = own[at], own["n"][at].astype(np.int64)
+                    b = np.frombuffer(b"".join([contexts[i] for i in order[p:q][at]]), np.uint8)
+                    owner, k = _windows(own, lengths)
+                    begin = np.cumsum(lengths + length - 1) - (lengths + length - 1)
+                    doc, th, s = own["doc"][owner], own["th"][owner], own["s"][owner] + k
+                    yield _runs(doc, th, s, _earliest(*buckets_of(b, begin[owner] + k, length), doc, th, s))
             many = [_unpack(d, _WIN)[0] for kind, d in blobs if kind == _HOT]
             if many:
                 w = np.concatenate(many)
@@ -485,7 +534,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", t
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return digests(table(spark, sf_dir, "documents"))
 
 
 def with_lengths(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:

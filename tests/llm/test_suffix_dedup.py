@@ -7,14 +7,14 @@ import pytest
 from tarifa.llm import suffix_dedup as D
 
 
-def brute(rows):
+def brute(rows, length=100):
     """Rows (doc_id, text): doc_id -> (n_bytes, n_removed, n_spans, sha) by looking at every window."""
     order = sorted({(2**63 - 1 if i is None else i, t or "") for i, t in rows})
     first, flagged = {}, {}
     for i, t in order:
         b = t.encode()
-        for s in range(len(b) - 99):
-            w = b[s : s + 100]
+        for s in range(len(b) - length + 1):
+            w = b[s : s + length]
             if w in first and first[w] != (i, s, t):
                 flagged.setdefault((i, t), []).append(s)
             first.setdefault(w, (i, s, t))
@@ -23,7 +23,7 @@ def brute(rows):
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for s in flagged.get((2**63 - 1 if i is None else i, t or ""), []):
-            gone[s : s + 100] = True
+            gone[s : s + length] = True
         edge = np.diff(np.concatenate(([0], gone.astype(int))))
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         out.append((i, len(b), int(gone.sum()), int((edge == 1).sum()), hashlib.sha256(kept).hexdigest()))
@@ -76,3 +76,45 @@ def test_pointers_cover_every_window():
     covered = np.concatenate([np.arange(p, p + q) for p, q in zip(s, n)])
     good = np.concatenate([np.arange(a, max(a, e - 99)) for a, e in zip([0, 700, 760, 3000], ends)])
     assert (np.sort(covered) == good).all() and n.max() <= 69
+
+
+@pytest.mark.parametrize("length", [64, 127, 128, 129, 250, 700])
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_other_lengths(spark, monkeypatch, length, hot):
+    monkeypatch.setattr(D, "HOT", hot)
+    rng = random.Random(length)
+    long = "".join(rng.choice("abcdefgh é") for _ in range(3000))
+    rows = [*made(9, 20), (900, long), (901, "x" + long), (902, long[:1500] + "!" + long[1500:]), (903, long[:240] + "?" + long[240:600])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, D.digests(df, length).collect()), key=repr) == brute(rows, length)
+
+
+def test_lengths_that_are_refused(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    for length in (63, D.MAX_LENGTH + 1):
+        with pytest.raises(ValueError):
+            D.digests(df, length)
+
+
+def test_refinement_like_brute_force():
+    rng = np.random.default_rng(1)
+    for length in (64, 100, 128, 200, 300):
+        b = np.tile(rng.integers(97, 99, 900).astype(np.uint8), 3)
+        b[1000] ^= 1
+        at = np.flatnonzero(rng.random(len(b) - length + 1) < 0.7)
+        bucket, shared = D.buckets_of(b, at, length)
+        raw = b.tobytes()
+        seen = {}
+        for i, p in enumerate(at):
+            seen.setdefault(raw[p : p + length], []).append(i)
+        for group in seen.values():
+            assert bool(shared[group[0]]) == (len(group) > 1) and len({int(x) for x in bucket[group]}) == 1
+        assert len(np.unique(bucket)) == len(seen)
+
+
+def test_repeated_rows_take_time_in_proportion(spark):
+    rng = random.Random(3)
+    text = " ".join(str(rng.randrange(10**6)) for _ in range(600))
+    rows = [(1, text)] * 800 + [(None, text)] * 800
+    out = {tuple(r) for r in D.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == set(brute([(1, text), (None, text)]))
