@@ -18,7 +18,8 @@ Paths may be local or any that pyarrow can open; they must be shared by driver a
 
 Edge cases: a null payload is empty; a null target URI leaves the header out and reads back null;
 control characters in a URI are percent-encoded; repeated rows are repeated records; an empty
-table gives an archive without records.
+table gives an archive without records; bytes that are no record are an error, not the end of the file. An archive is read
+by one task: the writer starts a new one every ``roll_mb``.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -52,7 +54,10 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from tarifa.llm.common import bounded_batches, scratch
+from tarifa.llm.common import bounded_batches, scratch, table
+
+#: Archives that are moved into place at once.
+_MOVES = 32
 
 SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, date string, payload_bytes long, payload binary"
 _ARROW = pa.schema(
@@ -168,7 +173,7 @@ class WarcReader(DataSourceReader):
         size = 0
         for path in partition.paths:
             with fs.open_input_file(path) as f:
-                for row in self._records(f, path.endswith(".gz")):
+                for row in self._records(f, path.endswith(".gz"), path):
                     rows.append(row)
                     size += 500 + len(row["payload"] or b"")
                     if size > 4 << 20:
@@ -177,7 +182,7 @@ class WarcReader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    def _records(self, f, packed: bool) -> Iterator[dict]:
+    def _records(self, f, packed: bool, name: str) -> Iterator[dict]:
         at, end = 0, f.size()
         while at < end:
             f.seek(at)
@@ -214,7 +219,9 @@ class WarcReader(DataSourceReader):
                 pass
             cut = head.find(b"\r\n\r\n")
             if cut < 0:
-                return
+                if not fed.strip(b"\r\n"):  # blank lines at the end of a plain file
+                    return
+                raise ValueError(f"no WARC record at byte {at} of {name}")
             headers = _headers(head[:cut])
             length = int(headers.get("content-length", 0))
             block = cut + 4
@@ -327,9 +334,8 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages) -> None:
         fs, path = _open(self.path)
         fs.create_dir(path, recursive=True)
-        for m in messages:
-            for p in m.paths if m else ():
-                fs.move(p, f"{path}/{p.rpartition('/')[2]}")
+        with ThreadPoolExecutor(_MOVES) as pool:  # a rename each; many at once, as stores take their time
+            list(pool.map(lambda p: fs.move(p, f"{path}/{p.rpartition('/')[2]}"), [p for m in messages if m for p in m.paths]))
         self._clear()
 
     def abort(self, messages) -> None:
@@ -357,8 +363,9 @@ def archive(pages: DataFrame, path: str, least_bytes: int = 1000, page_id: str =
     rows = rows.select("page_id", "target_uri", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
     large = rows.where(F.col("payload_bytes") >= least_bytes)
     groups = large.groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select(F.col("payload_digest").alias("d"), "last")
-    same = (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") >= least_bytes)
-    joined = rows.join(groups, same, "left")
+    # small payloads, of which very many may be equal, look for no response: each has a key of its own
+    key = F.when(F.col("payload_bytes") >= least_bytes, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "target_uri").cast("string")))
+    joined = rows.withColumn("key", key).join(groups, F.col("key") == F.col("d"), "left")
     again = F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("page_id"))
     name = lambda c: F.concat(F.lit("urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
     joined.select(
@@ -379,7 +386,7 @@ def load(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
-    archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    archive(table(spark, sf_dir, "pages"), path)
     found = load(spark, path)
     number = lambda c: F.expr(f"try_cast(substring({c}, 12) AS long)")  # noqa: E731  after urn:x-page:
     return found.select(
@@ -388,5 +395,4 @@ def op9_warc(spark, sf_dir: str) -> DataFrame:
         F.coalesce(F.sha1("payload"), F.col("payload_digest")).alias("payload_digest"),
         "record_type",
         number("refers_to").alias("refers_to"),
-        "target_uri",
     )

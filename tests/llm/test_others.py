@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pandas as pd
+import pytest
 
 from tarifa.llm import html_text, langid, merkle, quality, toxicity, warc
 
@@ -132,3 +133,12 @@ def test_foreign_archives(spark, tmp_path):
     out = warc.load(spark, f"file://{tmp_path}").collect()
     assert sorted(len(r["payload"]) for r in out) == sorted(2 * [0, 9000, 18000, 27000])
     assert warc.load(spark, f"file://{tmp_path}", payload=False).where("record_id = 'urn:x-page:2'").count() == 2
+
+
+def test_damaged_archives_are_errors(spark, tmp_path):
+    good = warc.record("urn:x-page:1", "http://1", b"abc", 3, "00", None, "1970-01-01T00:00:00Z")
+    (tmp_path / "a.warc").write_bytes(good + b"\r\n\r\n")
+    assert warc.load(spark, f"file://{tmp_path}").count() == 1
+    (tmp_path / "a.warc").write_bytes(good + b"no record at all" + good[:20])
+    with pytest.raises(Exception, match="no WARC record"):
+        warc.load(spark, f"file://{tmp_path}").collect()
