@@ -187,6 +187,9 @@ class WarcReader(DataSourceReader):
         while at < end:
             f.seek(at)
             raw = f.read(_HEAD)
+            if not packed and raw[:1] in b"\r\n":  # blank lines between records
+                at += len(raw) - len(raw.lstrip(b"\r\n"))
+                continue
             if packed:
                 skip = _skip_length(raw)
                 inflate = zlib.decompressobj(31)
@@ -219,8 +222,6 @@ class WarcReader(DataSourceReader):
                 pass
             cut = head.find(b"\r\n\r\n")
             if cut < 0:
-                if not fed.strip(b"\r\n"):  # blank lines at the end of a plain file
-                    return
                 raise ValueError(f"no WARC record at byte {at} of {name}")
             headers = _headers(head[:cut])
             length = int(headers.get("content-length", 0))
