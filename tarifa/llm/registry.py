@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarifa.llm import html_text, langid, merkle, mixing, packing, quality, simhash, suffix_dedup, toxicity, warc
+from tarifa.llm import html_text, langid, merkle, mixing, oracles, packing, quality, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op7_merkle": merkle.op7_merkle,
@@ -17,28 +17,5 @@ QUERIES = {
     "op10_langid": langid.op10_langid,
 }
 
-#: Every 100-byte window by its hash: the first of equal ones stays; runs of the others are cut out of the hexadecimal text.
-SUFFIX_DEDUP = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-t AS (SELECT doc_id, x, CAST(length(x) / 2 AS BIGINT) AS n_bytes FROM d),
-w AS (SELECT doc_id, unnest(range(0, n_bytes - 99)) AS s, unnest(list_transform(range(0, n_bytes - 99), lambda i: md5_number(substr(x, 2 * i + 1, 200)))) AS h FROM t WHERE n_bytes >= 100),
-g AS (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS k FROM w),
-f AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM g WHERE k > 1),
-i AS (SELECT doc_id, s, sum(CASE WHEN p IS NULL OR s > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM f),
-r AS (SELECT doc_id, run, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY doc_id, run),
-k AS (SELECT t.doc_id, x, n_bytes, a, b, coalesce(lag(b) OVER (PARTITION BY t.doc_id ORDER BY a), 0) AS from_, max(b) OVER (PARTITION BY t.doc_id) AS last FROM t LEFT JOIN r ON t.doc_id = r.doc_id)
-SELECT doc_id, max(n_bytes) AS n_bytes, CAST(coalesce(sum(b - a), 0) AS BIGINT) AS n_removed, count(a) AS n_spans,
-  sha256(unhex(coalesce(string_agg(CASE WHEN a IS NOT NULL THEN substr(x, 2 * from_ + 1, 2 * (a - from_)) END, '' ORDER BY a), '') || substr(max(x), 2 * coalesce(max(last), 0) + 1))) AS kept_sha256
-FROM k GROUP BY doc_id
-"""
-
-WARC = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
-d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
-m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM d)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to FROM m
-"""
-
 #: The other methods hash, learn or tokenize in ways that SQL does not offer; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": SUFFIX_DEDUP, "op9_warc": WARC}
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": oracles.SUFFIX_DEDUP, "op7_merkle": oracles.MERKLE, "op9_warc": oracles.WARC}

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tarifa.llm import html_text, langid, merkle, quality, toxicity, warc
 
@@ -86,24 +87,47 @@ def test_likelihood_ratio_tells_junk(spark):
 def test_merkle_roots_and_successors(spark):
     texts = ["a. b\nc\n\nd", "a. b\nc\n\ne", None, "", "one two. three", "one two. three"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in merkle.fingerprints(df).collect()}
-    assert got[2]["fingerprint"] == got[3]["fingerprint"] and got[4]["fingerprint"] == got[5]["fingerprint"] != got[0]["fingerprint"]
+    got = {r["doc_id"]: r["fingerprint"] for r in merkle.fingerprints(df.withColumn("fingerprint", F.lit("x"))).collect()}
+    assert got[2] == got[3] and got[4] == got[5] != got[0]
+    assert got[0].count("/") == 2 and got[0].count(":") == 3 and got[0].split("/")[1] == got[1].split("/")[1]  # the section both share
     after = {r["doc_id"]: (r["c"], r["following"]) for r in merkle.next_text(df.repartition(3)).collect()}
     want = [t or "" for t in texts]
     assert after == {i: (want[i], want[(i + 1) % 6]) for i in range(6)}
-    pair = spark.createDataFrame([(texts[0], texts[1])], "a string, b string")
-    assert [tuple(x) for x in pair.select(merkle.locate("a", "b").alias("x")).first()["x"]] == [(1, 0)]
-    near = pair.select(merkle.likeness("a", "b").alias("x"), merkle.likeness("a", "a").alias("y")).first()
-    assert 0 < near["x"] < 1 == near["y"]
+    pair = spark.createDataFrame([(got[0], got[1])], "a string, b string")
+    assert [tuple(x) for x in pair.select(F.expr(merkle.locate("a", "b")).alias("x")).first()["x"]] == [(1, 0)]
+    near = pair.select(F.expr(merkle.likeness("a", "b")).alias("x"), F.expr(merkle.likeness("a", "a")).alias("y")).first()
+    assert near["x"] == 2 * 3 / 8 and near["y"] == 1  # three of four phrases
     assert merkle.next_text(df.limit(0)).count() == 0
 
 
+def test_phrases_are_found_again_after_an_edit(spark):
+    words = [f"word{i * 7919 % 1000}{'aeklmno'[i % 7]}" for i in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:5], "inserted", *words[5:]])), (3, "\n".join(words)), (4, "x" * 100_000)]
+    fp = {r["doc_id"]: r["fingerprint"] for r in merkle.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pair = spark.createDataFrame([(fp[1], fp[2], fp[3])], "a string, b string, c string")
+    near = pair.select(F.expr(merkle.likeness("a", "b")).alias("x"), F.expr(merkle.likeness("a", "c")).alias("y")).first()
+    assert near["x"] > 0.9 and near["y"] < 0.1 and len({x[:64] for x in fp.values()}) == 4
+
+
+def plain_tree(text):
+    """Root, sections, paragraphs and phrases by plain means."""
+    phrase = re.compile(merkle.PHRASE)
+    sections = [[phrase.findall(p) for p in s.split("\n")] for s in text.split("\n\n")]
+    assert all("".join(x) == p for s, q in zip(text.split("\n\n"), sections) for p, x in zip(s.split("\n"), q))
+    sha = lambda parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    nodes = [[(sha(map(md5, p)), [md5(x)[:8] for x in p]) for p in s] for s in sections]
+    above = [sha(h for h, _ in s) for s in nodes]
+    return sha(above) + "".join("/" + h[:16] + "".join(":" + g[:16] + "".join(x) for g, x in s) for h, s in zip(above, nodes))
+
+
 def test_merkle_query(spark):
     d = pd.read_parquet(f"{SF}/documents.parquet").sort_values("doc_id", ignore_index=True)
     out = merkle.op7_merkle(spark, SF).toPandas().sort_values("doc_id", ignore_index=True)
     after = [*d.text[1:], d.text[0]]
     want = [hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest() for t, n in zip(d.text, after)]
     assert out.edited_sha256.tolist() == want and (out.near_edited > out.near_next).mean() > 0.95
+    assert out.fingerprint.tolist() == [plain_tree(t) for t in d.text]
 
 
 def test_warc_round_trip(spark, tmp_path):
