@@ -16,30 +16,56 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (local tests)
-    a folder on this machine is made and set for the rest of the session.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset a folder on this machine is made and set for the rest
+    of the session, but only where driver and executors are one machine (tests); elsewhere it is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tarifa.shared.dir", None)
     if not where:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tarifa-shared-")
         spark.conf.set("tarifa.shared.dir", where)
     return where.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; ``forget`` removes it."""
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
-#: Rows of an Arrow batch between Spark and Python: texts are long, and a batch is held several times.
-BATCH_ROWS = 1000
+#: Paths that ``scratch`` gave in this process.
+_made: list[str] = []
+
+
+def forget(spark: SparkSession) -> int:
+    """Remove what this process wrote into the shared folder, and say how many paths there were.
+
+    For when the results of all operators have been read or written: tables that they still read are gone afterwards.
+    """
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for path in _made:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    n = len(_made)
+    _made.clear()
+    return n
+
+
+#: Rows and bytes of an Arrow batch between Spark and Python: texts are long, and a batch is held several times.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``; from now on its session sends at most ``BATCH_ROWS`` rows to Python at once."""
+    """``df``; from now on its session sends at most ``BATCH_ROWS`` rows, or about ``BATCH_BYTES``, to Python at once.
+
+    Spark has these bounds as settings of the session alone; smaller ones are left as they are.
+    """
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # Spark's own, where nothing was set
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 

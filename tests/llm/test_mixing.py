@@ -47,5 +47,21 @@ def test_pairs_keep_expectation():
     assert set(out) <= {0.0, 1.0} and abs(out.sum() - p.sum()) <= 1
 
 
+def test_every_document_keeps_its_expectation():
+    p, size = np.array([0.2, 0.9, 0.35, 0.6, 0.15]), np.array([7.0, 3, 11, 2, 5])
+    drawn = np.array([M._round_group(size, p, np.random.default_rng(i), True) for i in range(20_000)])
+    assert abs(drawn.mean(0) - p).max() < 0.02 and set(drawn.ravel()) == {0.0, 1.0}
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "a", "w w", "p")] * 3 + [(1, "a", "v v", "q"), (None, "b", "x y z", "r"), (None, "b", "x y z", "r"), (None, None, None, "s"), (2, "b", "u " * 50_000, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, copies string")
+    plan, mixed = M.plan(df).toPandas(), M.mix(df)
+    assert mixed.columns == df.columns and len(plan) == len(rows)
+    want = plan[plan.copies > 0].groupby("th").copies.sum()
+    assert sorted(mixed.toPandas().groupby("copies").size()) == sorted(want)
+    assert M.mix(df.limit(0)).count() == 0
+
+
 def test_empty(spark):
     assert M.plan(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
