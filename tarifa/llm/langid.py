@@ -2,7 +2,7 @@
 
 Training counts the n-grams of every training document, in parallel: each task adds up one
 dense matrix (languages x buckets, a fixed size whatever the corpus) per batch of documents
-and the matrices are summed in a tree. The log-probability matrix has
+and the entries are summed by language and bucket. The log-probability matrix has
 ``buckets x languages`` float32 entries; languages are capped by ``MAX_LANGUAGES`` (more are
 an error), so what is broadcast has a fixed bound. Scoring works on whole Arrow batches: the
 batch's bytes are one numpy array, every n-gram one row of the matrix, and the rows are added
@@ -10,7 +10,7 @@ up per document.
 
 Edge cases: a null text, or one without a letter, gets ``und`` and score 0; empty tables give
 empty results; rows whose language is null are not learned from; repeated rows are scored one
-by one; the text is taken whole.
+by one; the text is taken whole, however long; extra columns are left out.
 """
 
 from __future__ import annotations

@@ -15,8 +15,9 @@ lowered by ln(rate of toxic / rate of clean), so that scores keep to the prior o
 Scoring reads the whole text of every document.
 
 Edge cases: null and empty texts score like a text without known words; rows whose label is null
-are not learned from; without any label the score is 0.5 of nothing known, reported as the prior
-0; a doc_id labelled twice counts twice in training and never multiplies scored rows.
+are not learned from; without any label every score is 0; a doc_id labelled twice counts twice in training and never
+multiplies scored rows; repeated rows are scored one by one; an empty table gives an empty one; extra columns are left out
+of scores, and kept as they are by ``drop_toxic``.
 """
 
 from __future__ import annotations
@@ -57,7 +58,16 @@ IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
     ("immigrants", "natives", "refugees"),
     ("blind", "deaf", "disabled"),
     ("old", "young"),
-)
+    # German
+    ("mann", "frau"), ("männer", "frauen"), ("junge", "mädchen"), ("schwul", "lesbisch"), ("christ", "moslem", "jude"), ("christen", "muslime", "juden"),
+    ("schwarze", "weiße"), ("türke", "deutscher", "pole", "araber"), ("ausländer", "einheimische"), ("flüchtling", "einwanderer"),
+    # French
+    ("homme", "femme"), ("hommes", "femmes"), ("garçon", "fille"), ("gai", "lesbienne"), ("chrétien", "musulman", "juif"), ("chrétiens", "musulmans", "juifs"),
+    ("noir", "blanc"), ("noirs", "blancs"), ("africain", "français", "arabe"), ("immigré", "réfugié", "étranger"),
+    # Spanish
+    ("hombre", "mujer"), ("hombres", "mujeres"), ("niño", "niña"), ("lesbiana", "heterosexuales"), ("cristiano", "musulmán", "judío"), ("cristianos", "musulmanes", "judíos"),
+    ("negro", "blanco"), ("negros", "blancos"), ("africano", "español", "mexicano", "árabe"), ("inmigrante", "refugiado", "extranjero"),
+)
 SWAP = {w: g[(i + 1) % len(g)] for g in IDENTITY_GROUPS for i, w in enumerate(g)}
 
 _WORDS = regex.compile(r"\p{L}+")

@@ -166,3 +166,56 @@ def test_damaged_archives_are_errors(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(good + b"no record at all" + good[:20])
     with pytest.raises(Exception, match="no WARC record"):
         warc.load(spark, f"file://{tmp_path}").collect()
+
+
+CLASH = "score long, predicted string, lang_pred string, held_out string, kept string, n_words string, bucket string, id string, c string, f string"
+
+
+def rows_of_every_kind(spark):
+    texts = [None, "", " \n ", "one", "the cat sat on the mat " * 20_000, "you are an idiot " * 30, "the cat", "the cat"]
+    rows = [(None if i == 3 else min(i, 6), t, "en" if i % 2 else None, "s", i, *["x"] * 9) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, {CLASH}")
+
+
+def test_classifiers_on_rows_of_every_kind(spark):
+    df = rows_of_every_kind(spark)
+    model = toxicity.fit(df, spark.createDataFrame([(5, 1), (6, 0), (4, 0), (None, 1), (1, None)], "doc_id long, toxic int"))
+    for got, columns in (
+        (toxicity.score(df, model), ["doc_id", "score"]),
+        (langid.identify(df, df), ["doc_id", "lang_pred", "score"]),
+        (quality.score(df, quality.fit(df, df.where("doc_id = 6").select("doc_id"))), ["doc_id", "n_words"]),
+    ):
+        out = got.collect()
+        assert len(out) == 8 and set(columns) <= set(got.columns) and len(set(got.columns)) == len(got.columns)
+        same = [r for r in out if r["doc_id"] == 6]
+        assert len(same) == 2 and same[0] == same[1]
+    assert toxicity.score(df.limit(0), model).count() == 0
+    assert quality.score(df.limit(0), [0.0] * 8).count() == 0
+    assert quality.fit(df, df.limit(0).select("doc_id"), 16) == [0.0] * 16 and quality.fit(df.limit(0), df.select("doc_id"), 16) == [0.0] * 16
+
+
+def test_verdicts_like_brute_force(spark):
+    """The likelihood ratio by plain counting, over the whole query."""
+    import math
+
+    df = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")
+    trusted = set(pd.read_parquet("/root/testdata/sf0.001/labels.parquet").query("quality == 1").doc_id)
+    out = quality.op5_quality(spark, "/root/testdata/sf0.001").toPandas().set_index("doc_id")
+    grams = {}
+    for i, t in zip(df.doc_id, df.text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        grams[i] = [*((x,) for x in w), *zip(w, w[1:])]
+    names = sorted({g for x in grams.values() for g in x})
+    one = spark.createDataFrame([(list(g),) for g in names], "g array<string>").select(F.when(F.size("g") == 1, F.xxhash64(F.col("g")[0])).otherwise(F.xxhash64(F.col("g")[0], F.get("g", F.lit(1)))).alias("h"))
+    bucket = dict(zip(names, (r["h"] % quality.BUCKETS for r in one.collect())))
+    raw, good = Counter(), Counter()
+    for i, x in grams.items():
+        raw.update(bucket[g] for g in x)
+        if i in trusted:
+            good.update(bucket[g] for g in x)
+    ratio = lambda b: math.log((good[b] + 0.5) / (good.total() + 0.5 * quality.BUCKETS)) - math.log((raw[b] + 0.5) / (raw.total() + 0.5 * quality.BUCKETS))
+    for i, x in grams.items():
+        score = sum(ratio(bucket[g]) for g in x) / len(x) if x else 0.0
+        assert abs(out.score[i] - score) < 1e-5
+        if abs(score - quality.THRESHOLD) > 1e-4:
+            assert out.kept[i] == (not out.base_failed[i] and score >= quality.THRESHOLD)
