@@ -141,20 +141,21 @@ def ols(df: DataFrame, spec: DesignSpec, y: Column, kind: str = "HC3", cluster:
     xx, xy, yy, n = g[:p, :p], g[:p, p], g[p, p], int(round(g[0, 0]))
     inverse = np.linalg.pinv(xx, hermitian=True)
     beta = inverse @ xy
-    ssr = max(float(yy - 2 * beta @ xy + beta @ xx @ beta), 0.0)
     tss = float(yy - xy[0] ** 2 / n)
     rank = np.linalg.matrix_rank(xx)
     if cluster:
         resid = F.col("y") - sum((F.col("x")[i] * float(b) for i, b in enumerate(beta)), F.lit(0.0))
-        scores = rows.withColumn("e", resid).groupBy("c").agg(*[F.sum(F.col("x")[i] * F.col("e")).alias(f"s{i}") for i in range(p)])
-        scores = scores.select(F.array(*[f"s{i}" for i in range(p)]).alias("s"), F.lit(1.0).alias("one"))
+        scores = rows.withColumn("e", resid).groupBy("c").agg(*[F.sum(F.col("x")[i] * F.col("e")).alias(f"s{i}") for i in range(p)], F.sum(F.col("e") * F.col("e")).alias("ee"))
+        scores = scores.select(F.array(*[f"s{i}" for i in range(p)]).alias("s"), "ee")
 
         def meat(b: pa.RecordBatch) -> np.ndarray:
-            s = np.column_stack([_matrix(b.column(0), p), np.ones(b.num_rows)])
-            return s.T @ s
+            s = _matrix(b.column(0), p)
+            out = np.zeros((p + 1, p + 1))
+            out[:p, :p], out[p, p], out[0, p] = s.T @ s, len(s), b.column(1).to_numpy(zero_copy_only=False).sum()
+            return out
 
         m = _summed(scores, meat, (p + 1, p + 1))[()]
-        groups = m[p, p]
+        groups, ssr = m[p, p], float(m[0, p])
         covariance = inverse @ m[:p, :p] @ inverse * (groups / (groups - 1) * (n - 1) / (n - rank))
     elif kind == "HC3":
 
@@ -162,11 +163,14 @@ def ols(df: DataFrame, spec: DesignSpec, y: Column, kind: str = "HC3", cluster:
             x = _matrix(b.column(0), p)
             h = np.einsum("ij,jk,ik->i", x, inverse, x)
             e = b.column(1).to_numpy(zero_copy_only=False) - x @ beta
-            w = x * (e / np.maximum(1 - h, 1e-12))[:, None]
+            w = np.column_stack([x * (e / np.maximum(1 - h, 1e-12))[:, None], e])
             return w.T @ w
 
-        covariance = inverse @ _summed(rows.select("x", "y"), meat, (p, p))[()] @ inverse
+        m = _summed(rows.select("x", "y"), meat, (p + 1, p + 1))[()]
+        covariance, ssr = inverse @ m[:p, :p] @ inverse, float(m[p, p])
     else:
+        fitted = sum((F.col("x")[i] * float(b) for i, b in enumerate(beta)), F.lit(0.0))
+        ssr = float(rows.agg(F.sum((F.col("y") - fitted) * (F.col("y") - fitted))).first()[0] or 0.0)
         covariance = inverse * ssr / (n - rank)
     return OLS(spec, beta, covariance, inverse, n, ssr, tss, "cluster" if cluster else kind)
 

@@ -12,11 +12,21 @@ from tarifa.functions.specs import geo_mean
 from tarifa.operators import forest, regression, segments
 from tarifa.operators.design import DesignSpec
 from tarifa.operators.panel import interactions, split, tiers
-from tarifa.plans.data import PANEL, panel, parts, table
+from tarifa.plans import linear_sql as L
+from tarifa.plans.data import PANEL, PARTS, panel, parts, table
 
 ALL: dict[str, tuple[Callable, str | None]] = {}
 FEATURES = ["size", "quantity", "discount"]
 
+# The levels that the generated tables have, for the SQL of designs; the operators find them in the data.
+CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+FLAGS, PERIODS = ["A", "N", "R"], list(range(1995, 2002))
+BRANDS = sorted(f"Brand#{i}" for i in range(1, 26))
+_X = [(f, f) for f in FEATURES]
+_CATEGORY, _FLAG, _PERIOD, _BRAND = L.dummies("category", CATEGORIES), L.dummies("flag", FLAGS), L.dummies("period", PERIODS), L.dummies("brand", BRANDS)
+_NAMES = lambda terms: {n for n, _ in terms}
+_R2 = lambda tag, k: f"(1 - ({tag}.ssr / ({tag}.n - {k})) / (({tag}.syy - {tag}.sy * {tag}.sy / {tag}.n) / ({tag}.n - 1)))"
+
 
 def query(sql: str | None = None):
     def add(f: Callable) -> Callable:
@@ -35,11 +45,18 @@ def _rows(spark, d) -> DataFrame:
     return panel(spark, d).withColumn("y", F.ln("price"))
 
 
-@query()
+def _coefficients(spark, model) -> DataFrame:
+    rows = _frame(spark, model.coefficients(), "feature string, coefficient double, std_err double, p_value double, pct_effect double")
+    return rows.select("feature", *[F.round(c, k).alias(c) for c, k in (("coefficient", 6), ("std_err", 6), ("p_value", 4), ("pct_effect", 4))])
+
+
+_ROBUST = [*_X, *_CATEGORY, *_FLAG]
+
+
+@query(f"WITH {PANEL}, {L.fit('o', 'panel', _ROBUST, 'ln(price)')}, {L.hc3('o', 11)}, {L.coefficients('o', _ROBUST, _NAMES(_CATEGORY + _FLAG))}")
 def ols_robust(spark, d):
     x = _rows(spark, d)
-    model = regression.ols(x, DesignSpec.fit(x, FEATURES, ["category", "flag"]), F.col("y"))
-    return _frame(spark, model.coefficients(), "feature string, coefficient double, std_err double, p_value double, pct_effect double")
+    return _coefficients(spark, regression.ols(x, DesignSpec.fit(x, FEATURES, ["category", "flag"]), F.col("y")))
 
 
 @query(
@@ -53,32 +70,62 @@ def ols_gram(spark, d):
     return spark.createDataFrame(rows, "feature string, coefficient double, r2 double, n long")
 
 
-@query()
+_POOLED = [*_X, *_CATEGORY, *_PERIOD]
+#: Small-sample factor of the clustered covariance.
+_FEW = lambda p: f"groups / (groups - 1.0) * (n - 1.0) / (n - {p})"
+
+
+@query(f"WITH {PANEL}, {L.fit('o', 'panel', _POOLED, 'ln(price)')}, {L.clustered('o', 15, 'product')}, {L.coefficients('o', _POOLED, _NAMES(_CATEGORY + _PERIOD), _FEW(15))}")
 def ols_clustered(spark, d):
     x = _rows(spark, d)
-    model = regression.ols(x, DesignSpec.fit(x, FEATURES, ["category", "period"]), F.col("y"), cluster="product")
-    return _frame(spark, model.coefficients(), "feature string, coefficient double, std_err double, p_value double, pct_effect double")
+    return _coefficients(spark, regression.ols(x, DesignSpec.fit(x, FEATURES, ["category", "period"]), F.col("y"), cluster="product"))
 
 
-@query()
+_SMALL = [("size", "size"), ("quantity", "quantity"), *_FLAG]
+_LARGE = [*_SMALL, *[(f"{c}_x_{v}", f"{c} * CASE WHEN flag = '{v}' THEN 1.0 ELSE 0.0 END") for v in FLAGS[1:] for c in ("size", "quantity")]]
+
+
+@query(
+    f"""WITH {PANEL}, {L.fit('a', 'panel', _SMALL, 'ln(price)')}, {L.fit('b', 'panel', _LARGE, 'ln(price)')}
+        SELECT round((a.ssr - b.ssr) / 4 / (b.ssr / (b.n - 9)), 4) AS f, CAST(4 AS BIGINT) AS df_num, b.n - 9 AS df_den, round({_R2('a', 5)}, 6) AS adj_r2_common, round({_R2('b', 9)}, 6) AS adj_r2_separate FROM a, b"""
+)
 def chow_test(spark, d):
-    return _frame(spark, pd.DataFrame([regression.chow(_rows(spark, d), ["size", "quantity"], "flag", F.col("y"))]), "f double, df_num long, df_den long, p_value double, adj_r2_common double, adj_r2_separate double")
+    found = regression.chow(_rows(spark, d), ["size", "quantity"], "flag", F.col("y"))
+    rows = _frame(spark, pd.DataFrame([found]), "f double, df_num long, df_den long, p_value double, adj_r2_common double, adj_r2_separate double")
+    return rows.select(F.round("f", 4).alias("f"), "df_num", "df_den", F.round("adj_r2_common", 6).alias("adj_r2_common"), F.round("adj_r2_separate", 6).alias("adj_r2_separate"))
 
 
-@query()
+_VIF = [*_X, *_FLAG]
+
+
+@query(
+    f"""WITH {PANEL}, {L.fit('o', 'panel', _VIF, '0.0')}, t AS (SELECT [{', '.join(f'sum(x[{i}] * x[{i}]) - sum(x[{i}]) * sum(x[{i}]) / count(*)' for i in range(2, 7))}] AS tss FROM o_x)
+        SELECT unnest([{', '.join(repr(n) for n, _ in _VIF)}]) AS feature, round(unnest(list_transform(tss, lambda v, i: v * inv[i + 1][i + 1])), 6) AS vif FROM o, t"""
+)
 def vif_table(spark, d):
     x = _rows(spark, d)
-    return _frame(spark, regression.vif(x, DesignSpec.fit(x, FEATURES, ["flag"])), "feature string, vif double")
+    return _frame(spark, regression.vif(x, DesignSpec.fit(x, FEATURES, ["flag"])), "feature string, vif double").select("feature", F.round("vif", 6).alias("vif"))
 
 
-@query()
+_OLS = L.fit("o", "panel", _X, "ln(price)")
+_AUX = L.fit("w", "(SELECT size, quantity, discount, y - list_dot_product(x, beta) AS e FROM o, o_x) z", L.products(_X), "e * e")
+
+
+@query(
+    f"""WITH {PANEL}, {_OLS}, {_AUX}, r AS (SELECT n, 1 - ssr / (syy - sy * sy / n) AS r2 FROM w)
+        SELECT round(n * r2, 4) AS lm, round(r2 / 9 / ((1 - r2) / (n - 10)), 5) AS f, CAST(9 AS BIGINT) AS df FROM r"""
+)
 def white_test(spark, d):
     x = _rows(spark, d)
     m = regression.ols(x, DesignSpec.fit(x, FEATURES, []), F.col("y"))
-    return _frame(spark, pd.DataFrame([regression.white(x, m, F.col("y"))]), "lm double, lm_p_value double, f double, df long")
+    rows = _frame(spark, pd.DataFrame([regression.white(x, m, F.col("y"))]), "lm double, lm_p_value double, f double, df long")
+    return rows.select(F.round("lm", 4).alias("lm"), F.round("f", 5).alias("f"), "df")
 
 
-@query()
+@query(
+    f"""WITH {PANEL}, {_OLS}, r AS (SELECT product, period, o.n, ssr / (o.n - 4) AS s2, y - list_dot_product(x, beta) AS e, list_dot_product(x, list_transform(inv, lambda r: list_dot_product(r, x))) AS h FROM o, o_x)
+        SELECT product, period, round(e * e * h / (4 * s2 * (1 - h) * (1 - h)), 8) AS cook, e * e * h / (4 * s2 * (1 - h) * (1 - h)) > 4.0 / n AS influential FROM r"""
+)
 def cook_influence(spark, d):
     x = _rows(spark, d)
     m = regression.ols(x, DesignSpec.fit(x, FEATURES, []), F.col("y"))
@@ -100,19 +147,36 @@ def forest_importance(spark, d):
     return _frame(spark, forest.importances(m, FEATURES), "feature string, importance double")
 
 
-@query()
+_INDEX = [("quantity", "quantity"), *_CATEGORY, *_PERIOD]
+_INDEX_SQL = f"""WITH {PANEL}, {L.fit('o', 'panel', _INDEX, 'ln(price)')}, {L.clustered('o', 13, 'product')},
+  i AS (SELECT unnest(['period_1995', {', '.join(repr(n) for n, _ in _PERIOD)}]) AS f, unnest([0.0, {', '.join(f'beta[{8 + k}]' for k in range(6))}]) AS b, unnest([NULL, {', '.join(f'sqrt(var[{8 + k}] * {_FEW(13)})' for k in range(6))}]) AS se FROM o, o_v)
+SELECT f[8:] AS period, se IS NULL AS reference, round((exp(b) - 1) * 100, 6) AS index_pct, round({L.normal_tail('b / se')}, 4) AS p_value FROM i"""
+
+
+@query(_INDEX_SQL)
 def price_index(spark, d):
     t = regression.price_index(_rows(spark, d), ["quantity"], ["category"], "period", F.col("y"), "product")
-    return _frame(spark, t, "period string, reference boolean, index_pct double, p_value double")
+    rows = _frame(spark, t, "period string, reference boolean, index_pct double, p_value double")
+    return rows.select("period", "reference", F.round("index_pct", 6).alias("index_pct"), F.round("p_value", 4).alias("p_value"))
 
 
-@query()
+_TIERS = """q AS (SELECT brand, count(*) AS k, quantile_cont(price, 1 / 3) AS a, quantile_cont(price, 2 / 3) AS b, quantile_cont(price, 0.5) AS h, min(price) AS lo, max(price) AS hi FROM parts GROUP BY brand),
+t AS (SELECT p.*, CASE WHEN k >= 15 THEN CASE WHEN price <= a THEN 'Économique' WHEN price <= b THEN 'Milieu de gamme' ELSE 'Premium' END
+        WHEN k >= 10 THEN CASE WHEN price <= h THEN 'Économique' ELSE 'Premium' END ELSE 'Gamme unique' END AS tier FROM parts p JOIN q USING (brand) WHERE k >= 5)"""
+
+
+@query(
+    f"""WITH {PARTS}, {_TIERS}, {L.fit('o', 't', [('size', 'size'), *_BRAND], 'ln(price)')},
+        e AS (SELECT brand, avg(CASE WHEN tier = 'Économique' THEN exp(list_dot_product(x, beta)) END) AS low, avg(CASE WHEN tier = 'Milieu de gamme' THEN exp(list_dot_product(x, beta)) END) AS middle,
+              avg(CASE WHEN tier = 'Premium' THEN exp(list_dot_product(x, beta)) END) AS high FROM o, o_x GROUP BY brand)
+        SELECT brand, round(low, 4) AS low, round(middle, 4) AS middle, round(high, 4) AS high, coalesce(low <= middle, true) AND coalesce(middle <= high, true) AND coalesce(low <= high, true) AS monotone FROM e"""
+)
 def tier_monotonicity(spark, d):
     x = tiers(parts(spark, d)).withColumn("y", F.ln("price"))
     m = regression.ols(x, DesignSpec.fit(x, ["size"], ["brand"]), F.col("y"))
     means = x.groupBy("brand").pivot("tier", ["Économique", "Milieu de gamme", "Premium"]).agg(F.avg(F.exp(m.predict()))).toDF("brand", "low", "middle", "high")
     rises = F.coalesce(F.col("low") <= F.col("middle"), F.lit(True)) & F.coalesce(F.col("middle") <= F.col("high"), F.lit(True)) & F.coalesce(F.col("low") <= F.col("high"), F.lit(True))
-    return means.withColumn("monotone", rises)
+    return means.withColumn("monotone", rises).select("brand", *[F.round(c, 4).alias(c) for c in ("low", "middle", "high")], "monotone")
 
 
 @query()
@@ -159,22 +223,35 @@ def scoring_cascade(spark, d):
     return scored.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("y") - F.col("scored"))), 6).alias("mae"))
 
 
-@query()
+_WEEKLY = [*_X, *_CATEGORY]
+
+
+@query(
+    f"""WITH {PANEL}, {L.fit('o', 'panel', _WEEKLY, 'ln(price)')}, e AS (SELECT category, period, price, exp(list_dot_product(x, beta)) AS estimate FROM o, o_x),
+        w AS (SELECT category, period, count(*) AS n, exp(avg(ln(price))) AS r, exp(avg(ln(estimate))) AS m, avg(abs(estimate - price) / price * 100) AS mape FROM e GROUP BY category, period)
+        SELECT category, period, n, round(r, 4) AS real, round(m, 4) AS estimated, round((m - r) / r * 100, 4) AS error_pct, round(mape, 4) AS mape_pct FROM w"""
+)
 def weekly_estimates(spark, d):
     x = _rows(spark, d)
     m = regression.ols(x, DesignSpec.fit(x, FEATURES, ["category"]), F.col("y"))
     x = x.withColumn("estimate", F.exp(m.predict()))
     real, made = geo_mean("price"), geo_mean("estimate")
-    return x.groupBy("category", "period").agg(F.count("*").alias("n"), real.alias("real"), made.alias("estimated"), ((made - real) / real * 100).alias("error_pct"), F.avg(F.abs(F.col("estimate") - F.col("price")) / F.col("price") * 100).alias("mape_pct"))
+    off = F.avg(F.abs(F.col("estimate") - F.col("price")) / F.col("price") * 100)
+    return x.groupBy("category", "period").agg(F.count("*").alias("n"), F.round(real, 4).alias("real"), F.round(made, 4).alias("estimated"), F.round((made - real) / real * 100, 4).alias("error_pct"), F.round(off, 4).alias("mape_pct"))
 
 
-@query()
+@query(
+    f"""WITH {PANEL}, {PARTS}, {L.fit('o', 'panel', _WEEKLY, 'ln(price)')},
+        w AS (SELECT product, CAST([1.0, size, 10.0, 0.05, {', '.join(e for _, e in _CATEGORY)}] AS DOUBLE[]) AS x FROM parts),
+        i AS (SELECT product, list_dot_product(x, beta) AS y, {L.t_quantile_975('(n - 9)')} * sqrt(ssr / (n - 9) * (1 + list_dot_product(x, list_transform(inv, lambda r: list_dot_product(r, x))))) AS half FROM o, w)
+        SELECT product, round(exp(y), 2) AS price, round(exp(y - half), 2) AS low, round(exp(y + half), 2) AS high FROM i"""
+)
 def predict_interval(spark, d):
     x = _rows(spark, d)
     m = regression.ols(x, DesignSpec.fit(x, FEATURES, ["category"]), F.col("y"))
     new = parts(spark, d).select("product", "category", "size", F.lit(10.0).alias("quantity"), F.lit(0.05).alias("discount"))
     y, half = m.predict(), m.interval()
-    return new.select("product", F.exp(y).alias("price"), F.exp(y - half).alias("low"), F.exp(y + half).alias("high"))
+    return new.select("product", F.round(F.exp(y), 2).alias("price"), F.round(F.exp(y - half), 2).alias("low"), F.round(F.exp(y + half), 2).alias("high"))
 
 
 @query(
