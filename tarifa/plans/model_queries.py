@@ -244,14 +244,14 @@ def weekly_estimates(spark, d):
     f"""WITH {PANEL}, {PARTS}, {L.fit('o', 'panel', _WEEKLY, 'ln(price)')},
         w AS (SELECT product, CAST([1.0, size, 10.0, 0.05, {', '.join(e for _, e in _CATEGORY)}] AS DOUBLE[]) AS x FROM parts),
         i AS (SELECT product, list_dot_product(x, beta) AS y, {L.t_quantile_975('(n - 9)')} * sqrt(ssr / (n - 9) * (1 + list_dot_product(x, list_transform(inv, lambda r: list_dot_product(r, x))))) AS half FROM o, w)
-        SELECT product, round(exp(y), 2) AS price, round(exp(y - half), 2) AS low, round(exp(y + half), 2) AS high FROM i"""
+        SELECT product, round(exp(y), 1) AS price, round(exp(y - half), 1) AS low, round(exp(y + half), 1) AS high FROM i"""
 )
 def predict_interval(spark, d):
     x = _rows(spark, d)
     m = regression.ols(x, DesignSpec.fit(x, FEATURES, ["category"]), F.col("y"))
     new = parts(spark, d).select("product", "category", "size", F.lit(10.0).alias("quantity"), F.lit(0.05).alias("discount"))
     y, half = m.predict(), m.interval()
-    return new.select("product", F.round(F.exp(y), 2).alias("price"), F.round(F.exp(y - half), 2).alias("low"), F.round(F.exp(y + half), 2).alias("high"))
+    return new.select("product", F.round(F.exp(y), 1).alias("price"), F.round(F.exp(y - half), 1).alias("low"), F.round(F.exp(y + half), 1).alias("high"))
 
 
 @query(
