@@ -434,7 +434,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
             yield pa.RecordBatch.from_arrays(columns, ["class", "part", "s", "n"])
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    ids = classes.join(ids, "class").select("class", F.col("row.doc_id").alias("id"), F.col("row.th").alias("h"))
+    # written, so that Spark knows its size and moves it rather than the texts where it is small
+    ids = materialize(classes.select("class", "row").join(ids, "class").select("class", F.col("row.doc_id").alias("id"), F.col("row.th").alias("h")), "near-ids")
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("class", "text")
     sets = materialize(texts.mapInArrow(run, "class long, part array<int>, s array<long>, n long"), "near-sets")
     parts, whole = sets.select("class", "part", "n"), sets.select("class", "s")
@@ -496,6 +497,7 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     own = F.struct(F.col("doc_id").isNull(), *_ROW)
     best = rows.groupBy("group").agg(F.min(own).alias("best"))
     gone = rows.join(best, "group").where(own != F.col("best")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__h")).distinct()
+    gone = materialize(gone, "near-gone")
     twice = materialize(rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__h")), "left_anti").groupBy(*_ROW).count().where("count > 1"), "near-copies")
     marked = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__th", F.xxhash64(text_or_empty()))
     kept = marked.join(gone, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left_anti")
