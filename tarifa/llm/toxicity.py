@@ -90,13 +90,15 @@ class Model:
 def _gradient_descent(index: list[np.ndarray], twin: list[np.ndarray], y: np.ndarray, size: int, l2: float, cf: float, steps: int) -> tuple[np.ndarray, float]:
     """Adam over the whole (bounded) training set; rows are lists of word places."""
     n = len(y)
-    row = np.repeat(np.arange(n), [len(x) for x in index])
-    col = np.concatenate([*index, np.zeros(0, np.int64)]).astype(np.int64)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in index])
+    col = np.concatenate([*index, np.zeros(0, np.int32)]).astype(np.int32)
     swapped = [i for i in range(n) if twin[i] is not index[i]]
-    # difference between a text and its twin, as signed entries
-    d_row = np.concatenate([np.repeat(k, len(index[i]) + len(twin[i])) for k, i in enumerate(swapped)] or [np.zeros(0, np.int64)])
-    d_col = np.concatenate([np.concatenate([index[i], twin[i]]) for i in swapped] or [np.zeros(0, np.int64)]).astype(np.int64)
-    d_val = np.concatenate([np.concatenate([np.ones(len(index[i])), -np.ones(len(twin[i]))]) for i in swapped] or [np.zeros(0)])
+    # difference between a text and its twin, as signed entries: only swapped words differ
+    lost = [np.setdiff1d(index[i], twin[i]) for i in swapped]
+    new = [np.setdiff1d(twin[i], index[i]) for i in swapped]
+    d_row = np.repeat(np.arange(len(swapped)), [len(a) + len(b) for a, b in zip(lost, new)])
+    d_col = np.concatenate([x for pair in zip(lost, new) for x in pair] or [np.zeros(0, np.int64)]).astype(np.int64)
+    d_val = np.concatenate([np.repeat((1.0, -1.0), (len(a), len(b))) for a, b in zip(lost, new)] or [np.zeros(0)])
     w, b = np.zeros(size), math.log((y.sum() + 1) / (n - y.sum() + 1))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
@@ -166,15 +168,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             for t in b.column(0).to_pylist():
                 found = words(t) & p.keys()
                 plain.append(sorted(p[w] for w in found))
-                twins.append(sorted(p[SWAP.get(w, w)] for w in found))
+                twins.append(sorted({p[SWAP.get(w, w)] for w in found}))
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(plain, kind), pa.array(twins, kind), b.column(1)], ["x", "twin", "y"])
 
     # at most 2 x MAX_TRAIN_PER_CLASS rows of indices into a bounded vocabulary
     train = rows.mapInArrow(encode, "x array<int>, twin array<int>, y int").toPandas()
     train = train.assign(key=[x.tobytes() for x in map(np.asarray, train.x)]).sort_values(["key", "y"], kind="stable")
-    index = [np.asarray(x, np.int64) for x in train.x]
-    twin = [x if np.array_equal(x, t) else np.asarray(t, np.int64) for x, t in zip(index, train.twin)]
+    index = [np.asarray(x, np.int32) for x in train.x]
+    twin = [x if np.array_equal(x, t) else np.asarray(t, np.int32) for x, t in zip(index, train.twin)]
     w, b = _gradient_descent(index, twin, train.y.to_numpy(float), len(vocabulary), l2, cf, steps)
     return Model(float(b) - math.log(rates[1] / rates[0]), {x: float(w[i]) for x, i in place.items() if w[i]})
 
