@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarifa.functions.specs import direction, geo_mean, pct_change
+from tarifa.operators.ranks import first_by_hash, nearest, quantiles, sum_before
 
 
 def by_period(df: DataFrame, *groups: str, price: str = "price") -> DataFrame:
@@ -43,9 +44,7 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 
 def box(df: DataFrame, group: str, value: str) -> DataFrame:
-    q = F.percentile(F.col(value).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = df.groupBy(group).agg(q.alias("q"), F.count(value).alias("n"))
-    return rows.select(group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"))
+    return quantiles(df, [group], value, (0.25, 0.5, 0.75)).select(group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"))
 
 
 def shares(df: DataFrame, within: Sequence[str], of: str) -> DataFrame:
@@ -97,8 +96,8 @@ def churn(df: DataFrame, product: str = "product", period: str = "period") -> Da
 def base_index(df: DataFrame, period: str = "period", price: str = "price") -> DataFrame:
     """Median price by period as an index, 100 in the first period, for all products and for the matched panel; the difference is the mix effect."""
     always = present_in_all(df, "product", period)
-    everything = df.groupBy(period).agg(F.median(price).alias("median_all"))
-    matched = df.join(always, "product", "left_semi").groupBy(period).agg(F.median(price).alias("median_matched"))
+    middle = lambda rows, name: quantiles(rows, [period], price, (0.5,)).select(period, F.col("q")[0].alias(name))
+    everything, matched = middle(df, "median_all"), middle(df.join(always, "product", "left_semi"), "median_matched")
     w = Window.partitionBy(F.lit(0)).orderBy(period).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row per period
     rows = everything.join(matched, period, "left")
     for name in ("all", "matched"):
@@ -155,11 +154,12 @@ def tiers(df: DataFrame, brand: str = "brand", price: str = "price", least: int
     Edges are exact quantiles, equal edges are merged, bins are closed on the right (the lowest on both sides);
     labels go from low to high over the bins that are left. Adds n_brand, tiers_planned, tiers_found and tier.
     """
-    w = Window.partitionBy(brand)
     p = F.col(price).cast("double")
-    q = lambda xs: F.percentile(p, F.array(*[F.lit(x) for x in xs])).over(w)
-    n = F.count("*").over(w)
-    rows = df.withColumns({"n_brand": n, "__q3": q((0.0, 1 / 3, 2 / 3, 1.0)), "__q2": q((0.0, 0.5, 1.0))}).where(F.col("n_brand") >= least)
+    found = quantiles(df.select(brand, price), [brand], price, (0.0, 1 / 3, 0.5, 2 / 3, 1.0))
+    q = lambda *places: F.array(*[F.col("q")[i] for i in places])
+    counts = df.groupBy(brand).agg(F.count("*").alias("n_brand")).where(F.col("n_brand") >= least)
+    edges = counts.join(found.select(brand, q(0, 1, 3, 4).alias("__q3"), q(0, 2, 4).alias("__q2")), brand, "left")  # a row per brand
+    rows = df.join(edges, brand)
     planned = F.when(F.col("n_brand") >= 15, 3).when(F.col("n_brand") >= 10, 2).otherwise(1)
     edges = F.array_distinct(F.when(planned == 3, F.col("__q3")).when(planned == 2, F.col("__q2")).otherwise(F.array(F.element_at("__q2", 1), F.element_at("__q2", 3))))
     rows = rows.withColumns({"tiers_planned": planned, "__e": edges}).withColumn("tiers_found", F.size("__e") - 1)
@@ -176,11 +176,13 @@ def tier_ranges(df: DataFrame) -> DataFrame:
 def assign_by_range(rows: DataFrame, ranges: DataFrame, price: str = "price") -> DataFrame:
     """The tier of the brand whose range holds the price, else the one with the nearest end; ties by low end, then name.
 
-    A brand has a few ranges, so this is an equi-join on the brand followed by a pick per row.
+    A brand has a few ranges, so this is an equi-join on the brand and a pick within each row; rows of unknown brands keep a null.
     """
-    joined = rows.join(ranges, "brand")
-    off = F.greatest(F.col("low") - F.col(price), F.col(price) - F.col("high"), F.lit(0.0))
-    return joined.groupBy(*rows.columns).agg(F.min_by("tier", F.struct(off.alias("o"), F.col("low").alias("l"), F.col("tier").alias("t"))).alias("assigned"))
+    each = ranges.groupBy("brand").agg(F.collect_list(F.struct("low", "high", "tier")).alias("__r"))  # a few ranges
+    joined = rows.join(each, "brand", "left")
+    off = lambda r: F.greatest(r["low"] - F.col(price), F.col(price) - r["high"], F.lit(0.0))
+    best = F.array_min(F.transform("__r", lambda r: F.struct(off(r).alias("o"), r["low"].alias("l"), r["tier"].alias("t"))))
+    return joined.select(*rows.columns, best["t"].alias("assigned"))
 
 
 def fallback_lookup(rows: DataFrame, models: DataFrame) -> DataFrame:
@@ -206,24 +208,16 @@ def knn(queries: DataFrame, rows: DataFrame, block: str, features: Sequence[str]
     """The k nearest rows of the same block for each query (Euclidean; ties by id), other than itself.
 
     Both have id, ``block`` and the features; ``different`` names a column that must differ. Distances are only made
-    within a block (an equi-join).
+    between neighbouring cells of a block (see ``ranks.nearest``).
     """
-    a = queries.select(F.col("id").alias("query_id"), block, *[F.col(f).alias(f"q_{f}") for f in features], *([F.col(different).alias("q_other")] if different else []))
-    joined = a.join(rows, block).where("query_id <> id")
-    if different:
-        joined = joined.where(F.col("q_other") != F.col(different))
-    distance = F.sqrt(sum(((F.col(f) - F.col(f"q_{f}")) * (F.col(f) - F.col(f"q_{f}")) for f in features), F.lit(0.0)))
-    joined = joined.withColumn("distance", distance)
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return joined.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "id", "rank", "distance")
+    return nearest(queries, rows, block, features, k, different)
 
 
 def average_rank(df: DataFrame, value: str, out: str, *within: str) -> DataFrame:
     """Ranks with ties averaged: one aggregate by value and one running sum over distinct values."""
     keys = [*within, value]
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*within).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.select(*keys, (F.coalesce(F.sum("__c").over(w), F.lit(0)) + (F.col("__c") + 1) / 2.0).alias(out))
+    ranked = sum_before(counts, within, value, "__c", "__before").select(*keys, (F.col("__before") + (F.col("__c") + 1) / 2.0).alias(out))
     return df.join(ranked, keys)
 
 
@@ -263,8 +257,7 @@ def rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, group: str, value: str, k: float = 1.5) -> DataFrame:
     """Rows outside the Tukey fences of their group; a group without spread has none."""
-    q = F.percentile(F.col(value).cast("double"), F.array(F.lit(0.25), F.lit(0.75)))
-    fences = df.groupBy(group).agg(q.alias("__q"))
+    fences = quantiles(df, [group], value, (0.25, 0.75)).select(group, F.col("q").alias("__q"))
     spread = F.col("__q")[1] - F.col("__q")[0]
     inside = F.col(value).between(F.col("__q")[0] - k * spread, F.col("__q")[1] + k * spread)
     return df.join(fences, group).withColumn("outlier", F.when(spread > 0, ~inside).otherwise(F.lit(False))).drop("__q")
@@ -282,11 +275,8 @@ def split(df: DataFrame, key: str, share: float = 0.2, *strata: str, salt: str =
 
     The split goes by key, so all rows of a key are on one side.
     """
-    keys = df.select(key, *strata).distinct()
-    order = F.md5(F.concat_ws("|", F.lit(salt), F.col(key).cast("string")))
-    w = Window.partitionBy(*strata)
-    keys = keys.withColumn("__r", F.row_number().over(w.orderBy(order, key))).withColumn("__n", F.count("*").over(w))
-    part = F.when(F.col("__r") <= F.ceil(F.col("__n") * share), "test").otherwise("train")
+    keys = first_by_hash(df.select(key, *strata).distinct(), key, strata, salt)
+    part = F.when(F.col("place") <= F.ceil(F.col("size") * share), "test").otherwise("train")
     return df.join(keys.select(key, *strata, part.alias("part")), [key, *strata])
 
 

@@ -303,7 +303,7 @@ def brand_plan(spark, d):
 @query(
     f"""WITH {_TIERS}, r AS (SELECT brand, tier, min(price) AS low, max(price) AS high FROM tiered GROUP BY 1, 2),
         c AS (SELECT p.product, p.brand, p.price * 1.01 AS price, r.tier, row_number() OVER (PARTITION BY p.product ORDER BY greatest(low - p.price * 1.01, p.price * 1.01 - high, 0), low, r.tier) AS k
-              FROM parts p JOIN r ON p.brand = r.brand) SELECT product, tier AS assigned FROM c WHERE k = 1"""
+              FROM parts p LEFT JOIN r ON p.brand = r.brand) SELECT product, tier AS assigned FROM c WHERE k = 1"""
 )
 def range_tier_assign(spark, d):
     rows = parts(spark, d).select("product", "brand", (F.col("price") * 1.01).alias("price"))
