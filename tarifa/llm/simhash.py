@@ -32,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarifa.llm.common import documents, materialize, partitions, table, text_or_empty
@@ -392,7 +392,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, th, fp, hash and size of the shingle set, and its prefix, of every row.
+    """doc_id, th, fp, hash and size of the shingle set, its prefix and a quarter of it as short hashes, of every row.
 
     Sets are ordered by (common in the sample, hash). Two sets of similarity 0.8 or more share a member of their first
     n - ceil(0.8 n) + 1 in any common order, so no pair is missed.
@@ -402,49 +402,63 @@ def _prefixes(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = sent.value
         for b in batches:
-            fp, sig, size, prefix = [], [], [], []
+            fp, sig, size, prefix, part = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 s, f = shingle_set(t, shingle), fingerprint(t, shingle)
                 h = xxhash.xxh64_intdigest(s.tobytes(), 7)
                 n, late = len(s), np.searchsorted(common, s, "right") > np.searchsorted(common, s)
                 first = np.concatenate((s[~late], s[late]))[: n - (4 * n + 4) // 5 + 1] if n else s
                 fp.append(f), sig.append(h - (h >> 63 << 64)), size.append(n), prefix.append(first.view(np.int64))
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(fp, pa.int64()), pa.array(sig, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, kind)], [*_ROW, "fp", "sig", "size", "prefix"]
-            )
+                part.append(np.unique((s[s % 4 == 0] >> np.uint64(2)).astype(np.uint32)).view(np.int32))
+            columns = [pa.array(fp, pa.int64()), pa.array(sig, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(part, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *columns], [*_ROW, "fp", "sig", "size", "prefix", "part"])
 
-    return docs.mapInArrow(run, "doc_id long, th long, fp long, sig long, size long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, th long, fp long, sig long, size long, prefix array<long>, part array<int>")
+
+
+#: Texts that are picked out by their broadcast keys (of 16 bytes) before they are moved; more are moved with all others.
+_PICKED = 500_000
+
+
+def _row_key() -> list[Column]:
+    return [F.xxhash64(*_ROW).alias("rk"), F.col("th").alias("rt")]
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) of classes whose shingle sets have a Jaccard similarity of 0.8 or more.
 
     Sets that are so similar differ in a ninth of their sizes' sum at most. A quarter of the hash space, shortened to 32 bits,
-    can only show fewer differences: pairs over the bound there go before whole sets are moved. A class's set is that of
-    its representative row.
+    can only show fewer differences: pairs over the bound there go before any text is moved. For the others the texts of both
+    classes' representative rows come together, and the whole sets are compared.
     """
     pairs = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-candidates")
+    parts = classes.select("class", "part", "size", F.struct(F.xxhash64("row.doc_id", "row.th").alias("rk"), F.col("row.th").alias("rt")).alias("k"))
+    apart = F.size("pa") + F.size("pb") - 2 * F.size(F.array_intersect("pa", "pb"))
+    left = pairs.join(parts.toDF("a", "pa", "na", "ka"), "a").join(parts.toDF("b", "pb", "nb", "kb"), "b").where(9 * apart <= F.col("na") + F.col("nb"))
+    left = materialize(left.select("a", "b", "ka", "kb"), "near-likely")
+    ids = left.select(F.explode(F.array("ka", "kb")).alias("k")).select("k.rk", "k.rt").distinct()
+    texts = docs.select(*_row_key(), "text")
+    if ids.count() <= _PICKED:
+        texts = texts.join(F.broadcast(ids), ["rk", "rt"], "left_semi")
+    one = Window.partitionBy("rk", "rt").orderBy(F.lit(0))  # repeated rows are one
+    texts = texts.withColumn("r", F.row_number().over(one)).where("r = 1").drop("r")
+    left = left.select("a", "b", F.col("ka.rk").alias("rk"), F.col("ka.rt").alias("rt"), "kb")
+    first = left.join(texts, ["rk", "rt"]).select("a", "b", F.col("text").alias("ta"), F.col("kb.rk").alias("rk"), F.col("kb.rt").alias("rt"))
+    both = first.join(texts, ["rk", "rt"]).select("a", "b", "ta", F.col("text").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = None, np.zeros(0, np.uint64)
         for b in batches:
-            sets = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
-            parts = [np.unique((x[x % 4 == 0] >> np.uint64(2)).astype(np.uint32)).view(np.int32) for x in sets]
-            columns = [b.column(0), pa.array(parts, pa.list_(pa.int32())), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array(map(len, sets), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["class", "part", "s", "n"])
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    # written, so that Spark knows its size and moves it rather than the texts where it is small
-    ids = materialize(classes.select("class", "row").join(ids, "class").select("class", F.col("row.doc_id").alias("id"), F.col("row.th").alias("h")), "near-ids")
-    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).select("class", "text")
-    sets = materialize(texts.mapInArrow(run, "class long, part array<int>, s array<long>, n long"), "near-sets")
-    parts, whole = sets.select("class", "part", "n"), sets.select("class", "s")
-    apart = F.size("pa") + F.size("pb") - 2 * F.size(F.array_intersect("pa", "pb"))
-    left = pairs.join(parts.toDF("a", "pa", "na"), "a").join(parts.toDF("b", "pb", "nb"), "b").where(9 * apart <= F.col("na") + F.col("nb"))
-    left = materialize(left.select("a", "b").distinct(), "near-likely")
-    both = left.join(whole.toDF("a", "sa"), "a").join(whole.toDF("b", "sb"), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return materialize(both.where(9 * shared >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"), "near-links")
+            good = []
+            for ta, tb in zip(b.column(2), b.column(3)):
+                if (text := tb.as_py()) != held:  # pairs of the same second text follow each other
+                    held, known = text, shingle_set(text, shingle)
+                own = shingle_set(ta.as_py(), shingle)
+                good.append(9 * len(np.intersect1d(own, known, assume_unique=True)) >= 4 * (len(own) + len(known)))
+            at = pa.array(np.flatnonzero(good))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
+
+    return materialize(both.mapInArrow(run, "a long, b long"), "near-links")
 
 
 def _near_rows(docs: DataFrame, shingle: int) -> DataFrame:
@@ -452,7 +466,7 @@ def _near_rows(docs: DataFrame, shingle: int) -> DataFrame:
     found = materialize(_prefixes(docs, shingle), "near-prefixes")
     same = ["fp", "sig", "size"]
     # a class of equal sets; its number is taken from a table that is written, so it does not change
-    classes = found.groupBy(*same).agg(F.min(F.struct(F.col("doc_id").isNull(), *_ROW)).alias("row"), F.first("prefix").alias("prefix"))
+    classes = found.groupBy(*same).agg(F.min(F.struct(F.col("doc_id").isNull(), *_ROW)).alias("row"), F.first("prefix").alias("prefix"), F.first("part").alias("part"))
     classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "near-classes")
     by_key = Window.partitionBy("key").orderBy("size", "class")
     filed = classes.select(F.explode("prefix").alias("key"), "class", "size")
