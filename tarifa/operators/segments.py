@@ -1,7 +1,9 @@
-"""Clustering of small units, stability, bootstrap and per-segment models.
+"""Clustering of units, stability, bootstrap and per-segment models.
 
-A unit (a brand and tier, a segment) has tens to a few thousand rows, so units run as grouped NumPy functions, one
-unit per call; the number of units, not their size, grows with the data. Randomness is seeded from the unit's name.
+A unit (a brand and tier, a segment) mostly has tens to a few thousand rows, so units run as grouped NumPy functions, one
+unit per call; randomness is seeded from the unit's name. Units of more than ``MAX_UNIT`` rows are clustered by distributed
+K-means with a distributed (squared Euclidean) silhouette instead, one after the other. Linear models of segments come from sums, so
+segments may be of any size.
 """
 
 from __future__ import annotations
@@ -14,9 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifa.operators.regression import ALPHAS
+from tarifa.operators.regression import ALPHAS, _ridge, _summed
 
-MAX_UNIT = 20_000
+#: Rows of a unit that one task clusters, and rows of a distance matrix that are made at once.
+MAX_UNIT, _STRIP = 20_000, 1024
+MAX_K = 8
 
 
 def rng_for(*name: object) -> np.random.Generator:
@@ -54,45 +58,91 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, n_init: int = 10, st
 
 
 def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
-    """Mean over rows of (b - a) / max(a, b), Euclidean; 0 for rows alone in their cluster."""
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0))
-    names = np.unique(labels)
-    sums = np.column_stack([d[:, labels == c].sum(1) for c in names])
-    sizes = np.array([(labels == c).sum() for c in names])
-    own = np.searchsorted(names, labels)
-    rows = np.arange(len(x))
-    a = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
-    means = sums / sizes
-    means[rows, own] = np.inf
-    b = means.min(1)
-    s = np.where(sizes[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-    return float(s.mean())
-
-
-def choose_k(x: np.ndarray, rng: np.random.Generator) -> tuple[int, list[tuple[int, int, int, float | None, bool]]]:
+    """Mean over rows of (b - a) / max(a, b), Euclidean; 0 for rows alone in their cluster. Distances are made a strip at a time."""
+    names, own = np.unique(labels, return_inverse=True)
+    sizes = np.bincount(own)
+    member = np.eye(len(names))[own]
+    total = 0.0
+    for at in range(0, len(x), _STRIP):
+        part = x[at : at + _STRIP]
+        d = np.sqrt(np.maximum(sum((part[:, [f]] - x[:, f][None]) ** 2 for f in range(x.shape[1])), 0))
+        sums, mine = d @ member, own[at : at + _STRIP]
+        rows = np.arange(len(part))
+        a = sums[rows, mine] / np.maximum(sizes[mine] - 1, 1)
+        means = sums / sizes
+        means[rows, mine] = np.inf
+        b = means.min(1)
+        total += float(np.where(sizes[mine] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0).sum())
+    return total / len(x)
+
+
+def choose_k(x: np.ndarray, rng: np.random.Generator) -> tuple[int, list[tuple[int, int, int, float | None, bool, float]]]:
     """k of the best silhouette among those whose clusters are large enough, 1 if none; and a row per k tried."""
     n = len(x)
     least = max(5, round(0.03 * n))
     best, best_s, trace = 1, -1.0, []
-    for k in range(2, max(3, min(8, n // 10)) + 1):
-        labels, _ = kmeans(x, k, rng)
+    for k in range(2, max(3, min(MAX_K, n // 10)) + 1):
+        labels, inertia = kmeans(x, k, rng)
         sizes = np.bincount(labels)
         if len(sizes) < 2:
-            trace.append((k, len(sizes), 0, None, False))
+            trace.append((k, len(sizes), 0, None, False, inertia))
             continue
         s, valid = silhouette(x, labels), bool(sizes.min() >= least)
-        trace.append((k, len(sizes), int(sizes.min()), s, valid))
+        trace.append((k, len(sizes), int(sizes.min()), s, valid, inertia))
         if valid and s > best_s:
             best, best_s = k, s
     return best, trace
 
 
 def _matrix(unit: pd.DataFrame, features: Sequence[str]) -> np.ndarray:
-    if len(unit) > MAX_UNIT:
-        raise ValueError(f"a unit has more than {MAX_UNIT} rows; cluster it with MLlib")
     return standardise(unit[list(features)].to_numpy(float))
 
 
+def _by_size(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[tuple]]:
+    """Rows of the units that one task takes, and the keys of the larger ones (of which there is one per ``MAX_UNIT`` rows at most)."""
+    large = [tuple(r[k] for k in keys) for r in df.groupBy(*keys).count().where(F.col("count") > MAX_UNIT).collect()]
+    if not large:
+        return df, []
+    names = df.sparkSession.createDataFrame(large, df.select(*keys).schema)
+    return df.join(F.broadcast(names), keys, "left_anti"), large
+
+
+def _all_equal(keys: list[str], key: tuple):
+    out = F.lit(True)
+    for k, v in zip(keys, key):
+        out = out & F.col(k).eqNullSafe(F.lit(v))
+    return out
+
+
+def scaled_vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``df`` with ``__x``: the features with their mean taken off, over their population deviation, as a vector."""
+    from pyspark.ml.functions import array_to_vector
+
+    stats = df.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)], *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)]).first()
+    scaled = [(F.col(f).cast("double") - (stats[f"m{i}"] or 0.0)) / (stats[f"s{i}"] or 1.0) for i, f in enumerate(features)]
+    return df.withColumn("__x", array_to_vector(F.array(*scaled)))
+
+
+def distributed_kmeans(df: DataFrame, features: Sequence[str], ks: Sequence[int] = range(2, MAX_K + 1), seed: int = 42):
+    """(model or None, trace): K-means of the valid k with the best silhouette over rows of any number; ``df`` has ``__x``."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    n = df.count()
+    least, best, best_s, trace = max(5, round(0.03 * n)), None, -1.0, []
+    check = ClusteringEvaluator(featuresCol="__x", predictionCol="__c")
+    for k in ks:
+        model = KMeans(k=k, seed=seed, featuresCol="__x", predictionCol="__c", maxIter=50).fit(df)
+        sizes = model.summary.clusterSizes
+        found = sum(x > 0 for x in sizes)
+        s = check.evaluate(model.transform(df)) if found > 1 else None
+        valid = found == k and min(sizes) >= least
+        trace.append((k, found, min(sizes) if found > 1 else 0, s, valid, float(model.summary.trainingCost)))
+        if valid and s > best_s:
+            best, best_s = model, s
+    return best, trace
+
+
 def cluster_units(df: DataFrame, unit: Sequence[str], features: Sequence[str], least: int = 10) -> DataFrame:
     """id, unit, cluster and outcome (clustered, no_structure, too_small) of every row; clusters in order of their centres."""
     keys = list(unit)
@@ -109,22 +159,41 @@ def cluster_units(df: DataFrame, unit: Sequence[str], features: Sequence[str], l
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("id", *keys)) + ", cluster int, outcome string"
-    return df.select("id", *keys, *features).groupBy(*keys).applyInPandas(run, schema)
+    small, large = _by_size(df.select("id", *keys, *features), keys)
+    out = small.groupBy(*keys).applyInPandas(run, schema)
+    for key in large:
+        rows = scaled_vectors(df.where(_all_equal(keys, key)).select("id", *keys, *features), features)
+        model, _ = distributed_kmeans(rows, features)
+        if model is None:
+            out = out.unionByName(rows.select("id", *keys, F.lit(0).alias("cluster"), F.lit("no_structure").alias("outcome")))
+        else:
+            order = sorted(range(len(model.clusterCenters())), key=lambda i: tuple(model.clusterCenters()[i]))
+            place = F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(order) for x in (c, i)]), F.col("__c"))
+            out = out.unionByName(model.transform(rows).select("id", *keys, place.alias("cluster"), F.lit("clustered").alias("outcome")))
+    return out
 
 
 def k_trace(df: DataFrame, unit: Sequence[str], features: Sequence[str], least: int = 10) -> DataFrame:
-    """A row per unit and k: clusters found, smallest size, silhouette, valid, chosen."""
+    """A row per unit and k: clusters found, smallest size, silhouette, valid, inertia, chosen."""
     keys = list(unit)
+    columns = ["k", "n_clusters", "least_size", "silhouette", "valid", "inertia"]
 
     def run(key: tuple, u: pd.DataFrame) -> pd.DataFrame:
         k, trace = choose_k(_matrix(u.sort_values("id"), features), rng_for("units", *key)) if len(u) >= least else (1, [])
-        out = pd.DataFrame(trace, columns=["k", "n_clusters", "least_size", "silhouette", "valid"])
+        out = pd.DataFrame(trace, columns=columns)
         for name, value in zip(reversed(keys), reversed(key)):
             out.insert(0, name, value)
         return out.assign(chosen=out.k == k)
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select("id", *keys, *features).groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", k int, n_clusters int, least_size int, silhouette double, valid boolean, chosen boolean")
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", k int, n_clusters int, least_size int, silhouette double, valid boolean, inertia double, chosen boolean"
+    small, large = _by_size(df.select("id", *keys, *features), keys)
+    out = small.groupBy(*keys).applyInPandas(run, schema)
+    for key in large:
+        model, trace = distributed_kmeans(scaled_vectors(df.where(_all_equal(keys, key)).select("id", *features), features), features)
+        chosen = len(model.clusterCenters()) if model else 1
+        out = out.unionByName(df.sparkSession.createDataFrame([(*key, *t, t[0] == chosen) for t in trace], schema))
+    return out
 
 
 def rand_index(a: np.ndarray, b: np.ndarray) -> float:
@@ -158,7 +227,30 @@ def stability(df: DataFrame, unit: Sequence[str], features: Sequence[str], repli
         return pd.DataFrame([row])
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select("id", *keys, *features).groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", n int, k int, ari_mean double, ari_sd double, n_valid int")
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", n int, k int, ari_mean double, ari_sd double, n_valid int"
+    small, large = _by_size(df.select("id", *keys, *features), keys)
+    out = small.groupBy(*keys).applyInPandas(run, schema)
+    for key in large:  # refits on samples of MAX_UNIT rows: the whole unit is what they are compared with
+        rows = scaled_vectors(df.where(_all_equal(keys, key)).select("id", *features), features)
+        n, (model, _) = rows.count(), distributed_kmeans(rows, features)
+        found: list[float] = []
+        if model is not None:
+            k, labelled = len(model.clusterCenters()), model.transform(rows)
+            for r in range(replicates):
+                draw = labelled.sample(withReplacement=True, fraction=MAX_UNIT / n, seed=r).select("__x", "__c").toPandas()
+                labels = kmeans(np.stack([v.toArray() for v in draw["__x"]]), k, rng_for("large", *key, r), n_init=3)[0]
+                if len(set(labels)) > 1:
+                    found.append(rand_index(draw["__c"].to_numpy(), labels))
+        row = (*key, n, len(model.clusterCenters()) if model else 1, float(np.mean(found)) if found else None, float(np.std(found)) if found else None, len(found))
+        out = out.unionByName(df.sparkSession.createDataFrame([row], schema))
+    return out
+
+
+def _resampled_means(x: np.ndarray, n_boot: int, rng: np.random.Generator, room: int = 1 << 20) -> np.ndarray:
+    """Column means of ``n_boot`` samples of the rows, drawn with replacement; about ``room`` places are held at once."""
+    step = max(1, room // len(x))
+    parts = [x[rng.integers(0, len(x), (min(step, n_boot - at), len(x)))].mean(1) for at in range(0, n_boot, step)]
+    return np.concatenate(parts)
 
 
 def bootstrap_gap(df: DataFrame, group: Sequence[str], n_boot: int = 1000, ci: float = 0.95) -> DataFrame:
@@ -171,7 +263,7 @@ def bootstrap_gap(df: DataFrame, group: Sequence[str], n_boot: int = 1000, ci: f
         sides = [u[u.side == s].sort_values(["real", "estimated"])[["real", "estimated"]].to_numpy(float) for s in (0, 1)]
         if n_boot > 0 and min(map(len, sides)) >= 2:
             rng = rng_for("gap", *key)
-            means = [np.exp(np.log(s)[rng.integers(0, len(s), (n_boot, len(s)))].mean(1)) for s in sides]
+            means = [np.exp(_resampled_means(np.log(s), n_boot, rng)) for s in sides]
             change = (means[1] - means[0]) / means[0] * 100
             gap = change[:, 0] - change[:, 1]
             low, high = np.quantile(gap, [(1 - ci) / 2, (1 + ci) / 2])
@@ -186,49 +278,175 @@ def bootstrap_gap(df: DataFrame, group: Sequence[str], n_boot: int = 1000, ci: f
 
 
 #: Rows per predictor that a family of models needs.
-MIN_RATIO = {"hedonic": 10, "ridge": 5}
-
-
-def segment_models(df: DataFrame, segment: str, features: Sequence[str], target: str, estimate: str) -> DataFrame:
+MIN_RATIO = {"hedonic": 10, "ridge": 5, "random_forest": 5}
+FOLDS = 5
+_MODEL = "n long, n_predictors int, fitted boolean, r2 double, r2_category double, kept boolean, intercept double, coefficients map<string,double>"
+
+
+def fold_of(key: str, folds: int = FOLDS):
+    """Fold of a key, by its MD5."""
+    return F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(folds))
+
+
+def _linear(grams: dict[str, np.ndarray], names: list[str], family: str) -> tuple[list[str], float | None, np.ndarray | None]:
+    """Predictors that vary, intercept and slopes from the Gram matrix of each fold; None with too few rows."""
+    total = sum(grams.values())
+    n, p = total[0, 0], len(names)
+    spread = np.diag(total)[1 : p + 1] - total[0, 1 : p + 1] ** 2 / n
+    at = np.flatnonzero(spread > 1e-9 * np.maximum(np.diag(total)[1 : p + 1], 1))
+    use = [names[i] for i in at]
+    if not use or n < MIN_RATIO[family] * len(use):
+        return use, None, None
+    places = np.concatenate(([0], at + 1, [p + 1]))
+    own = {f: g[np.ix_(places, places)] for f, g in grams.items()}
+    whole, k = sum(own.values()), len(use)
+    if family == "hedonic":
+        beta = np.linalg.pinv(whole[: k + 1, : k + 1], hermitian=True) @ whole[: k + 1, k + 1]
+        return use, float(beta[0]), beta[1:]
+
+    def loss(alpha: float) -> float:
+        out = 0.0
+        for g in own.values():
+            if (whole - g)[0, 0] < 1:
+                continue
+            beta = np.append(*_ridge(whole - g, alpha))
+            out += g[k + 1, k + 1] - 2 * beta @ g[: k + 1, k + 1] + beta @ g[: k + 1, : k + 1] @ beta
+        return out
+
+    return use, *_ridge(whole, min(ALPHAS, key=loss))
+
+
+def segment_models(df: DataFrame, segment: str, features: Sequence[str], target: str, estimate: str, key: str = "product", families: Sequence[str] = tuple(MIN_RATIO)) -> DataFrame:
     """Models per segment and family, kept if they beat the category model on the segment's test rows.
 
     ``df`` has a ``part`` column (train, test), the target in logs and the category model's ``estimate`` for it. One row per
-    segment and family: n, predictors, whether it was fitted, R2 on test of both, kept, intercept and coefficients.
+    segment and family: n, predictors, whether it was fitted, R2 on test of both, kept, intercept and coefficients (a forest has
+    importances instead). Linear families are solved from one pass of sums per segment and fold; only these reach the driver.
     """
-    names = list(features)
+    names, spark = list(features), df.sparkSession
+    p = len(names)
+    kind = df.schema[segment].dataType.simpleString()
+    every = {r[segment]: r["n"] for r in df.groupBy(segment).agg(F.count("*").alias("n")).collect()}  # a row per segment
+    label = F.coalesce(F.col(segment).cast("string"), F.lit("\0"))
+    x = F.array(F.lit(1.0), *[F.col(f).cast("double") for f in names])
+    train = df.where("part = 'train'").select(label.alias("s"), fold_of(key).cast("string").alias("f"), x.alias("x"), F.col(target).cast("double").alias("y")).where("y IS NOT NULL")
+
+    def partial(b) -> np.ndarray:
+        z = np.column_stack([b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, p + 1), b.column(3).to_numpy(zero_copy_only=False)])
+        return z.T @ z
+
+    grams: dict[str, dict[str, np.ndarray]] = {}
+    for (s, f), g in _summed(train, partial, (p + 2, p + 2), by=("s", "f")).items():
+        grams.setdefault(s, {})[f] = g
+    rows = []
+    for s, n in every.items():
+        for family in [f for f in families if f != "random_forest"]:
+            own = grams.get("\0" if s is None else str(s))
+            use, a, b = _linear(own, names, family) if own else ([], None, None)
+            rows.append((s, family, n, len(use), a is not None, a, dict(zip(use, map(float, b))) if b is not None else None))
+    fitted = spark.createDataFrame(rows, f"{segment} {kind}, family string, n long, n_predictors int, fitted boolean, intercept double, coefficients map<string,double>")
+    weight = lambda f: F.coalesce(F.try_element_at("m.coefficients", F.lit(f)), F.lit(0.0))
+    made = sum((F.col(f"t.{f}").cast("double") * weight(f) for f in names), F.col("m.intercept"))
+    test = df.where("part = 'test'").alias("t").join(fitted.where("fitted").alias("m"), F.col(f"t.{segment}").eqNullSafe(F.col(f"m.{segment}")))
+    out = fitted.join(_r2(test.select(F.col(f"m.{segment}").alias("__s"), F.col("m.family").alias("__f"), F.col(f"t.{target}").alias("y"), made.alias("e"), F.col(f"t.{estimate}").alias("c"))), F.col(segment).eqNullSafe(F.col("__s")) & (F.col("family") == F.col("__f")), "left")
+    out = out.withColumn("kept", F.coalesce(F.col("r2") > F.col("r2_category"), F.lit(False)))
+    columns = [segment, "family", *(c.split()[0] for c in _MODEL.replace("map<string,double>", "map").split(", "))]
+    out = out.select(*columns)
+    return out.unionByName(_forests(df, segment, names, target, estimate, kind).select(*columns)) if "random_forest" in families else out
+
+
+def _r2(rows: DataFrame) -> DataFrame:
+    """R2 of ``e`` and of ``c`` for ``y`` by ``__s`` and ``__f``; null without spread."""
+    of = lambda v: F.sum((F.col("y") - F.col(v)) * (F.col("y") - F.col(v)))
+    found = rows.groupBy("__s", "__f").agg(F.count("*").alias("k"), (F.var_pop("y") * F.count("*")).alias("t"), of("e").alias("a"), of("c").alias("b"))
+    good = (F.col("k") > 1) & (F.col("t") > 1e-12)
+    return found.select("__s", "__f", F.when(good, 1 - F.col("a") / F.col("t")).alias("r2"), F.when(good, 1 - F.col("b") / F.col("t")).alias("r2_category"))
+
+
+TREES, DEPTH = 100, 10
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int, least: int = 2) -> tuple[list, np.ndarray]:
+    """A regression tree: nodes (feature, threshold, left, right) or (-1, mean, 0, 0), and the loss each feature took away."""
+    nodes: list = []
+    gain = np.zeros(x.shape[1])
+
+    def build(at: np.ndarray, level: int) -> int:
+        me = len(nodes)
+        nodes.append((-1, float(y[at].mean()), 0, 0))
+        n, own = len(at), y[at]
+        if level >= depth or n < least or np.ptp(own) < 1e-12:
+            return me
+        best = (0.0, -1, 0.0)
+        whole = own.sum()
+        for f in range(x.shape[1]):
+            order = np.argsort(x[at, f], kind="stable")
+            v, left = x[at, f][order], np.cumsum(own[order])[:-1]
+            k = np.arange(1, n)
+            score = np.where(v[1:] > v[:-1], left**2 / k + (whole - left) ** 2 / (n - k) - whole**2 / n, -np.inf)
+            i = int(score.argmax())
+            if score[i] > best[0] + 1e-12:
+                best = (float(score[i]), f, float((v[i] + v[i + 1]) / 2))
+        if best[1] < 0:
+            return me
+        gain[best[1]] += best[0]
+        low = x[at, best[1]] <= best[2]
+        nodes[me] = (best[1], best[2], build(at[low], level + 1), build(at[~low], level + 1))
+        return me
+
+    build(np.arange(len(y)), 0)
+    return nodes, gain
+
+
+def _apply(nodes: list, x: np.ndarray) -> np.ndarray:
+    table = np.array(nodes, float)
+    at = np.zeros(len(x), int)
+    while True:
+        f = table[at, 0].astype(int)
+        inner = f >= 0
+        if not inner.any():
+            return table[at, 1]
+        low = x[np.arange(len(x)), np.maximum(f, 0)] <= table[at, 1]
+        at = np.where(inner, np.where(low, table[at, 2], table[at, 3]).astype(int), at)
+
+
+def _forests(df: DataFrame, segment: str, names: list[str], target: str, estimate: str, kind: str) -> DataFrame:
+    """The random-forest rows of ``segment_models``: a task grows the trees of a segment, larger segments go to MLlib."""
+    from tarifa.operators import forest
+
+    def r2(t: np.ndarray, e: np.ndarray) -> float | None:
+        return float(1 - ((t - e) ** 2).sum() / ((t - t.mean()) ** 2).sum()) if len(t) > 1 and t.var() > 1e-12 / len(t) else None
 
     def run(key: tuple, u: pd.DataFrame) -> pd.DataFrame:
-        train, test = u[u.part == "train"], u[u.part == "test"]
-        rows = []
-        for family, ratio in MIN_RATIO.items():
-            use = [f for f in names if train[f].nunique() > 1]
-            row = {segment: key[0], "family": family, "n": len(u), "n_predictors": len(use), "fitted": False, "r2": None, "r2_category": None, "kept": False, "intercept": None, "coefficients": None}
-            if use and len(train) >= ratio * len(use):
-                x, y = train[use].to_numpy(float), train[target].to_numpy(float)
-                if family == "hedonic":
-                    beta = np.linalg.lstsq(np.column_stack([np.ones(len(x)), x]), y, rcond=None)[0]
-                    a, b = beta[0], beta[1:]
-                else:
-                    sd, mean = np.where(x.std(0) > 0, x.std(0), 1), x.mean(0)
-                    z = (x - mean) / sd
-                    fold = np.arange(len(x)) % 5
-                    fit = lambda m, alpha: np.linalg.solve(z[m].T @ z[m] + alpha * np.eye(len(use)), z[m].T @ (y[m] - y[m].mean()))
-                    loss = lambda alpha: sum(((y[fold == k] - y[fold != k].mean() - z[fold == k] @ fit(fold != k, alpha)) ** 2).sum() for k in range(5))
-                    w = fit(np.ones(len(x), bool), min(ALPHAS, key=loss))
-                    b = w / sd
-                    a = y.mean() - mean @ b
-                row |= {"fitted": True, "intercept": float(a), "coefficients": dict(zip(use, map(float, b)))}
-                t = test[target].to_numpy(float)
-                if len(t) > 1 and t.var() > 0:
-                    r2 = lambda p: float(1 - ((t - p) ** 2).sum() / ((t - t.mean()) ** 2).sum())
-                    row |= {"r2": r2(a + test[use].to_numpy(float) @ b), "r2_category": r2(test[estimate].to_numpy(float))}
-                    row["kept"] = row["r2"] > row["r2_category"]
-            rows.append(row)
-        return pd.DataFrame(rows)
+        u = u.sort_values([*names, target], ignore_index=True)
+        train, test = u[(u.part == "train") & u[target].notna()], u[u.part == "test"]
+        use = [f for f in names if train[f].nunique() > 1]
+        row = {segment: key[0], "family": "random_forest", "n": len(u), "n_predictors": len(use), "fitted": False, "r2": None, "r2_category": None, "kept": False, "intercept": None, "coefficients": None}
+        if use and len(train) >= MIN_RATIO["random_forest"] * len(use):
+            x, y, rng = train[use].to_numpy(float), train[target].to_numpy(float), rng_for("forest", key[0])
+            made, gain, z = np.zeros(len(test)), np.zeros(len(use)), test[use].to_numpy(float)
+            for _ in range(TREES):
+                at = rng.integers(0, len(x), len(x))
+                nodes, g = grow(x[at], y[at], DEPTH)
+                made, gain = made + _apply(nodes, z) / TREES, gain + g / max(g.sum(), 1e-300) / TREES
+            t = test[target].to_numpy(float)
+            row |= {"fitted": True, "coefficients": dict(zip(use, map(float, gain))), "r2": r2(t, made), "r2_category": r2(t, test[estimate].to_numpy(float))}
+            row["kept"] = row["r2"] is not None and row["r2"] > row["r2_category"]
+        return pd.DataFrame([row])
 
-    kind = df.schema[segment].dataType.simpleString()
-    schema = f"{segment} {kind}, family string, n int, n_predictors int, fitted boolean, r2 double, r2_category double, kept boolean, intercept double, coefficients map<string,double>"
-    return df.select(segment, "part", *names, target, estimate).groupBy(segment).applyInPandas(run, schema)
+    schema = f"{segment} {kind}, family string, {_MODEL}"
+    rows = df.select(segment, "part", *names, target, estimate)
+    small, large = _by_size(rows, [segment])
+    out = small.groupBy(segment).applyInPandas(run, schema)
+    for key in large:
+        own = rows.where(_all_equal([segment], key))
+        model = forest.fit(own.where("part = 'train'").withColumn("__k", F.xxhash64(*names)), names, target, "__k", trees=(TREES,), depths=(DEPTH,))
+        test = model.transform(forest.assembled(own.where("part = 'test'"), names))
+        found = _r2(test.select(F.col(segment).alias("__s"), F.lit("random_forest").alias("__f"), F.col(target).alias("y"), F.col("prediction").alias("e"), F.col(estimate).alias("c"))).first()
+        good = bool(found and found["r2"] is not None and found["r2"] > found["r2_category"])
+        row = (key[0], "random_forest", own.count(), len(names), True, found and found["r2"], found and found["r2_category"], good, None, dict(zip(names, map(float, model.featureImportances.toArray()))))
+        out = out.unionByName(df.sparkSession.createDataFrame([row], schema))
+    return out
 
 
 def score_cascade(df: DataFrame, fine: DataFrame, coarse: DataFrame, segment_fine: str, segment_coarse: str, features: Sequence[str], estimate: str) -> DataFrame:
@@ -241,6 +459,6 @@ def score_cascade(df: DataFrame, fine: DataFrame, coarse: DataFrame, segment_fin
         value = sum((F.col(f) * weight(f) for f in features), F.col(f"__a{out}"))
         return joined.withColumn(out, value).drop(f"__{out}", f"__a{out}", f"__b{out}")
 
-    rows = with_model(with_model(df, fine, segment_fine, "p2"), coarse, segment_coarse, "p1")
+    rows = with_model(with_model(df, fine, segment_fine, "p2"), coarse, segment_coarse, "p1")  # linear families: a forest has no coefficients
     source = F.when(F.col("p2").isNotNull(), "n2").when(F.col("p1").isNotNull(), "n1").otherwise("categorie")
     return rows.withColumns({"scored": F.coalesce("p2", "p1", estimate), "source": source}).drop("p1", "p2")

@@ -191,16 +191,18 @@ def k_justification(spark, d):
 
 @query()
 def cluster_stability(spark, d):
-    x = tiers(parts(spark, d))
-    return segments.stability(x.where("tier = 'Premium'"), ["brand", "tier"], ["size"], replicates=20)
+    return segments.stability(tiers(parts(spark, d)), ["brand", "tier"], ["size"])
 
 
 @query()
 def bootstrap_gap(spark, d):
-    x = _rows(spark, d).where("period IN (1996, 1997)")
+    x = _rows(spark, d)
     m = regression.ols(x, DesignSpec.fit(x, ["quantity"], []), F.col("y"))
-    sides = x.select("category", (F.col("period") - 1996).cast("int").alias("side"), F.col("price").alias("real"), F.exp(m.predict()).alias("estimated"))
-    return segments.bootstrap_gap(sides, ["category"], 200)
+    rows = x.select("category", "period", F.col("price").alias("real"), F.exp(m.predict()).alias("estimated"))
+    # each period is the after side of one transition and the before side of the next
+    sides = rows.select("category", F.col("period").alias("t"), F.lit(0).alias("side"), "real", "estimated").union(rows.select("category", F.col("period") - 1, F.lit(1), "real", "estimated"))
+    both = rows.select("category", F.col("period").alias("t")).distinct().intersect(rows.select("category", (F.col("period") - 1).alias("t")).distinct())
+    return segments.bootstrap_gap(sides.join(both, ["category", "t"], "left_semi"), ["category", "t"])
 
 
 def _segmented(spark, d):
@@ -209,6 +211,24 @@ def _segmented(spark, d):
     return x.withColumn("estimate", m.predict())
 
 
+_SPLIT = """k AS (SELECT DISTINCT product FROM panel), o AS (SELECT product, row_number() OVER (ORDER BY md5('42|' || product), product) AS place, count(*) OVER () AS size FROM k),
+s AS (SELECT panel.*, CASE WHEN place <= ceil(o.size * 0.2) THEN 'test' ELSE 'train' END AS part FROM panel JOIN o USING (product))"""
+_BOTH = [("quantity", "quantity"), ("size", "size")]
+
+
+@query(
+    f"""WITH {PANEL}, {_SPLIT}, tr AS (SELECT * FROM s WHERE part = 'train'), {L.fit('c', 'tr', [('quantity', 'quantity')], 'ln(price)')}, {L.fit('b', 'tr', _BOTH, 'ln(price)', 'brand')},
+        t AS (SELECT s.brand, ln(price) AS y, list_dot_product([1.0, quantity, size]::DOUBLE[], b.beta) AS e, list_dot_product([1.0, quantity]::DOUBLE[], c.beta) AS g FROM s JOIN b ON s.brand = b.brand, c WHERE part = 'test'),
+        r AS (SELECT brand, 1 - sum((y - e) * (y - e)) / (var_pop(y) * count(*)) AS r2, 1 - sum((y - g) * (y - g)) / (var_pop(y) * count(*)) AS r2_category FROM t GROUP BY brand)
+        SELECT b.brand, m.n, round(beta[2], 6) AS quantity, round(beta[3], 6) AS size, round(r2, 6) AS r2, round(r2_category, 6) AS r2_category, r2 > r2_category AS kept FROM b JOIN r ON b.brand = r.brand
+          JOIN (SELECT brand, count(*) AS n FROM panel GROUP BY brand) m ON b.brand = m.brand WHERE b.n >= 20"""
+)
+def segment_hedonic(spark, d):
+    found = segments.segment_models(_segmented(spark, d), "brand", ["quantity", "size"], "y", "estimate", families=("hedonic",)).where("fitted")
+    slopes = [F.round(F.col("coefficients")[c], 6).alias(c) for c in ("quantity", "size")]
+    return found.select("brand", "n", *slopes, F.round("r2", 6).alias("r2"), F.round("r2_category", 6).alias("r2_category"), "kept")
+
+
 @query()
 def segment_models(spark, d):
     return segments.segment_models(_segmented(spark, d), "brand", ["quantity", "size"], "y", "estimate").drop("coefficients", "intercept")
