@@ -30,6 +30,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,27 +88,47 @@ class Model:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def _gradient_descent(index: list[np.ndarray], twin: list[np.ndarray], y: np.ndarray, size: int, l2: float, cf: float, steps: int) -> tuple[np.ndarray, float]:
-    """Adam over the whole (bounded) training set; rows are lists of word places."""
-    n = len(y)
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in index])
-    col = np.concatenate([*index, np.zeros(0, np.int32)]).astype(np.int32)
-    swapped = [i for i in range(n) if twin[i] is not index[i]]
-    # difference between a text and its twin, as signed entries: only swapped words differ
-    lost = [np.setdiff1d(index[i], twin[i]) for i in swapped]
-    new = [np.setdiff1d(twin[i], index[i]) for i in swapped]
-    d_row = np.repeat(np.arange(len(swapped)), [len(a) + len(b) for a, b in zip(lost, new)])
-    d_col = np.concatenate([x for pair in zip(lost, new) for x in pair] or [np.zeros(0, np.int64)]).astype(np.int64)
-    d_val = np.concatenate([np.repeat((1.0, -1.0), (len(a), len(b))) for a, b in zip(lost, new)] or [np.zeros(0)])
+#: Entries that are worked on at once.
+_BLOCK = 1 << 18
+
+
+class _Sparse:
+    """Rows of signed entries, flat: ``col`` and ``val`` (None: all one) of row i from ``edge[i]`` to ``edge[i + 1]``."""
+
+    def __init__(self, col: np.ndarray, edge: np.ndarray, val: np.ndarray | None = None):
+        self.col, self.edge, self.val = col, edge, val
+        cuts = np.searchsorted(edge, np.arange(_BLOCK, edge[-1] + _BLOCK, _BLOCK), "left").clip(0, len(edge) - 1)
+        self.blocks = np.unique(np.concatenate(([0], cuts, [len(edge) - 1]))).tolist()
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.edge) - 1)
+        for p, q in zip(self.blocks, self.blocks[1:]):
+            a, b = self.edge[p], self.edge[q]
+            x = w[self.col[a:b]] if self.val is None else w[self.col[a:b]] * self.val[a:b]
+            sums = np.concatenate(([0.0], np.cumsum(x)))
+            out[p:q] = sums[self.edge[p + 1 : q + 1] - a] - sums[self.edge[p:q] - a]
+        return out
+
+    def back(self, r: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(size)
+        for p, q in zip(self.blocks, self.blocks[1:]):
+            a, b = self.edge[p], self.edge[q]
+            x = np.repeat(r[p:q], np.diff(self.edge[p : q + 1]))
+            out += np.bincount(self.col[a:b], x if self.val is None else x * self.val[a:b], size)
+        return out
+
+
+def _gradient_descent(texts: _Sparse, gaps: _Sparse, y: np.ndarray, size: int, l2: float, cf: float, steps: int) -> tuple[np.ndarray, float]:
+    """Adam over the whole (bounded) training set; ``gaps`` has a text less its twin, for texts that have one."""
+    n, twins = len(y), len(gaps.edge) - 1
     w, b = np.zeros(size), math.log((y.sum() + 1) / (n - y.sum() + 1))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
-        z = np.clip(np.bincount(row, w[col], n) + b, -30, 30)
+        z = np.clip(texts.dot(w) + b, -30, 30)
         r = (1 / (1 + np.exp(-z)) - y) / n
-        g = np.bincount(col, r[row], size) + l2 / n * w
-        if swapped:
-            gap = np.bincount(d_row, d_val * w[d_col], len(swapped))
-            g += cf / len(swapped) * np.bincount(d_col, d_val * gap[d_row], size)
+        g = texts.back(r, size) + l2 / n * w
+        if twins:
+            g += cf / twins * gaps.back(gaps.dot(w), size)
         g = np.append(g, r.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -115,6 +136,18 @@ def _gradient_descent(index: list[np.ndarray], twin: list[np.ndarray], y: np.nda
     return w, b
 
 
+def _gaps(texts: pa.ListArray, twins: pa.ListArray) -> _Sparse:
+    """Entries in which texts and their twins differ: only swapped words."""
+    col, val, edge = [np.zeros(0, np.int32)], [np.zeros(0)], [0]
+    for x, t in zip(texts.filter(twins.is_valid()), twins.drop_null()):
+        a, b = x.values.to_numpy(), t.values.to_numpy()
+        lost, new = np.setdiff1d(a, b), np.setdiff1d(b, a)
+        col += [lost, new]
+        val.append(np.repeat((1.0, -1.0), (len(lost), len(new))))
+        edge.append(edge[-1] + len(lost) + len(new))
+    return _Sparse(np.concatenate(col), np.array(edge, np.int64), np.concatenate(val))
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", l2: float = 0.03, cf: float = 1.0, steps: int = 600) -> Model:
     """Learn from ``labels`` (id, 0/1) and the texts of ``docs``; rows to keep out must be left out of ``labels``."""
     chosen = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
@@ -164,20 +197,23 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = sent.value
         for b in batches:
-            plain, twins = [], []
+            keys, plain, twins = [], [], []
             for t in b.column(0).to_pylist():
                 found = words(t) & p.keys()
-                plain.append(sorted(p[w] for w in found))
-                twins.append(sorted({p[SWAP.get(w, w)] for w in found}))
+                mine, other = sorted(p[w] for w in found), sorted({p[SWAP.get(w, w)] for w in found})
+                keys.append(xxhash.xxh64_intdigest(t or "") >> 1)
+                plain.append(mine)
+                twins.append(other if other != mine else None)
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(plain, kind), pa.array(twins, kind), b.column(1)], ["x", "twin", "y"])
-
-    # at most 2 x MAX_TRAIN_PER_CLASS rows of indices into a bounded vocabulary
-    train = rows.mapInArrow(encode, "x array<int>, twin array<int>, y int").toPandas()
-    train = train.assign(key=[x.tobytes() for x in map(np.asarray, train.x)]).sort_values(["key", "y"], kind="stable")
-    index = [np.asarray(x, np.int32) for x in train.x]
-    twin = [x if np.array_equal(x, t) else np.asarray(t, np.int32) for x, t in zip(index, train.twin)]
-    w, b = _gradient_descent(index, twin, train.y.to_numpy(float), len(vocabulary), l2, cf, steps)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(plain, kind), pa.array(twins, kind), b.column(1)], ["key", "x", "twin", "y"])
+
+    # at most 2 x MAX_TRAIN_PER_CLASS rows of indices into a bounded vocabulary, flat; in an order that no partitioning changes
+    train = rows.mapInArrow(encode, "key long, x array<int>, twin array<int>, y int").toArrow().sort_by([("key", "ascending"), ("y", "ascending")]).combine_chunks()
+    whole = lambda c: pa.concat_arrays(train.column(c).chunks) if train.column(c).num_chunks != 1 else train.column(c).chunk(0)
+    x, y = whole("x"), whole("y").to_numpy(zero_copy_only=False).astype(float)
+    texts, gaps = _Sparse(x.flatten().to_numpy(), np.concatenate(([0], np.cumsum(x.value_lengths().to_numpy()))).astype(np.int64)), _gaps(x, whole("twin"))
+    del train
+    w, b = _gradient_descent(texts, gaps, y, len(vocabulary), l2, cf, steps)
     return Model(float(b) - math.log(rates[1] / rates[0]), {x: float(w[i]) for x, i in place.items() if w[i]})
 
 
