@@ -8,20 +8,27 @@ from __future__ import annotations
 
 import random
 import time
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 Fetcher = Callable[[str], tuple[int, str]]
 
 
-def fetch(fetcher: Fetcher, url: str, retries: int = 3, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> str | None:
-    """The page, or None after an error or another status than 200 at each try; waits double, with jitter."""
+def fetch(fetcher: Fetcher, url: str, retries: int = 3, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep, failures: Counter | None = None) -> str | None:
+    """The page, or None after an error or another status than 200 at each try; waits double, with jitter.
+
+    ``failures`` counts failed tries by what failed: the name of the error, or the status.
+    """
     for n in range(retries + 1):
         try:
             status, html = fetcher(url)
             if status == 200:
                 return html
-        except Exception:  # noqa: BLE001, S110  any failure of the client counts as a failed try
-            pass
+            why = str(status)
+        except Exception as e:  # noqa: BLE001  any failure of the client counts as a failed try
+            why = type(e).__name__
+        if failures is not None:
+            failures[why] += 1
         if n < retries:
             sleep(wait * 2**n * (1 + random.random() / 2))  # noqa: S311
     return None

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType, StructField, StructType
@@ -59,6 +61,38 @@ def pooled(spark: SparkSession, root: str, category: str, last: int | None = Non
     return reconcile(out)
 
 
+def one_week(spark: SparkSession, root: str, week: int, categories: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """All categories of one week with ``categorie`` as the first column, and the names of those without a file (also warned of).
+
+    Columns are united by name. A week without any file is an error.
+    """
+    parts, missing = [], []
+    for c in categories:
+        df = week_table(spark, root, c, week)
+        if df.columns:
+            parts.append(df.select(F.lit(c).alias("categorie"), *[x for x in df.columns if x != "categorie"]))
+        else:
+            missing.append(c)
+            warnings.warn(f"week {week} has no file of {c}", stacklevel=2)
+    if not parts:
+        raise FileNotFoundError(f"no clean table of week {week} under {root}")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out, missing
+
+
+def week_table(spark: SparkSession, root: str, category: str, week: int) -> DataFrame:
+    """One category of one week; an empty frame without columns where there is no file."""
+    path = f"{root}/week_{week}/{category}_clean.csv"
+    try:
+        return clean_csv(spark, path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
+        return spark.createDataFrame([], StructType([]))
+
+
 def reconcile(df: DataFrame) -> DataFrame:
     """Gaps that pooling made: flags become 0, text 'Manquant'; a gap in a number is an error, found in one pass."""
     flags = [c for c in df.columns if c.startswith("has_")]
