@@ -1,7 +1,13 @@
-"""Command line: clean, features, reports, predict.
-
-    python -m tarifa.cli clean --raw DIR --out DIR
-    python -m tarifa.cli reports --clean DIR --out DIR [--category NAME]
+"""Command line.
+
+    python -m tarifa.cli clean --raw DIR --out DIR                          raw JSON to the clean table
+    python -m tarifa.cli pipeline --clean DIR --out DIR [--each-week]       tidy and encoded tables of all weeks and categories
+    python -m tarifa.cli split --clean DIR --out DIR [--share 0.2]          full, train and test tables
+    python -m tarifa.cli train --clean DIR --out DIR --category NAME        models and artifacts of a category
+    python -m tarifa.cli reports --clean DIR --out DIR [--category NAME]    reports over the clean table
+    python -m tarifa.cli reports --models DIR --out DIR                     the ten weekly reports of a trained category
+    python -m tarifa.cli scrape --week N --out DIR --fetcher MODULE:NAME    collect the pages of a week, or go on with it
+    python -m tarifa.cli serve --models DIR [--port 8050]                   /healthz, and downloads as CSV and JSON
     python -m tarifa.cli query NAME --data DIR [--limit N]
 """
 
@@ -48,12 +54,83 @@ def weekly_reports(df):
 
 
 def report(args) -> None:
+    if args.models:
+        from tarifa.operators import reports as R
+        from tarifa.operators import train as T
+
+        loaded = T.load(session(), args.models)
+        families = [f for f in T.FAMILIES if f"estimate_{f}" in loaded.labelled.columns]
+        sinks.reports(R.weekly_reports(loaded.labelled, loaded.segments, loaded.spec.continuous, families=families), args.out)
+        return
     df = session().read.parquet(args.clean)
     if args.category:
         df = df.where(F.col("categorie") == args.category)
     sinks.reports(weekly_reports(df), args.out)
 
 
+def pipeline(args) -> None:
+    from tarifa.operators.prepare import build_weeks
+
+    df = session().read.parquet(args.clean)
+    for row in build_weeks(df, args.out, stable=not args.each_week):
+        print(row)
+
+
+def split(args) -> None:
+    print(sinks.week_splits(session().read.parquet(args.clean).where("prix_tnd IS NOT NULL"), args.out, share=args.share))
+
+
+def _catalogue(spark, path: str, category: str):
+    """One category of the clean table under the operators' names, its gaps filled."""
+    from tarifa.operators.prepare import fill_rest, numeric_targets, prepare_category
+
+    rows = prepare_category(spark.read.parquet(path).where((F.col("categorie") == category) & F.col("prix_tnd").isNotNull()), category)
+    specs = [c for c in numeric_targets(category) if c in rows.columns]
+    labels = [c for c in ("os_platform", "cpu_brand") if c in rows.columns]
+    rows = fill_rest(rows.select("url", "semaine", "marque", "prix_tnd", *specs, *labels))
+    return rows.withColumnsRenamed({"url": "product", "semaine": "period", "marque": "brand", "prix_tnd": "price"}), specs, labels
+
+
+def train(args) -> None:
+    from tarifa.operators import train as T
+
+    rows, specs, labels = _catalogue(session(), args.clean, args.category)
+    models = T.fit_category(rows, specs, labels, families=args.families.split(","))
+    T.persist(models, args.out)
+    models.metrics.show(truncate=False)
+
+
+def scrape(args) -> None:
+    import importlib
+    import json
+
+    import re
+
+    from tarifa.operators.html import parse_products
+    from tarifa.sources.scrape import Checkpoint, collect_week
+
+    module, _, name = args.fetcher.partition(":")
+    fetcher = getattr(importlib.import_module(module), name)
+    point = Checkpoint(f"{args.out}/checkpoint.json")
+    if args.reset:
+        point.reset(args.week)
+    with open(args.sources, encoding="utf-8") as f:
+        bases = json.load(f)
+    links = lambda page: re.findall(args.links, page)
+    status = collect_week(fetcher, args.week, bases, links, lambda url, page: {"url": url, "html": page}, f"{args.out}/pages", point)
+    for row in status:
+        print(row)
+        if row["n_parsed"]:  # pages stay as they came; what they say is read by column expressions
+            pages = session().read.schema("url string, html string").option("multiLine", True).json(f"{args.out}/pages/week_{args.week}/{row['category']}.json")
+            sinks.json_export(parse_products(pages, row["category"], args.week), f"{args.out}/raw/week_{args.week}/{row['category']}")
+
+
+def serve(args) -> None:
+    from tarifa.operators.serving import server
+
+    server(session(), args.models, args.port).serve_forever()
+
+
 def query(args) -> None:
     from tarifa import registry
 
@@ -68,10 +145,39 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--out", required=True)
     p.set_defaults(run=clean)
     p = sub.add_parser("reports")
-    p.add_argument("--clean", required=True)
+    p.add_argument("--clean")
+    p.add_argument("--models")
     p.add_argument("--out", required=True)
     p.add_argument("--category")
     p.set_defaults(run=report)
+    p = sub.add_parser("pipeline")
+    p.add_argument("--clean", required=True)
+    p.add_argument("--out", required=True)
+    p.add_argument("--each-week", action="store_true")
+    p.set_defaults(run=pipeline)
+    p = sub.add_parser("split")
+    p.add_argument("--clean", required=True)
+    p.add_argument("--out", required=True)
+    p.add_argument("--share", type=float, default=0.2)
+    p.set_defaults(run=split)
+    p = sub.add_parser("train")
+    p.add_argument("--clean", required=True)
+    p.add_argument("--out", required=True)
+    p.add_argument("--category", required=True)
+    p.add_argument("--families", default="hedonic,ridge,random_forest")
+    p.set_defaults(run=train)
+    p = sub.add_parser("scrape")
+    p.add_argument("--week", type=int, required=True)
+    p.add_argument("--out", required=True)
+    p.add_argument("--fetcher", required=True)
+    p.add_argument("--sources", required=True, help="JSON of category: listing page")
+    p.add_argument("--links", default=r"""(?i)<a\b[^>]*href=["']([^"'#]+\.html)["']""", help="pattern of product links")
+    p.add_argument("--reset", action="store_true")
+    p.set_defaults(run=scrape)
+    p = sub.add_parser("serve")
+    p.add_argument("--models", required=True)
+    p.add_argument("--port", type=int, default=8050)
+    p.set_defaults(run=serve)
     p = sub.add_parser("query")
     p.add_argument("name")
     p.add_argument("--data", required=True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifa.operators import prepare, regression, studies
+from tarifa.operators import prepare, regression, studies, train
 from tarifa.operators.clean import latest
 from tarifa.operators.design import DesignSpec
 from tarifa.operators.panel import tiers
@@ -275,3 +275,48 @@ def qq_points(spark, d):
 @query()
 def ward_check(spark, d):
     return studies.ward_check(tiers(parts(spark, d)), ["brand", "tier"], ["size"])
+
+
+_NAMED = """s AS (SELECT id, brand, 't' || CAST(size AS INTEGER) % 3 AS tier, 'c' || CAST(size AS INTEGER) % 4 AS cluster, CAST(size AS INTEGER) % 5 AS cluster_n1, ln(price) AS y, size FROM parts),
+m AS (SELECT brand, tier, cluster, brand || '::' || tier || '::' || cluster AS segment, avg(y) AS a FROM s GROUP BY 1, 2, 3 HAVING count(*) % 3 = 0),
+n AS (SELECT CAST(cluster_n1 AS VARCHAR) AS segment, avg(y) AS a FROM s WHERE cluster_n1 < 3 GROUP BY 1)"""
+
+
+def _scored(spark, d, mode: str) -> DataFrame:
+    number = F.col("size").cast("int")
+    x = parts(spark, d).select("id", "brand", F.concat(F.lit("t"), number % 3).alias("tier"), F.concat(F.lit("c"), number % 4).alias("cluster"), (number % 5).alias("cluster_n1"), F.ln("price").alias("y"), "size")
+    none = F.create_map().cast("map<string,double>")
+    as_models = lambda rows, level, kept: rows.select(F.lit(level).alias("level"), "segment", F.lit("hedonic").alias("family"), kept.alias("kept"), F.col("a").alias("intercept"), none.alias("coefficients"))
+    units = x.groupBy("brand", "tier", "cluster").agg(F.avg("y").alias("a"), F.count("*").alias("n")).withColumn("segment", F.concat_ws("::", "brand", "tier", "cluster"))
+    clusters = x.groupBy(F.col("cluster_n1").cast("string").alias("segment")).agg(F.avg("y").alias("a"))
+    models = as_models(units, "n2", F.col("n") % 3 == 0).unionByName(as_models(clusters, "n1", F.col("segment").cast("int") < 3))
+    out = train.predict_by_segment(x, models, F.lit(7.0), ["size"], mode)
+    return out.select("id", F.round("estimate", 6).alias("estimate"), "source")
+
+
+@query(
+    f"""WITH {PARTS}, {_NAMED}, t AS (SELECT brand, tier, min(segment) AS segment FROM m GROUP BY 1, 2), b AS (SELECT brand, min(segment) AS segment FROM m GROUP BY 1)
+        SELECT s.id, round(coalesce(m1.a, m2.a, m3.a, 7.0), 6) AS estimate, CASE WHEN m1.a IS NOT NULL THEN 'n2' WHEN m2.a IS NOT NULL THEN 'n2_marque_gamme' WHEN m3.a IS NOT NULL THEN 'n2_marque' ELSE 'categorie' END AS source
+        FROM s LEFT JOIN m m1 ON s.brand = m1.brand AND s.tier = m1.tier AND s.cluster = m1.cluster LEFT JOIN t ON s.brand = t.brand AND s.tier = t.tier LEFT JOIN m m2 ON t.segment = m2.segment
+        LEFT JOIN b ON s.brand = b.brand LEFT JOIN m m3 ON b.segment = m3.segment"""
+)
+def score_by_unit(spark, d):
+    return _scored(spark, d, "n2")
+
+
+@query(f"WITH {PARTS}, {_NAMED} SELECT id, round(coalesce(n.a, 7.0), 6) AS estimate, CASE WHEN n.a IS NOT NULL THEN 'n1' ELSE 'categorie' END AS source FROM s LEFT JOIN n ON CAST(s.cluster_n1 AS VARCHAR) = n.segment")
+def score_by_cluster(spark, d):
+    return _scored(spark, d, "n1")
+
+
+@query(
+    f"""WITH {PANEL}, x AS (SELECT product AS id, category, period, CAST(size AS DOUBLE) AS size, quantity FROM panel), p AS (SELECT * FROM x WHERE period = 1997),
+        z AS (SELECT category, avg(size) AS ms, stddev_pop(size) AS ss, avg(quantity) AS mq, stddev_pop(quantity) AS sq FROM p GROUP BY category),
+        v AS (SELECT id, p.category, (size - ms) / ss AS a, (quantity - mq) / sq AS b FROM p JOIN z USING (category)),
+        d AS (SELECT q.id AS query_id, r.id, sqrt((q.a - r.a) * (q.a - r.a) + (q.b - r.b) * (q.b - r.b)) AS distance FROM v q JOIN v r ON q.category = r.category AND q.id <> r.id WHERE q.id % 50 = 0)
+        SELECT query_id, id, rank, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) w WHERE rank <= 5"""
+)
+def similar_in_week(spark, d):
+    x = panel(spark, d).select(F.col("product").alias("id"), "category", "period", F.col("size").cast("double").alias("size"), "quantity")
+    t = train.similar_in_week(x.where("period = 1997 AND id % 50 = 0"), x, ["size", "quantity"], 5, 1997)
+    return t.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
