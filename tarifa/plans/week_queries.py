@@ -310,13 +310,13 @@ def score_by_cluster(spark, d):
 
 
 @query(
-    f"""WITH {PANEL}, x AS (SELECT product AS id, category, period, CAST(size AS DOUBLE) AS size, quantity FROM panel), p AS (SELECT * FROM x WHERE period = 1997),
-        z AS (SELECT category, avg(size) AS ms, stddev_pop(size) AS ss, avg(quantity) AS mq, stddev_pop(quantity) AS sq FROM p GROUP BY category),
-        v AS (SELECT id, p.category, (size - ms) / ss AS a, (quantity - mq) / sq AS b FROM p JOIN z USING (category)),
+    f"""WITH {PANEL}, x AS (SELECT product AS id, category, period, CAST(size AS DOUBLE) AS size, price FROM panel), p AS (SELECT * FROM x WHERE period = 1997),
+        z AS (SELECT category, avg(size) AS ms, stddev_pop(size) AS ss, avg(price) AS mq, stddev_pop(price) AS sq FROM p GROUP BY category),
+        v AS (SELECT id, p.category, (size - ms) / ss AS a, (price - mq) / sq AS b FROM p JOIN z USING (category)),
         d AS (SELECT q.id AS query_id, r.id, sqrt((q.a - r.a) * (q.a - r.a) + (q.b - r.b) * (q.b - r.b)) AS distance FROM v q JOIN v r ON q.category = r.category AND q.id <> r.id WHERE q.id % 50 = 0)
         SELECT query_id, id, rank, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) w WHERE rank <= 5"""
 )
 def similar_in_week(spark, d):
-    x = panel(spark, d).select(F.col("product").alias("id"), "category", "period", F.col("size").cast("double").alias("size"), "quantity")
-    t = train.similar_in_week(x.where("period = 1997 AND id % 50 = 0"), x, ["size", "quantity"], 5, 1997)
+    x = panel(spark, d).select(F.col("product").alias("id"), "category", "period", F.col("size").cast("double").alias("size"), "price")
+    t = train.similar_in_week(x.where("period = 1997 AND id % 50 = 0"), x, ["size", "price"], 5, 1997)
     return t.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
