@@ -427,14 +427,17 @@ def _row_key() -> list[Column]:
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) of classes whose shingle sets have a Jaccard similarity of 0.8 or more.
 
-    Sets that are so similar differ in a ninth of their sizes' sum at most. A quarter of the hash space, shortened to 32 bits,
-    can only show fewer differences: pairs over the bound there go before any text is moved. For the others the texts of both
-    classes' representative rows come together, and the whole sets are compared.
+    Sets that are so similar differ in a ninth of their sizes' sum at most. Of these differences about a fourth fall into a quarter of
+    the hash space: pairs with more there than that by six deviations go before any text is moved (a similar pair does so with a
+    probability of about 1e-9). For the others the texts of both classes' representative rows come together, and the whole sets
+    are compared.
     """
     pairs = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-candidates")
     parts = classes.select("class", "part", "size", F.struct(F.xxhash64("row.doc_id", "row.th").alias("rk"), F.col("row.th").alias("rt")).alias("k"))
     apart = F.size("pa") + F.size("pb") - 2 * F.size(F.array_intersect("pa", "pb"))
-    left = pairs.join(parts.toDF("a", "pa", "na", "ka"), "a").join(parts.toDF("b", "pb", "nb", "kb"), "b").where(9 * apart <= F.col("na") + F.col("nb"))
+    left = pairs.join(parts.toDF("a", "pa", "na", "ka"), "a").join(parts.toDF("b", "pb", "nb", "kb"), "b")
+    most = (F.col("na") + F.col("nb")) / 9.0
+    left = left.where(apart <= most / 4 + 6 * F.sqrt(3 * most) / 4 + 1)
     left = materialize(left.select("a", "b", "ka", "kb"), "near-likely")
     ids = left.select(F.explode(F.array("ka", "kb")).alias("k")).select("k.rk", "k.rt").distinct()
     texts = docs.select(*_row_key(), "text")
@@ -468,13 +471,20 @@ def _near_rows(docs: DataFrame, shingle: int) -> DataFrame:
     # a class of equal sets; its number is taken from a table that is written, so it does not change
     classes = found.groupBy(*same).agg(F.min(F.struct(F.col("doc_id").isNull(), *_ROW)).alias("row"), F.first("prefix").alias("prefix"), F.first("part").alias("part"))
     classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "near-classes")
-    by_key = Window.partitionBy("key").orderBy("size", "class")
     filed = classes.select(F.explode("prefix").alias("key"), "class", "size")
-    beside = [F.lead(F.struct("class", "size")).over(by_key).alias("after"), F.first(F.struct("class", "size")).over(by_key).alias("head")]
-    shared = materialize(filed.select("key", "class", "size", *beside).where("after IS NOT NULL OR class <> head.class"), "near-shared")
+    by_key = Window.partitionBy("key")
+    several = filed.withColumn("c0", F.min("class").over(by_key)).withColumn("c1", F.max("class").over(by_key)).where("c0 <> c1")
+    shared = materialize(several.select("key", "class", "size"), "near-shared")
+    # of copies of one text the text itself has the fewest members that no other has: it is the head of its keys, which the
+    # others are compared with even where they are too far from each other
+    own = shared.groupBy("class").agg((F.first("size") - F.ceil(0.8 * F.first("size")) + 1 - F.count("*")).alias("alone"))
+    ranked = shared.join(own, "class")
+    other = F.struct("class", "size")
+    beside = [F.lead(other).over(by_key.orderBy("size", "class")).alias("after"), F.first(other).over(by_key.orderBy("alone", "class")).alias("head")]
+    ranked = ranked.select("class", "size", *beside).select("class", "size", F.explode(F.array("after", "head")).alias("o")).where("o IS NOT NULL AND class <> o.class")
     by_fp = classes.groupBy("fp").agg(F.min("class").alias("rep"))
     first = near_links(by_fp).union(classes.join(by_fp.toDF("fp", "one"), "fp").select("class", "one"))
-    near = shared.select("class", "size", F.explode(F.array("after", "head")).alias("o")).where("5 * size >= 4 * o.size AND 5 * o.size >= 4 * size")
+    near = ranked.where("5 * size >= 4 * o.size AND 5 * o.size >= 4 * size")
     first = first.union(near.select("class", "o.class"))
     links = _verified(first, classes, docs, shingle)
     names = materialize(connected_components(links), "near-names")
@@ -491,7 +501,7 @@ def _near_rows(docs: DataFrame, shingle: int) -> DataFrame:
 def near_components(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, component_id of every row: components of the pairs with Jaccard similarity 0.8 or more of their shingle sets.
 
-    Equal sets are one class. Candidates come from the Gray-order index and from neighbours in a shared prefix first, linear
+    Equal sets are one class. Candidates come from the Gray-order index and from neighbours and heads in a shared prefix first, linear
     in number; once the verified ones are contracted, all pairs with a shared prefix member that are still in different
     components and of fitting sizes are verified too. Every link is checked on the whole sets, and no pair is left out.
     component_id is the smallest doc_id of a component, null where it has none.
