@@ -38,18 +38,23 @@ def scratch(spark: SparkSession, name: str) -> str:
 _made: list[str] = []
 
 
-def forget(spark: SparkSession) -> int:
-    """Remove what this process wrote into the shared folder, and say how many paths there were.
+def made() -> int:
+    """How many paths ``scratch`` has given: a mark for ``forget``."""
+    return len(_made)
 
-    For when the results of all operators have been read or written: tables that they still read are gone afterwards.
+
+def forget(spark: SparkSession, since: int = 0, keep: Sequence[str] = ()) -> int:
+    """Remove what this process wrote into the shared folder after the mark ``since``, but for the names in ``keep``; how many paths.
+
+    Tables that still read them are gone afterwards: for when the results have been read or written.
     """
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    for path in _made:
+    gone = [p for p in _made[since:] if not p.rpartition("/")[2].startswith(tuple(f"{k}-" for k in keep))] if keep else _made[since:]
+    for path in gone:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
-    n = len(_made)
-    _made.clear()
-    return n
+        _made.remove(path)
+    return len(gone)
 
 
 #: Rows and bytes of an Arrow batch between Spark and Python: texts are long, and a batch is held several times.

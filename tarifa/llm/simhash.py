@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarifa.llm.common import documents, materialize, partitions, table, text_or_empty
+from tarifa.llm.common import documents, forget, made, materialize, partitions, table, text_or_empty
 from tarifa.llm.components import connected_components
 
 SHINGLE, RADIUS, BLOCKS = 4, 4, 7
@@ -517,12 +517,14 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     It is the row with the smallest doc_id (null last); of rows that share it the one with the smallest hash of its text, and of
     rows that agree in both any one. Null and blank texts are near-duplicates of each other.
     """
+    mark = made()
     rows = materialize(_near_rows(_rows(docs), shingle), "near-rows")
     own = F.struct(F.col("doc_id").isNull(), *_ROW)
     best = rows.groupBy("group").agg(F.min(own).alias("best"))
     gone = rows.join(best, "group").where(own != F.col("best")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__h")).distinct()
     gone = materialize(gone, "near-gone")
     twice = materialize(rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__h")), "left_anti").groupBy(*_ROW).count().where("count > 1"), "near-copies")
+    forget(docs.sparkSession, mark, ("near-gone", "near-copies"))  # what follows reads these two alone
     marked = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__th", F.xxhash64(text_or_empty()))
     kept = marked.join(gone, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")), "left_anti")
     if not twice.isEmpty():

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifa.llm.common import bounded_batches, documents, materialize
+from tarifa.llm.common import bounded_batches, documents, forget, made, materialize
 
 MAX_TRAIN_PER_CLASS = 25_000
 MAX_WORDS = 20_000
@@ -150,6 +150,7 @@ def _gaps(texts: pa.ListArray, twins: pa.ListArray) -> _Sparse:
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", l2: float = 0.03, cf: float = 1.0, steps: int = 600) -> Model:
     """Learn from ``labels`` (id, 0/1) and the texts of ``docs``; rows to keep out must be left out of ``labels``."""
+    mark = made()
     chosen = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = chosen.where("y = 0").orderBy(*by_hash).limit(MAX_TRAIN_PER_CLASS).union(chosen.where("y = 1").orderBy(*by_hash).limit(MAX_TRAIN_PER_CLASS))
@@ -214,6 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     texts, gaps = _Sparse(x.flatten().to_numpy(), np.concatenate(([0], np.cumsum(x.value_lengths().to_numpy()))).astype(np.int64)), _gaps(x, whole("twin"))
     del train
     w, b = _gradient_descent(texts, gaps, y, len(vocabulary), l2, cf, steps)
+    forget(docs.sparkSession, mark)
     return Model(float(b) - math.log(rates[1] / rates[0]), {x: float(w[i]) for x, i in place.items() if w[i]})
 
 
