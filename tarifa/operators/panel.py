@@ -255,9 +255,12 @@ def rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
     return one.select(F.when(best == chance, 1.0).otherwise((F.col("cells") - chance) / (best - chance)).alias("ari"))
 
 
-def iqr_outliers(df: DataFrame, group: str, value: str, k: float = 1.5) -> DataFrame:
-    """Rows outside the Tukey fences of their group; a group without spread has none."""
-    fences = quantiles(df, [group], value, (0.25, 0.75)).select(group, F.col("q").alias("__q"))
+def iqr_outliers(df: DataFrame, group: str, value: str, k: float = 1.5, fitted_on: DataFrame | None = None) -> DataFrame:
+    """Rows outside the Tukey fences of their group, found on ``fitted_on`` (training rows) or on all; a group without spread has none.
+
+    Rows of a group that ``fitted_on`` has not are left out.
+    """
+    fences = quantiles(df if fitted_on is None else fitted_on, [group], value, (0.25, 0.75)).select(group, F.col("q").alias("__q"))
     spread = F.col("__q")[1] - F.col("__q")[0]
     inside = F.col(value).between(F.col("__q")[0] - k * spread, F.col("__q")[1] + k * spread)
     return df.join(fences, group).withColumn("outlier", F.when(spread > 0, ~inside).otherwise(F.lit(False))).drop("__q")

@@ -223,3 +223,43 @@ def missing_price_by(df: DataFrame, by: str, price: str = "price") -> DataFrame:
 def diverging(transitions: DataFrame, step: float = 1.0) -> DataFrame:
     """Transitions whose real and estimated changes have opposite signs, both beyond ``step`` percent."""
     return transitions.where((F.signum("real_pct") != F.signum("estimated_pct")) & (F.abs("real_pct") > step) & (F.abs("estimated_pct") > step))
+
+
+def with_dates(df: DataFrame, dates: DataFrame, key: str, date: str) -> DataFrame:
+    """``df`` with the date that a lookup table has for its key; null for unknown keys, the latest where it has several."""
+    one = dates.groupBy(key).agg(F.max(date).alias(date))
+    return df.join(one, key, "left")
+
+
+def twin_gaps(products: DataFrame, block: str, features: Sequence[str], brand: str = "brand", price: str = "price") -> DataFrame:
+    """Each product's nearest product of another brand and the gap of their prices in percent; its median is the brand's premium."""
+    from tarifa.operators.ranks import nearest
+
+    near = nearest(products, products, block, features, 1, brand).select("query_id", "id")
+    mine, other = products.select(F.col("id").alias("query_id"), brand, F.col(price).alias("p")), products.select("id", F.col(price).alias("q"))
+    return near.join(mine, "query_id").join(other, "id").select("query_id", "id", brand, ((F.col("p") - F.col("q")) / F.col("q") * 100).alias("gap_pct"))
+
+
+def models_by_condition(df: DataFrame, continuous: Sequence[str], conditions: Mapping[str, Sequence[str]], key: str = "product", families: Sequence[str] = ("hedonic", "ridge", "random_forest")) -> pd.DataFrame:
+    """Test figures of each family under each condition: the further texts (none, a cluster) that join the specifications.
+
+    ``df`` has y and a ``part`` column; the same products are held out everywhere.
+    """
+    from tarifa.operators import forest
+    from tarifa.operators.panel import metrics
+
+    train, test, out = df.where("part = 'train'"), df.where("part = 'test'"), []
+    for condition, texts in conditions.items():
+        spec = DesignSpec.fit(train, continuous, texts)
+        for family in families:
+            if family == "random_forest":
+                names = [f"x{i}" for i in range(len(spec.names))]
+                numbers = lambda rows: rows.withColumns(dict(zip(names, spec.columns())))  # noqa: B023, E731
+                model = forest.fit(numbers(train), names, "y", key, trees=(50,), depths=(10,))
+                scored = model.transform(forest.assembled(numbers(test), names)).withColumnRenamed("prediction", "__e")
+            else:
+                model = regression.ols(train, spec, F.col("y"), "nonrobust") if family == "hedonic" else regression.ridge(train, spec, F.col("y"), key)
+                scored = test.withColumn("__e", model.predict())
+            row = metrics(scored, "y", "__e").first()
+            out.append((condition, family, row["n"], row["r2"], row["rmse"], row["mae"]))
+    return pd.DataFrame(out, columns=["condition", "family", "n", "r2", "rmse", "mae"])

@@ -97,9 +97,16 @@ def label_contingency(spark, d):
     return table(spark, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
 
 
-@query("SELECT page_id, CASE WHEN strpos(html, '<h1>') > 0 THEN split_part(split_part(html, '<h1>', 2), '</h1>', 1) END AS title FROM pages")
+_TITLE = "split_part(split_part(html, '<h1>', 2), '</h1>', 1)"
+for _code, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _TITLE = f"replace({_TITLE}, '{_code}', '{_char}')"
+
+
+@query(f"SELECT page_id, CASE WHEN strpos(html, '<h1>') > 0 THEN trim({_TITLE}) END AS title FROM pages")
 def html_title(spark, d):
-    return table(spark, d, "pages").select("page_id", S.rx("html", "(?s)<h1>(.*?)</h1>").alias("title"))
+    from tarifa.operators.html import product_name
+
+    return table(spark, d, "pages").select("page_id", product_name("html").alias("title"))
 
 
 @query("SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a href=\"([^\"#]+)\"', 1))) AS n_links FROM pages")

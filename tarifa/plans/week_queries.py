@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarifa.operators import prepare, regression, studies, train
 from tarifa.operators.clean import latest
 from tarifa.operators.design import DesignSpec
-from tarifa.operators.panel import tiers
+from tarifa.operators.panel import iqr_outliers, split, tiers, transitions
 from tarifa.operators.serve import assign_cluster
 from tarifa.plans import linear_sql as L
 from tarifa.plans.data import OBSERVATIONS, PANEL, PARTS, observations, panel, parts
@@ -320,3 +320,69 @@ def similar_in_week(spark, d):
     x = panel(spark, d).select(F.col("product").alias("id"), "category", "period", F.col("size").cast("double").alias("size"), "price")
     t = train.similar_in_week(x.where("period = 1997 AND id % 50 = 0"), x, ["size", "price"], 5, 1997)
     return t.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
+
+
+@query(
+    f"""WITH {PARTS}, c AS (SELECT q.id AS query_id, q.brand, (q.price - p.price) / p.price * 100 AS gap, row_number() OVER (PARTITION BY q.id ORDER BY abs(p.price - q.price), p.id) AS rank
+          FROM parts q JOIN parts p ON p.category = q.category AND p.size = q.size AND p.brand <> q.brand) SELECT brand, count(*) AS n, round(median(gap), 6) AS median_gap_pct FROM c WHERE rank = 1 GROUP BY brand"""
+)
+def twin_gaps(spark, d):
+    x = parts(spark, d).withColumn("block", F.concat_ws("|", "category", "size"))
+    t = studies.twin_gaps(x, "block", ["price"]).groupBy("brand").agg(F.count("*").alias("n"), F.median("gap_pct").alias("m"))
+    return t.select("brand", "n", F.round("m", 6).alias("median_gap_pct"))
+
+
+@query(
+    f"""WITH {OBSERVATIONS}, x AS (SELECT flag, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE price END AS price FROM observations)
+        SELECT flag, count(*) AS n, count(*) - count(price) AS n_missing, (count(*) - count(price)) * 100.0 / count(*) AS missing_pct FROM x GROUP BY flag"""
+)
+def missing_price_by(spark, d):
+    x = observations(spark, d).select("flag", F.when(F.col("l_linenumber") % 4 != 0, F.col("price")).alias("price"))
+    return studies.missing_price_by(x, "flag")
+
+
+@query(
+    f"""WITH {PANEL}, g AS (SELECT brand, period, exp(avg(ln(price))) AS r, avg(price) AS e FROM panel GROUP BY 1, 2),
+        x AS (SELECT brand, period AS t, (lead(r) OVER w - r) / r * 100 AS real_pct, (lead(e) OVER w - e) / e * 100 AS estimated_pct FROM g WINDOW w AS (PARTITION BY brand ORDER BY period))
+        SELECT brand, t, round(real_pct, 4) AS real_pct, round(estimated_pct, 4) AS estimated_pct FROM x WHERE sign(real_pct) <> sign(estimated_pct) AND abs(real_pct) > 1 AND abs(estimated_pct) > 1"""
+)
+def diverging_transitions(spark, d):
+    g = panel(spark, d).groupBy("brand", "period").agg(F.exp(F.avg(F.ln("price"))).alias("r"), F.avg("price").alias("e"), F.count("*").alias("n"))
+    t = studies.diverging(transitions(g, ["brand"], "r", "e", "n"))
+    return t.select("brand", "t", F.round("real_pct", 4).alias("real_pct"), F.round("estimated_pct", 4).alias("estimated_pct"))
+
+
+_HELD = """k AS (SELECT DISTINCT product FROM panel), o AS (SELECT product, row_number() OVER (ORDER BY md5('42|' || product), product) AS place, count(*) OVER () AS total FROM k),
+s AS (SELECT panel.*, place <= ceil(total * 0.2) AS held FROM panel JOIN o USING (product)), tr AS (SELECT * FROM s WHERE NOT held)"""
+_NONE, _WITH = [("quantity", "quantity"), ("size", "size")], [("quantity", "quantity"), ("size", "size"), *_CATEGORY]
+
+
+def _judged(condition: str, tag: str, terms) -> str:
+    return f"""SELECT '{condition}' AS condition, 'hedonic' AS family, count(*) AS n, round(1 - sum((y - e) * (y - e)) / (var_pop(y) * count(*)), 6) AS r2, round(sqrt(avg((y - e) * (y - e))), 6) AS rmse, round(avg(abs(y - e)), 6) AS mae
+      FROM (SELECT ln(price) AS y, list_dot_product(CAST([1.0, {', '.join(x for _, x in terms)}] AS DOUBLE[]), beta) AS e FROM s, {tag} WHERE held) z"""
+
+
+@query(f"WITH {PANEL}, {_HELD}, {L.fit('a', 'tr', _NONE, 'ln(price)')}, {L.fit('b', 'tr', _WITH, 'ln(price)')} {_judged('none', 'a', _NONE)} UNION ALL {_judged('category', 'b', _WITH)}")
+def models_by_condition(spark, d):
+    x = split(_rows(spark, d), "product")
+    t = studies.models_by_condition(x, ["quantity", "size"], {"none": [], "category": ["category"]}, families=("hedonic",))
+    rows = _frame(spark, t, "condition string, family string, n long, r2 double, rmse double, mae double")
+    return rows.select("condition", "family", "n", *[F.round(c, 6).alias(c) for c in ("r2", "rmse", "mae")])
+
+
+@query(
+    f"""WITH {PARTS}, l AS (SELECT l_partkey AS product, max(l_shipdate) AS seen FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) SELECT parts.product, strftime(seen, '%Y-%m-%d') AS seen FROM parts LEFT JOIN l USING (product)"""
+)
+def with_dates(spark, d):
+    dates = observations(spark, d).where("l_linenumber = 1").select("product", F.col("l_shipdate").alias("seen"))
+    return studies.with_dates(parts(spark, d).select("product"), dates, "product", "seen").select("product", F.date_format("seen", "yyyy-MM-dd").alias("seen"))
+
+
+@query(
+    f"""WITH {PANEL}, {_HELD}, q AS (SELECT category, quantile_cont(price, 0.25) AS a, quantile_cont(price, 0.75) AS b FROM tr GROUP BY 1)
+        SELECT category, count(*) AS n, count(CASE WHEN b > a AND (price < a - 1.5 * (b - a) OR price > b + 1.5 * (b - a)) THEN 1 END) AS n_out FROM s JOIN q USING (category) GROUP BY 1"""
+)
+def outliers_by_training_fences(spark, d):
+    x = split(panel(spark, d), "product")
+    found = iqr_outliers(x, "category", "price", fitted_on=x.where("part = 'train'"))
+    return found.groupBy("category").agg(F.count("*").alias("n"), F.count_if("outlier").alias("n_out"))

@@ -15,9 +15,10 @@ def clean_table(df: DataFrame, path: str, partitions: Sequence[str] = ("semaine"
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
-def csv_export(df: DataFrame, path: str) -> None:
-    """One CSV file with header, for download of a filtered (small) table."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def csv_export(df: DataFrame, path: str, files: int = 1, mark: bool = True) -> None:
+    """CSV with header in UTF-8, with a byte-order mark for spreadsheets; one file by default, for a filtered (small) table."""
+    named = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if mark else df
+    named.coalesce(files).write.mode("overwrite").option("header", True).csv(path)
 
 
 def json_export(df: DataFrame, path: str) -> None:
