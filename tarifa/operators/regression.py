@@ -252,11 +252,15 @@ def _ridge(g: np.ndarray, alpha: float) -> tuple[float, np.ndarray]:
     return float(y_mean - mean @ b), b
 
 
+def fold_of(key: str, folds: int = 5) -> Column:
+    """Fold of a key, by its MD5: the same on every run and in every engine."""
+    return F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(folds))
+
+
 def ridge(df: DataFrame, spec: DesignSpec, y: Column, group: str, folds: int = 5, alphas: Sequence[float] = ALPHAS) -> Ridge:
     """Ridge with alpha by grouped cross-validation: one pass for the Gram matrix of each fold serves all fits."""
     p = len(spec.names) + 1
-    fold = F.pmod(F.xxhash64(F.col(group)), F.lit(folds)).cast("string")
-    rows = df.select(fold.alias("f"), spec.vector().alias("x"), y.cast("double").alias("y")).where("y IS NOT NULL")
+    rows = df.select(fold_of(group, folds).cast("string").alias("f"), spec.vector().alias("x"), y.cast("double").alias("y")).where("y IS NOT NULL")
 
     def partial(b: pa.RecordBatch) -> np.ndarray:
         z = np.column_stack([_matrix(b.column(1), p), b.column(2).to_numpy(zero_copy_only=False)])

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifa.operators.regression import ALPHAS, _ridge, _summed
+from tarifa.operators.regression import ALPHAS, _ridge, _summed, fold_of
 
 #: Rows of a unit that one task clusters, and rows of a distance matrix that are made at once.
 MAX_UNIT, _STRIP = 20_000, 1024
@@ -279,15 +279,9 @@ def bootstrap_gap(df: DataFrame, group: Sequence[str], n_boot: int = 1000, ci: f
 
 #: Rows per predictor that a family of models needs.
 MIN_RATIO = {"hedonic": 10, "ridge": 5, "random_forest": 5}
-FOLDS = 5
 _MODEL = "n long, n_predictors int, fitted boolean, r2 double, r2_category double, kept boolean, intercept double, coefficients map<string,double>"
 
 
-def fold_of(key: str, folds: int = FOLDS):
-    """Fold of a key, by its MD5."""
-    return F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(folds))
-
-
 def _linear(grams: dict[str, np.ndarray], names: list[str], family: str) -> tuple[list[str], float | None, np.ndarray | None]:
     """Predictors that vary, intercept and slopes from the Gram matrix of each fold; None with too few rows."""
     total = sum(grams.values())

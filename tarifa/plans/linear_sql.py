@@ -88,3 +88,41 @@ def t_quantile_975(df: str) -> str:
     z = 1.959963984540054
     a, b, c = (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384
     return f"({z} + {a} / {df} + {b} / ({df} * {df}) + {c} / ({df} * {df} * {df}))"
+
+
+def ridge(tag: str, source: str, terms: Sequence[Term], y: str, key: str, alphas: Sequence[float], folds: int = 5) -> str:
+    """CTEs ``{tag}_best`` (alpha) and ``{tag}`` (intercept, b): ridge on scaled terms, the alpha by cross-validation over keys."""
+    p = len(terms)
+    d = p + 2  # constant, terms, target
+    gram = ", ".join("[" + ", ".join(f"sum(z[{i}] * z[{j}])" for j in range(1, d + 1)) + "]" for i in range(1, d + 1))
+    added = ", ".join("[" + ", ".join(f"sum(g[{i}][{j}])" for j in range(1, d + 1)) + "]" for i in range(1, d + 1))
+    less = "list_transform(t.g, lambda r, i: list_transform(r, lambda v, j: v - o.g[i][j]))"
+    solve = []
+
+    def solved(name: str, start: str) -> list[str]:
+        """From rows (…, m: Gram matrix, alpha) to intercept and slopes."""
+        scale = f"list_transform(range(2, {p + 2}), lambda i: CASE WHEN (m[i][i] - m[1][i] * m[1][i] / m[1][1]) / m[1][1] < 1e-24 THEN 1.0 ELSE sqrt((m[i][i] - m[1][i] * m[1][i] / m[1][1]) / m[1][1]) END)"
+        cell = "(m[i + 1][j + 1] - m[1][i + 1] * m[1][j + 1] / m[1][1]) / sd[i]"
+        rows = f"list_transform(range(1, {p + 1}), lambda i: list_transform(range(1, {p + 2}), lambda j: CASE WHEN j <= {p} THEN {cell} / sd[j] + CASE WHEN i = j THEN alpha ELSE 0 END ELSE {cell} END))"
+        out = [f"{name}_s AS (SELECT *, {scale} AS sd FROM {start})", f"{name}_0 AS (SELECT *, CAST({rows} AS DOUBLE[][]) AS a FROM {name}_s)"]
+        for k in range(1, p + 1):
+            swept = f"list_transform(a, lambda r, i: CASE WHEN i = {k} THEN list_transform(r, lambda v: v / a[{k}][{k}]) ELSE list_transform(r, lambda v, j: v - r[{k}] * a[{k}][j] / a[{k}][{k}]) END)"
+            out.append(f"{name}_{k} AS (SELECT * EXCLUDE (a), {swept} AS a FROM {name}_{k - 1})")
+        out.append(f"{name}_b AS (SELECT *, list_transform(a, lambda r, i: r[{p + 1}] / sd[i]) AS b FROM {name}_{p})")
+        out.append(f"{name} AS (SELECT *, m[1][{d}] / m[1][1] - list_dot_product(list_transform(m[1][2:{p + 1}], lambda v: v / m[1][1]), b) AS intercept FROM {name}_b)")
+        return out
+
+    solve += [
+        f"{tag}_z AS (SELECT ('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8))::BIGINT % {folds} AS f, CAST([1.0, {', '.join(e for _, e in terms)}, {y}] AS DOUBLE[]) AS z FROM {source})",
+        f"{tag}_g AS (SELECT f, CAST([{gram}] AS DOUBLE[][]) AS g FROM {tag}_z GROUP BY f)",
+        f"{tag}_t AS (SELECT CAST([{added}] AS DOUBLE[][]) AS g FROM {tag}_g)",
+        f"{tag}_a AS (SELECT unnest([{', '.join(map(str, map(float, alphas)))}]::DOUBLE[]) AS alpha)",
+        f"{tag}_c AS (SELECT f, alpha, o.g AS own, {less} AS m FROM {tag}_g o, {tag}_t t, {tag}_a)",
+        *solved(f"{tag}_v", f"{tag}_c"),
+        f"{tag}_e AS (SELECT *, list_concat([intercept], b) AS w FROM {tag}_v)",
+        f"{tag}_r AS (SELECT alpha, avg(1 - (own[{d}][{d}] - 2 * list_dot_product(own[{d}][1:{p + 1}], w) + list_dot_product(w, list_transform(own[1:{p + 1}], lambda r: list_dot_product(r[1:{p + 1}], w)))) / (own[{d}][{d}] - own[1][{d}] * own[1][{d}] / own[1][1])) AS score FROM {tag}_e GROUP BY alpha)",
+        f"{tag}_best AS (SELECT alpha FROM {tag}_r ORDER BY score DESC, alpha LIMIT 1)",
+        f"{tag}_f AS (SELECT alpha, g AS m FROM {tag}_t, {tag}_best)",
+        *solved(tag, f"{tag}_f"),
+    ]
+    return ",\n".join(solve)

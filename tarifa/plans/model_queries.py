@@ -132,12 +132,18 @@ def cook_influence(spark, d):
     return regression.cook(x, m, F.col("y")).select("product", "period", F.round("cook", 8).alias("cook"), "influential")
 
 
-@query()
+_CROSSED = [*_X, ("size_quantity", "size * quantity"), ("size_discount", "size * discount"), ("quantity_discount", "quantity * discount")]
+
+
+@query(
+    f"""WITH {PANEL}, {L.ridge('r', 'panel', _CROSSED, 'ln(price)', 'product', regression.ALPHAS)}
+        SELECT unnest([{', '.join(repr(n) for n, _ in _CROSSED)}]) AS feature, round(unnest(b), 6) AS coefficient, alpha FROM r"""
+)
 def ridge_cv(spark, d):
     x = interactions(_rows(spark, d), FEATURES)
     spec = DesignSpec.fit(x, [*FEATURES, "size_quantity", "size_discount", "quantity_discount"], [])
     m = regression.ridge(x, spec, F.col("y"), "product")
-    return spark.createDataFrame([(n, float(b), m.alpha) for n, b in zip(spec.names, m.coefficients)], "feature string, coefficient double, alpha double")
+    return spark.createDataFrame([(n, round(float(b), 6), m.alpha) for n, b in zip(spec.names, m.coefficients)], "feature string, coefficient double, alpha double")
 
 
 @query()
