@@ -464,6 +464,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
     return materialize(both.mapInArrow(run, "a long, b long"), "near-links")
 
 
+def _fits(n: str, i: str, m: str, j: str) -> str:
+    """SQL for whether sets of ``n`` and ``m`` members can be similar if they share none before the places ``i`` and ``j``.
+
+    They need 4/9 (n + m) common members, and have n - i and m - j at most from there on. It holds at the first
+    member that two similar sets share, so no pair is missed; copies of one text that are each too far from it have so many
+    members of their own in front that they don't meet.
+    """
+    return f"9 * ({n} - {i}) >= 4 * ({n} + {m}) AND 9 * ({m} - {j}) >= 4 * ({n} + {m})"
+
+
 def _near_rows(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, th, group of every row of ``_rows``: ``group`` numbers the components."""
     found = materialize(_prefixes(docs, shingle), "near-prefixes")
@@ -471,28 +481,28 @@ def _near_rows(docs: DataFrame, shingle: int) -> DataFrame:
     # a class of equal sets; its number is taken from a table that is written, so it does not change
     classes = found.groupBy(*same).agg(F.min(F.struct(F.col("doc_id").isNull(), *_ROW)).alias("row"), F.first("prefix").alias("prefix"), F.first("part").alias("part"))
     classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "near-classes")
-    filed = classes.select(F.explode("prefix").alias("key"), "class", "size")
+    filed = classes.select(F.posexplode("prefix").alias("at", "key"), "class", "size")
     by_key = Window.partitionBy("key")
     several = filed.withColumn("c0", F.min("class").over(by_key)).withColumn("c1", F.max("class").over(by_key)).where("c0 <> c1")
-    shared = materialize(several.select("key", "class", "size"), "near-shared")
+    shared = materialize(several.select("key", "at", "class", "size"), "near-shared")
     # of copies of one text the text itself has the fewest members that no other has: it is the head of its keys, which the
     # others are compared with even where they are too far from each other
     own = shared.groupBy("class").agg((F.first("size") - F.ceil(0.8 * F.first("size")) + 1 - F.count("*")).alias("alone"))
     ranked = shared.join(own, "class")
-    other = F.struct("class", "size")
+    other = F.struct("class", "size", "at")
     beside = [F.lead(other).over(by_key.orderBy("size", "class")).alias("after"), F.first(other).over(by_key.orderBy("alone", "class")).alias("head")]
-    ranked = ranked.select("class", "size", *beside).select("class", "size", F.explode(F.array("after", "head")).alias("o")).where("o IS NOT NULL AND class <> o.class")
+    ranked = ranked.select("class", "size", "at", *beside).select("class", "size", "at", F.explode(F.array("after", "head")).alias("o")).where("o IS NOT NULL AND class <> o.class")
     by_fp = classes.groupBy("fp").agg(F.min("class").alias("rep"))
     first = near_links(by_fp).union(classes.join(by_fp.toDF("fp", "one"), "fp").select("class", "one"))
-    near = ranked.where("5 * size >= 4 * o.size AND 5 * o.size >= 4 * size")
+    near = ranked.where(_fits("size", "at", "o.size", "o.at"))
     first = first.union(near.select("class", "o.class"))
     links = _verified(first, classes, docs, shingle)
     names = materialize(connected_components(links), "near-names")
-    members = shared.join(names, F.col("class") == F.col("node"), "left").select("key", "class", "size", F.coalesce("component", "class").alias("c"))
+    members = shared.join(names, F.col("class") == F.col("node"), "left").select("key", "class", "size", "at", F.coalesce("component", "class").alias("c"))
     open_keys = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
     members = materialize(members.join(open_keys, "key"), "near-open")
-    x, y = members.toDF("key", "a", "n", "ca"), members.toDF("key", "b", "m", "cb")
-    rest = x.join(y, "key").where("ca < cb AND 5 * n >= 4 * m AND 5 * m >= 4 * n").select("a", "b")
+    x, y = members.toDF("key", "a", "n", "i", "ca"), members.toDF("key", "b", "m", "j", "cb")
+    rest = x.join(y, "key").where("ca < cb AND " + _fits("n", "i", "m", "j")).select("a", "b")
     names = connected_components(links.union(_verified(rest, classes, docs, shingle)))
     labels = classes.join(names, F.col("class") == F.col("node"), "left").select(*same, F.coalesce("component", "class").alias("group"))
     return found.join(labels, same).select(*_ROW, "group")
