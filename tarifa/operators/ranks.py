@@ -23,7 +23,9 @@ def sum_before(rows: DataFrame, within: Sequence[str], order: str, amount: str,
     within = list(within)
     cuts = rows.groupBy(*within).agg(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("__cuts"))  # a row per group
     cut = rows.join(cuts, within) if within else rows.join(F.broadcast(cuts))
-    cut = cut.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")
+    steps = ", ".join(str(RANGES >> k) for k in range(1, RANGES.bit_length()))  # how many cuts are below, by halves
+    below = f"aggregate(array({steps}), 0, (lo, s) -> CASE WHEN lo + s <= size(__cuts) AND get(__cuts, lo + s - 1) < `{order}` THEN lo + s ELSE lo END)"
+    cut = cut.withColumn("__range", F.expr(below)).drop("__cuts")
     inside = Window.partitionBy(*within, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*within).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     base = cut.groupBy(*within, "__range").agg(F.sum(amount).alias("__all")).withColumn("__base", F.coalesce(F.sum("__all").over(before), F.lit(0))).drop("__all")

@@ -237,14 +237,19 @@ def segment_hedonic(spark, d):
 
 @query()
 def segment_models(spark, d):
-    return segments.segment_models(_segmented(spark, d), "brand", ["quantity", "size"], "y", "estimate").drop("coefficients", "intercept")
+    return segments.segment_models(_segmented(spark, d), "brand", ["quantity", "size"], "y", "estimate", families=("hedonic", "ridge")).drop("coefficients", "intercept")
+
+
+@query()
+def segment_forests(spark, d):
+    return segments.segment_models(_segmented(spark, d), "brand", ["quantity", "size"], "y", "estimate", families=("random_forest",)).drop("coefficients", "intercept")
 
 
 @query()
 def scoring_cascade(spark, d):
     x = _segmented(spark, d)
-    fine = segments.segment_models(x, "brand", ["quantity", "size"], "y", "estimate").where("family = 'hedonic'")
-    coarse = segments.segment_models(x, "category", ["quantity", "size"], "y", "estimate").where("family = 'hedonic'")
+    fine = segments.segment_models(x, "brand", ["quantity", "size"], "y", "estimate", families=("hedonic",))
+    coarse = segments.segment_models(x, "category", ["quantity", "size"], "y", "estimate", families=("hedonic",))
     scored = segments.score_cascade(x, fine, coarse, "brand", "category", ["quantity", "size"], "estimate")
     return scored.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("y") - F.col("scored"))), 6).alias("mae"))
 
