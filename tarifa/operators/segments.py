@@ -323,7 +323,9 @@ def segment_models(df: DataFrame, segment: str, features: Sequence[str], target:
     every = {r[segment]: r["n"] for r in df.groupBy(segment).agg(F.count("*").alias("n")).collect()}  # a row per segment
     label = F.coalesce(F.col(segment).cast("string"), F.lit("\0"))
     x = F.array(F.lit(1.0), *[F.col(f).cast("double") for f in names])
-    train = df.where("part = 'train'").select(label.alias("s"), fold_of(key).cast("string").alias("f"), x.alias("x"), F.col(target).cast("double").alias("y")).where("y IS NOT NULL")
+    # without a key rows are their own: equal ones share a fold
+    fold = fold_of(key) if key in df.columns else F.pmod(F.xxhash64(*names, target), F.lit(5))
+    train = df.where("part = 'train'").select(label.alias("s"), fold.cast("string").alias("f"), x.alias("x"), F.col(target).cast("double").alias("y")).where("y IS NOT NULL")
 
     def partial(b) -> np.ndarray:
         z = np.column_stack([b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, p + 1), b.column(3).to_numpy(zero_copy_only=False)])
