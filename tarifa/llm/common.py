@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,14 @@ def forget(spark: SparkSession, since: int = 0, keep: Sequence[str] = ()) -> int
     return len(gone)
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """What tasks read a file of the shared folder with, and its path there; the folder may be any that pyarrow can open."""
+    scheme, _, rest = path.partition(":")
+    if not rest or scheme == "file":
+        return pafs.LocalFileSystem(), "/" + (rest or path).lstrip("/")
+    return pafs.FileSystem.from_uri(path)
+
+
 #: Rows and bytes of an Arrow batch between Spark and Python: texts are long, and a batch is held several times.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 

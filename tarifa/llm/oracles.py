@@ -73,3 +73,36 @@ k AS (SELECT doc_id, which, CASE WHEN fp = other THEN 1.0 ELSE 2 * (same + len({
 SELECT f.doc_id, n_chars, edited_sha256, fp AS fingerprint, ef AS edited_fingerprint, x.near AS near_edited, y.near AS near_next, x.n_changed
 FROM f JOIN k x ON f.doc_id = x.doc_id AND x.which = 'e' JOIN k y ON f.doc_id = y.doc_id AND y.which = 'n'
 """
+
+
+_KEY = "translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+LINE_DEDUP = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+e AS (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM d),
+k AS (SELECT doc_id, i, x, {_KEY} AS k FROM e),
+s AS (SELECT k, max(doc_id) AS owner FROM k WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT k.doc_id, i, x, s.owner IS NOT NULL AND s.owner <> k.doc_id AS gone FROM k LEFT JOIN s ON k.k = s.k)
+SELECT doc_id, count(*) AS n_lines, count_if(gone) AS n_dropped, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id
+"""
+
+
+COLLOCATIONS = f"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS c FROM documents),
+s AS (SELECT lang, unnest(string_split_regex(c, '[.,;:!?\\n\\x0b\\f\\r]')) AS piece FROM t),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM s),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+q AS (SELECT lang, row_number() OVER () AS pid, w FROM p),
+e AS (SELECT lang, pid, unnest(w) AS x, unnest(range(len(w))) AS i FROM q),
+v AS (SELECT lang, x, lead(x) OVER (PARTITION BY pid ORDER BY i) AS y, lead(x, 2) OVER (PARTITION BY pid ORDER BY i) AS z FROM e),
+f AS MATERIALIZED (SELECT lang, 1 AS size, x AS phrase, count(*) AS f FROM v GROUP BY lang, x UNION ALL SELECT lang, 2, x || ' ' || y, count(*) FROM v WHERE y IS NOT NULL GROUP BY lang, x, y
+  UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z, count(*) FROM v WHERE z IS NOT NULL GROUP BY lang, x, y, z),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size >= 2 AND f >= 10),
+k AS (SELECT *, array_to_string(w[1:k], ' ') AS left_, array_to_string(w[k + 1:], ' ') AS right_ FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+l AS (SELECT k.lang, k.size, k.phrase, k.a, k.k, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * k.a * k.a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score FROM k
+  JOIN f x ON x.lang = k.lang AND x.phrase = left_ JOIN f y ON y.lang = k.lang AND y.phrase = right_),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS best FROM l),
+i AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, array_to_string(w[1:2], ' ') AS phrase FROM c WHERE size = 3 UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM c WHERE size = 3) GROUP BY lang, phrase),
+r AS (SELECT b.lang, b.phrase, b.a, b.l, b.r, b.score, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE b.best = 1 AND (i.longer IS NULL OR 100 * i.longer < 50 * b.a))
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM r JOIN n ON r.lang = n.lang WHERE rank <= 2000
+"""
