@@ -176,15 +176,11 @@ def _hashed(df: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
     """``row`` (all columns of ``df``), ``doc``, ``c``, and the hashes ``h`` and ``g`` of each line's key; zeros for short ones."""
     rows = bounded_batches(df).select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc"), text_or_empty(text).alias("c"))
 
-    def hashes(*salt):
-        def one(line):
-            key = F.btrim(line, F.lit(" \t\n\x0b\f\r"))
-            low = F.when(F.octet_length(key) == F.length(key), F.lower(key)).otherwise(F.translate(key, _UPPER, _LOWER))
-            return F.when(F.length(key) >= min_chars, F.xxhash64(*salt, low)).otherwise(F.lit(0).cast("long"))
-
-        return F.transform(F.split("c", "\n", -1), one)
-
-    return rows.withColumns({"h": hashes(), "g": hashes(F.lit("line"))})
+    key = F.transform(F.split("c", "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")))
+    low = F.transform("key", lambda x: F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(F.translate(x, _UPPER, _LOWER)))
+    hashed = lambda *salt: F.transform("low", lambda x: F.when(F.length(x) >= min_chars, F.xxhash64(*salt, x)).otherwise(F.lit(0).cast("long")))
+    rows = rows.withColumn("key", key).withColumn("low", low)  # each step once for both hashes
+    return rows.withColumns({"h": hashed(), "g": hashed(F.lit("line"))}).drop("key", "low")
 
 
 def build_index(hashed: DataFrame, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> tuple[str, int, int]:

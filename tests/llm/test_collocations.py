@@ -36,7 +36,7 @@ def found(df):
     return sorted(tuple(r) for r in df.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
 
 
-def made(n=200):
+def made(n=900):
     rng = random.Random(3)
     words = ["New", "York", "city", "Über", "über", "straße", "the", "of", "\xa0x", "A\x00b", "Ⅷ", "São", "PAULO"] + [f"w{k}" for k in range(30)]
     seps = [" ", " ", " ", "\t", "  ", ", ", ".\n", "\x0b", "; ", "!", "\r\n"]
