@@ -36,7 +36,7 @@ from tarifa.llm.common import bounded_batches, file_system, scratch, table, text
 MIN_COUNT, TOP, SUBSUMED_PERCENT = 10, 2000, 50
 ROWS, BYTES_A_COUNTER, MIN_COUNTERS, MAX_COUNTERS, SLICE = 2, 16, 1 << 18, 1 << 29, 1 << 18
 #: Bytes of text worked on at once; phrases gathered before a task's counters are sent.
-BLOCK, GATHERED = 16 << 20, 16 << 20
+BLOCK, GATHERED = 8 << 20, 8 << 20
 #: Ranges by which the best phrases of a language are chosen before they meet.
 SALTS = 64
 
@@ -129,9 +129,9 @@ def sketch(rows: DataFrame, counters: int, min_count: int) -> str:
 
     def send(gathered: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
-        every = np.concatenate(gathered) if gathered else np.zeros(0, np.uint64)
-        for row in range(ROWS if len(every) else 0):
-            cells = np.sort(_cells(every, row, counters))
+        for row in range(ROWS if gathered else 0):
+            cells = np.concatenate([_cells(h, row, counters) for h in gathered])
+            cells.sort()
             cuts = np.searchsorted(cells, np.arange(0, counters + 1, SLICE, dtype=np.int64))
             for k in np.flatnonzero(np.diff(cuts)):
                 counts = np.bincount(cells[cuts[k] : cuts[k + 1]] - np.uint32(k * SLICE), minlength=SLICE)
