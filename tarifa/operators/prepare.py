@@ -1,11 +1,12 @@
 """From clean rows to modelling tables: imputation, selection and encoding by category, the same for one week and for all.
 
-Specifications take few distinct values, so neighbours are looked for among distinct vectors with their number of rows, not
-among rows: a join within a category grows with the catalogue's variety, not with its size.
+Neighbours are looked for among distinct vectors with their number of rows, in a grid (``ranks.nearest``): vectors with gaps are filed
+once for each set of columns that they may share with those that ask, so no category is ever compared with itself.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,9 @@ from pyspark.sql.types import BooleanType, NumericType
 
 from tarifa.operators.bounds import BOUNDS
 from tarifa.operators.design import DesignSpec
+from tarifa.operators.ranks import nearest
 from tarifa.operators.selection import Effect, select
+from tarifa.sources.scratch import written
 
 NEIGHBOURS, LEAST_KNOWN = 5, 10
 # Column of each bounded quantity; what only television sets have.
@@ -49,6 +52,42 @@ def _same(names: Sequence[str], right: Sequence[str]) -> Column:
     return F.expr(" AND ".join(f"`{a}` <=> `{b}`" for a, b in zip(names, right)))
 
 
+def _with_group(rows: DataFrame, found: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of their group (null is a group too)."""
+    if not group:
+        return rows.join(F.broadcast(found))  # one row
+    found = found.withColumnsRenamed({g: f"__of_{g}" for g in group})
+    return rows.join(found, _same(group, [f"__of_{g}" for g in group])).drop(*[f"__of_{g}" for g in group])
+
+
+def _block(group: Sequence[str], *more: Column) -> Column:
+    """A string for each group (null ones too) and whatever else keeps vectors apart."""
+    parts = [F.coalesce(F.concat(F.lit("v"), F.col(g).cast("string")), F.lit("n")) for g in group]
+    return F.concat_ws("|", F.lit(""), *parts, *[m.cast("string") for m in more])
+
+
+def near_with_gaps(asked: DataFrame, donors: DataFrame, group: Sequence[str], use: Sequence[str], k: int) -> DataFrame:
+    """``asked`` vectors with their ``k`` nearest ``donors`` for each set of known columns, by the columns both know: the asked columns,
+    ``__d_`` columns of the donor and its number of rows ``__w``. The ``k`` nearest of all are among them.
+
+    Both have the group's columns and ``use``; donors have ``__rows``. Of equally near donors the smaller vectors are taken, nulls
+    last. Pairs of masks of known columns are blocks of their own: within one, the columns that count are the same for all pairs, so a grid serves.
+    """
+    mask = sum((F.when(F.col(u).isNotNull(), 1 << i).otherwise(0) for i, u in enumerate(use)), F.lit(0))
+    asked, donors = asked.withColumn("__q", mask), donors.withColumn("__m", mask)
+    masks = asked.select(_block(group).alias("__g"), "__q").distinct().join(donors.select(_block(group).alias("__g"), "__m").distinct(), "__g").where(F.col("__q").bitwiseAND(F.col("__m")) != 0)
+
+    def filed(rows: DataFrame, own: str, weight: Column, other: str) -> DataFrame:
+        pairs = rows.withColumn("__g", _block(group)).join(masks, ["__g", own])
+        places = [x for u in use for x in (F.col(u).isNull().alias(f"n_{u}"), F.col(u).alias(f"v_{u}"))]
+        name = F.struct(*[F.col(g).alias(f"g_{g}") for g in group], *places, weight.cast("long").alias("rows"), F.col(other).alias("mask"))
+        shared = F.col("__q").bitwiseAND(F.col("__m"))
+        return pairs.select(name.alias("id"), F.concat_ws("|", "__g", "__q", "__m").alias("block"), *[F.when(shared.bitwiseAND(1 << i) != 0, F.col(u)).otherwise(0.0).alias(f"f{i}") for i, u in enumerate(use)])
+
+    near = nearest(filed(asked, "__q", F.lit(0), "__m"), filed(donors, "__m", F.col("__rows"), "__q"), "block", [f"f{i}" for i in range(len(use))], k)
+    return near.select(*[F.col(f"query_id.g_{g}").alias(g) for g in group], *[F.col(f"query_id.v_{u}").alias(u) for u in use], *[F.col(f"id.v_{u}").alias(f"__d_{u}") for u in use], F.col("id.rows").alias("__w"))
+
+
 def impute_numbers(df: DataFrame, targets: Sequence[str], neighbours: Sequence[str], within: str | None = None, k: int = NEIGHBOURS, least: int = LEAST_KNOWN) -> DataFrame:
     """Gaps in numbers: the median of the group where fewer than ``least`` values are known, else the mean over the nearest rows.
 
@@ -65,30 +104,34 @@ def impute_numbers(df: DataFrame, targets: Sequence[str], neighbours: Sequence[s
     by_knn = lambda c: (F.col(f"__k_{c}") >= least) & (F.col(f"__k_{c}") < F.col("__n"))
     sparsest = F.least(*[F.when(by_knn(c), F.col(f"__k_{c}")) for c in targets], F.lit(1 << 60).cast("long"))
     known = known.withColumn("__kk", F.least(F.lit(k).cast("long"), F.greatest(F.lit(1).cast("long"), sparsest - 1)))
-    # a row per group
-    rows = rows.join(known, group) if group else rows.join(F.broadcast(known))
+    rows = _with_group(rows, known, group)
     use = list(dict.fromkeys([*targets, *(n for n in neighbours if n in df.columns)]))
     out = rows
     for c in targets:
         out = out.withColumn(c, F.when(F.col(c).isNull() & (F.col(f"__k_{c}") < least), F.col(f"__m_{c}")).otherwise(F.col(c)))
     # columns filled by the median take part as they are afterwards, as do complete ones
     vectors = out.groupBy(*group, *use).agg(F.count("*").alias("__rows"), *[F.first(f"__a_{c}").alias(f"__a_{c}") for c in targets], F.first("__kk").alias("__kk"))
-    out = out.withColumns({f"__key_{x}": F.col(x) for x in (*group, *use)})  # vectors before any gap is filled from neighbours
-    for c in targets:
-        donors = vectors.where(F.col(c).isNotNull()).select(*[F.col(g).alias(f"__g_{g}") for g in group], *[F.col(u).alias(f"__d_{u}") for u in use], F.col("__rows").alias("__w"))
-        asked = vectors.where(F.col(c).isNull() & F.col(f"__a_{c}").isNotNull()).select(*group, *use, F.col(f"__a_{c}").alias("__mean"), "__kk")
-        both = {u: F.col(u).isNotNull() & F.col(f"__d_{u}").isNotNull() for u in use}
-        gaps = sum((F.when(both[u], (F.col(u) - F.col(f"__d_{u}")) * (F.col(u) - F.col(f"__d_{u}"))).otherwise(0.0) for u in use), F.lit(0.0))
-        shared = sum((F.when(both[u], 1).otherwise(0) for u in use), F.lit(0))
-        near = asked.join(donors, _same(group, [f"__g_{g}" for g in group]) if group else F.lit(True), "left")
-        near = near.withColumn("__dist", F.when(shared > 0, F.sqrt(gaps * float(len(use)) / shared)))
-        order = [F.col("__dist").asc_nulls_last(), *[F.col(f"__d_{u}").asc_nulls_last() for u in use]]
-        w = Window.partitionBy(*group, *use).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        near = near.withColumn("__before", F.coalesce(F.sum("__w").over(w), F.lit(0))).where("__before < __kk")
-        weight = F.when(F.col("__dist").isNotNull(), F.least(F.col("__w"), F.col("__kk") - F.col("__before")))
-        found = near.groupBy(*group, *use).agg(F.coalesce(F.sum(weight * F.col(f"__d_{c}")) / F.sum(weight), F.first("__mean")).alias(f"__v_{c}"))
-        found = found.select(*[F.col(x).alias(f"__o_{c}_{x}") for x in (*group, *use)], f"__v_{c}")
-        out = out.join(found, _same([f"__key_{x}" for x in (*group, *use)], [f"__o_{c}_{x}" for x in (*group, *use)]), "left").withColumn(c, F.coalesce(c, f"__v_{c}"))
+    vectors = written(vectors, "impute-vectors")
+    each = lambda rows: functools.reduce(DataFrame.unionByName, [rows(c).withColumn("__t", F.lit(c)) for c in targets])
+    donors = each(lambda c: vectors.where(F.col(c).isNotNull()).select(*group, *use, "__rows"))
+    asked = each(lambda c: vectors.where(F.col(c).isNull() & F.col(f"__a_{c}").isNotNull()).select(*group, *use, F.col(f"__a_{c}").alias("__mean"), "__kk"))
+    own = [*group, *use, "__t"]
+    found = near_with_gaps(asked.select(*own), donors, [*group, "__t"], use, k)  # all targets in one search
+    found = found.select(*[F.col(x).alias(f"__f_{x}") for x in own], *[f"__d_{u}" for u in use], "__w")
+    near = asked.join(found, _same(own, [f"__f_{x}" for x in own]), "left").drop(*[f"__f_{x}" for x in own])
+    both = {u: F.col(u).isNotNull() & F.col(f"__d_{u}").isNotNull() for u in use}
+    gaps = sum((F.when(both[u], (F.col(u) - F.col(f"__d_{u}")) * (F.col(u) - F.col(f"__d_{u}"))).otherwise(0.0) for u in use), F.lit(0.0))
+    shared = sum((F.when(both[u], 1).otherwise(0) for u in use), F.lit(0))
+    near = near.withColumn("__dist", F.when(shared > 0, F.sqrt(gaps * float(len(use)) / shared)))
+    order = [F.col("__dist").asc_nulls_last(), *[F.col(f"__d_{u}").asc_nulls_last() for u in use]]
+    w = Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("__before", F.coalesce(F.sum("__w").over(w), F.lit(0))).where("__before < __kk")
+    weight = F.when(F.col("__dist").isNotNull(), F.least(F.col("__w"), F.col("__kk") - F.col("__before")))
+    given = functools.reduce(lambda e, c: F.when(F.col("__t") == c, F.col(f"__d_{c}")).otherwise(e), targets, F.lit(None).cast("double"))
+    values = near.groupBy(*own).agg(F.coalesce(F.sum(weight * given) / F.sum(weight), F.first("__mean")).alias("__v"))
+    values = values.groupBy(*group, *use).agg(*[F.max(F.when(F.col("__t") == c, F.col("__v"))).alias(f"__v_{c}") for c in targets])
+    values = values.select(*[F.col(x).alias(f"__o_{x}") for x in (*group, *use)], *[f"__v_{c}" for c in targets])
+    out = out.join(values, _same([*group, *use], [f"__o_{x}" for x in (*group, *use)]), "left").withColumns({c: F.coalesce(c, f"__v_{c}") for c in targets})
     return out.select(*df.columns)
 
 
@@ -104,14 +147,18 @@ def impute_labels(df: DataFrame, targets: Sequence[str], neighbours: Sequence[st
         return df
     group = [within] if within else []
     medians = df.groupBy(*group).agg(*[F.median(F.col(c).cast("double")).alias(f"__m_{c}") for c in use])  # a row per group
-    out = df.join(medians, group) if group else df.join(F.broadcast(medians))
+    out = _with_group(df, medians, group)
     out = out.withColumns({f"__f_{c}": F.coalesce(F.when(~_missing(c), F.col(c).cast("double")), F.col(f"__m_{c}"), F.lit(0.0)) for c in use})
     vector = [f"__f_{c}" for c in use]
     for t in targets:
         counts = out.where(F.col(t).isNotNull()).groupBy(*group, *vector, t).agg(F.count("*").alias("__w"))
-        donors = counts.select(*[F.col(g).alias(f"__g_{g}") for g in group], *[F.col(v).alias(f"__d{v}") for v in vector], F.col(t).alias("__label"), "__w")
         asked = out.where(F.col(t).isNull()).select(*group, *vector).distinct()
-        near = asked.join(donors, _same(group, [f"__g_{g}" for g in group]) if group else F.lit(True))
+        name = lambda label, rows: F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group)], *[F.col(v).alias(v) for v in vector], label.alias("label"), rows.cast("long").alias("rows"))
+        found = nearest(
+            asked.select(name(F.lit(None).cast(df.schema[t].dataType), F.lit(0)).alias("id"), _block(group).alias("block"), *vector),
+            counts.select(name(F.col(t), F.col("__w")).alias("id"), _block(group).alias("block"), *vector), "block", vector, k,
+        )
+        near = found.select(*[F.col(f"query_id.g{i}").alias(g) for i, g in enumerate(group)], *[F.col(f"query_id.{v}").alias(v) for v in vector], *[F.col(f"id.{v}").alias(f"__d{v}") for v in vector], F.col("id.label").alias("__label"), F.col("id.rows").alias("__w"))
         gaps = sum(((F.col(v) - F.col(f"__d{v}")) * (F.col(v) - F.col(f"__d{v}")) for v in vector), F.lit(0.0))
         near = near.withColumn("__dist", gaps)
         w = Window.partitionBy(*group, *vector).orderBy("__dist", *[f"__d{v}" for v in vector], "__label").rowsBetween(Window.unboundedPreceding, -1)

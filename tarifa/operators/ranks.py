@@ -88,7 +88,7 @@ def nearest(queries: DataFrame, rows: DataFrame, block: str, features: Sequence[
     donors = written(donors, "knn-rows")
     extent = [F.max(F.col("__x")[i]) - F.min(F.col("__x")[i]) for i in range(d)]
     widest = F.greatest(*extent, F.lit(0.0)) if d else F.lit(0.0)
-    sizes = donors.unionByName(asked).groupBy("__block").agg(F.count_distinct("__x").alias("n"), widest.alias("extent"), *[F.min(F.col("__x")[i]).alias(f"lo{i}") for i in range(d)])
+    sizes = donors.unionByName(asked).groupBy("__block").agg(F.count_distinct("__x").alias("n"), widest.alias("extent"), *[f(F.col("__x")[i]).alias(f"{name}{i}") for i in range(d) for f, name in ((F.min, "lo"), (F.max, "hi"))])
     across = F.greatest(F.floor(F.pow(F.col("n") / (8.0 * (k + 1)), F.lit(1.0 / max(d, 1)))), F.lit(1))
     sizes = written(sizes.select("*", F.when(F.col("extent") > 0, F.col("extent") / across).otherwise(1.0).alias("side")), "knn-blocks")  # a row per block
     steps = sizes.agg(F.max(F.col("extent") / F.col("side"))).first()[0] or 1.0
@@ -97,7 +97,9 @@ def nearest(queries: DataFrame, rows: DataFrame, block: str, features: Sequence[
         side = F.col("side") * float(4**level)
         cell = lambda shift: F.array(*[F.floor((F.col("__x")[i] - F.col(f"lo{i}")) / side).cast("long") + s for i, s in enumerate(shift)])
         filed = donors.join(sizes, "__block").select("__block", cell([0] * d).alias("__cell"), "id", F.col("__x").alias("__y"), F.col("__other").alias("__o"))
-        looking = left.join(sizes, "__block").select(*group, side.alias("__side"), "extent", F.explode(F.array(*[cell(s) for s in product((-1, 0, 1), repeat=d)])).alias("__cell"))
+        looking = left.join(sizes, "__block").select(*group, side.alias("__side"), *[F.floor((F.col(f"hi{i}") - F.col(f"lo{i}")) / side).alias(f"__last{i}") for i in range(d)], F.explode(F.array(*[cell(s) for s in product((-1, 0, 1), repeat=d)])).alias("__cell"))
+        inside = F.expr(" AND ".join(f"__cell[{i}] BETWEEN 0 AND __last{i}" for i in range(d)) or "true")  # the block has no vectors beyond
+        looking = looking.where(inside).drop(*[f"__last{i}" for i in range(d)])
         near = looking.join(filed, ["__block", "__cell"])
         if different:
             near = near.where("NOT __o <=> __other")

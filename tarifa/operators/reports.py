@@ -25,8 +25,8 @@ def weekly_reports(labelled: DataFrame, models: DataFrame, specs: Sequence[str],
     steps = transitions(units.withColumns({c: F.round(c, 2) for c in ("real", f"estimated_{best}")}), ["brand", "tier", "cluster"], "real", f"estimated_{best}", "n")
     tiered = tiers(labelled)
     index = regression.price_index(labelled, list(specs), ["brand"], "period", F.col("y"), "product").rename(columns={"period": "period"})
-    sides = n2.select("brand", "tier", "cluster", F.col("period").alias("t"), F.lit(0).alias("side"), F.col("price").alias("real"), F.col(f"price_{best}").alias("estimated"))
-    later = n2.select("brand", "tier", "cluster", (F.col("period") - 1).alias("t"), F.lit(1).alias("side"), F.col("price").alias("real"), F.col(f"price_{best}").alias("estimated"))
+    priced = n2.select("brand", "tier", "cluster", "period", "product", F.col("price").alias("real"), F.col(f"price_{best}").alias("estimated"))
+    gaps = segments.bootstrap_gap(segments.sides(priced, ["brand", "tier", "cluster"]), ["brand", "tier", "cluster", "t"], "product", n_boot)
     covered = labelled.groupBy("period").agg(F.count("*").alias("n"), F.count("cluster_n1").alias("n1_covered"), F.count("cluster_n2").alias("n2_covered"))
     trace = segments.k_trace(tiered, ["brand", "tier"], list(specs))
     return {
@@ -39,5 +39,5 @@ def weekly_reports(labelled: DataFrame, models: DataFrame, specs: Sequence[str],
         "k_justification": trace,
         "coverage": covered.withColumns({f"{c}_pct": F.col(c) * 100.0 / F.col("n") for c in ("n1_covered", "n2_covered")}),
         "raw_and_clean": studies.raw_and_clean(raw if raw is not None else labelled, labelled, "period"),
-        "transitions": steps.join(segments.bootstrap_gap(sides.unionByName(later), ["brand", "tier", "cluster", "t"], n_boot), ["brand", "tier", "cluster", "t"], "left"),
+        "transitions": steps.join(gaps, ["brand", "tier", "cluster", "t"], "left"),
     }

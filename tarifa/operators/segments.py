@@ -9,11 +9,12 @@ segments may be of any size.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarifa.operators.regression import ALPHAS, _ridge, _summed, fold_of
@@ -246,33 +247,52 @@ def stability(df: DataFrame, unit: Sequence[str], features: Sequence[str], repli
     return out
 
 
-def _resampled_means(x: np.ndarray, n_boot: int, rng: np.random.Generator, room: int = 1 << 20) -> np.ndarray:
-    """Column means of ``n_boot`` samples of the rows, drawn with replacement; about ``room`` places are held at once."""
-    step = max(1, room // len(x))
-    parts = [x[rng.integers(0, len(x), (min(step, n_boot - at), len(x)))].mean(1) for at in range(0, n_boot, step)]
-    return np.concatenate(parts)
+#: Modulus of the hashes that weights are drawn from, and the shares of it below which a Poisson draw (mean 1) is 0, at most 1, ...
+_PRIME = (1 << 31) - 1
+POISSON = [int(sum(1 / math.factorial(i) for i in range(k + 1)) / math.e * _PRIME) for k in range(10)]
 
 
-def bootstrap_gap(df: DataFrame, group: Sequence[str], n_boot: int = 1000, ci: float = 0.95) -> DataFrame:
-    """For columns ``side`` (0 before, 1 after), real and estimated price: interval and two-sided p-value of the gap between the real
-    and the estimated change of the geometric mean. Rows of a side are drawn with replacement, real and estimate together."""
-    keys = list(group)
+def sides(df: DataFrame, group: Sequence[str], period: str = "period") -> DataFrame:
+    """Each row once for the change from its period to the group's next available one (side 0) and once for the change to its own (side 1).
 
-    def run(key: tuple, u: pd.DataFrame) -> pd.DataFrame:
-        row = dict(zip(keys, key)) | {"low": None, "high": None, "p_value": None}
-        sides = [u[u.side == s].sort_values(["real", "estimated"])[["real", "estimated"]].to_numpy(float) for s in (0, 1)]
-        if n_boot > 0 and min(map(len, sides)) >= 2:
-            rng = rng_for("gap", *key)
-            means = [np.exp(_resampled_means(np.log(s), n_boot, rng)) for s in sides]
-            change = (means[1] - means[0]) / means[0] * 100
-            gap = change[:, 0] - change[:, 1]
-            low, high = np.quantile(gap, [(1 - ci) / 2, (1 + ci) / 2])
-            above = float((gap >= 0).mean())
-            row |= {"low": round(float(low), 2), "high": round(float(high), 2), "p_value": round(min(1.0, 2 * min(above, 1 - above)), 4)}
-        return pd.DataFrame([row])
+    ``t`` is the earlier period of the change, whatever lies between; the first and the last period have one change each.
+    """
+    keys, rest = list(group), [c for c in df.columns if c not in (*group, period)]
+    w = Window.partitionBy(*keys).orderBy(period)
+    places = df.select(*keys, period).distinct().withColumns({"__next": F.lead(period).over(w), "__prior": F.lag(period).over(w)})  # a row per group and period
+    same = F.expr(" AND ".join(f"r.`{c}` <=> p.`{c}`" for c in (*keys, period)))
+    rows = df.alias("r").join(places.alias("p"), same).select(*[F.col(f"r.`{c}`") for c in (*keys, period, *rest)], "__next", "__prior")
+    changes = F.array(F.when(F.col("__next").isNotNull(), F.struct(F.col(period).alias("t"), F.lit(0).alias("side"))), F.when(F.col("__prior").isNotNull(), F.struct(F.col("__prior").alias("t"), F.lit(1).alias("side"))))
+    return rows.withColumn("__c", F.explode(F.array_compact(changes))).select(*keys, "__c.t", "__c.side", *rest)
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    out = df.select(*keys, "side", "real", "estimated").groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", low double, high double, p_value double")
+
+def bootstrap_gap(df: DataFrame, group: Sequence[str], row: str, n_boot: int = 1000, ci: float = 0.95) -> DataFrame:
+    """For columns ``side`` (0 before, 1 after), real and estimated price: interval and two-sided p-value of the gap between the real
+    and the estimated change of the geometric mean.
+
+    Every row counts in each replicate as often as a Poisson draw with mean 1 says, real and estimate together: in sum the
+    same as drawing rows with replacement, but by one aggregation over rows of any number. The draw comes from the MD5 of group,
+    side and ``row`` (which tells rows of a group's side apart) and the replicate's number. A replicate in which a side has no row
+    is left out; a side with fewer than two rows gives nulls.
+    """
+    keys = list(group)
+    bits = F.md5(F.concat_ws("|", F.lit("gap"), *[F.col(c).cast("string") for c in (*keys, "side", row)]))
+    part = lambda at: F.conv(F.substring(bits, at, 7), 16, 10).cast("long")
+    log = lambda c: F.ln(F.col(c).cast("double"))
+    rows = df.select(*keys, "side", log("real").alias("__a"), log("estimated").alias("__b"), part(1).alias("__s1"), (part(8) + 1).alias("__s2"))
+    counts = rows.groupBy(*keys).agg(F.least(F.count_if(F.col("side") == 0), F.count_if(F.col("side") == 1)).alias("__least"))
+    draws = rows.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))) if n_boot > 0 else rows.limit(0).withColumn("__r", F.lit(0))
+    u = f"pmod(__s1 + __r * __s2, {_PRIME}L)"
+    draws = draws.withColumn("__u", F.expr(u)).withColumn("__w", sum((F.when(F.col("__u") >= c, 1).otherwise(0) for c in POISSON), F.lit(0)))
+    mean = lambda c, side: F.sum(F.when(F.col("side") == side, F.col("__w") * F.col(c))) / F.nullif(F.sum(F.when(F.col("side") == side, F.col("__w"))), F.lit(0))
+    change = lambda c: F.exp(mean(c, 1) - mean(c, 0))
+    gaps = draws.where("__w > 0").groupBy(*keys, "__r").agg(((change("__a") - change("__b")) * 100).alias("__gap")).where("__gap IS NOT NULL")
+    found = gaps.groupBy(*keys).agg(F.percentile("__gap", [(1 - ci) / 2, (1 + ci) / 2]).alias("__q"), F.avg((F.col("__gap") >= 0).cast("int")).alias("__above"))  # n_boot values a group
+    same = F.expr(" AND ".join(f"c.`{k}` <=> f.`{k}`" for k in keys))
+    out = counts.alias("c").join(found.alias("f"), same, "left").select(
+        *[F.col(f"c.`{k}`") for k in keys],
+        *[F.when(F.col("__least") >= 2, F.round(v, n)).alias(name) for name, v, n in (("low", F.col("__q")[0], 2), ("high", F.col("__q")[1], 2), ("p_value", F.least(F.lit(1.0), 2 * F.least("__above", 1 - F.col("__above"))), 4))],
+    )
     significant = ((F.col("low") > 0) | (F.col("high") < 0)) & (F.col("p_value") < 0.05)
     return out.withColumn("significant", F.coalesce(significant, F.lit(False)))
 

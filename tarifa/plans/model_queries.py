@@ -200,15 +200,32 @@ def cluster_stability(spark, d):
     return segments.stability(tiers(parts(spark, d)), ["brand", "tier"], ["size"])
 
 
-@query()
+#: Replicates of the query; the operator's default is 1,000.
+_DRAWS = 200
+_WEIGHT = f"""(SELECT *, {' + '.join(f'CAST((s1 + r * s2) % 2147483647 >= {c} AS INTEGER)' for c in segments.POISSON)} AS w FROM s, (SELECT unnest(range({_DRAWS})) AS r))"""
+
+
+@query(
+    f"""WITH {PANEL}, {L.fit('o', 'panel', [('quantity', 'quantity')], 'ln(price)')},
+        e AS (SELECT category, period, product, price AS real, exp(list_dot_product(x, beta)) AS estimated FROM o, o_x),
+        n AS (SELECT category, period, lead(period) OVER w AS next, lag(period) OVER w AS prior FROM (SELECT DISTINCT category, period FROM panel) WINDOW w AS (PARTITION BY category ORDER BY period)),
+        b AS (SELECT e.category, e.period AS t, 0 AS side, product, real, estimated FROM e JOIN n USING (category, period) WHERE next IS NOT NULL
+              UNION ALL SELECT e.category, prior, 1, product, real, estimated FROM e JOIN n USING (category, period) WHERE prior IS NOT NULL),
+        h AS (SELECT *, md5(concat_ws('|', 'gap', CAST(category AS VARCHAR), CAST(t AS VARCHAR), CAST(side AS VARCHAR), CAST(product AS VARCHAR))) AS h FROM b),
+        s AS (SELECT *, CAST('0x' || h[:7] AS BIGINT) AS s1, 1 + CAST('0x' || h[8:14] AS BIGINT) AS s2 FROM h),
+        m AS (SELECT category, t, side, r, sum(w * ln(real)) / nullif(sum(w), 0) AS a, sum(w * ln(estimated)) / nullif(sum(w), 0) AS b FROM {_WEIGHT} GROUP BY 1, 2, 3, 4),
+        g AS (SELECT x.category, x.t, (exp(y.a - x.a) - exp(y.b - x.b)) * 100 AS gap FROM m x JOIN m y ON x.category = y.category AND x.t = y.t AND x.r = y.r AND x.side = 0 AND y.side = 1),
+        k AS (SELECT category, t, least(count_if(side = 0), count_if(side = 1)) AS least_n FROM b GROUP BY 1, 2),
+        q AS (SELECT category, t, quantile_cont(gap, 0.025) AS low, quantile_cont(gap, 0.975) AS high, avg(CAST(gap >= 0 AS INTEGER)) AS above FROM g GROUP BY 1, 2),
+        v AS (SELECT k.category, k.t, CASE WHEN least_n >= 2 THEN round(low, 2) END AS low, CASE WHEN least_n >= 2 THEN round(high, 2) END AS high,
+              CASE WHEN least_n >= 2 THEN round(least(1.0, 2 * least(above, 1 - above)), 4) END AS p_value FROM k LEFT JOIN q ON k.category = q.category AND k.t = q.t)
+        SELECT *, coalesce((low > 0 OR high < 0) AND p_value < 0.05, false) AS significant FROM v"""
+)
 def bootstrap_gap(spark, d):
     x = _rows(spark, d)
     m = regression.ols(x, DesignSpec.fit(x, ["quantity"], []), F.col("y"))
-    rows = x.select("category", "period", F.col("price").alias("real"), F.exp(m.predict()).alias("estimated"))
-    # each period is the after side of one transition and the before side of the next
-    sides = rows.select("category", F.col("period").alias("t"), F.lit(0).alias("side"), "real", "estimated").union(rows.select("category", F.col("period") - 1, F.lit(1), "real", "estimated"))
-    both = rows.select("category", F.col("period").alias("t")).distinct().intersect(rows.select("category", (F.col("period") - 1).alias("t")).distinct())
-    return segments.bootstrap_gap(sides.join(both, ["category", "t"], "left_semi"), ["category", "t"])
+    rows = x.select("category", "period", "product", F.col("price").alias("real"), F.exp(m.predict()).alias("estimated"))
+    return segments.bootstrap_gap(segments.sides(rows, ["category"]), ["category", "t"], "product", _DRAWS)
 
 
 def _segmented(spark, d):
@@ -225,8 +242,8 @@ _BOTH = [("quantity", "quantity"), ("size", "size")]
 @query(
     f"""WITH {PANEL}, {_SPLIT}, tr AS (SELECT * FROM s WHERE part = 'train'), {L.fit('c', 'tr', [('quantity', 'quantity')], 'ln(price)')}, {L.fit('b', 'tr', _BOTH, 'ln(price)', 'brand')},
         t AS (SELECT s.brand, ln(price) AS y, list_dot_product([1.0, quantity, size]::DOUBLE[], b.beta) AS e, list_dot_product([1.0, quantity]::DOUBLE[], c.beta) AS g FROM s JOIN b ON s.brand = b.brand, c WHERE part = 'test'),
-        r AS (SELECT brand, 1 - sum((y - e) * (y - e)) / (var_pop(y) * count(*)) AS r2, 1 - sum((y - g) * (y - g)) / (var_pop(y) * count(*)) AS r2_category FROM t GROUP BY brand)
-        SELECT b.brand, m.n, round(beta[2], 6) AS quantity, round(beta[3], 6) AS size, round(r2, 6) AS r2, round(r2_category, 6) AS r2_category, r2 > r2_category AS kept FROM b JOIN r ON b.brand = r.brand
+        r AS (SELECT brand, 1 - sum((y - e) * (y - e)) / (var_pop(y) * count(*)) AS r2, 1 - sum((y - g) * (y - g)) / (var_pop(y) * count(*)) AS r2_category FROM t GROUP BY brand HAVING count(*) > 1 AND var_pop(y) * count(*) > 1e-12)
+        SELECT b.brand, m.n, round(beta[2], 6) AS quantity, round(beta[3], 6) AS size, round(r2, 6) AS r2, round(r2_category, 6) AS r2_category, coalesce(r2 > r2_category, false) AS kept FROM b LEFT JOIN r ON b.brand = r.brand
           JOIN (SELECT brand, count(*) AS n FROM panel GROUP BY brand) m ON b.brand = m.brand WHERE b.n >= 20"""
 )
 def segment_hedonic(spark, d):

@@ -110,11 +110,45 @@ def test_clusters_and_stability(spark):
 
 
 def test_bootstrap(spark):
-    rows = [("same", s, 10.0 + i, 10.0 + i) for s in (0, 1) for i in range(20)] + [("up", s, (10.0 + i) * (1 + s), 10.0 + i) for s in (0, 1) for i in range(25)] + [("one", 0, 1.0, 1.0), ("one", 1, 1.0, 1.0)]
-    df = spark.createDataFrame(rows, "k string, side int, real double, estimated double")
-    out = segments.bootstrap_gap(df, ["k"], 300).toPandas().set_index("k")
-    assert out.significant.to_dict() == {"same": False, "up": True, "one": False} and out.low["up"] > 0 and pd.isna(out.low["one"])
-    assert segments.bootstrap_gap(df, ["k"], 0).toPandas().low.isna().all()
+    rows = [("same", s, i, 10.0 + i, 10.0 + i) for s in (0, 1) for i in range(20)] + [("up", s, i, (10.0 + i) * (1 + s), 10.0 + i) for s in (0, 1) for i in range(25)]
+    rows += [("one", 0, 1, 1.0, 1.0), ("one", 1, 1, 1.0, 1.0), ("gone", 0, 1, 1.0, 1.0), ("gone", 0, 2, 1.0, 1.0), (None, 0, 1, 2.0, 1.0), (None, 0, 2, 2.0, 1.0), (None, 1, 1, 4.0, 1.0), (None, 1, 2, 4.0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, side int, id int, real double, estimated double")
+    out = segments.bootstrap_gap(df, ["k"], "id", 300).toPandas()
+    assert out[out.k.isna()].low.item() == out[out.k.isna()].high.item() == 100  # constant sides: every replicate that has both gives the same
+    out = out.set_index("k")
+    assert out[out.index.notna()].significant.to_dict() == {"same": False, "up": True, "one": False, "gone": False}
+    assert out.low["up"] > 0 and pd.isna(out.low["one"]) and pd.isna(out.low["gone"])
+    assert segments.bootstrap_gap(df, ["k"], "id", 0).toPandas().low.isna().all()
+    assert segments.bootstrap_gap(df.limit(0), ["k"], "id").count() == 0
+
+
+def test_bootstrap_agrees_with_drawing_rows(spark):
+    """The interval is the one that drawing rows with replacement gives, up to the noise of 2,000 replicates."""
+    rng = np.random.default_rng(7)
+    x = {s: np.column_stack([rng.lognormal(3 + 0.1 * s, 0.3, 150), rng.lognormal(3, 0.2, 150)]) for s in (0, 1)}
+    df = spark.createDataFrame([("k", s, i, float(a), float(b)) for s in (0, 1) for i, (a, b) in enumerate(x[s])], "k string, side int, id int, real double, estimated double")
+    got = segments.bootstrap_gap(df, ["k"], "id", 2000).first()
+    means = [np.exp(np.log(x[s])[rng.integers(0, 150, (4000, 150))].mean(1)) for s in (0, 1)]
+    change = means[1] / means[0] * 100
+    low, high = np.quantile(change[:, 0] - change[:, 1], [0.025, 0.975])
+    assert abs(got["low"] - low) < 0.1 * (high - low) and abs(got["high"] - high) < 0.1 * (high - low)
+
+
+def test_sides_pair_available_periods(spark):
+    df = spark.createDataFrame([("a", 1, "p"), ("a", 3, "q"), ("a", 7, "r"), ("b", 3, "s"), (None, 1, "t"), (None, 2, "u")], "k string, period int, product string")
+    got = sorted((r["k"] or "", r["t"], r["side"], r["product"]) for r in segments.sides(df, ["k"]).collect())
+    assert got == [("", 1, 0, "t"), ("", 1, 1, "u"), ("a", 1, 0, "p"), ("a", 1, 1, "q"), ("a", 3, 0, "q"), ("a", 3, 1, "r")]
+
+
+def test_permutations_keep_every_value(spark):
+    for n in (1, 2, 3, 17, 400):
+        rows, size = forest.numbered(spark.range(n, numPartitions=5).select((F.col("id") % 7).alias("v"), "id"))
+        assert size == n and sorted(r["__n"] for r in rows.collect()) == list(range(n))
+        made = [[(r["id"], r["v"]) for r in forest.permuted(rows, n, "v", key).orderBy("id").collect()] for key in (1, 2)]
+        for m in made:
+            assert [i for i, _ in m] == list(range(n)) and sorted(v for _, v in m) == sorted(i % 7 for i in range(n))
+    assert made[0] != made[1] and sum(v == i % 7 for i, v in made[0]) < 120  # about a seventh stays by chance
+    assert forest.numbered(spark.range(0).select("id"))[1] == 0
 
 
 def test_segments_keep_what_beats_the_category(spark, sample):
