@@ -4,7 +4,7 @@ Two passes over the texts. The first adds every word, pair and triple of words (
 of counters that saturate at the threshold. Tasks send theirs as compressed slices of counters, which are summed slice by slice
 in a stream; what is left is one bit for each counter, whether it reaches the threshold. A counter is never less than the count of
 any phrase in it, so nothing frequent is lost. The second pass counts exactly, as words, only phrases whose counters reach the threshold and
-whose inner words and pairs do. Then phrases are cut, scored and subsumed by joins over the frequent ones.
+whose inner words and pairs do; tasks add up theirs and send them sorted and compressed, by bucket. Then phrases are cut, scored and subsumed by joins over the frequent ones.
 
 Counters grow with the input: about one for ``BYTES_A_COUNTER`` bytes of text, up to ``MAX_COUNTERS`` a row (bits of 128 MB in a worker, a
 fixed bound). Beyond that more rare phrases pass into the second pass, which gets dearer, not wrong.
@@ -36,7 +36,9 @@ from tarifa.llm.common import bounded_batches, file_system, scratch, table, text
 MIN_COUNT, TOP, SUBSUMED_PERCENT = 10, 2000, 50
 ROWS, BYTES_A_COUNTER, MIN_COUNTERS, MAX_COUNTERS, SLICE = 2, 16, 1 << 18, 1 << 29, 1 << 18
 #: Bytes of text worked on at once; phrases gathered before a task's counters are sent.
-BLOCK, GATHERED = 8 << 20, 8 << 20
+BLOCK, GATHERED = 4 << 20, 8 << 20
+#: Phrases that a task holds before it adds equal ones up and, if there are as many still, sends them; bytes of text to a bucket of phrases.
+HELD, BYTES_A_BUCKET, MAX_BUCKETS = 2 << 20, 16 << 20, 1 << 14
 #: Ranges by which the best phrases of a language are chosen before they meet.
 SALTS = 64
 
@@ -196,8 +198,11 @@ def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _exact(block: Block, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(lang, size, phrase, f) of the block's phrases that pass the sketch; size 0 has the number of words of each language."""
+def _exact(block: Block, bits: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, lang, size, phrase, f) of the block's phrases that pass the sketch; size 0 has the number of words of each language.
+
+    Phrases with the same first word lie in a few buckets: sorted they are sent in little space.
+    """
     words, languages = len(block.vocabulary), len(block.languages)
     one, two, three = block.hashes()
     alive1 = _passes(bits, one)
@@ -206,11 +211,14 @@ def _exact(block: Block, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     alive3 = block.triples & alive2[:-1] & alive2[1:]
     alive3[alive3] = _passes(bits, three[alive3])
 
-    def rows(size: int, language: np.ndarray, phrase: pa.Array, f: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"lang": pa.array(block.languages, pa.string()).take(pa.array(language)), "size": pa.array(np.full(len(f), size, np.int32)), "phrase": phrase, "f": pa.array(f.astype(np.int64))})
+    hashed = pd.util.hash_array(block.vocabulary.to_numpy(zero_copy_only=False), categorize=False) if words else np.zeros(0, np.uint64)
+    bucket = lambda first, second: ((hashed[first] + (hashed[second] & np.uint64(3))) % np.uint64(buckets)).astype(np.int32)
+
+    def rows(size: int, language: np.ndarray, phrase: pa.Array, f: np.ndarray, where: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(where), "lang": pa.array(block.languages, pa.string()).take(pa.array(language)), "size": pa.array(np.full(len(f), size, np.int32)), "phrase": phrase, "f": pa.array(f.astype(np.int64))})
 
     totals = np.bincount(block.language, minlength=languages)
-    yield rows(0, np.arange(languages), pa.array([""] * languages, pa.string()), totals)
+    yield rows(0, np.arange(languages), pa.array([""] * languages, pa.string()), totals, np.zeros(languages, np.int32))
     # numbers of pairs are positions among those found, so that triples fit into 64 bits too
     keys1, f1 = np.unique(block.word[alive1].astype(np.int64) * languages + block.language[alive1], return_counts=True)
     keys2, at, f2 = np.unique((block.word[:-1][alive2].astype(np.int64) * languages + block.language[:-1][alive2]) * words + block.word[1:][alive2], return_inverse=True, return_counts=True)
@@ -221,11 +229,45 @@ def _exact(block: Block, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     pair = lambda keys: (keys // words // languages, keys // words % languages, keys % words)
     first, language, second = pair(keys2)
     phrases = pc.binary_join_element_wise(text(first), text(second), " ")
-    yield rows(1, keys1 % languages, text(keys1 // languages), f1)
-    yield rows(2, language, phrases, f2)
+    yield rows(1, keys1 % languages, text(keys1 // languages), f1, (hashed[keys1 // languages] % np.uint64(buckets)).astype(np.int32))
+    yield rows(2, language, phrases, f2, bucket(first, second))
     if len(keys3):
         inner, third = keys3 // words, keys3 % words
-        yield rows(3, language[inner], pc.binary_join_element_wise(phrases.take(pa.array(inner)), text(third), " "), f3)
+        yield rows(3, language[inner], pc.binary_join_element_wise(phrases.take(pa.array(inner)), text(third), " "), f3, bucket(first[inner], second[inner]))
+
+
+_KEY = ["bucket", "lang", "size", "phrase"]
+
+
+def _summed(held: list[pa.RecordBatch | pa.Table]) -> pa.Table:
+    """Equal phrases added up."""
+    return pa.concat_tables([pa.Table.from_batches([b]) if isinstance(b, pa.RecordBatch) else b for b in held]).group_by(_KEY).aggregate([("f", "sum")]).rename_columns([*_KEY, "f"])
+
+
+def _send(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket, language and size: its phrases in order, and their counts, compressed."""
+    packer = zstandard.ZstdCompressor(level=3)
+    table = table.sort_by([(c, "ascending") for c in _KEY]).combine_chunks()
+    if not table.num_rows:
+        return
+    lang = table.column("lang").combine_chunks().dictionary_encode()
+    key = np.stack([table.column("bucket").to_numpy(), table.column("size").to_numpy(), lang.indices.to_numpy()])
+    starts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+    for start, stop in zip(starts, np.append(starts[1:], key.shape[1])):
+        part = table.slice(start, stop - start)
+        phrases = "\n".join(part.column("phrase").to_pylist()).encode()  # no word has a line's end
+        row = {"bucket": pa.array([key[0, start]], pa.int32()), "lang": pa.array([part.column("lang")[0].as_py()]), "size": pa.array([key[1, start]], pa.int32())}
+        yield pa.RecordBatch.from_pydict(row | {"phrases": pa.array([packer.compress(phrases)]), "counts": pa.array([packer.compress(part.column("f").to_numpy().astype("<i8").tobytes())])})
+
+
+def _received(batch: pa.RecordBatch, unpacker) -> Iterator[pa.RecordBatch]:
+    for row in batch.to_pylist():
+        phrases = unpacker.decompress(row["phrases"]).decode().split("\n")
+        n = len(phrases)
+        yield pa.RecordBatch.from_pydict({
+            "bucket": pa.array(np.full(n, row["bucket"], np.int32)), "lang": pa.array([row["lang"]] * n, pa.string()), "size": pa.array(np.full(n, row["size"], np.int32)),
+            "phrase": pa.array(phrases, pa.string()), "f": pa.array(np.frombuffer(unpacker.decompress(row["counts"]), "<i8")),
+        })
 
 
 def frequent(docs: DataFrame, min_count: int = MIN_COUNT, text: str = "text", lang: str = "lang", max_counters: int = MAX_COUNTERS) -> DataFrame:
@@ -235,13 +277,41 @@ def frequent(docs: DataFrame, min_count: int = MIN_COUNT, text: str = "text", la
     counters = min(max_counters, max(MIN_COUNTERS, 1 << max(0, size // BYTES_A_COUNTER - 1).bit_length()))
     path = sketch(rows, counters, min_count)
 
+    buckets = min(MAX_BUCKETS, max(16, size // BYTES_A_BUCKET))
+
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _bits(path, counters)
+        bits, held, n = _bits(path, counters), [], 0
         for block in _blocks(batches):
-            yield from _exact(block, bits)
+            held += _exact(block, bits, buckets)
+            n = sum(map(len, held))
+            if n >= HELD:
+                held = [_summed(held)]
+                if len(held[0]) >= HELD // 2:
+                    yield from _send(held.pop())
+        if held:
+            yield from _send(_summed(held))
+
+    def add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker, bucket, held = zstandard.ZstdDecompressor(), None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                found = _summed(held)
+                often = pc.or_(pc.equal(found.column("size"), 0), pc.greater_equal(found.column("f"), min_count))
+                yield from found.filter(often).select(["lang", "size", "phrase", "f"]).to_batches()
+
+        for batch in batches:
+            for part in _received(batch, unpacker):
+                if part.column("bucket")[0].as_py() != bucket:
+                    yield from done()
+                    bucket, held = part.column("bucket")[0].as_py(), []
+                held.append(part)
+                if len(part) and sum(map(len, held)) >= 2 * max(HELD // 2, len(held[0])):
+                    held = [_summed(held)]
+        yield from done()
 
-    counted = rows.mapInArrow(count, "lang string, size int, phrase string, f long").groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
-    return counted.where((F.col("size") == 0) | (F.col("f") >= min_count))
+    sent = rows.mapInArrow(count, "bucket int, lang string, size int, phrases binary, counts binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, "lang string, size int, phrase string, f long")
 
 
 def collocations(docs: DataFrame, top: int = TOP, min_count: int = MIN_COUNT, text: str = "text", lang: str = "lang", subsumed_percent: int = SUBSUMED_PERCENT) -> DataFrame:
