@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 
 import public_tokenizers
@@ -17,6 +18,12 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+#: A long run of white space but for its last character, which the next piece may take; all of it at the end. By the pattern it is one
+#: piece of the text; the regular expression library needs a stack frame for each of its characters, so it is cut out first.
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LONG_RUN = re.compile(rf"{_SPACE}{{10000,}}(?:\Z|(?={_SPACE}))")
+
+
 class Encoder:
     """Ids as the ``tokenizers`` library gives them for the same file with ``add_special_tokens=False``.
 
@@ -39,7 +46,8 @@ class Encoder:
         if max([*ranks.values(), *added.values()]) >= 1 << 16:
             raise ValueError(f"{path} has ids beyond 16 bits")
         encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
-        self._plain, self._whole, self._added = encoding.encode_ordinary, lambda t: encoding.encode(t, allowed_special="all"), tuple(added)
+        self._plain, self._piece, self._ids = encoding.encode_ordinary, encoding._encode_single_piece, added
+        self._added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -52,4 +60,21 @@ class Encoder:
         """16-bit ids in the machine's (little-endian) order."""
         if not text:
             return b""
-        return array("H", self._whole(text) if any(t in text for t in self._added) else self._plain(text)).tobytes()
+        if self._added is None or not self._added.search(text):
+            return array("H", self._between(text)).tobytes()
+        out, at = array("H"), 0
+        for m in self._added.finditer(text):
+            out.extend(self._between(text[at : m.start()]))
+            out.append(self._ids[m[0]])
+            at = m.end()
+        out.extend(self._between(text[at:]))
+        return out.tobytes()
+
+    def _between(self, text: str) -> list[int]:
+        """Ids of a text without added tokens."""
+        out, at = [], 0
+        for m in _LONG_RUN.finditer(text):
+            out += self._plain(text[at : m.start()])
+            out += self._piece(m[0])
+            at = m.end()
+        return out + self._plain(text[at:]) if at else self._plain(text)

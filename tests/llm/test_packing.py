@@ -116,3 +116,12 @@ def test_edges(spark):
     out = P.pack(spark.createDataFrame(rows, clash))
     assert out.columns == ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert out.agg({"length": "sum"}).first()[0] == 1 + 2 * (len(ids_of("é " * 5000)) + 1)
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\t", "\r\n", "\u3000", "\xa0"])
+def test_long_runs_of_white_space(space):
+    """Two million characters in a row, before a word, before an added token and at the end."""
+    whole, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), Encoder.at("byte_bpe_50k.json")
+    n = 2_000_000 // len(space)
+    for text in ("a" + space * n + "b", space * n, "x" + space * n + "<|endoftext|>" + space * 10_001 + "y", space * 9_999 + "b", space * 10_000 + "b"):
+        assert np.frombuffer(own.encode(text), "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids
