@@ -51,10 +51,10 @@ MAX_LENGTH = 1 << 15
 #: windows that are sent at once, and bytes that are refined at once, about.
 _STEP, _FLUSH, _FETCH, _REFINE = 1 << 16, 1 << 19, 1 << 24, 1 << 20
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_PTR = np.dtype([("h", "<u8"), ("doc", "<i8"), ("th", "<u4"), ("s", "<u4"), ("n", "<u2")])
-_RUN = np.dtype([("doc", "<i8"), ("th", "<u4"), ("s", "<u4"), ("n", "<u4")])
+_PTR = np.dtype([("h", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("s", "<u4"), ("n", "<u2")])
+_RUN = np.dtype([("doc", "<i8"), ("th", "<i8"), ("s", "<u4"), ("n", "<u4")])
 _CONTEXT = np.dtype([*_RUN.descr, ("h", "<u4")])
-_WIN = np.dtype([("k1", "<u8"), ("k2", "<u8"), ("doc", "<i8"), ("th", "<u4"), ("s", "<u4")])
+_WIN = np.dtype([("k1", "<u8"), ("k2", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("s", "<u4")])
 #: A pointer of a list as one long: start, windows, whether its bucket is hot, low bits of its bucket.
 _BUCKET_BITS = 22
 
@@ -261,7 +261,7 @@ def _keys(contexts: list[bytes], lengths: np.ndarray, length: int) -> tuple[np.n
 
 
 def _identity(doc_id: str, text: str) -> list[Column]:
-    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF)).alias("th")]
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th")]
 
 
 def _packed(docs: DataFrame, text: str) -> DataFrame:

@@ -118,3 +118,17 @@ def test_repeated_rows_take_time_in_proportion(spark):
     rows = [(1, text)] * 800 + [(None, text)] * 800
     out = {tuple(r) for r in D.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == set(brute([(1, text), (None, text)]))
+
+
+def test_rows_without_id_are_told_apart_by_64_bits(spark):
+    """Two texts whose hashes agree in their lower 32 bits (found by trial) and have no id, or the same, are two places."""
+    from pyspark.sql import functions as F
+
+    body = "".join(f"{k:03d} words of a passage, " for k in range(14))
+    texts = spark.range(200_000).select(F.concat(F.lit(body), F.col("id").cast("string"), F.lit(" end of the one text")).alias("t")).withColumn("low", F.xxhash64("t").bitwiseAND(0xFFFFFFFF))
+    pair = texts.groupBy("low").agg(F.collect_list("t").alias("ts")).where("size(ts) > 1").select("ts").first()["ts"][:2]
+    for doc_id in (None, 7):
+        rows = spark.createDataFrame([(doc_id, pair[0] + "x" * 21), (doc_id, pair[1])], "doc_id long, text string").union(spark.createDataFrame([(doc_id, pair[0])], "doc_id long, text string"))
+        got = sorted(r["n_removed"] for r in D.digests(rows).collect())
+        lengths = sorted(len(t.encode()) for t in (pair[0] + "x" * 21, *pair))
+        assert len(got) == 3 and got[0] == 0 and all(g >= len(body) - 100 for g in got[1:]) and got[2] <= lengths[2]
