@@ -18,8 +18,11 @@ wins. A region without a decided block is good inside an article container. Wher
 all of its blocks are but those of links. Where class names alone would leave out every article of a page, they are
 not looked at, but for those of comments.
 
-Both passes take time in proportion to the page, whatever its markup: a tag whose quotes don't close is read without regard to
-quotes, and after ``_TRIES`` of them all tags are.
+A form is a bad container too, unless it is around the page (an article begins in it, or most of the page's running text is in it).
+A link that ends counts for all blocks within it, one that doesn't to the end of its block; an anchor without an address is none.
+
+Both passes take time in proportion to the page, whatever its markup: a quote opens a value only after an equals sign, and one
+that doesn't close is a character like others.
 
 Edge cases: null or empty html gives an empty text; markup that never closes is closed at the end of the page, but of an
 unclosed svg, video or the like only the tag is skipped, and a tag without its ``>`` is text; nothing is cut by length;
@@ -63,9 +66,10 @@ _FOREIGN = frozenset("svg math".split())
 _RAW = _TEXT_ONLY | _FOREIGN | frozenset("template select object canvas audio video".split())
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
 _OPEN = re.compile(r"<(?:(/?)([a-zA-Z][\w:-]*)|[!?/])")
-_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
-_TRIES = 8
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Up to a tag's end or to a quote that opens a value: one right after the equals sign.
+_UNQUOTED = re.compile(r"[^>=]*+(?:=(?!\s*+[\"'])[^>=]*+)*+(?:=\s*+(?=[\"']))?+")
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+_LINK = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SENTENCE = re.compile(r"[.!?:;\u2026\u3002\uff01\uff1f\uff1b\uff1a\uff0e\u061f\u06d4\u0964\u0589]")
@@ -81,7 +85,7 @@ _BLOCK = frozenset(
 )
 #: Elements that the stack keeps; the others of _BLOCK only end a block.
 _HELD = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
-_BAD_TAGS = frozenset("nav footer aside form dialog menu head button fieldset".split())
+_BAD_TAGS = frozenset("nav footer aside dialog menu head button fieldset".split())
 _BAD_PARTS = frozenset(
     """
     ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted nav navbar navigation
@@ -111,6 +115,7 @@ class _Block:
     linked: int = 0
     bad: bool = False
     region: int = 0
+    form: int = 0
     text: str = ""
     label: int = 0  # 1 good, -1 bad, 0 ambiguous
 
@@ -155,12 +160,31 @@ def _is_article(tag: str, attributes: dict[str, str]) -> bool:
     return any(re.sub(r"[^a-z]", "", name) in _ARTICLE_NAMES for name in names)
 
 
-def _tokens(page: str) -> Iterator[tuple[str, str | None, bool, str, int]]:
-    """Text before a tag, the tag's name (None: a comment or the like), whether it ends, its attributes, where it stops.
+def _tag_end(page: str, at: int, quotes: dict[str, int], dead: set[int]) -> int:
+    """Where the tag's ``>`` is, -1 if all that follow lie within quoted values.
+
+    A quote opens a value only after an equals sign; one that never closes is a character like others. ``quotes`` has the
+    last place of each kind of quote, ``dead`` the opening ones from which no end is reached, so that no part of a page is read again and again.
+    """
+    seen = []
+    while True:
+        at = _UNQUOTED.match(page, at).end()
+        if page.startswith(">", at):
+            return at
+        if at >= len(page) or at in dead:
+            dead.update(seen)
+            return -1
+        seen.append(at)
+        at = page.find(page[at], at + 1) + 1 if at < quotes[page[at]] else at + 1
+
+
+def _tokens(page: str) -> Iterator[tuple[str, str | None, bool, str, int, int]]:
+    """Text before a tag, the tag's name (None: a comment or the like), whether it ends, its attributes, where it stops and begins.
 
     The consumer may send a place from which to go on.
     """
-    at, last, tries = 0, page.rfind(">"), 0
+    at, last = 0, page.rfind(">")
+    quotes, dead = {q: page.rfind(q) for q in "\"'"}, set()
     while m := _OPEN.search(page, at):
         begin, tag = m.start(), m[2]
         if page.startswith("<!--", begin):
@@ -170,37 +194,36 @@ def _tokens(page: str) -> Iterator[tuple[str, str | None, bool, str, int]]:
         elif begin > last:
             break
         else:
-            end = -1
-            if tag is not None and tries < _TRIES:
-                end = _QUOTED.match(page, m.end()).end()
-                if not page.startswith(">", end):
-                    end, tries = -1, tries + 1
+            end = _tag_end(page, m.end(), quotes, dead) if tag is not None else -1
             if end < 0:
                 end = page.find(">", m.end())
             attributes, stop = page[m.end() : end], end + 1
-        go = yield page[at:begin], tag.lower() if tag else None, bool(m[1]), attributes, stop
+        go = yield page[at:begin], tag.lower() if tag else None, bool(m[1]), attributes, stop, begin
         at = stop if go is None else go
-    yield page[at:], None, False, "", len(page)
+    yield page[at:], None, False, "", len(page), len(page)
 
 
 def _blocks(page: str, lenient: bool = False) -> tuple[list[_Block], bool]:
     """Blocks of a page, and whether an article lies within a container that is bad by its name."""
     out: list[_Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, within a bad container, region
+    stack: list[tuple[str, bool, int, int]] = []  # tag, within a bad container, region, outermost form
     held: Counter[str] = Counter()
-    regions, link, now, lost = 0, 0, _Block(), False
+    regions, forms, link, now, lost = 0, 0, 0, _Block(), False
+    whole: set[int] = set()  # forms that an article begins in
+    links = [(m.start(), bool(m[1])) for m in _LINK.finditer(page)]
+    ended = {place: after for (place, ends), (_, after) in zip(links, links[1:]) if not ends}  # of each link's start tag: whether an end tag is next
 
     def close() -> None:
         nonlocal now
         if now.parts:
             out.append(now)
-        now = _Block(bad=stack[-1][1] if stack else False, region=stack[-1][2] if stack else 0)
+        now = _Block(bad=stack[-1][1], region=stack[-1][2], form=stack[-1][3]) if stack else _Block()
 
     endless: set[str] = set()  # elements without an end tag from here on
     tokens, go = _tokens(page), None
     while True:
         try:
-            piece, tag, ends, raw, at = tokens.send(go)
+            piece, tag, ends, raw, at, begin = tokens.send(go)
         except StopIteration:
             break
         go = None
@@ -220,7 +243,8 @@ def _blocks(page: str, lenient: bool = False) -> tuple[list[_Block], bool]:
                 else:
                     endless.add(tag)
         elif tag == "a":
-            link = 0 if ends else 1
+            # 1: to the next block at most, as it doesn't end; 2: up to its end, blocks within it too; an anchor without address is none
+            link = 0 if ends or "href" not in _attributes(raw) else 2 if ended.get(begin) else 1
         elif tag == "br":
             now.parts.append(" ")
         elif tag == "button":
@@ -236,7 +260,7 @@ def _blocks(page: str, lenient: bool = False) -> tuple[list[_Block], bool]:
                             break
                 close()
             else:
-                bad, region = stack[-1][1:] if stack else (False, 0)
+                bad, region, form = stack[-1][1:] if stack else (False, 0, 0)
                 inside = region > 0
                 attributes = _attributes(raw) if raw else {}
                 mine = bad or _bad_container(tag, attributes, inside, lenient)
@@ -247,17 +271,36 @@ def _blocks(page: str, lenient: bool = False) -> tuple[list[_Block], bool]:
                         else:
                             regions += 1
                             region = regions
-                    stack.append((tag, mine, region))
+                            whole.add(form)
+                    if tag == "form" and not form:
+                        forms += 1
+                        form = forms
+                    stack.append((tag, mine, region, form))
                     held[tag] += 1
                     close()
                 else:
                     close()
                     now.bad = mine
-            link = 0
+            link = 2 if link == 2 else 0
     close()
+    if forms:
+        _judge_forms(out, whole)
     return out, lost
 
 
+def _judge_forms(blocks: list[_Block], whole: set[int]) -> None:
+    """A form is a bad container, unless it is around the page: an article begins in it, or it holds most of the page's running text."""
+    prose: Counter[int] = Counter()
+    for b in blocks:
+        if not b.bad:
+            text = " ".join(html_lib.unescape("".join(b.parts)).split())
+            if len(text) >= LONG and 2 * b.linked < len(text) and _stop_density(text) >= STOP_LOW:
+                prose[b.form] += len(text)
+    for b in blocks:
+        if b.form and b.form not in whole and 2 * prose[b.form] <= prose.total():
+            b.bad = True
+
+
 def _stop_density(text: str) -> float:
     text = text.lower()
     for mark in _MARKS:

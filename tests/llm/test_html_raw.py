@@ -131,3 +131,61 @@ def test_tables_of_every_kind(spark):
     assert out.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in out.collect()) == [(0, 0), (1, 3), (1, 3), (2, 599_999)]
     assert html_text.main_text(df.limit(0)).count() == 0
+
+
+PROSE = "<p>{} is a paragraph of the text that we have in this page, and it is long enough for all of us to read.</p>"
+
+
+def test_quotes_open_values_only_after_an_equals_sign():
+    assert html_text.extract("One <a href=x title=it's>of</a> the stories and that's all of it") == "One of the stories and that's all of it"
+    page = "".join(PROSE.format(f"Number {i} <b title=it\"s>bold</b>") for i in range(10))
+    assert all(f"Number {i} bold" in html_text.extract(page) for i in range(10))
+    assert html_text.extract("<p title='a>b' class=x>" + PROSE.format("A")).startswith("A is") and html_text.extract('<p title="never closed>' + PROSE.format("A")).startswith("A is")
+
+
+def test_forms_around_the_page_are_no_containers():
+    article = "<article>" + PROSE.format("A") + "</article>"
+    assert html_text.extract(f"<body><form>{article}</form></body>").startswith("A is")
+    assert html_text.extract(f"<body><form id=aspnetForm><div>{PROSE.format('A')}{PROSE.format('B')}</div></form></body>").count(" is a paragraph") == 2
+    asked = "<form><p>Please leave your name and the address that we can write to, and we will.</p><input></form>"
+    assert "Please" not in html_text.extract(f"<div>{PROSE.format('A')}{PROSE.format('B')}</div>{asked}")
+    assert "Please" not in html_text.extract(f"<article>{PROSE.format('A')}{asked}</article>")
+
+
+def test_links_around_blocks_count_as_links():
+    teaser = "<a href=/x><div>Teaser of the other story that you could read in this place now</div></a>"
+    page = f"<div>{PROSE.format('A')}</div>{teaser}<div>{PROSE.format('B')}</div>"
+    assert "Teaser" not in html_text.extract(page) and html_text.extract(page).count(" is a paragraph") == 2
+    assert html_text.extract("<p><a href=/x>an open link" + PROSE.format("A") + PROSE.format("B")).count(" is a paragraph") == 2
+    assert "A is" in html_text.extract("<a name=top>" + PROSE.format("A") + "</a>")
+
+
+def test_block_rules_without_an_article_like_a_plain_version():
+    """Pages of flat blocks: labels by the rules, then the nearest decided neighbour, worked out block by block."""
+    import random
+
+    stop, other = "the of and to in".split(), "rain hill stone river cloud".split()
+    rng = random.Random(2)
+    for _ in range(200):
+        blocks = []
+        for _ in range(rng.randrange(1, 9)):
+            words = [rng.choice(stop if rng.random() < rng.choice([0, 0.3]) else other) for _ in range(rng.choice([2, 4, 12, 20]))]
+            linked = rng.choice([0, 0, 0, len(words)])
+            blocks.append((" ".join(words) + rng.choice(["", "."]), linked))
+        page = "".join(f"<p><a href=x>{t}</a></p>" if n else f"<p>{t}</p>" for t, n in blocks)
+        labels = []
+        for text, linked in blocks:
+            words = text.strip(".").split()
+            share = sum(w in stop for w in words) / len(words)
+            if linked:
+                labels.append(-1)
+            elif len(text) >= 40 and share >= 0.08:
+                labels.append(1)
+            elif len(text) >= 40 and share == 0 and "." not in text:
+                labels.append(-1)
+            else:
+                labels.append(0)
+        near = [max(((-abs(i - j), v) for j, v in enumerate(labels) if v), default=(0, 0))[1] if not x else x for i, x in enumerate(labels)]
+        if 1 not in near:
+            near = [0 if n else 1 for _, n in blocks]
+        assert html_text.extract(page) == " ".join(t for (t, _), v in zip(blocks, near) if v > 0)
