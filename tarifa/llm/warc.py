@@ -186,88 +186,127 @@ class WarcReader(DataSourceReader):
         at, end = 0, f.size()
         while at < end:
             f.seek(at)
-            raw = f.read(_HEAD)
-            if not packed and raw[:1] in b"\r\n":  # blank lines between records
-                at += len(raw) - len(raw.lstrip(b"\r\n"))
+            source = _Source(f, packed)
+            while source.buffer[:1] in (b"\r", b"\n") or not source.buffer and source.more():  # blank lines before a record
+                del source.buffer[:1]
+                at += not packed
+            if not source.buffer:
+                at += source.fed
                 continue
-            if packed:
-                skip = _skip_length(raw)
-                inflate = zlib.decompressobj(31)
-                head, fed = inflate.decompress(raw, 1 << 16), raw
-                done = inflate.eof
-            else:
-                head, fed, skip, done, inflate = raw, raw, None, False, None
-
-            def more() -> bool:
-                """Lengthens ``head``; false at the end of the member."""
-                nonlocal head, fed, done
-                if done:
-                    return False
-                if inflate is None:
-                    x = f.read(1 << 16)
-                    head += x
-                    return bool(x)
-                if inflate.unconsumed_tail:
-                    head += inflate.decompress(inflate.unconsumed_tail, 1 << 20)
-                else:
-                    x = f.read(1 << 16)
-                    if not x:
-                        return False
-                    fed += x
-                    head += inflate.decompress(x, 1 << 20)
-                done = inflate.eof
-                return True
-
-            while b"\r\n\r\n" not in head and more():
-                pass
-            cut = head.find(b"\r\n\r\n")
-            if cut < 0:
-                raise ValueError(f"no WARC record at byte {at} of {name}")
-            headers = _headers(head[:cut])
-            length = int(headers.get("content-length", 0))
-            block = cut + 4
-            http = headers.get("content-type", "").startswith("application/http")
-            start, size = block, length
-            if http:
-                while b"\r\n\r\n" not in head[block : block + length] and len(head) < block + length and more():
-                    pass
-                inner = head.find(b"\r\n\r\n", block, block + length)
-                if inner >= 0:
-                    start = inner + 4
-                    own = _headers(head[block:inner])
-                    size = int(own["content-length"]) if own.get("content-length", "").isdigit() else block + length - start
-            row = {c: headers.get(h) for c, h in _FIELDS.items()} | {"payload_bytes": size, "payload": None}
-            for c in ("record_id", "refers_to"):
-                if row[c]:
-                    row[c] = row[c].strip("<>")
-            if row["payload_digest"]:
-                row["payload_digest"] = row["payload_digest"].rpartition(":")[2]
-            good = self._passes(row)
-            if good and self.payload and row["record_type"] != "revisit":
-                while len(head) < block + length and more():
-                    pass
-                row["payload"] = head[start : block + length]
-            if good:
-                yield row
-            if not packed:
-                at += block + length + 4
-            elif skip:
-                at += skip
-            else:
-                while more():
-                    head = head[-1:]
-                at += len(fed) - len(inflate.unused_data)
-
-
-def _skip_length(raw: bytes) -> int | None:
-    """Compressed length of the gzip member, where its header has it."""
+            first = True
+            while True:
+                cut = source.find(b"\r\n\r\n", 0)
+                if cut < 0:
+                    raise ValueError(f"no WARC record at byte {at} of {name}")
+                headers = _headers(bytes(source.buffer[:cut]))
+                length = int(headers.get("content-length", 0))
+                block = cut + 4
+                start, size = block, length
+                if headers.get("content-type", "").startswith("application/http"):
+                    inner = source.find(b"\r\n\r\n", block, block + length)
+                    if inner >= 0:
+                        start = inner + 4
+                        own = _headers(bytes(source.buffer[block:inner]))
+                        size = int(own["content-length"]) if own.get("content-length", "").isdigit() else block + length - start
+                row = {c: headers.get(h) for c, h in _FIELDS.items()} | {"payload_bytes": size, "payload": None}
+                for c in ("record_id", "refers_to"):
+                    if row[c]:
+                        row[c] = row[c].strip("<>")
+                if row["payload_digest"]:
+                    row["payload_digest"] = row["payload_digest"].rpartition(":")[2]
+                good = self._passes(row)
+                if good and self.payload and row["record_type"] != "revisit":
+                    if not source.reach(block + length):
+                        raise ValueError(f"the record at byte {at} of {name} ends early")
+                    row["payload"] = bytes(source.buffer[start : block + length])
+                if good:
+                    yield row
+                if not packed:
+                    at += block + length + 4
+                    break
+                # a member whose header gives its length is skipped, if that is the length of one record
+                if first and source.skip and source.skip[1] == (block + length + 4) % (1 << 32):
+                    at += source.skip[0]
+                    break
+                first = False
+                source.drop(block + length)
+                while source.buffer[:1] in (b"\r", b"\n") or not source.buffer and source.more():
+                    del source.buffer[:1]
+                if not source.buffer:  # the member has no further record
+                    if not source.inflate.eof:
+                        raise ValueError(f"the member at byte {at} of {name} ends early")
+                    at += source.fed - len(source.inflate.unused_data)
+                    break
+
+
+class _Source:
+    """What is read of a file from a place on; of a packed one, of the gzip member that begins there. ``buffer`` has what is not dropped."""
+
+    def __init__(self, f, packed: bool):
+        self.f, self.buffer, self.fed, self.done = f, bytearray(), 0, False
+        self.inflate, self.skip = zlib.decompressobj(31) if packed else None, None
+        self._take(f.read(_HEAD))
+
+    def _take(self, raw: bytes) -> None:
+        if not self.fed and self.inflate:
+            self.skip = _skip_length(raw)
+        self.fed += len(raw)
+        if self.inflate is None:
+            self.buffer += raw
+            self.done = not raw
+        else:
+            self.buffer += self.inflate.decompress(raw, 1 << 16)
+            self.done = self.inflate.eof
+
+    def more(self) -> bool:
+        """Lengthens the buffer; false at the end."""
+        if self.done:
+            return False
+        if self.inflate and self.inflate.unconsumed_tail:
+            self.buffer += self.inflate.decompress(self.inflate.unconsumed_tail, 1 << 20)
+            self.done = self.inflate.eof
+            return True
+        raw = self.f.read(1 << 16)
+        self._take(raw)
+        self.done = self.done or not raw
+        return bool(raw)
+
+    def reach(self, n: int) -> bool:
+        """Whether the buffer has ``n`` bytes, after reading on."""
+        while len(self.buffer) < n and self.more():
+            pass
+        return len(self.buffer) >= n
+
+    def find(self, what: bytes, start: int, stop: int | None = None) -> int:
+        """The first place of ``what`` from ``start`` on that ends before ``stop``; -1 without one."""
+        seen = start
+        while True:
+            had = len(self.buffer)
+            at = self.buffer.find(what, seen, had if stop is None else stop)
+            if at >= 0 or stop is not None and had >= stop or not self.more():
+                return at
+            seen = max(start, had - len(what) + 1)
+
+    def drop(self, n: int) -> None:
+        """Leaves out the next ``n`` bytes without holding them all."""
+        while n:
+            gone = min(n, len(self.buffer))
+            del self.buffer[:gone]
+            n -= gone
+            if n and not self.more():
+                return
+
+
+def _skip_length(raw: bytes) -> tuple[int, int] | None:
+    """Lengths of the gzip member, compressed and not (modulo 2^32), where its header has them."""
     if len(raw) < 12 or raw[:2] != b"\x1f\x8b" or not raw[3] & 4:
         return None
     extra = raw[12 : 12 + struct.unpack_from("<H", raw, 10)[0]]
     while len(extra) >= 4:
         n = struct.unpack_from("<H", extra, 2)[0]
-        if extra[:2] == b"sl" and n >= 4:
-            return struct.unpack_from("<I", extra, 4)[0] or None
+        if extra[:2] == b"sl" and n >= 8:
+            packed, plain = struct.unpack_from("<II", extra, 4)
+            return (packed, plain) if packed else None
         extra = extra[4 + n :]
     return None
 

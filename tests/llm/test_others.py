@@ -159,6 +159,30 @@ def test_foreign_archives(spark, tmp_path):
     assert warc.load(spark, f"file://{tmp_path}", payload=False).where("record_id = 'urn:x-page:2'").count() == 2
 
 
+def test_members_with_several_records(spark, tmp_path):
+    """Records of one gzip member all count, whatever is read of them; long ones are read in time that grows with their length."""
+    import gzip
+    import time
+
+    records = [warc.record(f"urn:x-page:{i}", f"http://{i}", b"x" * 90_000 * i, 90_000 * i, "00", None, "1970-01-01T00:00:00Z") for i in range(5)]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(records)) + gzip.compress(records[0] + b"\r\n" + records[1]) + warc._member(records[2] + records[3]) + warc._member(records[4]))
+    where = f"file://{tmp_path}/a.warc.gz"
+    got = sorted((r["record_id"], len(r["payload"])) for r in warc.load(spark, where).collect())
+    assert got == sorted((f"urn:x-page:{i}", 90_000 * i) for i in (0, 1, 2, 3, 4, 0, 1, 2, 3, 4))
+    assert warc.load(spark, where, payload=False).count() == 10 and warc.load(spark, where).where("record_id = 'urn:x-page:3'").count() == 2
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(records))[:-60])
+    with pytest.raises(Exception, match="early|truncated|WARC|incomplete"):
+        warc.load(spark, f"file://{tmp_path}/b.warc.gz").collect()
+    took = []
+    for mb in (8, 32):
+        big = warc.record("urn:x-page:9", "http://9", bytes(range(256)) * (mb << 12), mb << 20, "00", None, "1970-01-01T00:00:00Z")
+        (tmp_path / f"{mb}.warc.gz").write_bytes(gzip.compress(big, 1))
+        began = time.time()
+        assert len(warc.load(spark, f"file://{tmp_path}/{mb}.warc.gz").first()["payload"]) == mb << 20
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0] + 2
+
+
 def test_damaged_archives_are_errors(spark, tmp_path):
     good = warc.record("urn:x-page:1", "http://1", b"abc", 3, "00", None, "1970-01-01T00:00:00Z")
     (tmp_path / "a.warc").write_bytes(good + b"\r\n\r\n")
