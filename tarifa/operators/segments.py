@@ -1,8 +1,7 @@
 """Clustering of units, stability, bootstrap and per-segment models.
 
-A unit (a brand and tier, a segment) mostly has tens to a few thousand rows, so units run as grouped NumPy functions, one
-unit per call; randomness is seeded from the unit's name. Units of more than ``MAX_UNIT`` rows are clustered by distributed
-K-means with a distributed (squared Euclidean) silhouette instead, one after the other. Linear models of segments come from sums, so
+A unit (a brand and tier, a segment) mostly has tens to a few thousand rows: up to ``MAX_UNIT`` rows it is clustered within one task. Larger
+ones are clustered together by sums over all tasks (``clusters``), with the same results. Linear models of segments come from sums, so
 segments may be of any size.
 """
 
@@ -17,95 +16,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarifa.operators import clusters
 from tarifa.operators.regression import ALPHAS, _ridge, _summed, fold_of
 
-#: Rows of a unit that one task clusters, and rows of a distance matrix that are made at once.
-MAX_UNIT, _STRIP = 20_000, 1024
-MAX_K = 8
+#: Rows of a unit that one task takes.
+MAX_UNIT = 20_000
+MAX_K = clusters.MAX_K
 
 
 def rng_for(*name: object) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.sha256("|".join(map(str, name)).encode()).digest()[:8], "little"))
 
 
-def standardise(x: np.ndarray) -> np.ndarray:
-    """Population deviation; constant columns become zero."""
-    sd = x.std(0)
-    return (x - x.mean(0)) / np.where(sd > 0, sd, 1)
-
-
-def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, n_init: int = 10, steps: int = 100) -> tuple[np.ndarray, float]:
-    """Labels and inertia of the best of ``n_init`` k-means++ starts."""
-    best: tuple[np.ndarray, float] | None = None
-    for _ in range(n_init):
-        centres = x[[rng.integers(len(x))]]
-        while len(centres) < k:
-            d = ((x[:, None] - centres[None]) ** 2).sum(2).min(1)
-            centres = np.vstack([centres, x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))]])
-        labels = np.zeros(len(x), int)
-        for step in range(steps):
-            new = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
-            if step and (new == labels).all():
-                break
-            labels = new
-            for j in range(k):
-                if (labels == j).any():
-                    centres[j] = x[labels == j].mean(0)
-        inertia = float(((x - centres[labels]) ** 2).sum())
-        if best is None or inertia < best[1] - 1e-12:
-            best = labels, inertia
-    order = {old: i for i, old in enumerate(sorted(set(best[0]), key=lambda j: tuple(x[best[0] == j].mean(0))))}
-    return np.array([order[j] for j in best[0]]), best[1]
-
-
-def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
-    """Mean over rows of (b - a) / max(a, b), Euclidean; 0 for rows alone in their cluster. Distances are made a strip at a time."""
-    names, own = np.unique(labels, return_inverse=True)
-    sizes = np.bincount(own)
-    member = np.eye(len(names))[own]
-    total = 0.0
-    for at in range(0, len(x), _STRIP):
-        part = x[at : at + _STRIP]
-        d = np.sqrt(np.maximum(sum((part[:, [f]] - x[:, f][None]) ** 2 for f in range(x.shape[1])), 0))
-        sums, mine = d @ member, own[at : at + _STRIP]
-        rows = np.arange(len(part))
-        a = sums[rows, mine] / np.maximum(sizes[mine] - 1, 1)
-        means = sums / sizes
-        means[rows, mine] = np.inf
-        b = means.min(1)
-        total += float(np.where(sizes[mine] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0).sum())
-    return total / len(x)
-
-
-def choose_k(x: np.ndarray, rng: np.random.Generator) -> tuple[int, list[tuple[int, int, int, float | None, bool, float]]]:
-    """k of the best silhouette among those whose clusters are large enough, 1 if none; and a row per k tried."""
-    n = len(x)
-    least = max(5, round(0.03 * n))
-    best, best_s, trace = 1, -1.0, []
-    for k in range(2, max(3, min(MAX_K, n // 10)) + 1):
-        labels, inertia = kmeans(x, k, rng)
-        sizes = np.bincount(labels)
-        if len(sizes) < 2:
-            trace.append((k, len(sizes), 0, None, False, inertia))
-            continue
-        s, valid = silhouette(x, labels), bool(sizes.min() >= least)
-        trace.append((k, len(sizes), int(sizes.min()), s, valid, inertia))
-        if valid and s > best_s:
-            best, best_s = k, s
-    return best, trace
-
-
-def _matrix(unit: pd.DataFrame, features: Sequence[str]) -> np.ndarray:
-    return standardise(unit[list(features)].to_numpy(float))
-
-
 def _by_size(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[tuple]]:
     """Rows of the units that one task takes, and the keys of the larger ones (of which there is one per ``MAX_UNIT`` rows at most)."""
     large = [tuple(r[k] for k in keys) for r in df.groupBy(*keys).count().where(F.col("count") > MAX_UNIT).collect()]
     if not large:
         return df, []
     names = df.sparkSession.createDataFrame(large, df.select(*keys).schema)
-    return df.join(F.broadcast(names), keys, "left_anti"), large
+    return df.alias("r").join(F.broadcast(names).alias("n"), F.expr(" AND ".join(f"r.`{k}` <=> n.`{k}`" for k in keys)), "left_anti"), large
 
 
 def _all_equal(keys: list[str], key: tuple):
@@ -144,107 +73,100 @@ def distributed_kmeans(df: DataFrame, features: Sequence[str], ks: Sequence[int]
     return best, trace
 
 
+def _units(df: DataFrame, keys: list[str], features: Sequence[str], schema: str, small, large) -> DataFrame:
+    """Rows of ``schema`` for each unit: ``small(key, unit, x, h)`` for those that one task takes, ``large(units)`` for waves of the others."""
+
+    def run(key: tuple, u: pd.DataFrame) -> pd.DataFrame:
+        x, h = u[list(features)].to_numpy(float), u["__h"].to_numpy().view(np.uint64)
+        return small(key, u, clusters.on_grid(x), h)
+
+    rows = df.select("id", *keys, *features)
+    own, names = _by_size(rows, keys)
+    out = own.withColumn("__h", F.xxhash64("id")).groupBy(*keys).applyInPandas(run, schema)
+    for at in range(0, len(names), clusters.WAVE):
+        wave = df.sparkSession.createDataFrame([(*n, i) for i, n in enumerate(names[at : at + clusters.WAVE])], f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.select(*keys).schema)}, unit int")
+        units = clusters.Large.of(rows, wave, keys, features)
+        sizes = {r["unit"]: r["count"] for r in units.rows.groupBy("unit").count().collect()}  # a row per unit of the wave
+        out = out.unionByName(large(units, wave, sizes))
+    return out
+
+
+def _kinds(df: DataFrame, names: Sequence[str]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return ", ".join(f"{c} {kinds[c]}" for c in names)
+
+
 def cluster_units(df: DataFrame, unit: Sequence[str], features: Sequence[str], least: int = 10) -> DataFrame:
     """id, unit, cluster and outcome (clustered, no_structure, too_small) of every row; clusters in order of their centres."""
-    keys = list(unit)
+    keys, d = list(unit), len(features)
+    schema = f"{_kinds(df, ['id', *keys])}, cluster int, outcome string"
 
-    def run(key: tuple, u: pd.DataFrame) -> pd.DataFrame:
-        u = u.sort_values("id", ignore_index=True)
+    def small(key: tuple, u: pd.DataFrame, x: np.ndarray, h: np.ndarray) -> pd.DataFrame:
         labels, outcome = np.zeros(len(u), int), "too_small"
         if len(u) >= least:
-            x, rng = _matrix(u, features), rng_for("units", *key)
-            k, _ = choose_k(x, rng)
-            outcome = "clustered" if k > 1 else "no_structure"
-            labels = kmeans(x, k, rng)[0] if k > 1 else labels
+            _, _, centres = clusters.locally(clusters.choose(len(x), d), x, h)
+            outcome = "no_structure" if centres is None else "clustered"
+            labels = labels if centres is None else clusters.assign(x, centres)
         return u[["id", *keys]].assign(cluster=labels.astype("int32"), outcome=outcome)
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("id", *keys)) + ", cluster int, outcome string"
-    small, large = _by_size(df.select("id", *keys, *features), keys)
-    out = small.groupBy(*keys).applyInPandas(run, schema)
-    for key in large:
-        rows = scaled_vectors(df.where(_all_equal(keys, key)).select("id", *keys, *features), features)
-        model, _ = distributed_kmeans(rows, features)
-        if model is None:
-            out = out.unionByName(rows.select("id", *keys, F.lit(0).alias("cluster"), F.lit("no_structure").alias("outcome")))
-        else:
-            order = sorted(range(len(model.clusterCenters())), key=lambda i: tuple(model.clusterCenters()[i]))
-            place = F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(order) for x in (c, i)]), F.col("__c"))
-            out = out.unionByName(model.transform(rows).select("id", *keys, place.alias("cluster"), F.lit("clustered").alias("outcome")))
-    return out
+    def large(units: clusters.Large, names: DataFrame, sizes: dict[int, int]) -> DataFrame:
+        centres = {u: c for u, (_, _, c) in units.run({u: clusters.choose(n, d) for u, n in sizes.items()}).items()}
+
+        @F.pandas_udf("int")
+        def label(unit: pd.Series, x: pd.Series) -> pd.Series:
+            out = pd.Series(np.zeros(len(unit), np.int32))
+            for u in unit.unique():
+                if centres[u] is not None:
+                    at = (unit == u).to_numpy()
+                    out[at] = clusters.assign(np.stack(x[at].to_numpy()), centres[u])
+            return out
+
+        plain = [u for u, c in centres.items() if c is None]
+        rows = units.rows.select("id", "unit", label("unit", "x").alias("cluster"), F.when(F.col("unit").isin(plain), "no_structure").otherwise("clustered").alias("outcome"))
+        return rows.join(F.broadcast(names), "unit").select("id", *keys, "cluster", "outcome")
+
+    return _units(df, keys, features, schema, small, large)
 
 
 def k_trace(df: DataFrame, unit: Sequence[str], features: Sequence[str], least: int = 10) -> DataFrame:
     """A row per unit and k: clusters found, smallest size, silhouette, valid, inertia, chosen."""
-    keys = list(unit)
+    keys, d = list(unit), len(features)
     columns = ["k", "n_clusters", "least_size", "silhouette", "valid", "inertia"]
+    schema = f"{_kinds(df, keys)}, k int, n_clusters int, least_size int, silhouette double, valid boolean, inertia double, chosen boolean"
 
-    def run(key: tuple, u: pd.DataFrame) -> pd.DataFrame:
-        k, trace = choose_k(_matrix(u.sort_values("id"), features), rng_for("units", *key)) if len(u) >= least else (1, [])
+    def small(key: tuple, u: pd.DataFrame, x: np.ndarray, h: np.ndarray) -> pd.DataFrame:
+        k, trace, _ = clusters.locally(clusters.choose(len(x), d), x, h) if len(u) >= least else (1, [], None)
         out = pd.DataFrame(trace, columns=columns)
         for name, value in zip(reversed(keys), reversed(key)):
             out.insert(0, name, value)
         return out.assign(chosen=out.k == k)
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", k int, n_clusters int, least_size int, silhouette double, valid boolean, inertia double, chosen boolean"
-    small, large = _by_size(df.select("id", *keys, *features), keys)
-    out = small.groupBy(*keys).applyInPandas(run, schema)
-    for key in large:
-        model, trace = distributed_kmeans(scaled_vectors(df.where(_all_equal(keys, key)).select("id", *features), features), features)
-        chosen = len(model.clusterCenters()) if model else 1
-        out = out.unionByName(df.sparkSession.createDataFrame([(*key, *t, t[0] == chosen) for t in trace], schema))
-    return out
-
+    def large(units: clusters.Large, names: DataFrame, sizes: dict[int, int]) -> DataFrame:
+        found = units.run({u: clusters.choose(n, d) for u, n in sizes.items()})
+        rows = df.sparkSession.createDataFrame([(u, *t, t[0] == k) for u, (k, trace, _) in found.items() for t in trace], "unit int, " + schema.removeprefix(_kinds(df, keys)).lstrip(", "))
+        return rows.join(F.broadcast(names), "unit").select(*keys, *columns, "chosen")
 
-def rand_index(a: np.ndarray, b: np.ndarray) -> float:
-    table = pd.crosstab(a, b).to_numpy()
-    pairs = lambda v: (v * (v - 1) / 2).sum()
-    cells, rows, cols, n = pairs(table), pairs(table.sum(1)), pairs(table.sum(0)), table.sum()
-    chance = rows * cols / max(n * (n - 1) / 2, 1)
-    best = (rows + cols) / 2
-    return 1.0 if best == chance else float((cells - chance) / (best - chance))
+    return _units(df, keys, features, schema, small, large)
 
 
 def stability(df: DataFrame, unit: Sequence[str], features: Sequence[str], replicates: int = 100, least: int = 10) -> DataFrame:
-    """Mean and deviation of the adjusted Rand index between each unit's clusters and refits on bootstrap samples."""
-    keys = list(unit)
+    """Mean and deviation of the adjusted Rand index between each unit's clusters and refits on bootstrap replicates of all its rows."""
+    keys, d = list(unit), len(features)
+    schema = f"{_kinds(df, keys)}, n int, k int, ari_mean double, ari_sd double, n_valid int"
 
-    def run(key: tuple, u: pd.DataFrame) -> pd.DataFrame:
-        row = dict(zip(keys, key)) | {"n": len(u), "k": 1, "ari_mean": None, "ari_sd": None, "n_valid": 0}
-        if len(u) >= least:
-            x, rng = _matrix(u.sort_values("id"), features), rng_for("units", *key)
-            k, _ = choose_k(x, rng)
-            row["k"] = k
-            if k > 1:
-                base, found = kmeans(x, k, rng)[0], []
-                for _ in range(replicates):
-                    pick = rng.integers(0, len(x), len(x))
-                    labels = kmeans(x[pick], k, rng, n_init=3)[0]
-                    if len(set(labels)) > 1:
-                        found.append(rand_index(base[pick], labels))
-                if found:
-                    row |= {"ari_mean": float(np.mean(found)), "ari_sd": float(np.std(found)), "n_valid": len(found)}
-        return pd.DataFrame([row])
+    def row(n: int, k: int, found: list[float]) -> tuple:
+        return n, k, float(np.mean(found)) if found else None, float(np.std(found)) if found else None, len(found)
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", n int, k int, ari_mean double, ari_sd double, n_valid int"
-    small, large = _by_size(df.select("id", *keys, *features), keys)
-    out = small.groupBy(*keys).applyInPandas(run, schema)
-    for key in large:  # refits on samples of MAX_UNIT rows: the whole unit is what they are compared with
-        rows = scaled_vectors(df.where(_all_equal(keys, key)).select("id", *features), features)
-        n, (model, _) = rows.count(), distributed_kmeans(rows, features)
-        found: list[float] = []
-        if model is not None:
-            k, labelled = len(model.clusterCenters()), model.transform(rows)
-            for r in range(replicates):
-                draw = labelled.sample(withReplacement=True, fraction=MAX_UNIT / n, seed=r).select("__x", "__c").toPandas()
-                labels = kmeans(np.stack([v.toArray() for v in draw["__x"]]), k, rng_for("large", *key, r), n_init=3)[0]
-                if len(set(labels)) > 1:
-                    found.append(rand_index(draw["__c"].to_numpy(), labels))
-        row = (*key, n, len(model.clusterCenters()) if model else 1, float(np.mean(found)) if found else None, float(np.std(found)) if found else None, len(found))
-        out = out.unionByName(df.sparkSession.createDataFrame([row], schema))
-    return out
+    def small(key: tuple, u: pd.DataFrame, x: np.ndarray, h: np.ndarray) -> pd.DataFrame:
+        k, found = clusters.locally(clusters.judged(len(x), d, replicates), x, h) if len(u) >= least else (1, [])
+        return pd.DataFrame([(*key, *row(len(u), k, found))], columns=[*keys, "n", "k", "ari_mean", "ari_sd", "n_valid"])
+
+    def large(units: clusters.Large, names: DataFrame, sizes: dict[int, int]) -> DataFrame:
+        found = units.run({u: clusters.judged(n, d, replicates) for u, n in sizes.items()})
+        rows = df.sparkSession.createDataFrame([(u, *row(sizes[u], *r)) for u, r in found.items()], "unit int, n int, k int, ari_mean double, ari_sd double, n_valid int")
+        return rows.join(F.broadcast(names), "unit").select(*keys, "n", "k", "ari_mean", "ari_sd", "n_valid")
+
+    return _units(df, keys, features, schema, small, large)
 
 
 #: Modulus of the hashes that weights are drawn from, and the shares of it below which a Poisson draw (mean 1) is 0, at most 1, ...

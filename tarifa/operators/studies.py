@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 from tarifa.functions.specs import geo_mean
 from tarifa.functions.tails import normal_two_sided
-from tarifa.operators import regression
+from tarifa.operators import clusters, regression
 from tarifa.operators.design import DesignSpec
 from tarifa.operators.panel import spearman
 from tarifa.operators.ranks import quantiles
-from tarifa.operators.segments import MAX_UNIT, choose_k, kmeans, rand_index, rng_for, standardise
 
 
 def pct_effect_se(coefficient: float, se: float) -> float:
@@ -148,16 +147,15 @@ def ward_check(df: DataFrame, unit: Sequence[str], features: Sequence[str], leas
         row = dict(zip(keys, key)) | {"n": len(u), "k": 1, "ari": None}
         u = u.sort_values("id", ignore_index=True)
         if len(u) >= least:
-            x, rng = standardise(u[list(features)].to_numpy(float)), rng_for("units", *key)
-            k, _ = choose_k(x, rng)
-            row["k"] = k
-            if k > 1:
-                row["ari"] = rand_index(kmeans(x, k, rng)[0], ward(x, k))
+            x = clusters.on_grid(u[list(features)].to_numpy(float))
+            row["k"], _, centres = clusters.locally(clusters.choose(len(x), len(features)), x, u["__h"].to_numpy().view(np.uint64))
+            if centres is not None:
+                row["ari"] = clusters.rand_index(pd.crosstab(clusters.assign(x, centres), ward(x, row["k"])).to_numpy())
         return pd.DataFrame([row])
 
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("id"), "id"))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    rows = df.select("id", *keys, *features).withColumn("__p", place).where(F.col("__p") <= min(MAX_WARD, MAX_UNIT)).drop("__p")
+    rows = df.select("id", *keys, *features).withColumns({"__p": place, "__h": F.xxhash64("id")}).where(F.col("__p") <= MAX_WARD).drop("__p")
     return rows.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", n int, k int, ari double")
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarifa.functions.tails import chi2_upper, f_upper, t_quantile
-from tarifa.operators import forest, panel, regression, segments, serve
+from tarifa.operators import clusters, forest, panel, regression, segments, serve
 from tarifa.operators.design import CircularityError, DesignSpec
 
 
@@ -109,6 +109,52 @@ def test_clusters_and_stability(spark):
     assert s.ari_mean["B"] == pytest.approx(1) and pd.isna(s.ari_mean["S"])
 
 
+def test_large_units_give_the_same_clusters(spark, monkeypatch):
+    """With a lowered bound all units are clustered by sums over tasks, in waves: clusters, traces and stability stay the same."""
+    rng = np.random.default_rng(3)
+    rows, at = [], 0
+    for brand, spots in (("A", [(0, 0), (4, 0), (0, 5)]), ("B", [(0, 0)]), (None, [(0, 0), (9, 9)]), ("D", [(1, 1), (2, 7), (7, 2), (8, 8)])):
+        for x, y in spots:
+            for _ in range(60 if len(spots) > 1 else 90):
+                rows.append((at, brand, "T", float(np.round(x + rng.normal(0, 0.6), 1)), float(np.round(y + rng.normal(0, 0.6), 1)) if at % 50 else None))
+                at += 1
+    rows += [(at + i, "S", "T", 1.0 * i, 0.0) for i in range(6)]
+    df = spark.createDataFrame(rows, "id long, brand string, tier string, x double, y double").repartition(7)
+    get = lambda t, *by: t.orderBy(*by).toPandas()
+    every = lambda: (get(segments.cluster_units(df, ["brand", "tier"], ["x", "y"]), "id"), get(segments.k_trace(df, ["brand", "tier"], ["x", "y"]), "brand", "k"), get(segments.stability(df, ["brand", "tier"], ["x", "y"], replicates=12), "brand"))
+    one = every()
+    monkeypatch.setattr(segments, "MAX_UNIT", 20)
+    monkeypatch.setattr(clusters, "WAVE", 3)
+    monkeypatch.setattr(clusters, "TILE", 40)
+    for a, b in zip(one, every()):
+        pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=1e-9)
+    assert one[0].groupby("brand").cluster.nunique().to_dict() == {"A": 3, "B": one[0][one[0].brand == "B"].cluster.nunique(), "D": 4, "S": 1} and one[2].set_index("brand").ari_mean["D"] > 0.9
+
+
+def test_silhouette_like_its_definition():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(70, 2))
+    centres = np.array([[-1.0, 0.0], [1.0, 0.0], [0.0, 9.0], [0.0, 2.0]])
+    label = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+    d, total = np.sqrt(((x[:, None] - x) ** 2).sum(2)), 0.0
+    for i in range(70):
+        same = (label == label[i]) & (np.arange(70) != i)
+        if same.any():
+            a, b = d[i, same].mean(), min(d[i, label == j].mean() for j in set(label) - {label[i]})
+            total += (b - a) / max(a, b)
+    assert clusters.Silhouettes({4: centres}).answer(x, np.zeros(70, np.uint64))[4] == pytest.approx(total)
+
+
+def test_starts_are_drawn_by_squared_distance():
+    """The second centre is drawn in proportion to the squared distance from the first."""
+    x = np.array([[0.0], [1.0], [2.0]])
+    drawn = np.zeros(3)
+    for seed in range(4000):
+        _, rows = clusters.Pick([(0, -1)], np.array([[[0.0]]])).answer(x, np.random.default_rng(seed).integers(0, 1 << 63, 3).astype(np.uint64))
+        drawn[int(rows[0, 0])] += 1
+    assert drawn[0] == 0 and abs(drawn[2] / 4000 - 0.8) < 0.03
+
+
 def test_bootstrap(spark):
     rows = [("same", s, i, 10.0 + i, 10.0 + i) for s in (0, 1) for i in range(20)] + [("up", s, i, (10.0 + i) * (1 + s), 10.0 + i) for s in (0, 1) for i in range(25)]
     rows += [("one", 0, 1, 1.0, 1.0), ("one", 1, 1, 1.0, 1.0), ("gone", 0, 1, 1.0, 1.0), ("gone", 0, 2, 1.0, 1.0), (None, 0, 1, 2.0, 1.0), (None, 0, 2, 2.0, 1.0), (None, 1, 1, 4.0, 1.0), (None, 1, 2, 4.0, 1.0)]
