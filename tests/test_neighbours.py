@@ -89,3 +89,21 @@ def test_nothing_to_fill(spark):
     assert prepare.impute_labels(spark.createDataFrame([], "id long, g string, x double, l string"), ["l"], ["x"], "g").count() == 0
     full = spark.createDataFrame([(1, "a", 1.0, 2.0), (2, None, 3.0, None)], schema)
     assert sorted(map(tuple, prepare.impute_numbers(full, ["x"], ["x", "y"], "g").collect()), key=str) == [(1, "a", 1.0, 2.0), (2, None, 3.0, None)]
+
+
+def test_quantiles_equal_sorting(spark):
+    import numpy as np
+
+    from tarifa.operators.ranks import quantiles
+
+    rng = np.random.default_rng(1)
+    groups = {"many": rng.normal(size=60_000), "ties": rng.integers(0, 4, 30_000).astype(float), "few": np.array([3.0, 1.0]), "one": np.array([7.0]), "heavy": np.append(np.zeros(40_000), rng.exponential(size=20_000))}
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"g": g, "v": v}) for g, v in groups.items()])).repartition(6)
+    ps = [0.0, 0.25, 1 / 3, 0.5, 2 / 3, 0.9, 1.0]
+    for r in quantiles(df.withColumn("n", F.lit("clash")).drop("n"), ["g"], "v", ps).collect():
+        assert r["n"] == len(groups[r["g"]]) and r["q"] == pytest.approx(np.quantile(groups[r["g"]], ps).tolist())
+    whole = quantiles(df, [], "v", ps).first()
+    assert whole["q"] == pytest.approx(np.quantile(np.concatenate(list(groups.values())), ps).tolist())
+    assert quantiles(df.limit(0), ["g"], "v", ps).count() == 0
