@@ -16,7 +16,7 @@ from pyspark.sql.types import BooleanType, NumericType
 from tarifa.operators.bounds import BOUNDS
 from tarifa.operators.design import DesignSpec
 from tarifa.operators.ranks import nearest
-from tarifa.operators.selection import Effect, select
+from tarifa.operators.selection import MAX_CATEGORIES, Effect, effect_table, select
 from tarifa.sources.scratch import written
 
 NEIGHBOURS, LEAST_KNOWN = 5, 10
@@ -211,9 +211,30 @@ def _selected(prepared: DataFrame, category: str) -> tuple[list[str], list[Effec
 
 
 def stable_selection(df: DataFrame, names: Sequence[str] | None = None, category: str = "categorie") -> dict[str, tuple[list[str], list[Effect]]]:
-    """Columns to keep and their report for each category, from the rows of all weeks together: weeks then share a schema."""
-    priced = df.where("prix_tnd IS NOT NULL")
-    return {c: _selected(prepare_category(priced.where(F.col(category) == c), c), c) for c in names or categories(priced, category)}
+    """Columns to keep and their report for each category, from the rows of all weeks together: weeks then share a schema.
+
+    The prepared rows of all categories are one table; the roles of its columns and their effects, in each category, are one pass each.
+    """
+    priced = written(df.where("prix_tnd IS NOT NULL"), "priced")
+    names = list(names or categories(priced, category))
+    if not names:
+        return {}
+    ready = {c: prepare_category(priced.where(F.col(category) == c), c) for c in names}
+    rows = written(functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ready.values()), "prepared")
+    numeric = {f.name for f in rows.schema if isinstance(f.dataType, NumericType)}
+    candidates = [c for c in rows.columns if c not in (*_ALWAYS_DROP, *_ALWAYS_KEEP, category)]
+    levels = {r[category]: r.asDict() for r in rows.groupBy(category).agg(*[F.count_distinct(c).alias(c) for c in candidates]).collect()}  # a row per category
+    role = {(k, c): "spearman" if c in numeric and n > MAX_CATEGORIES else "kruskal" for k, own in levels.items() for c, n in own.items() if c in candidates and n > 1}
+    tested = {t: [c for c in candidates if t in {role.get((k, c)) for k in names}] for t in ("spearman", "kruskal")}
+    table = effect_table(rows, "prix_tnd", tested["spearman"], tested["kruskal"], [category]).collect() if role else []  # a row per category and column
+    found = {(r[category], r["column"], r["test"]): Effect(**{f: r[f] for f in ("column", "test", "n", "statistic", "p_value", "kept", "reason")}) for r in table}
+    out = {}
+    for k in names:
+        own = [(c, t) for t in ("spearman", "kruskal") for c in ready[k].columns if role.get((k, c)) == t]
+        report = [found.get((k, c, t)) or Effect(c, t, 0, 0.0, None, False, "too few rows") for c, t in own]
+        chosen = {e.column for e in report if e.kept} | forced(k) | set(_ALWAYS_KEEP)
+        out[k] = [c for c in ready[k].columns if c in chosen], report
+    return out
 
 
 def process_category(df: DataFrame, category: str, stable: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame, list[Effect] | None]:

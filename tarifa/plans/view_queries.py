@@ -79,11 +79,53 @@ def slider_steps(spark, d):
     return parts(spark, d).groupBy("category").agg(fmt.slider_step("price").alias("price_step"), fmt.slider_step("size").alias("size_step"))
 
 
-@query()
+_CON, _CAT = ["size", "quantity", "discount"], ["flag", "brand"]
+
+
+def _effects_sql(source: str, by: list[str], con: list[str], cat: list[str]) -> str:
+    """Tables ending in ``w``: by, column, test, n, statistic, p_value, kept, reason; the chi-squared tail by its series."""
+    b = "".join(f"{c}, " for c in by)
+    group = f'{b}"column"'
+    union = [f"SELECT {b}'{c}' AS \"column\", 'spearman' AS test, CAST({c} AS DOUBLE) AS v, CAST(NULL AS VARCHAR) AS label, ln(1 + price) AS y FROM {source} WHERE {c} IS NOT NULL AND price IS NOT NULL" for c in con]
+    union += [f"SELECT {b}'{c}', 'kruskal', NULL, CAST({c} AS VARCHAR), ln(1 + price) FROM {source} WHERE {c} IS NOT NULL AND price IS NOT NULL" for c in cat]
+    rank = lambda v: f"rank() OVER (PARTITION BY {group} ORDER BY {v}) + (count(*) OVER (PARTITION BY {group}, {v}) - 1) / 2.0"
+    return f"""e_l AS ({' UNION ALL '.join(union)}),
+      e_k AS (SELECT *, count(*) OVER (PARTITION BY {group}, test, label) AS own, count(*) OVER (PARTITION BY {group}) AS n FROM e_l),
+      e_r AS (SELECT *, {rank('y')} AS ry, {rank('v')} AS rv FROM e_k WHERE test = 'spearman' OR own > 1),
+      e_s AS (SELECT {group}, 'spearman' AS test, count(*) AS n, coalesce(CASE WHEN NOT isnan(corr(rv, ry)) THEN corr(rv, ry) END, 0) AS statistic, CAST(NULL AS DOUBLE) AS p FROM e_r WHERE test = 'spearman' GROUP BY {group}),
+      e_g AS (SELECT {group}, label, sum(ry) AS s, CAST(count(*) AS DOUBLE) AS c FROM e_r WHERE test = 'kruskal' GROUP BY {group}, label),
+      e_t AS (SELECT {group}, sum(c * c * c - c) AS ties FROM (SELECT {group}, y, CAST(count(*) AS DOUBLE) AS c FROM e_r WHERE test = 'kruskal' GROUP BY {group}, y) z GROUP BY {group}),
+      e_h AS (SELECT {group}, sum(s * s / c) AS ss, sum(c) AS m, count(*) - 1 AS df FROM e_g GROUP BY {group}),
+      e_x AS (SELECT {group}, n, df, (12.0 / (m * (m + 1)) * ss - 3 * (m + 1)) / nullif(1 - ties / nullif(m * m * m - m, 0), 0) AS h FROM (SELECT {group}, count(*) AS n FROM e_l WHERE test = 'kruskal' GROUP BY {group}) z LEFT JOIN e_h USING ({group}) LEFT JOIN e_t USING ({group})),
+      e_p AS (SELECT {group}, 'kruskal' AS test, n, h, CASE WHEN df >= 1 AND n >= 5 AND h IS NOT NULL THEN CASE WHEN h <= 0 THEN 1.0 WHEN h > 900 THEN 0.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(0, 900), lambda i: exp(-h / 2 + (df / 2.0 + i) * ln(h / 2) - lgamma(df / 2.0 + i + 1))))) END END AS p FROM e_x),
+      w AS (SELECT {group}, test, n, statistic, p AS p_value, n >= 5 AND abs(statistic) >= 0.1 AS kept, CASE WHEN n < 5 THEN 'too few rows' WHEN abs(statistic) >= 0.1 THEN 'kept' ELSE 'no effect' END AS reason FROM e_s
+        UNION ALL SELECT {group}, test, n, CASE WHEN p IS NULL THEN 0 ELSE h END, p, coalesce(p < 0.05, false), CASE WHEN p < 0.05 THEN 'kept' WHEN p IS NOT NULL THEN 'no effect' ELSE 'too few rows' END FROM e_p)"""
+
+
+@query(f"""WITH {PANEL}, {_effects_sql('panel', [], _CON, [*_CAT, 'category'])} SELECT "column", test, n, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value, kept, reason FROM w""")
 def effect_report(spark, d):
-    x = panel(spark, d).select("price", "size", "quantity", "discount", "flag", "category")
-    rows = [(e.column, e.test, e.n, float(e.statistic), e.p_value, e.kept, e.reason) for e in selection.effects(x, "price", ["size", "quantity", "discount"], ["flag", "category"])]
-    return spark.createDataFrame(rows, "column string, test string, n long, statistic double, p_value double, kept boolean, reason string")
+    x = panel(spark, d).select("price", "size", "quantity", "discount", "flag", "brand", "category")
+    return rounded(selection.effect_table(x, "price", _CON, [*_CAT, "category"]), "statistic", "p_value", digits=6)
+
+
+@query(f"""WITH {PANEL}, {_effects_sql('panel', ['category'], _CON, _CAT)} SELECT category, "column", test, n, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value, kept, reason FROM w""")
+def effects_by_category(spark, d):
+    """The effects of all columns in all categories, in one plan."""
+    return rounded(selection.effect_table(panel(spark, d), "price", _CON, _CAT, ["category"]), "statistic", "p_value", digits=6)
+
+
+@query(
+    f"""WITH {PANEL}, {_effects_sql('panel', ['category'], _CON, _CAT)}
+        SELECT category, CASE WHEN "column" = 'brand' THEN 'marque' ELSE "column" END AS "column", test, n, round(statistic, 6) AS statistic, kept OR "column" = 'brand' AS selected FROM w"""
+)
+def stable_selection(spark, d):
+    """Columns that the preparation of each category keeps: those with an effect on the price, and the brand whatever its effect."""
+    from tarifa.operators import prepare
+
+    rows = panel(spark, d).select(F.col("category").alias("categorie"), F.col("price").alias("prix_tnd"), *_CON, "flag", F.col("brand").alias("marque"))
+    found = prepare.stable_selection(rows)
+    out = [(c, e.column, e.test, e.n, round(float(e.statistic), 6), e.column in kept) for c, (kept, report) in found.items() for e in report]
+    return spark.createDataFrame(out, "category string, column string, test string, n long, statistic double, selected boolean")
 
 
 @query(f"WITH {PANEL} SELECT period, round(covar_pop(ln(price), quantity) / var_pop(quantity), 6) AS slope, count(*) AS n FROM panel GROUP BY 1")
