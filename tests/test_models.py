@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarifa.functions.tails import chi2_upper, f_upper, t_quantile
@@ -83,6 +84,21 @@ def test_circularity():
             DesignSpec(names, []).__class__.fit(None, names, [])
 
 
+def test_circularity_by_lineage(spark):
+    """A price under another name is refused, through whatever it went; columns beside it are not."""
+    df = spark.createDataFrame([(1, 10.0, 2.0, "a"), (2, 20.0, 3.0, "b")], "id long, price double, size double, kind string")
+    renamed = df.withColumnRenamed("price", "x").select("id", "size", "kind", F.col("x").alias("z"))
+    through = df.select("id", "size", "kind", F.explode(F.array("price", F.lit(1.0))).alias("z"))
+    grouped = df.groupBy("kind").agg(F.avg("price").alias("z"), F.avg("size").alias("size"))
+    joined = df.select("id", "size", "kind").join(df.select(F.col("id").alias("other"), F.log("price").alias("z")), F.col("id") == F.col("other"))
+    union = df.select("id", "size", "kind", F.lit(0.0).alias("z")).union(df.select("id", "size", "kind", F.col("price") * 2))
+    window = df.withColumn("z", F.rank().over(Window.orderBy("price"))).drop("price")
+    for rows in (renamed, through, grouped, joined, union, window):
+        assert DesignSpec.fit(rows, ["size"], ["kind"]).names == ["size", *(f"kind_{k}" for k in "b")]
+        with pytest.raises(CircularityError, match="z \\(from price\\)"):
+            DesignSpec.fit(rows, ["size", "z"], [])
+
+
 def test_tails():
     assert chi2_upper(3.841458820694124, 1) == pytest.approx(0.05) and f_upper(4.102821015, 2, 10) == pytest.approx(0.05) and t_quantile(0.975, 10) == pytest.approx(2.2281388519649385)
 
