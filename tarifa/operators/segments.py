@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarifa.operators import clusters
+from tarifa.operators.design import DesignSpec
 from tarifa.operators.regression import ALPHAS, _ridge, _summed, fold_of
 
 #: Rows of a unit that one task takes.
@@ -96,8 +97,21 @@ def _kinds(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"{c} {kinds[c]}" for c in names)
 
 
-def cluster_units(df: DataFrame, unit: Sequence[str], features: Sequence[str], least: int = 10) -> DataFrame:
-    """id, unit, cluster and outcome (clustered, no_structure, too_small) of every row; clusters in order of their centres."""
+def _with_dummies(df: DataFrame, unit: Sequence[str], features: Sequence[str], categorical: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """id, the unit and all coordinates: numbers, and a 0/1 column for each level of the texts."""
+    if not categorical:
+        return df, list(features)
+    spec = DesignSpec.fit(df, features, categorical, drop_first=False)
+    names = [f"__x{i}" for i in range(len(spec.names))]
+    return df.select("id", *unit, *[c.alias(n) for c, n in zip(spec.columns(), names)]), names
+
+
+def cluster_units(df: DataFrame, unit: Sequence[str], features: Sequence[str], least: int = 10, categorical: Sequence[str] = ()) -> DataFrame:
+    """id, unit, cluster and outcome (clustered, no_structure, too_small) of every row; clusters in order of their centres.
+
+    Rows lie where their numbers and the levels of their ``categorical`` columns put them.
+    """
+    df, features = _with_dummies(df, unit, features, categorical)
     keys, d = list(unit), len(features)
     schema = f"{_kinds(df, ['id', *keys])}, cluster int, outcome string"
 
@@ -128,8 +142,9 @@ def cluster_units(df: DataFrame, unit: Sequence[str], features: Sequence[str], l
     return _units(df, keys, features, schema, small, large)
 
 
-def k_trace(df: DataFrame, unit: Sequence[str], features: Sequence[str], least: int = 10) -> DataFrame:
+def k_trace(df: DataFrame, unit: Sequence[str], features: Sequence[str], least: int = 10, categorical: Sequence[str] = ()) -> DataFrame:
     """A row per unit and k: clusters found, smallest size, silhouette, valid, inertia, chosen."""
+    df, features = _with_dummies(df, unit, features, categorical)
     keys, d = list(unit), len(features)
     columns = ["k", "n_clusters", "least_size", "silhouette", "valid", "inertia"]
     schema = f"{_kinds(df, keys)}, k int, n_clusters int, least_size int, silhouette double, valid boolean, inertia double, chosen boolean"
@@ -149,8 +164,9 @@ def k_trace(df: DataFrame, unit: Sequence[str], features: Sequence[str], least:
     return _units(df, keys, features, schema, small, large)
 
 
-def stability(df: DataFrame, unit: Sequence[str], features: Sequence[str], replicates: int = 100, least: int = 10) -> DataFrame:
+def stability(df: DataFrame, unit: Sequence[str], features: Sequence[str], replicates: int = 100, least: int = 10, categorical: Sequence[str] = ()) -> DataFrame:
     """Mean and deviation of the adjusted Rand index between each unit's clusters and refits on bootstrap replicates of all its rows."""
+    df, features = _with_dummies(df, unit, features, categorical)
     keys, d = list(unit), len(features)
     schema = f"{_kinds(df, keys)}, n int, k int, ari_mean double, ari_sd double, n_valid int"
 

@@ -155,7 +155,7 @@ def fit_category(
     clustering = fit_clustering(train, continuous, categorical)
     out = clustering.assign(out, "cluster_n1", checked=False)
     tiered = tiers(df.withColumnsRenamed({brand: "brand", price: "price"}) if (brand, price) != ("brand", "price") else df)
-    units = segments.cluster_units(tiered.where("tier IS NOT NULL"), ["brand", "tier"], list(continuous))
+    units = segments.cluster_units(tiered.where("tier IS NOT NULL"), ["brand", "tier"], list(continuous), categorical=list(categorical))
     name = F.concat_ws("::", "brand", "tier", F.concat(F.lit("c"), F.col("cluster")))
     out = out.join(units.where("outcome <> 'too_small'").select("id", name.alias("cluster_n2")), "id", "left")
     models = None

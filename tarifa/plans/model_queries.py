@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarifa.functions import sql
 from tarifa.functions.specs import geo_mean
 from tarifa.operators import forest, regression, segments
 from tarifa.operators.design import DesignSpec
+from tarifa.operators.features import PriceFeatures, PriceFeaturesModel
 from tarifa.operators.panel import interactions, split, tiers
 from tarifa.plans import linear_sql as L
 from tarifa.plans.data import PANEL, PARTS, panel, parts, table
+from tarifa.sources.scratch import shared_dir
 
 ALL: dict[str, tuple[Callable, str | None]] = {}
 FEATURES = ["size", "quantity", "discount"]
@@ -28,9 +32,9 @@ _NAMES = lambda terms: {n for n, _ in terms}
 _R2 = lambda tag, k: f"(1 - ({tag}.ssr / ({tag}.n - {k})) / (({tag}.syy - {tag}.sy * {tag}.sy / {tag}.n) / ({tag}.n - 1)))"
 
 
-def query(sql: str | None = None):
+def query(oracle: str | None = None):
     def add(f: Callable) -> Callable:
-        ALL[f.__name__] = (f, sql)
+        ALL[f.__name__] = (f, oracle)
         return f
 
     return add
@@ -187,17 +191,50 @@ def tier_monotonicity(spark, d):
 
 @query()
 def cluster_units(spark, d):
-    return segments.cluster_units(tiers(parts(spark, d)), ["brand", "tier"], ["size"])
+    return segments.cluster_units(tiers(parts(spark, d)), ["brand", "tier"], ["size"], categorical=["category"])
 
 
 @query()
 def k_justification(spark, d):
-    return segments.k_trace(tiers(parts(spark, d)), ["brand", "tier"], ["size"])
+    return segments.k_trace(tiers(parts(spark, d)), ["brand", "tier"], ["size"], categorical=["category"])
+
+
+@query()
+def k_trace_in_sql(spark, d):
+    """The trace as a table function of the session's SQL."""
+    sql.register(spark)
+    tiers(parts(spark, d)).createOrReplaceTempView("units_of_parts")
+    return spark.sql("SELECT * FROM k_trace(TABLE(SELECT brand, tier, xxhash64(id) AS h, array(size) AS features FROM units_of_parts) PARTITION BY (brand, tier))")
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, round((l_extendedprice - l_quantity) / nullif(l_quantity, 0) * 100, 4) AS change, CASE WHEN l_discount * 100 > 5 THEN 'hausse' WHEN l_discount * 100 < -5 THEN 'baisse' ELSE 'stable' END AS way,
+         round((exp(l_discount) - 1) * 100, 6) AS effect, regexp_replace(l_returnflag || ' ' || l_linestatus, '[^a-zA-Z0-9_-]+', '_', 'g') AS name FROM lineitem"""
+)
+def sql_functions(spark, d):
+    """The scalar builders as SQL functions of the session."""
+    sql.register(spark)
+    table(spark, d, "lineitem").createOrReplaceTempView("lineitem_of_functions")
+    return spark.sql(
+        """SELECT l_orderkey, l_linenumber, round(pct_change(l_quantity, l_extendedprice), 4) AS change, direction(l_discount * 100, 5D) AS way,
+             round(effect_pct(l_discount, true), 6) AS effect, safe_name(concat(l_returnflag, ' ', l_linestatus)) AS name FROM lineitem_of_functions"""
+    )
+
+
+@query(f"""WITH {PANEL} SELECT product, period, round(ln(price), 6) AS log_price, round(size * quantity, 4) AS size_quantity, true AS same_cluster FROM panel""")
+def final_features(spark, d):
+    """The fitted transform, saved and loaded again: log price, interactions, and whether its clusters are still the same."""
+    x = panel(spark, d).select("product", "period", "price", "size", "quantity")
+    model = PriceFeatures(features=["size", "quantity"], price="price", logPrice="log_price").fit(x)
+    path = f"{shared_dir(spark)}/features-{uuid.uuid4().hex}"
+    model.write().save(path)
+    again = PriceFeaturesModel.load(path).transform(model.transform(x).withColumnRenamed("cluster", "before").withColumn("price", F.exp("log_price")).drop("size_quantity", "log_price"))
+    return again.select("product", "period", F.round("log_price", 6).alias("log_price"), F.round("size_quantity", 4).alias("size_quantity"), (F.col("cluster") == F.col("before")).alias("same_cluster"))
 
 
 @query()
 def cluster_stability(spark, d):
-    return segments.stability(tiers(parts(spark, d)), ["brand", "tier"], ["size"])
+    return segments.stability(tiers(parts(spark, d)), ["brand", "tier"], ["size"], categorical=["category"])
 
 
 #: Replicates of the query; the operator's default is 1,000.
