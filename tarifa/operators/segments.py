@@ -7,7 +7,6 @@ segments may be of any size.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Sequence
 
@@ -19,16 +18,13 @@ from pyspark.sql import functions as F
 from tarifa.operators import clusters
 from tarifa.operators.design import DesignSpec
 from tarifa.operators.regression import ALPHAS, _ridge, _summed, fold_of
+from tarifa.sources.scratch import written
 
 #: Rows of a unit that one task takes.
 MAX_UNIT = 20_000
 MAX_K = clusters.MAX_K
 
 
-def rng_for(*name: object) -> np.random.Generator:
-    return np.random.default_rng(int.from_bytes(hashlib.sha256("|".join(map(str, name)).encode()).digest()[:8], "little"))
-
-
 def _by_size(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[tuple]]:
     """Rows of the units that one task takes, and the keys of the larger ones (of which there is one per ``MAX_UNIT`` rows at most)."""
     large = [tuple(r[k] for k in keys) for r in df.groupBy(*keys).count().where(F.col("count") > MAX_UNIT).collect()]
@@ -38,13 +34,6 @@ def _by_size(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[tuple]]:
     return df.alias("r").join(F.broadcast(names).alias("n"), F.expr(" AND ".join(f"r.`{k}` <=> n.`{k}`" for k in keys)), "left_anti"), large
 
 
-def _all_equal(keys: list[str], key: tuple):
-    out = F.lit(True)
-    for k, v in zip(keys, key):
-        out = out & F.col(k).eqNullSafe(F.lit(v))
-    return out
-
-
 def scaled_vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """``df`` with ``__x``: the features with their mean taken off, over their population deviation, as a vector."""
     from pyspark.ml.functions import array_to_vector
@@ -215,9 +204,9 @@ def bootstrap_gap(df: DataFrame, group: Sequence[str], row: str, n_boot: int = 1
     """
     keys = list(group)
     bits = F.md5(F.concat_ws("|", F.lit("gap"), *[F.col(c).cast("string") for c in (*keys, "side", row)]))
-    part = lambda at: F.conv(F.substring(bits, at, 7), 16, 10).cast("long")
+    part = lambda at: F.conv(F.substring(bits, at, 8), 16, 10).cast("long")
     log = lambda c: F.ln(F.col(c).cast("double"))
-    rows = df.select(*keys, "side", log("real").alias("__a"), log("estimated").alias("__b"), part(1).alias("__s1"), (part(8) + 1).alias("__s2"))
+    rows = df.select(*keys, "side", log("real").alias("__a"), log("estimated").alias("__b"), (part(1) % _PRIME).alias("__s1"), (part(9) % (_PRIME - 1) + 1).alias("__s2"))
     counts = rows.groupBy(*keys).agg(F.least(F.count_if(F.col("side") == 0), F.count_if(F.col("side") == 1)).alias("__least"))
     draws = rows.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))) if n_boot > 0 else rows.limit(0).withColumn("__r", F.lit(0))
     u = f"pmod(__s1 + __r * __s2, {_PRIME}L)"
@@ -268,7 +257,7 @@ def _linear(grams: dict[str, np.ndarray], names: list[str], family: str) -> tupl
     return use, *_ridge(whole, min(ALPHAS, key=loss))
 
 
-def segment_models(df: DataFrame, segment: str, features: Sequence[str], target: str, estimate: str, key: str = "product", families: Sequence[str] = tuple(MIN_RATIO)) -> DataFrame:
+def segment_models(df: DataFrame, segment: str, features: Sequence[str], target: str, estimate: str, key: str = "product", families: Sequence[str] = tuple(MIN_RATIO), grid: Sequence[tuple[int, int | None]] = ((100, 10),)) -> DataFrame:
     """Models per segment and family, kept if they beat the category model on the segment's test rows.
 
     ``df`` has a ``part`` column (train, test), the target in logs and the category model's ``estimate`` for it. One row per
@@ -306,7 +295,7 @@ def segment_models(df: DataFrame, segment: str, features: Sequence[str], target:
     out = out.withColumn("kept", F.coalesce(F.col("r2") > F.col("r2_category"), F.lit(False)))
     columns = [segment, "family", *(c.split()[0] for c in _MODEL.replace("map<string,double>", "map").split(", "))]
     out = out.select(*columns)
-    return out.unionByName(_forests(df, segment, names, target, estimate, kind).select(*columns)) if "random_forest" in families else out
+    return out.unionByName(segment_forests(df, segment, names, target, estimate, key, grid)[0].select(*columns)) if "random_forest" in families else out
 
 
 def _r2(rows: DataFrame) -> DataFrame:
@@ -317,102 +306,68 @@ def _r2(rows: DataFrame) -> DataFrame:
     return found.select("__s", "__f", F.when(good, 1 - F.col("a") / F.col("t")).alias("r2"), F.when(good, 1 - F.col("b") / F.col("t")).alias("r2_category"))
 
 
-TREES, DEPTH = 100, 10
-
-
-def grow(x: np.ndarray, y: np.ndarray, depth: int, least: int = 2) -> tuple[list, np.ndarray]:
-    """A regression tree: nodes (feature, threshold, left, right) or (-1, mean, 0, 0), and the loss each feature took away."""
-    nodes: list = []
-    gain = np.zeros(x.shape[1])
-
-    def build(at: np.ndarray, level: int) -> int:
-        me = len(nodes)
-        nodes.append((-1, float(y[at].mean()), 0, 0))
-        n, own = len(at), y[at]
-        if level >= depth or n < least or np.ptp(own) < 1e-12:
-            return me
-        best = (0.0, -1, 0.0)
-        whole = own.sum()
-        for f in range(x.shape[1]):
-            order = np.argsort(x[at, f], kind="stable")
-            v, left = x[at, f][order], np.cumsum(own[order])[:-1]
-            k = np.arange(1, n)
-            score = np.where(v[1:] > v[:-1], left**2 / k + (whole - left) ** 2 / (n - k) - whole**2 / n, -np.inf)
-            i = int(score.argmax())
-            if score[i] > best[0] + 1e-12:
-                best = (float(score[i]), f, float((v[i] + v[i + 1]) / 2))
-        if best[1] < 0:
-            return me
-        gain[best[1]] += best[0]
-        low = x[at, best[1]] <= best[2]
-        nodes[me] = (best[1], best[2], build(at[low], level + 1), build(at[~low], level + 1))
-        return me
-
-    build(np.arange(len(y)), 0)
-    return nodes, gain
-
-
-def _apply(nodes: list, x: np.ndarray) -> np.ndarray:
-    table = np.array(nodes, float)
-    at = np.zeros(len(x), int)
-    while True:
-        f = table[at, 0].astype(int)
-        inner = f >= 0
-        if not inner.any():
-            return table[at, 1]
-        low = x[np.arange(len(x)), np.maximum(f, 0)] <= table[at, 1]
-        at = np.where(inner, np.where(low, table[at, 2], table[at, 3]).astype(int), at)
-
-
-def _forests(df: DataFrame, segment: str, names: list[str], target: str, estimate: str, kind: str) -> DataFrame:
-    """The random-forest rows of ``segment_models``: a task grows the trees of a segment, larger segments go to MLlib."""
-    from tarifa.operators import forest
-
-    def r2(t: np.ndarray, e: np.ndarray) -> float | None:
-        return float(1 - ((t - e) ** 2).sum() / ((t - t.mean()) ** 2).sum()) if len(t) > 1 and t.var() > 1e-12 / len(t) else None
+def segment_forests(df: DataFrame, segment: str, features: Sequence[str], target: str, estimate: str, key: str = "product", grid: Sequence[tuple[int, int | None]] = ((100, 10),)) -> tuple[DataFrame, DataFrame]:
+    """The random-forest rows of ``segment_models`` (importances in ``coefficients``), and the nodes of all forests that are kept.
 
-    def run(key: tuple, u: pd.DataFrame) -> pd.DataFrame:
-        u = u.sort_values([*names, target], ignore_index=True)
-        train, test = u[(u.part == "train") & u[target].notna()], u[u.part == "test"]
-        use = [f for f in names if train[f].nunique() > 1]
-        row = {segment: key[0], "family": "random_forest", "n": len(u), "n_predictors": len(use), "fitted": False, "r2": None, "r2_category": None, "kept": False, "intercept": None, "coefficients": None}
-        if use and len(train) >= MIN_RATIO["random_forest"] * len(use):
-            x, y, rng = train[use].to_numpy(float), train[target].to_numpy(float), rng_for("forest", key[0])
-            made, gain, z = np.zeros(len(test)), np.zeros(len(use)), test[use].to_numpy(float)
-            for _ in range(TREES):
-                at = rng.integers(0, len(x), len(x))
-                nodes, g = grow(x[at], y[at], DEPTH)
-                made, gain = made + _apply(nodes, z) / TREES, gain + g / max(g.sum(), 1e-300) / TREES
-            t = test[target].to_numpy(float)
-            row |= {"fitted": True, "coefficients": dict(zip(use, map(float, gain))), "r2": r2(t, made), "r2_category": r2(t, test[estimate].to_numpy(float))}
-            row["kept"] = row["r2"] is not None and row["r2"] > row["r2_category"]
-        return pd.DataFrame([row])
-
-    schema = f"{segment} {kind}, family string, {_MODEL}"
-    rows = df.select(segment, "part", *names, target, estimate)
-    small, large = _by_size(rows, [segment])
-    out = small.groupBy(segment).applyInPandas(run, schema)
-    for key in large:
-        own = rows.where(_all_equal([segment], key))
-        model = forest.fit(own.where("part = 'train'").withColumn("__k", F.xxhash64(*names)), names, target, "__k", trees=(TREES,), depths=(DEPTH,))
-        test = model.transform(forest.assembled(own.where("part = 'test'"), names))
-        found = _r2(test.select(F.col(segment).alias("__s"), F.lit("random_forest").alias("__f"), F.col(target).alias("y"), F.col("prediction").alias("e"), F.col(estimate).alias("c"))).first()
-        good = bool(found and found["r2"] is not None and found["r2"] > found["r2_category"])
-        row = (key[0], "random_forest", own.count(), len(names), True, found and found["r2"], found and found["r2_category"], good, None, dict(zip(names, map(float, model.featureImportances.toArray()))))
-        out = out.unionByName(df.sparkSession.createDataFrame([row], schema))
-    return out
-
-
-def score_cascade(df: DataFrame, fine: DataFrame, coarse: DataFrame, segment_fine: str, segment_coarse: str, features: Sequence[str], estimate: str) -> DataFrame:
-    """``scored`` from the kept model of the fine segment, else of the coarse one, else the category's ``estimate``; and its ``source``."""
+    With more than one (trees, depth) in ``grid`` each segment takes the one with the best R2 over grouped folds; the forests of a grid are
+    prefixes of one, so they are grown once a fold.
+    """
+    from tarifa.operators import forests
+
+    names = list(features)
+    rows = df.withColumn("__k", F.col(key).cast("string") if key in df.columns else F.xxhash64(*names, target).cast("string"))
+    train = rows.where((F.col("part") == "train") & F.col(target).isNotNull())
+    varies = [(F.min(f) != F.max(f)).cast("int") for f in names]
+    counts = train.groupBy(segment).agg(F.count("*").alias("__n"), sum((F.coalesce(v, F.lit(0)) for v in varies), F.lit(0)).alias("n_predictors"))
+    every = rows.groupBy(segment).agg(F.count("*").alias("n"))
+    same = F.col(f"a.{segment}").eqNullSafe(F.col(f"b.{segment}"))
+    found = every.alias("a").join(counts.alias("b"), same, "left").select(f"a.{segment}", "n", F.coalesce("n_predictors", F.lit(0)).alias("n_predictors"), F.coalesce((F.col("n_predictors") > 0) & (F.col("__n") >= MIN_RATIO["random_forest"] * F.col("n_predictors")), F.lit(False)).alias("fitted"))
+    found = written(found, "forest-segments")
+    train = train.alias("a").join(F.broadcast(found.where("fitted")).alias("b"), same, "left_semi")
+    trees, depths = max(t for t, _ in grid), [d for _, d in grid]
+    deepest = None if None in depths else max(depths)
+    best = forests.choose(train, segment, names, target, "__k", grid) if len(grid) > 1 else None
+    nodes = forests.fit(train, segment, names, target, "__k", trees, deepest)
+    test = forests.estimate(rows.where("part = 'test'"), nodes, segment, names, "__e", grid)
+    test = test.select(F.col(segment).alias("__s"), F.lit("random_forest").alias("__f"), F.col(target).alias("y"), "__e", F.col(estimate).alias("c"))
+    if best is None:
+        test = test.withColumn("e", F.col("__e")[0])
+    else:
+        test = test.alias("a").join(best.alias("b"), F.col("a.__s").eqNullSafe(F.col("b.segment")), "left").withColumn("e", F.get("__e", F.col("best")))
+    judged = _r2(test.where("e IS NOT NULL"))
+    out = found.join(judged, F.col(segment).eqNullSafe(F.col("__s")), "left").drop("__s", "__f")
+    shares = forests.importances(nodes, names).withColumnRenamed("segment", "__s")
+    out = out.join(shares, F.col(segment).eqNullSafe(F.col("__s")), "left").withColumns({"kept": F.coalesce(F.col("r2") > F.col("r2_category"), F.lit(False)), "family": F.lit("random_forest"), "intercept": F.lit(None).cast("double"), "coefficients": F.col("importances")})
+    out = written(out.select(segment, "family", *(c.split()[0] for c in _MODEL.replace("map<string,double>", "map").split(", "))), "forest-models")
+    kept = out.where("kept").select(F.col(segment).alias("__s"))
+    nodes = nodes.join(kept, F.col("segment").eqNullSafe(F.col("__s")), "left_semi")
+    if best is not None:  # only what the chosen point of the grid uses
+        limits = F.create_map(*[F.lit(x) for i, (t, d) in enumerate(grid) for x in (i, F.struct(F.lit(t).alias("t"), F.lit(61 if d is None else d).alias("d")))])
+        chosen = best.select(F.col("segment").alias("__s"), F.element_at(limits, F.col("best")).alias("__g"))
+        level = F.length(F.conv(F.col("node").cast("string"), 10, 2)) - 1
+        nodes = nodes.join(chosen, F.col("segment").eqNullSafe(F.col("__s"))).where((F.col("tree") <= F.col("__g.t")) & (level <= F.col("__g.d")))
+        nodes = nodes.withColumn("feature", F.when(level < F.col("__g.d"), F.col("feature"))).drop("__s", "__g")
+    return out, nodes
+
+
+def score_cascade(
+    df: DataFrame, fine: DataFrame, coarse: DataFrame, segment_fine: str, segment_coarse: str, features: Sequence[str], estimate: str, fine_nodes: DataFrame | None = None, coarse_nodes: DataFrame | None = None
+) -> DataFrame:
+    """``scored`` from the kept model of the fine segment, else of the coarse one, else the category's ``estimate``; and its ``source``.
+
+    The models are of one family. Linear ones score by their coefficients, forests by their nodes (those of the kept ones).
+    """
+    from tarifa.operators import forests
 
-    def with_model(rows: DataFrame, models: DataFrame, key: str, out: str) -> DataFrame:
+    def with_model(rows: DataFrame, models: DataFrame, key: str, out: str, nodes: DataFrame | None) -> DataFrame:
+        if nodes is not None:
+            return forests.estimate(rows, nodes, key, features, out).withColumn(out, F.col(out)[0])
         kept = models.where("kept").select(F.col(key).alias(f"__{out}"), F.col("intercept").alias(f"__a{out}"), F.col("coefficients").alias(f"__b{out}"))
         joined = rows.join(kept, F.col(key) == F.col(f"__{out}"), "left")
         weight = lambda f: F.coalesce(F.try_element_at(f"__b{out}", F.lit(f)), F.lit(0.0))
         value = sum((F.col(f) * weight(f) for f in features), F.col(f"__a{out}"))
         return joined.withColumn(out, value).drop(f"__{out}", f"__a{out}", f"__b{out}")
 
-    rows = with_model(with_model(df, fine, segment_fine, "p2"), coarse, segment_coarse, "p1")  # linear families: a forest has no coefficients
+    rows = with_model(with_model(df, fine, segment_fine, "p2", fine_nodes), coarse, segment_coarse, "p1", coarse_nodes)
     source = F.when(F.col("p2").isNotNull(), "n2").when(F.col("p1").isNotNull(), "n1").otherwise("categorie")
     return rows.withColumns({"scored": F.coalesce("p2", "p1", estimate), "source": source}).drop("p1", "p2")

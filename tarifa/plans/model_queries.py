@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from tarifa.functions import sql
 from tarifa.functions.specs import geo_mean
-from tarifa.operators import forest, regression, segments
+from tarifa.operators import forest, forests, regression, segments
 from tarifa.operators.design import DesignSpec
 from tarifa.operators.features import PriceFeatures, PriceFeaturesModel
 from tarifa.operators.panel import interactions, split, tiers
 from tarifa.plans import linear_sql as L
 from tarifa.plans.data import PANEL, PARTS, panel, parts, table
-from tarifa.sources.scratch import shared_dir
+from tarifa.sources.scratch import shared_dir, written
 
 ALL: dict[str, tuple[Callable, str | None]] = {}
 FEATURES = ["size", "quantity", "discount"]
@@ -249,7 +249,7 @@ _WEIGHT = f"""(SELECT *, {' + '.join(f'CAST((s1 + r * s2) % 2147483647 >= {c} AS
         b AS (SELECT e.category, e.period AS t, 0 AS side, product, real, estimated FROM e JOIN n USING (category, period) WHERE next IS NOT NULL
               UNION ALL SELECT e.category, prior, 1, product, real, estimated FROM e JOIN n USING (category, period) WHERE prior IS NOT NULL),
         h AS (SELECT *, md5(concat_ws('|', 'gap', CAST(category AS VARCHAR), CAST(t AS VARCHAR), CAST(side AS VARCHAR), CAST(product AS VARCHAR))) AS h FROM b),
-        s AS (SELECT *, CAST('0x' || h[:7] AS BIGINT) AS s1, 1 + CAST('0x' || h[8:14] AS BIGINT) AS s2 FROM h),
+        s AS (SELECT *, CAST('0x' || h[:8] AS BIGINT) % 2147483647 AS s1, 1 + CAST('0x' || h[9:16] AS BIGINT) % 2147483646 AS s2 FROM h),
         m AS (SELECT category, t, side, r, sum(w * ln(real)) / nullif(sum(w), 0) AS a, sum(w * ln(estimated)) / nullif(sum(w), 0) AS b FROM {_WEIGHT} GROUP BY 1, 2, 3, 4),
         g AS (SELECT x.category, x.t, (exp(y.a - x.a) - exp(y.b - x.b)) * 100 AS gap FROM m x JOIN m y ON x.category = y.category AND x.t = y.t AND x.r = y.r AND x.side = 0 AND y.side = 1),
         k AS (SELECT category, t, least(count_if(side = 0), count_if(side = 1)) AS least_n FROM b GROUP BY 1, 2),
@@ -294,18 +294,87 @@ def segment_models(spark, d):
     return segments.segment_models(_segmented(spark, d), "brand", ["quantity", "size"], "y", "estimate", families=("hedonic", "ridge")).drop("coefficients", "intercept")
 
 
+#: The forests whose growth SQL repeats: trees, depth, bins.
+_SMALL = (6, 3, 8)
+
+
+def _forest_sql() -> str:
+    """Tables ending in ``f_n``: the nodes of small forests of the brands' training rows, a level after the other."""
+    trees, depth, bins = _SMALL
+    weight = " + ".join(f"CAST(u >= {c} AS INTEGER)" for c in segments.POISSON)
+    out = f"""tr AS (SELECT brand, product, quantity, CAST(size AS DOUBLE) AS size, ln(price) AS y, md5('forest|' || product) AS h FROM s WHERE part = 'train'),
+      f_v AS (SELECT brand, unnest([0, 1]) AS f, unnest([quantity, size]) AS v FROM tr), f_o AS (SELECT *, row_number() OVER (PARTITION BY brand, f ORDER BY v) AS place, count(*) OVER (PARTITION BY brand, f) AS n FROM f_v),
+      f_c AS (SELECT brand, f, list_sort(list_distinct(list(v))) AS cuts FROM f_o, (SELECT unnest(range(1, {bins})) AS i) WHERE place = greatest(1, ceil(n * i / {bins}.0)) GROUP BY brand, f),
+      f_b AS (SELECT tr.brand, y, len(list_filter(a.cuts, lambda c: c < quantity)) AS b0, len(list_filter(b.cuts, lambda c: c < size)) AS b1, CAST('0x' || h[:8] AS BIGINT) % 2147483647 AS s1, 1 + CAST('0x' || h[9:16] AS BIGINT) % 2147483646 AS s2
+        FROM tr JOIN f_c a ON a.brand = tr.brand AND a.f = 0 JOIN f_c b ON b.brand = tr.brand AND b.f = 1),
+      f_u AS (SELECT brand, y, b0, b1, tree, (s1 + tree * s2) % 2147483647 AS u FROM f_b, (SELECT unnest(range(1, {trees + 1})) AS tree)),
+      s0 AS (SELECT * FROM (SELECT brand, tree, 1 AS node, {weight} AS w, y, b0, b1 FROM f_u) WHERE w > 0)"""
+    for k in range(depth + 1):
+        split = "gain > 1e-9" if k < depth else "false"
+        out += f""", c{k} AS (SELECT brand, tree, node, f, bin, sum(w) AS w, sum(wy) AS wy FROM (SELECT brand, tree, node, w, w * y AS wy, unnest([0, 1]) AS f, unnest([b0, b1]) AS bin FROM s{k}) GROUP BY brand, tree, node, f, bin),
+          a{k} AS (SELECT brand, tree, node, f, bin, sum(w) OVER q AS lw, sum(wy) OVER q AS ly, sum(w) OVER z AS w, sum(wy) OVER z AS wy FROM c{k} WINDOW z AS (PARTITION BY brand, tree, node, f), q AS (PARTITION BY brand, tree, node, f ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+          g{k} AS (SELECT *, CASE WHEN w > lw THEN round(ly * ly / lw + (wy - ly) * (wy - ly) / nullif(w - lw, 0) - wy * wy / w, 9) END AS gain FROM a{k}),
+          p{k} AS (SELECT brand, tree, node, w AS n, wy / w AS mean, CASE WHEN {split} THEN f END AS f, CASE WHEN {split} THEN bin END AS bin FROM (SELECT *, row_number() OVER (PARTITION BY brand, tree, node ORDER BY gain DESC NULLS LAST, f, bin) AS r FROM g{k}) WHERE r = 1),
+          s{k + 1} AS (SELECT x.brand, x.tree, x.node * 2 + CAST(CASE WHEN f = 0 THEN b0 ELSE b1 END > bin AS INTEGER) AS node, w, y, b0, b1 FROM s{k} x JOIN p{k} USING (brand, tree, node) WHERE f IS NOT NULL)"""
+    every = " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(depth + 1))
+    return out + f", f_n AS (SELECT p.brand, tree, node, n, mean, p.f, cuts[bin + 1] AS threshold FROM ({every}) p LEFT JOIN f_c ON f_c.brand = p.brand AND f_c.f = p.f)"
+
+
+def _walk_sql() -> str:
+    """``f_e``: what the trees say on average of each test row."""
+    steps = "w0 AS (SELECT s.brand, product, s.quantity, CAST(size AS DOUBLE) AS size, ln(price) AS y, id, tree, 1 AS node FROM (SELECT *, row_number() OVER () AS id FROM s WHERE part = 'test') s JOIN (SELECT DISTINCT brand, tree FROM f_n) t ON s.brand = t.brand)"
+    for k in range(_SMALL[1]):
+        steps += f", w{k + 1} AS (SELECT w.* EXCLUDE (node), CASE WHEN f IS NULL THEN w.node ELSE 2 * w.node + CAST(CASE WHEN f = 0 THEN quantity ELSE size END > threshold AS INTEGER) END AS node FROM w{k} w JOIN f_n USING (brand, tree, node))"
+    return steps + f", f_e AS (SELECT w.id, w.brand, any_value(y) AS y, avg(mean) AS e FROM w{_SMALL[1]} w JOIN f_n USING (brand, tree, node) GROUP BY w.id, w.brand)"
+
+
+def _small_forest(spark, d):
+    x = _segmented(spark, d)
+    return x, forests.fit(x.where("part = 'train'"), "brand", ["quantity", "size"], "y", "product", *_SMALL)
+
+
+@query(f"WITH {PANEL}, {_SPLIT}, {_forest_sql()} SELECT brand, tree, node, CAST(n AS BIGINT) AS n, CAST(f AS INTEGER) AS feature, round(threshold, 6) AS threshold, round(mean, 6) AS mean FROM f_n")
+def forest_nodes(spark, d):
+    """Forests of all brands, grown a level at a time."""
+    _, nodes = _small_forest(spark, d)
+    return nodes.select(F.col("segment").alias("brand"), "tree", "node", "n", "feature", F.round("threshold", 6).alias("threshold"), F.round("mean", 6).alias("mean"))
+
+
+@query(f"WITH {PANEL}, {_SPLIT}, {_forest_sql()}, {_walk_sql()} SELECT brand, count(*) AS n, round(avg(abs(y - e)), 6) AS mae, round(sum(e), 4) AS total FROM f_e GROUP BY brand")
+def forest_scores(spark, d):
+    """Test rows scored by the retained nodes."""
+    x, nodes = _small_forest(spark, d)
+    scored = forests.estimate(x.where("part = 'test'"), nodes, "brand", ["quantity", "size"], "e").withColumn("e", F.col("e")[0]).where("e IS NOT NULL")
+    return scored.groupBy("brand").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("y") - F.col("e"))), 6).alias("mae"), F.round(F.sum("e"), 4).alias("total"))
+
+
 @query()
 def segment_forests(spark, d):
     return segments.segment_models(_segmented(spark, d), "brand", ["quantity", "size"], "y", "estimate", families=("random_forest",)).drop("coefficients", "intercept")
 
 
+@query()
+def segment_forest_grid(spark, d):
+    """Each brand's forest of the grid by grouped folds; the grid's forests are prefixes of one."""
+    grid = tuple((t, k) for t in (100, 200) for k in (5, 10))
+    return segments.segment_forests(_segmented(spark, d), "brand", ["quantity", "size"], "y", "estimate", grid=grid)[0].drop("coefficients", "intercept")
+
+
 @query()
 def scoring_cascade(spark, d):
-    x = _segmented(spark, d)
-    fine = segments.segment_models(x, "brand", ["quantity", "size"], "y", "estimate", families=("hedonic",))
-    coarse = segments.segment_models(x, "category", ["quantity", "size"], "y", "estimate", families=("hedonic",))
-    scored = segments.score_cascade(x, fine, coarse, "brand", "category", ["quantity", "size"], "estimate")
-    return scored.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("y") - F.col("scored"))), 6).alias("mae"))
+    """Each family's cascade: kept models of the brand, else of the category, else the category's own estimate."""
+    x = written(_segmented(spark, d), "segmented")
+    out = None
+    for family in ("hedonic", "ridge", "random_forest"):
+        if family == "random_forest":
+            (fine, fine_nodes), (coarse, coarse_nodes) = (segments.segment_forests(x, s, ["quantity", "size"], "y", "estimate") for s in ("brand", "category"))
+        else:
+            fine, coarse = (segments.segment_models(x, s, ["quantity", "size"], "y", "estimate", families=(family,)) for s in ("brand", "category"))
+            fine_nodes = coarse_nodes = None
+        scored = segments.score_cascade(x, fine, coarse, "brand", "category", ["quantity", "size"], "estimate", fine_nodes, coarse_nodes)
+        part = scored.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("y") - F.col("scored"))), 6).alias("mae")).withColumn("family", F.lit(family))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 _WEEKLY = [*_X, *_CATEGORY]
