@@ -88,10 +88,10 @@ def choose(df: DataFrame, segment: str, features: Sequence[str], target: str, ke
     label = F.coalesce(F.concat(F.lit("v"), F.col(segment).cast("string")), F.lit("n"))
     rows = df.select("*", label.alias("__s"), F.pmod(F.xxhash64(key), F.lit(folds)).cast("int").alias("__f"))
     others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("__f"))
-    train = rows.withColumn("__o", F.explode(others)).withColumn("__u", F.concat_ws("\0", "__s", "__o"))
+    train = rows.withColumn("__o", F.explode(others)).withColumn("__u", F.concat_ws("|", "__o", "__s"))
     depths = [d for _, d in grid]
     nodes = fit(train, "__u", features, target, key, max(t for t, _ in grid), None if None in depths else max(depths), bins)
-    held = estimate(rows.where(F.col(target).isNotNull()).withColumn("__u", F.concat_ws("\0", "__s", "__f")), nodes, "__u", features, "__e", grid).where("__e IS NOT NULL")
+    held = estimate(rows.where(F.col(target).isNotNull()).withColumn("__u", F.concat_ws("|", "__f", "__s")), nodes, "__u", features, "__e", grid).where("__e IS NOT NULL")
     long = held.select(F.col(segment).alias("segment"), "__f", F.col(target).alias("y"), F.posexplode("__e").alias("g", "e"))
     loss, spread = F.sum((F.col("y") - F.col("e")) * (F.col("y") - F.col("e"))), F.var_pop("y") * F.count("*")
     r2 = long.groupBy("segment", "__f", "g").agg(loss.alias("l"), spread.alias("t")).where("t > 1e-12").groupBy("segment", "g").agg(F.avg(1 - F.col("l") / F.col("t")).alias("r2"))
