@@ -382,6 +382,22 @@ def _sets(shingle: int):
     return run
 
 
+#: Bits of a set's parity: each member flips one, so two sets differ in as many members as bits at least.
+_PARITY = 1024
+
+
+def _parity(s: np.ndarray) -> np.ndarray:
+    """Of each bit whether an odd number of members falls on it, as longs."""
+    with np.errstate(over="ignore"):
+        at = ((s * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=_PARITY) & 1, bitorder="little").view(np.int64)
+
+
+def _may_be_near(a: str, b: str, total: str) -> str:
+    """SQL for whether sets of ``total`` members together can be 0.8 similar: they then differ in a ninth of them at most."""
+    return f"9 * aggregate(zip_with({a}, {b}, (x, y) -> CAST(bit_count(x ^ y) AS int)), 0, (s, v) -> s + v) <= {total}"
+
+
 #: What tells rows apart: the id and a hash of the text. Rows that agree in both are copies.
 _ROW = ["doc_id", "th"]
 
@@ -402,18 +418,19 @@ def _prefixes(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = sent.value
         for b in batches:
-            fp, sig, size, prefix, part = [], [], [], [], []
+            fp, sig, size, prefix, part, bits = [], [], [], [], [], []
             for t in b.column(1).to_pylist():
                 s, f = shingle_set(t, shingle), fingerprint(t, shingle)
                 h = xxhash.xxh64_intdigest(s.tobytes(), 7)
                 n, late = len(s), np.searchsorted(common, s, "right") > np.searchsorted(common, s)
                 first = np.concatenate((s[~late], s[late]))[: n - (4 * n + 4) // 5 + 1] if n else s
                 fp.append(f), sig.append(h - (h >> 63 << 64)), size.append(n), prefix.append(first.view(np.int64))
+                bits.append(_parity(s))
                 part.append(np.unique((s[s % 4 == 0] >> np.uint64(2)).astype(np.uint32)).view(np.int32))
-            columns = [pa.array(fp, pa.int64()), pa.array(sig, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(part, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *columns], [*_ROW, "fp", "sig", "size", "prefix", "part"])
+            columns = [pa.array(fp, pa.int64()), pa.array(sig, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(part, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *columns], [*_ROW, "fp", "sig", "size", "prefix", "part", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, th long, fp long, sig long, size long, prefix array<long>, part array<int>")
+    return docs.mapInArrow(run, "doc_id long, th long, fp long, sig long, size long, prefix array<long>, part array<int>, bits array<long>")
 
 
 #: Texts that are picked out by their broadcast keys (of 16 bytes) before they are moved; more are moved with all others.
@@ -427,17 +444,17 @@ def _row_key() -> list[Column]:
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) of classes whose shingle sets have a Jaccard similarity of 0.8 or more.
 
-    Sets that are so similar differ in a ninth of their sizes' sum at most. Of these differences about a fourth fall into a quarter of
+    Sets that are so similar differ in a ninth of their sizes' sum at most; pairs whose parities differ in more bits go. Of these differences about a fourth fall into a quarter of
     the hash space: pairs with more there than that by six deviations go before any text is moved (a similar pair does so with a
     probability of about 1e-9). For the others the texts of both classes' representative rows come together, and the whole sets
     are compared.
     """
     pairs = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-candidates")
-    parts = classes.select("class", "part", "size", F.struct(F.xxhash64("row.doc_id", "row.th").alias("rk"), F.col("row.th").alias("rt")).alias("k"))
+    parts = classes.select("class", "part", "bits", "size", F.struct(F.xxhash64("row.doc_id", "row.th").alias("rk"), F.col("row.th").alias("rt")).alias("k"))
     apart = F.size("pa") + F.size("pb") - 2 * F.size(F.array_intersect("pa", "pb"))
-    left = pairs.join(parts.toDF("a", "pa", "na", "ka"), "a").join(parts.toDF("b", "pb", "nb", "kb"), "b")
+    left = pairs.join(parts.toDF("a", "pa", "ba", "na", "ka"), "a").join(parts.toDF("b", "pb", "bb", "nb", "kb"), "b")
     most = (F.col("na") + F.col("nb")) / 9.0
-    left = left.where(apart <= most / 4 + 6 * F.sqrt(3 * most) / 4 + 1)
+    left = left.where(_may_be_near("ba", "bb", "(na + nb)")).where(apart <= most / 4 + 6 * F.sqrt(3 * most) / 4 + 1)
     left = materialize(left.select("a", "b", "ka", "kb"), "near-likely")
     ids = left.select(F.explode(F.array("ka", "kb")).alias("k")).select("k.rk", "k.rt").distinct()
     texts = docs.select(*_row_key(), "text")
@@ -479,7 +496,7 @@ def _near_rows(docs: DataFrame, shingle: int) -> DataFrame:
     found = materialize(_prefixes(docs, shingle), "near-prefixes")
     same = ["fp", "sig", "size"]
     # a class of equal sets; its number is taken from a table that is written, so it does not change
-    classes = found.groupBy(*same).agg(F.min(F.struct(F.col("doc_id").isNull(), *_ROW)).alias("row"), F.first("prefix").alias("prefix"), F.first("part").alias("part"))
+    classes = found.groupBy(*same).agg(F.min(F.struct(F.col("doc_id").isNull(), *_ROW)).alias("row"), F.first("prefix").alias("prefix"), F.first("part").alias("part"), F.first("bits").alias("bits"))
     classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "near-classes")
     filed = classes.select(F.posexplode("prefix").alias("at", "key"), "class", "size")
     by_key = Window.partitionBy("key")
@@ -500,9 +517,9 @@ def _near_rows(docs: DataFrame, shingle: int) -> DataFrame:
     names = materialize(connected_components(links), "near-names")
     members = shared.join(names, F.col("class") == F.col("node"), "left").select("key", "class", "size", "at", F.coalesce("component", "class").alias("c"))
     open_keys = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    members = materialize(members.join(open_keys, "key"), "near-open")
-    x, y = members.toDF("key", "a", "n", "i", "ca"), members.toDF("key", "b", "m", "j", "cb")
-    rest = x.join(y, "key").where("ca < cb AND " + _fits("n", "i", "m", "j")).select("a", "b")
+    members = materialize(members.join(open_keys, "key").join(classes.select("class", "bits"), "class").select("key", "class", "size", "at", "c", "bits"), "near-open")
+    x, y = members.toDF("key", "a", "n", "i", "ca", "ba"), members.toDF("key", "b", "m", "j", "cb", "bb")
+    rest = x.join(y, "key").where("ca < cb AND " + _fits("n", "i", "m", "j") + " AND " + _may_be_near("ba", "bb", "(n + m)")).select("a", "b")
     names = connected_components(links.union(_verified(rest, classes, docs, shingle)))
     labels = classes.join(names, F.col("class") == F.col("node"), "left").select(*same, F.coalesce("component", "class").alias("group"))
     return found.join(labels, same).select(*_ROW, "group")

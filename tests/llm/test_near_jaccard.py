@@ -44,3 +44,16 @@ def test_components_are_those_of_exact_similarity(spark, source):
     assert [got[i] for i, _ in rows] == want
     kept = [r["doc_id"] for r in simhash.keep_one(df).select("doc_id").collect()]
     assert sorted(kept) == sorted(set(want))
+
+
+def test_parities_never_differ_in_more_bits_than_sets_in_members():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n, d = rng.integers(0, 3000), rng.integers(0, 400)
+        s = np.unique(rng.integers(0, 1 << 63, n + d, dtype=np.uint64))
+        a, b = s[: max(0, len(s) - d)], s[d // 2 :]
+        apart = len(np.setxor1d(a, b))
+        bits = int(np.bitwise_count((simhash._parity(a) ^ simhash._parity(b)).view(np.uint64)).sum())
+        assert bits <= apart and (apart > 60 or bits > 0.8 * apart - 3)
