@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarifa.operators.ranks import quantiles
+
 # Fixed values: (low, high) by category; None where the quantity means nothing there.
 BOUNDS = {
     "pc_bureau": {"price": (0.0, 12574.0), "ram": (0.0, 128.0), "storage": (0.0, 4096.0), "screen": None},
@@ -37,8 +39,6 @@ def suspicious(value: Column, category: Column | str, what: str) -> Column:
 
 def observed_bounds(df: DataFrame, group: str, value: str, pad: float = 0.5, least: int = 5, digits: int = 2) -> DataFrame:
     """Bounds from the 1st and 99th percentile of each group, widened by half their distance, low end not under 0."""
-    v = F.col(value).cast("double")
-    q = F.percentile(v, F.array(F.lit(0.01), F.lit(0.99)))
-    rows = df.groupBy(group).agg(F.count(v).alias("n"), q.alias("q"), F.max(v).alias("seen")).where(F.col("n") >= least)
+    rows = quantiles(df, [group], value, (0.01, 0.99)).where(F.col("n") >= least)
     span = F.col("q")[1] - F.col("q")[0]
     return rows.select(group, "n", F.round(F.greatest(F.col("q")[0] - pad * span, F.lit(0.0)), digits).alias("low"), F.round(F.col("q")[1] + pad * span, digits).alias("high"))

@@ -112,7 +112,9 @@ def matched_deltas(df: DataFrame, step: float = 0.5) -> DataFrame:
     after = df.select("product", F.col("period").alias("next"), F.col("price").alias("p1"))
     rows = before.join(after, ["product", "next"]).withColumn("d", pct_change("p0", "p1"))
     share = lambda c: F.avg(c.cast("int")) * 100
-    return rows.groupBy("period", "next").agg(F.count("*").alias("n"), F.median("d").alias("median_pct"), share(F.col("d") > step).alias("up_pct"), share(F.col("d") < -step).alias("down_pct"), share(F.col("d").between(-step, step)).alias("stable_pct"))
+    middle = quantiles(rows, ["period", "next"], "d", (0.5,)).select("period", "next", F.col("q")[0].alias("median_pct"))
+    shares = rows.groupBy("period", "next").agg(F.count("*").alias("n"), share(F.col("d") > step).alias("up_pct"), share(F.col("d") < -step).alias("down_pct"), share(F.col("d").between(-step, step)).alias("stable_pct"))
+    return shares.join(middle, ["period", "next"], "left").select("period", "next", "n", "median_pct", "up_pct", "down_pct", "stable_pct")
 
 
 def first_last(df: DataFrame, group: str, value: str, period: str = "period") -> DataFrame:
@@ -306,8 +308,8 @@ def interactions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def impute_median(df: DataFrame, column: str, *groups: str) -> DataFrame:
     """Nulls become the median of the group; a group without a value stays null."""
-    middle = df.groupBy(*groups).agg(F.median(column).alias("__m"))
-    joined = df.join(middle, list(groups)) if groups else df.join(F.broadcast(middle))
+    middle = quantiles(df, groups, column, (0.5,)).select(*groups, F.col("q")[0].alias("__m"))
+    joined = df.join(middle, list(groups), "left") if groups else df.join(F.broadcast(middle), how="left")
     return joined.withColumn(column, F.coalesce(F.col(column), F.col("__m"))).drop("__m")
 
 

@@ -356,7 +356,7 @@ def segment_forests(spark, d):
 @query()
 def segment_forest_grid(spark, d):
     """Each brand's forest of the grid by grouped folds; the grid's forests are prefixes of one."""
-    grid = tuple((t, k) for t in (100, 200) for k in (5, 10))
+    grid = tuple((t, k) for t in (20, 50) for k in (3, 6))
     return segments.segment_forests(_segmented(spark, d), "brand", ["quantity", "size"], "y", "estimate", grid=grid)[0].drop("coefficients", "intercept")
 
 

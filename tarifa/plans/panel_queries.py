@@ -11,6 +11,7 @@ from tarifa.functions import specs as S
 from tarifa.operators import panel as P
 from tarifa.operators.bounds import observed_bounds
 from tarifa.operators.clean import canonical_brands, correct, latest, quality_summary
+from tarifa.operators.ranks import quantiles
 from tarifa.plans.data import OBSERVATIONS, PANEL, PARTS, observations, panel, parts, table
 
 ALL: dict[str, tuple[Callable, str | None]] = {}
@@ -222,8 +223,8 @@ def box_stats(spark, d):
 
 @query(f"WITH {PARTS} SELECT category, round(quantile_cont(size, 0.01), 4) AS low, round(quantile_cont(size, 0.99), 4) AS high, round(median(size), 4) AS middle, count(DISTINCT brand) AS n_brands FROM parts GROUP BY 1")
 def feature_ranges(spark, d):
-    q = F.percentile("size", F.array(F.lit(0.01), F.lit(0.99), F.lit(0.5)))
-    x = parts(spark, d).groupBy("category").agg(q.alias("q"), F.count_distinct("brand").alias("n_brands"))
+    x = parts(spark, d)
+    x = x.groupBy("category").agg(F.count_distinct("brand").alias("n_brands")).join(quantiles(x, ["category"], "size", (0.01, 0.99, 0.5)), "category", "left")
     return rounded(x.select("category", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), F.col("q")[2].alias("middle"), "n_brands"), "low", "high", "middle")
 
 
