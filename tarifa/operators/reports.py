@@ -28,7 +28,8 @@ def weekly_reports(labelled: DataFrame, models: DataFrame, specs: Sequence[str],
     priced = n2.select("brand", "tier", "cluster", "period", "product", F.col("price").alias("real"), F.col(f"price_{best}").alias("estimated"))
     gaps = segments.bootstrap_gap(segments.sides(priced, ["brand", "tier", "cluster"]), ["brand", "tier", "cluster", "t"], "product", n_boot)
     covered = labelled.groupBy("period").agg(F.count("*").alias("n"), F.count("cluster_n1").alias("n1_covered"), F.count("cluster_n2").alias("n2_covered"))
-    trace = segments.k_trace(tiered, ["brand", "tier"], list(specs))
+    whole = labelled.withColumns({"brand": F.lit(None).cast("string"), "tier": F.lit(None).cast("string")})  # the category's products as one unit
+    trace = segments.k_trace(tiered, ["brand", "tier"], list(specs)).withColumn("level", F.lit("n2")).unionByName(segments.k_trace(whole, ["brand", "tier"], list(specs)).withColumn("level", F.lit("n1")))
     return {
         "composition": labelled.groupBy("period").agg(*[F.avg(s).alias(s) for s in specs], geo_mean("price").alias("geo_price"), F.count("*").alias("n")),
         "estimates": studies.estimates(labelled.withColumns({f"made_{f}": F.exp(f"estimate_{f}") for f in families}), {f: f"made_{f}" for f in families}, "period"),

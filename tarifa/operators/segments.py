@@ -86,7 +86,7 @@ def _kinds(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"{c} {kinds[c]}" for c in names)
 
 
-def _with_dummies(df: DataFrame, unit: Sequence[str], features: Sequence[str], categorical: Sequence[str]) -> tuple[DataFrame, list[str]]:
+def with_dummies(df: DataFrame, unit: Sequence[str], features: Sequence[str], categorical: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """id, the unit and all coordinates: numbers, and a 0/1 column for each level of the texts."""
     if not categorical:
         return df, list(features)
@@ -100,7 +100,7 @@ def cluster_units(df: DataFrame, unit: Sequence[str], features: Sequence[str], l
 
     Rows lie where their numbers and the levels of their ``categorical`` columns put them.
     """
-    df, features = _with_dummies(df, unit, features, categorical)
+    df, features = with_dummies(df, unit, features, categorical)
     keys, d = list(unit), len(features)
     schema = f"{_kinds(df, ['id', *keys])}, cluster int, outcome string"
 
@@ -133,7 +133,7 @@ def cluster_units(df: DataFrame, unit: Sequence[str], features: Sequence[str], l
 
 def k_trace(df: DataFrame, unit: Sequence[str], features: Sequence[str], least: int = 10, categorical: Sequence[str] = ()) -> DataFrame:
     """A row per unit and k: clusters found, smallest size, silhouette, valid, inertia, chosen."""
-    df, features = _with_dummies(df, unit, features, categorical)
+    df, features = with_dummies(df, unit, features, categorical)
     keys, d = list(unit), len(features)
     columns = ["k", "n_clusters", "least_size", "silhouette", "valid", "inertia"]
     schema = f"{_kinds(df, keys)}, k int, n_clusters int, least_size int, silhouette double, valid boolean, inertia double, chosen boolean"
@@ -155,7 +155,7 @@ def k_trace(df: DataFrame, unit: Sequence[str], features: Sequence[str], least:
 
 def stability(df: DataFrame, unit: Sequence[str], features: Sequence[str], replicates: int = 100, least: int = 10, categorical: Sequence[str] = ()) -> DataFrame:
     """Mean and deviation of the adjusted Rand index between each unit's clusters and refits on bootstrap replicates of all its rows."""
-    df, features = _with_dummies(df, unit, features, categorical)
+    df, features = with_dummies(df, unit, features, categorical)
     keys, d = list(unit), len(features)
     schema = f"{_kinds(df, keys)}, n int, k int, ari_mean double, ari_sd double, n_valid int"
 

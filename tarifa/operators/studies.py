@@ -16,6 +16,8 @@ from tarifa.operators import clusters, regression
 from tarifa.operators.design import DesignSpec
 from tarifa.operators.panel import spearman
 from tarifa.operators.ranks import quantiles
+from tarifa.operators.segments import cluster_units, with_dummies
+from tarifa.sources.scratch import written
 
 
 def pct_effect_se(coefficient: float, se: float) -> float:
@@ -113,50 +115,84 @@ def qq_points(df: DataFrame, residual: str, probabilities: Sequence[float]) -> D
     return found.select(F.explode(F.arrays_zip(expected.alias("e"), F.col("q").alias("q"))).alias("z")).select("z.e.p", "z.e.expected", F.col("z.q").alias("observed"))
 
 
-def ward(x: np.ndarray, k: int) -> np.ndarray:
-    """Labels of ``k`` clusters by agglomeration with Ward's criterion (rows up to a few thousand)."""
+def ward(x: np.ndarray, k: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """Labels of ``k`` clusters by agglomeration with Ward's criterion; a row of ``weight`` w stands for w equal ones.
+
+    Along chains of nearest neighbours pairs that are each other's nearest are merged; in the order of their costs these are the
+    merges that the greedy way makes.
+    """
     n = len(x)
-    centre, size, labels = x.astype(float).copy(), np.ones(n), np.arange(n)
-    alive = np.ones(n, bool)
-    cost = ((centre[:, None] - centre[None]) ** 2).sum(2) / 2
-    np.fill_diagonal(cost, np.inf)
-    for _ in range(n - k):
-        i, j = divmod(int(cost.argmin()), n)
-        centre[i] = (size[i] * centre[i] + size[j] * centre[j]) / (size[i] + size[j])
-        size[i] += size[j]
-        alive[j], labels[labels == j] = False, i
-        cost[j], cost[:, j] = np.inf, np.inf
-        new = np.where(alive, size[i] * size / (size[i] + size) * ((centre - centre[i]) ** 2).sum(1), np.inf)
-        new[i] = np.inf
-        cost[i], cost[:, i] = new, new
-    return np.unique(labels, return_inverse=True)[1]
-
-
-#: Rows of a unit for Ward's check; of larger ones a sample in the order of a hash is compared.
-MAX_WARD = 2000
-
-
-def ward_check(df: DataFrame, unit: Sequence[str], features: Sequence[str], least: int = 10) -> DataFrame:
+    centre, size = x.astype(float).copy(), np.ones(n) if weight is None else weight.astype(float).copy()
+    alive, chain, merges = np.ones(n, bool), [], []
+    while alive.sum() > 1:
+        if not chain:
+            chain = [int(alive.argmax())]
+        a = chain[-1]
+        cost = np.where(alive, size[a] * size / (size[a] + size) * ((centre - centre[a]) ** 2).sum(1), np.inf)
+        cost[a] = np.inf
+        b = int(cost.argmin())
+        if len(chain) > 1 and cost[chain[-2]] <= cost[b]:
+            b = chain[-2]
+            merges.append((cost[b], a, b))
+            centre[a] = (size[a] * centre[a] + size[b] * centre[b]) / (size[a] + size[b])
+            size[a] += size[b]
+            alive[b] = False
+            chain = chain[:-2]
+        else:
+            chain.append(b)
+    above = np.arange(n)
+
+    def top(i: int) -> int:
+        while above[i] != i:
+            i = above[i]
+        return i
+
+    for _, a, b in sorted(merges, key=lambda m: m[0])[: max(0, n - k)]:
+        above[top(b)] = top(a)
+    return np.unique([top(i) for i in range(n)], return_inverse=True)[1]
+
+
+#: Micro-clusters of a unit that Ward's criterion is applied to, and the widths of their cells that are tried (0: equal rows).
+MAX_WARD, WIDTHS = 2000, (0.0, *(2.0**k for k in range(-8, 4)))
+
+
+def ward_check(df: DataFrame, unit: Sequence[str], features: Sequence[str], least: int = 10, categorical: Sequence[str] = ()) -> DataFrame:
     """unit, n, k and the adjusted Rand index between K-means and Ward's clusters of each unit (null with one cluster).
 
-    It is a check on at most ``MAX_WARD`` rows of a unit: agglomeration needs all distances.
+    No row is left out: Ward's clusters are made of micro-clusters (number of rows and their mean), which are the rows with
+    equal coordinates or, where these are more than ``MAX_WARD``, the rows of a cell of the smallest width that leaves no more of them.
     """
-    keys = list(unit)
-
-    def run(key: tuple, u: pd.DataFrame) -> pd.DataFrame:
-        row = dict(zip(keys, key)) | {"n": len(u), "k": 1, "ari": None}
-        u = u.sort_values("id", ignore_index=True)
-        if len(u) >= least:
-            x = clusters.on_grid(u[list(features)].to_numpy(float))
-            row["k"], _, centres = clusters.locally(clusters.choose(len(x), len(features)), x, u["__h"].to_numpy().view(np.uint64))
-            if centres is not None:
-                row["ari"] = clusters.rand_index(pd.crosstab(clusters.assign(x, centres), ward(x, row["k"])).to_numpy())
-        return pd.DataFrame([row])
-
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("id"), "id"))
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    rows = df.select("id", *keys, *features).withColumns({"__p": place, "__h": F.xxhash64("id")}).where(F.col("__p") <= MAX_WARD).drop("__p")
-    return rows.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", n int, k int, ari double")
+    labelled = cluster_units(df, unit, features, least, categorical).select("id", "cluster", "outcome")
+    df, features = with_dummies(df, unit, features, categorical)
+    keys, d = list(unit), len(features)
+    value = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(features)]
+    rows = df.select("id", F.struct(*[F.col(k) for k in keys]).alias("u"), *value)
+    stats = rows.groupBy("u").agg(F.count("*").alias("n"), *[f(f"v{i}").alias(f"{name}{i}") for i in range(d) for f, name in ((F.avg, "m"), (F.stddev_pop, "s"))])  # a row per unit
+    scaled = [F.coalesce((F.col(f"v{i}") - F.col(f"m{i}")) / F.when(F.col(f"s{i}") > 0, F.col(f"s{i}")).otherwise(1.0), F.lit(0.0)) for i in range(d)]
+    rows = written(rows.join(stats, "u").join(labelled, "id").where("outcome = 'clustered'").select("u", "cluster", F.array(*scaled).alias("x")), "ward-rows")
+    cell = lambda w: F.col("x") if not w else F.transform("x", lambda v: F.floor(v / w).cast("double"))
+    counts = rows.groupBy("u").agg(*[F.count_distinct(cell(w)).alias(f"c{i}") for i, w in enumerate(WIDTHS)])
+    width = F.coalesce(*[F.when(F.col(f"c{i}") <= MAX_WARD, w) for i, w in enumerate(WIDTHS)], F.lit(WIDTHS[-1]))
+    filed = rows.join(counts.select("u", width.alias("w")), "u")
+    at = F.when(F.col("w") == 0, F.col("x")).otherwise(F.transform("x", lambda v: F.floor(v / F.nullif(F.col("w"), F.lit(0.0))).cast("double")))
+    micro = filed.groupBy("u", at.alias("cell"), "cluster").agg(F.count("*").alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(d)]).alias("sums"))
+    kind = micro.schema["u"].dataType.simpleString()
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        cells = frame["cell"].map(tuple)
+        place = {c: i for i, c in enumerate(sorted(set(cells)))}
+        own = cells.map(place).to_numpy()
+        n, sums = np.bincount(own, frame["n"], len(place)), np.zeros((len(place), d))
+        np.add.at(sums, own, np.stack(frame["sums"].to_numpy()))
+        k = int(frame["cluster"].max()) + 1
+        label = ward(sums / n[:, None], k, n)[own]
+        table = np.zeros((k, label.max() + 1))
+        np.add.at(table, (frame["cluster"].to_numpy(), label), frame["n"].to_numpy())
+        return pd.DataFrame({"u": [frame["u"].iloc[0]], "k": [k], "ari": [clusters.rand_index(table)]})
+
+    found = micro.groupBy("u").applyInPandas(run, f"u {kind}, k int, ari double")
+    out = stats.select("u", F.col("n").cast("int").alias("n")).join(found, "u", "left")
+    return out.select(*[F.col(f"u.{k}").alias(k) for k in keys], "n", F.coalesce("k", F.lit(1)).alias("k"), "ari")
 
 
 def estimates(df: DataFrame, models: Mapping[str, str], *groups: str, real: str = "price") -> DataFrame:

@@ -196,7 +196,11 @@ def cluster_units(spark, d):
 
 @query()
 def k_justification(spark, d):
-    return segments.k_trace(tiers(parts(spark, d)), ["brand", "tier"], ["size"], categorical=["category"])
+    """The numbers of clusters tried for each brand and tier (n2) and for each category as a whole (n1)."""
+    x = tiers(parts(spark, d))
+    fine = segments.k_trace(x, ["brand", "tier"], ["size"], categorical=["category"]).select(F.lit("n2").alias("level"), F.concat_ws("::", "brand", "tier").alias("unit"), "k", "n_clusters", "least_size", "silhouette", "valid", "inertia", "chosen")
+    coarse = segments.k_trace(x, ["category"], ["size"]).select(F.lit("n1").alias("level"), F.col("category").alias("unit"), "k", "n_clusters", "least_size", "silhouette", "valid", "inertia", "chosen")
+    return fine.union(coarse)
 
 
 @query()

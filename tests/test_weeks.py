@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tarifa.operators import prepare, ranks, studies
+from tarifa.operators import clusters, prepare, ranks, studies
 from tarifa.sources import ingest
 from tarifa.sources.scrape import Checkpoint, collect_week, collect_weeks, crawl_all
 from tarifa.streaming import events as E
@@ -153,3 +153,36 @@ def test_ward_finds_separate_groups():
     x = np.concatenate([rng.normal(c, 0.1, (20, 2)) for c in (0, 5, 9)])
     labels = studies.ward(x, 3)
     assert [len(set(labels[i : i + 20])) for i in (0, 20, 40)] == [1, 1, 1] and len(set(labels)) == 3
+
+
+def plain_ward(x, k):
+    """The greedy way: of all pairs the cheapest merge, again and again."""
+    groups = [[i] for i in range(len(x))]
+    while len(groups) > k:
+        cost = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum()
+        a, b = min(((a, b) for a in range(len(groups)) for b in range(a)), key=lambda p: cost(groups[p[0]], groups[p[1]]))
+        groups[b] += groups.pop(a)
+    return {frozenset(g) for g in groups}
+
+
+def test_ward_along_chains_is_the_greedy_one():
+    rng = np.random.default_rng(4)
+    for n, k in ((1, 1), (7, 2), (40, 5), (60, 3)):
+        x = rng.normal(size=(n, 2))
+        label = studies.ward(x, k)
+        assert {frozenset(map(int, np.flatnonzero(label == j))) for j in range(k)} == plain_ward(x, k)
+    twice = np.repeat(x, 2, axis=0)
+    one, two = studies.ward(x, 4, np.full(60, 2.0)), studies.ward(twice, 4)
+    assert clusters.rand_index(pd.crosstab(np.repeat(one, 2), two).to_numpy()) == 1
+
+
+def test_ward_check_leaves_no_row_out(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    spots = np.concatenate([rng.normal(c, 0.2, (80, 2)) for c in ((0, 0), (5, 0), (0, 6))])
+    rows = [(i, "A", float(x), float(y)) for i, (x, y) in enumerate(spots)] + [(1000 + i, None, float(i % 2 * 9), 1.0) for i in range(40)] + [(2000 + i, "S", 1.0, 1.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, brand string, x double, y double")
+    for most in (2000, 60):  # with cells too
+        monkeypatch.setattr(studies, "MAX_WARD", most)
+        got = {r["brand"]: r for r in studies.ward_check(df, ["brand"], ["x", "y"]).collect()}
+        assert got["A"]["n"] == 240 and got["A"]["k"] == 3 and got["A"]["ari"] > 0.97
+        assert got[None]["n"] == 40 and got[None]["k"] == 2 and got[None]["ari"] == 1 and (got["S"]["n"], got["S"]["k"], got["S"]["ari"]) == (5, 1, None)
