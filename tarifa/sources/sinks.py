@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -40,6 +41,37 @@ def week_splits(df: DataFrame, path: str, key: str = "url", share: float = 0.2)
     return out
 
 
+def replace(df: DataFrame, path: str) -> None:
+    """``df`` takes the place of the table under ``path``, which it may be made from.
+
+    It is written beside the table first; then two renames swap them and the old one goes. Readers find one of the two whole; if
+    the second rename fails the old table is put back.
+    """
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    new, old = f"{path.rstrip('/')}.new-{name}", f"{path.rstrip('/')}.old-{name}"
+    df.write.parquet(new)
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    files = of(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    there = files.exists(of(path))
+    if there and not files.rename(of(path), of(old)):
+        files.delete(of(new), True)
+        raise OSError(f"{path} could not be moved")
+    if not files.rename(of(new), of(path)):
+        if there:
+            files.rename(of(old), of(path))
+        raise OSError(f"{new} could not take the place of {path}")
+    files.delete(of(old), True)
+
+
+def label_files(segmented: DataFrame, prices: DataFrame, path: str, key: str = "product", columns: Sequence[str] = ()) -> None:
+    """Each segmented product with its prices of all weeks, in the order of key and week, in place of the table under ``path``.
+
+    Products without a price and prices without a segmented product are left out; the segmentation may be the table that is replaced.
+    """
+    joined = segmented.join(prices.select(key, "week", "price"), key)
+    replace(joined.select(*(columns or joined.columns)).sort(key, "week"), path)
+
+
 def reports(tables: Mapping[str, DataFrame], path: str) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")

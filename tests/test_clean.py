@@ -106,3 +106,17 @@ def test_json_csv_round_trip(spark, tmp_path):
     assert [r["url"] for r in ingest.last_periods(df, 1).collect()] == ["u2"]
     counts = sinks.week_splits(spark.range(50).select(F.col("id").cast("string").alias("url"), F.lit("c").alias("categorie")), str(tmp_path / "s"))
     assert counts == {"train": 40, "test": 10}
+
+
+def test_label_files_replace_their_inputs(spark, tmp_path):
+    """The table that is joined from is replaced as a whole, again and again, and nothing is left beside it."""
+    path = f"file://{tmp_path}/segments"
+    spark.createDataFrame([("b", "s1"), ("a", "s2"), ("c", "s3")], "product string, segment string").write.parquet(path)
+    prices = spark.createDataFrame([("a", 2, 11.0), ("a", 1, 10.0), ("b", 1, 5.0), ("x", 1, 1.0)], "product string, week int, price double")
+    sinks.label_files(spark.read.parquet(path), prices, path)
+    want = [("a", "s2", 1, 10.0), ("a", "s2", 2, 11.0), ("b", "s1", 1, 5.0)]
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == want
+    sinks.replace(spark.read.parquet(path).where("week = 1").drop("week"), path)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", "s2", 10.0), ("b", "s1", 5.0)]
+    sinks.replace(spark.range(2), f"file://{tmp_path}/fresh")
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["fresh", "segments"]
