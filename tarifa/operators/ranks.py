@@ -111,7 +111,7 @@ def nearest(queries: DataFrame, rows: DataFrame, block: str, features: Sequence[
     extent = [F.max(F.col("__x")[i]) - F.min(F.col("__x")[i]) for i in range(d)]
     widest = F.greatest(*extent, F.lit(0.0)) if d else F.lit(0.0)
     sizes = donors.unionByName(asked).groupBy("__block").agg(F.count_distinct("__x").alias("n"), widest.alias("extent"), *[f(F.col("__x")[i]).alias(f"{name}{i}") for i in range(d) for f, name in ((F.min, "lo"), (F.max, "hi"))])
-    across = F.greatest(F.floor(F.pow(F.col("n") / (8.0 * (k + 1)), F.lit(1.0 / max(d, 1)))), F.lit(1))
+    across = F.greatest(F.floor(F.pow(F.col("n") / (2.0 * (k + 1)), F.lit(1.0 / max(d, 1)))), F.lit(1))
     sizes = written(sizes.select("*", F.when(F.col("extent") > 0, F.col("extent") / across).otherwise(1.0).alias("side")), "knn-blocks")  # a row per block
     steps = sizes.agg(F.max(F.col("extent") / F.col("side"))).first()[0] or 1.0
     left, done = asked.select(*group).distinct(), None
