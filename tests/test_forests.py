@@ -100,3 +100,32 @@ def test_nothing_to_learn_from(spark, rows):
     assert nodes.where("feature IS NOT NULL OR mean <> 2.0").isEmpty() and nodes.count() == 6
     none = forests.fit(rows.limit(0), "g", ["a", "b"], "y", "id", trees=2, depth=4)
     assert none.count() == 0 and forests.estimate(rows.limit(3), none, "g", ["a", "b"], "e").where("e IS NOT NULL").isEmpty()
+
+
+def test_bins_of_many_distinct_values_end_at_exact_quantiles(spark):
+    rng = np.random.default_rng(3)
+    x = rng.permutation(60_000) / 7.0
+    rows = spark.createDataFrame(list(zip(["s"] * len(x), [[float(v)] for v in x])), "segment string, x array<double>").repartition(8)
+    found = forests.cuts(rows, 1, 32).first()["cuts"][0]
+    assert found == [float(np.sort(x)[int(np.ceil(len(x) * i / 32)) - 1]) for i in range(1, 32)]
+
+
+def test_levels_work_on_sums_of_equal_bins(spark, monkeypatch):
+    """However many rows there are, a tree's cells are no more than the combinations of its bins."""
+    kept = {}
+    write = forests.written
+    monkeypatch.setattr(forests, "written", lambda df, name: kept.setdefault((name, len(kept)), write(df, name)))
+    rows = spark.range(20_000).selectExpr("id", "'s' AS g", "CAST(id % 3 AS DOUBLE) AS a", "CAST(id % 4 AS DOUBLE) AS b", "CAST(id % 12 AS DOUBLE) AS y")
+    forests.fit(rows, "g", ["a", "b"], "y", "id", trees=5, depth=2)
+    cells = [df.count() for (name, _), df in kept.items() if name == "forest-cells"]
+    assert cells and max(cells) <= 5 * 12
+
+
+def test_folds_of_a_grid_are_forests_of_the_other_rows(spark, rows):
+    several = rows.withColumn("u", F.expr("array(concat('x', id % 2), 'all')"))
+    nodes = forests.fit(several, "u", ["a", "b"], "y", "id", trees=3, depth=3).drop("gain").toPandas().sort_values(["segment", "tree", "node"], ignore_index=True)
+    for name, own in (("x1", rows.where("id % 2 = 1")), ("all", rows)):
+        want = forests.fit(own.withColumn("u", F.lit(name)), "u", ["a", "b"], "y", "id", trees=3, depth=3).toPandas().sort_values(["segment", "tree", "node"], ignore_index=True)
+        got = nodes[nodes.segment == name].reset_index(drop=True)
+        assert list(zip(got.tree, got.node, got.n, got.feature.fillna(-1), got.threshold.fillna(-1))) == list(zip(want.tree, want.node, want.n, want.feature.fillna(-1), want.threshold.fillna(-1)))
+        assert np.allclose(got["mean"], want["mean"])
