@@ -11,6 +11,8 @@ the row's id, and coordinates lie on a grid of 2^-24, so that sums are exact in
   its rows meet its rows in batches: each pair of rows is looked at, none are held;
 * stability: refits on bootstrap replicates (rows weigh Poisson draws), compared by the adjusted Rand index of weighted tables.
 
+Rows with equal coordinates are one point with a weight for each replicate in all but the draws, so work grows with the points.
+
 A null feature counts as the unit's mean.
 """
 
@@ -29,7 +31,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifa.sources.scratch import file_system, written_at
+from tarifa.sources.scratch import file_system, written, written_at
 
 GRID, STARTS, REFIT_STARTS, STEPS, MAX_K = 2.0**-24, 10, 3, 100, 8
 #: Large units worked on at once; rows of a tile of the silhouette; distances made at once; partial sums of a unit that reach the driver.
@@ -75,26 +77,71 @@ def assign(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+@dataclass
+class Rows:
+    """Rows of a unit: their points (distinct coordinates), and how often a replicate draws each row and each point."""
+
+    x: np.ndarray
+    h: np.ndarray
+
+    def __post_init__(self):
+        self._drawn: dict[int, np.ndarray] = {}
+        self._weights: dict[int, np.ndarray] = {}
+        order = np.lexsort(self.x.T[::-1]) if self.x.shape[1] else np.arange(len(self.x))
+        new = np.ones(len(order), bool)
+        new[1:] = (self.x[order[1:]] != self.x[order[:-1]]).any(1)
+        self.of = np.empty(len(order), int)
+        self.of[order] = np.cumsum(new) - 1
+        self.points = self.x[order[new]]
+
+    def drawn(self, replicate: int) -> np.ndarray:
+        if replicate not in self._drawn:
+            self._drawn[replicate] = weights(self.h, replicate).astype(np.uint8)
+        return self._drawn[replicate]
+
+    def weights(self, replicate: int) -> np.ndarray:
+        if replicate not in self._weights:
+            self._weights[replicate] = np.bincount(self.of, self.drawn(replicate), len(self.points))
+        return self._weights[replicate]
+
+
+@dataclass
+class Points:
+    """Points of a unit with their weights: of all rows once, then of each replicate."""
+
+    points: np.ndarray
+    counted: np.ndarray
+
+    def weights(self, replicate: int) -> np.ndarray:
+        return self.counted[:, replicate + 1]
+
+
 # ---- requests: what is added up over a unit's rows
 
 
+class Asked:
+    def answer(self, x: np.ndarray, h: np.ndarray):
+        return self.over(Rows(x, h))
+
+
 @dataclass
-class Pick:
+class Pick(Asked):
     """For each combination (start, replicate) the row to be its next centre, given those it has."""
 
     combos: list[tuple[int, int]]
     centres: np.ndarray  # combinations x centres x features
 
-    def answer(self, x: np.ndarray, h: np.ndarray):
+    def over(self, held: Rows):
+        x, h = held.x, held.h
         keys, rows = np.full(len(self.combos), np.inf), np.zeros((len(self.combos), x.shape[1]))
         if not len(x):
             return keys, rows
         have = self.centres.shape[1]
         for c, (start, replicate) in enumerate(self.combos):
             key = -np.log(uniform(h, ((replicate + 1) * 64 + start) * 64 + have))
-            w = weights(h, replicate)
+            w = held.drawn(replicate).astype(float)
             if have:
-                w = w * _squares(x, self.centres[c]).min(1)
+                w = w * _squares(held.points, self.centres[c]).min(1)[held.of]
             key = np.where(w > 0, key / np.where(w > 0, w, 1), 1e250 * (1 + key))  # rows that are centres already, only if all are
             at = key.argmin()
             keys[c], rows[c] = key[at], x[at]
@@ -106,23 +153,23 @@ class Pick:
 
 
 @dataclass
-class Step:
+class Step(Asked):
     """Weight, sums and loss of each cluster of each combination; by number of clusters."""
 
     parts: dict[int, tuple[list[int], np.ndarray]]  # k -> replicates, combinations x k x features
 
-    def answer(self, x: np.ndarray, h: np.ndarray):
-        out = {}
+    def over(self, held: Rows | Points):
+        x, out = held.points, {}
         for k, (replicates, centres) in self.parts.items():
             c, d = len(replicates), x.shape[1]
             counts, sums, loss = np.zeros((c, k)), np.zeros((c, k, d)), np.zeros(c)
-            for at in range(0, len(x), max(1, ROOM // (c * k))):
-                part = x[at : at + max(1, ROOM // (c * k))]
-                own = h[at : at + len(part)]
+            step = max(1, ROOM // (c * k))
+            for at in range(0, len(x), step):
+                part = x[at : at + step]
                 d2 = _squares(part, centres)
                 label = d2.argmin(2)
                 near = np.take_along_axis(d2, label[:, :, None], 2)[:, :, 0]
-                drawn = {r: weights(own, r) for r in set(replicates)}
+                drawn = {r: held.weights(r)[at : at + step] for r in set(replicates)}
                 w = np.stack([drawn[r] for r in replicates], 1)
                 cell = (label + np.arange(c) * k).ravel()
                 counts += np.bincount(cell, w.ravel(), c * k).reshape(c, k)
@@ -137,41 +184,41 @@ class Step:
 
 
 @dataclass
-class Cross:
+class Cross(Asked):
     """Weighted tables of the clusters of ``base`` against those of each combination."""
 
     base: np.ndarray
     replicates: list[int]
     centres: np.ndarray
 
-    def answer(self, x: np.ndarray, h: np.ndarray):
+    def over(self, held: Rows | Points):
         k = len(self.base)
-        own = assign(x, self.base)
-        return np.stack([np.bincount(own * k + assign(x, c), weights(h, r), k * k).reshape(k, k) for r, c in zip(self.replicates, self.centres)])
+        own = assign(held.points, self.base)
+        return np.stack([np.bincount(own * k + assign(held.points, c), held.weights(r), k * k).reshape(k, k) for r, c in zip(self.replicates, self.centres)])
 
     def merge(self, a, b):
         return a + b
 
 
 @dataclass
-class Silhouettes:
+class Silhouettes(Asked):
     """Mean silhouette of the clusters around each set of centres; of the unit's rows, all pairs of them."""
 
     centres: dict[int, np.ndarray] = field(default_factory=dict)
 
-    def of(self, x: np.ndarray, others: Iterable[np.ndarray]) -> dict[int, float]:
-        """Sum over the rows ``x`` of (b - a) / max(a, b), 0 for rows alone in their cluster; ``others`` are all rows, in parts."""
+    def of(self, x: np.ndarray, n: np.ndarray, others: Iterable[tuple[np.ndarray, np.ndarray]]) -> dict[int, float]:
+        """Sum over the points ``x`` of ``n`` rows each of (b - a) / max(a, b), 0 for rows alone in their cluster; ``others`` are all points, in parts."""
         sums = {k: np.zeros((len(x), k)) for k in self.centres}
         sizes = {k: np.zeros(k) for k in self.centres}
-        for part in others:
+        for part, times in others:
             step = max(1, ROOM // max(1, len(x)))
             for at in range(0, len(part), step):
-                near = part[at : at + step]
+                near, w = part[at : at + step], times[at : at + step]
                 d = np.sqrt(_squares(x, near))
                 for k, c in self.centres.items():
                     label = assign(near, c)
-                    sizes[k] += np.bincount(label, minlength=k)
-                    sums[k] += d @ np.eye(k)[label]
+                    sizes[k] += np.bincount(label, w, k)
+                    sums[k] += d @ (np.eye(k)[label] * w[:, None])
         out, rows = {}, np.arange(len(x))
         for k, c in self.centres.items():
             mine = assign(x, c)
@@ -179,13 +226,13 @@ class Silhouettes:
             means = np.where(sizes[k] > 0, sums[k] / np.maximum(sizes[k], 1), np.inf)
             means[rows, mine] = np.inf
             b = means.min(1)
-            out[k] = float(np.where(sizes[k][mine] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0).sum())
+            out[k] = float((n * np.where(sizes[k][mine] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)).sum())
         return out
 
-    def answer(self, x: np.ndarray, h: np.ndarray):
-        total = {k: 0.0 for k in self.centres}
+    def over(self, held: Rows):
+        total, x, n = {k: 0.0 for k in self.centres}, held.points, held.weights(-1)
         for at in range(0, len(x), TILE):
-            for k, s in self.of(x[at : at + TILE], [x]).items():
+            for k, s in self.of(x[at : at + TILE], n[at : at + TILE], [(x, n)]).items():
                 total[k] += s
         return total
 
@@ -271,23 +318,29 @@ def rand_index(table: np.ndarray) -> float:
 
 def locally(asks: Generator, x: np.ndarray, h: np.ndarray):
     """The result over rows that one task holds."""
+    held = Rows(x, h)
     try:
         request = next(asks)
         while True:
-            request = asks.send(request.answer(x, h))
+            request = asks.send(request.over(held))
     except StopIteration as end:
         return end.value
 
 
+def _sent(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
 @dataclass
 class Large:
-    """Units of any size: ``rows`` has unit (a number), id, h and x; under ``path`` each unit's rows."""
+    """Units of any size: ``rows`` has unit (a number), id, h and x, ``points`` unit, x and w; under ``path`` each unit's points."""
 
     rows: DataFrame
+    points: DataFrame
     path: str
 
     @classmethod
-    def of(cls, df: DataFrame, names: DataFrame, keys: Sequence[str], features: Sequence[str]) -> Large:
+    def of(cls, df: DataFrame, names: DataFrame, keys: Sequence[str], features: Sequence[str], replicates: int = 0) -> Large:
         """``df`` has id, the keys and the features; ``names`` the keys and ``unit`` of ``WAVE`` units at most."""
         same = F.expr(" AND ".join(f"r.`{k}` <=> n.`{k}`" for k in keys))
         rows = df.alias("r").join(F.broadcast(names).alias("n"), same).select("n.unit", F.col("r.id").alias("id"), F.xxhash64("r.id").alias("h"), *[F.expr(f"r.`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(features)])
@@ -298,8 +351,22 @@ class Large:
         spread = rows.groupBy("unit").agg(*[F.sqrt(F.sum(F.col(f"o{i}") * F.col(f"o{i}")) / F.greatest(F.count(f"v{i}"), F.lit(1))).alias(f"s{i}") for i in range(len(features))])
         rows = rows.join(F.broadcast(spread), "unit")
         x = F.array(*[F.rint(F.col(f"o{i}") / F.when(F.col(f"s{i}") > 0, F.col(f"s{i}")).otherwise(1.0) / GRID) * GRID for i in range(len(features))])
-        path, rows = written_at(rows.select("unit", "id", "h", x.alias("x")), "units", ["unit"])
-        return cls(rows, path)
+        rows = written(rows.select("unit", "id", "h", x.alias("x")), "unit-rows")
+
+        def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                unit, h = batch.column("unit").to_numpy(), batch.column("h").to_numpy().view(np.uint64)
+                x = _sent(batch.column("x"), len(h))
+                for u in np.unique(unit):
+                    held = Rows(x[unit == u], h[unit == u])
+                    w = np.stack([held.weights(r) for r in range(-1, replicates)], 1).astype(np.int64)
+                    n = len(w)
+                    yield pa.RecordBatch.from_pydict({"unit": pa.array(np.full(n, u, np.int32)), "x": pa.array(list(held.points), pa.list_(pa.float64())), "w": pa.array(list(w), pa.list_(pa.int64()))})
+
+        points = rows.select("unit", "h", "x").mapInArrow(counted, "unit int, x array<double>, w array<long>")
+        points = points.groupBy("unit", "x").agg(F.array(*[F.sum(F.col("w")[i]) for i in range(replicates + 1)]).alias("w"))
+        path, points = written_at(points, "units", ["unit"])
+        return cls(rows, points, path)
 
     def run(self, asks: dict[int, Generator]) -> dict[int, object]:
         """The results of all units; each pass over the rows answers what all of them ask for."""
@@ -319,16 +386,22 @@ class Large:
         if not requests:
             return {}
 
+        draws = {u: q for u, q in requests.items() if isinstance(q, Pick)}
+        if len(draws) not in (0, len(requests)):
+            return self._sums(draws) | self._sums({u: q for u, q in requests.items() if u not in draws})
+
         def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
             held: dict[int, object] = {}
             for batch in batches:
-                unit, h = batch.column("unit").to_numpy(), batch.column("h").to_numpy().view(np.uint64)
-                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(h), -1)
+                unit = batch.column("unit").to_numpy()
+                x = _sent(batch.column("x"), len(unit))
+                more = batch.column("h").to_numpy().view(np.uint64) if draws else _sent(batch.column("w"), len(unit)).astype(float)
                 for u in np.unique(unit):
                     if u in requests:
-                        a = requests[u].answer(x[unit == u], h[unit == u])
+                        at = unit == u
+                        a = requests[u].over(Rows(x[at], more[at]) if draws else Points(x[at], more[at]))
                         held[u] = requests[u].merge(held[u], a) if u in held else a
             n = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_pydict({"unit": pa.array(list(held), pa.int32()), "part": pa.array([n % FAN] * len(held), pa.int32()), "sums": pa.array([pickle.dumps(v) for v in held.values()], pa.binary())})
@@ -340,9 +413,9 @@ class Large:
             return pd.DataFrame({"unit": [key[0]], "part": [key[1]], "sums": [pickle.dumps(total)]})
 
         schema = "unit int, part int, sums binary"
-        rows = self.rows.where(F.col("unit").isin(list(requests)))
+        rows = (self.rows.select("unit", "h", "x") if draws else self.points.select("unit", "w", "x")).where(F.col("unit").isin(list(requests)))
         out: dict[int, object] = {}
-        for r in sorted(rows.select("unit", "h", "x").mapInArrow(part, schema).groupBy("unit", "part").applyInPandas(merge, schema).collect(), key=lambda r: (r["unit"], r["part"])):  # FAN rows a unit at most
+        for r in sorted(rows.mapInArrow(part, schema).groupBy("unit", "part").applyInPandas(merge, schema).collect(), key=lambda r: (r["unit"], r["part"])):  # FAN rows a unit at most
             a = pickle.loads(r["sums"])
             out[r["unit"]] = requests[r["unit"]].merge(out[r["unit"]], a) if r["unit"] in out else a
         return out
@@ -354,20 +427,25 @@ class Large:
             return out
         path = self.path
 
-        def unit_rows(u: int) -> Iterator[np.ndarray]:
+        def unit_points(u: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             fs, where = file_system(f"{path}/unit={u}")
             for f in sorted(f.path for f in fs.get_file_info(pafs.FileSelector(where)) if f.path.endswith(".parquet")):
-                for batch in pq.ParquetFile(f, filesystem=fs).iter_batches(1 << 14, columns=["x"]):
-                    yield batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                for batch in pq.ParquetFile(f, filesystem=fs).iter_batches(1 << 14, columns=["x", "w"]):
+                    yield _sent(batch.column("x"), batch.num_rows), _sent(batch.column("w"), batch.num_rows)[:, 0].astype(float)
 
         def tile(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-            got = requests[key[0]].of(np.stack(frame["x"].to_numpy()), unit_rows(key[0]))
+            got = requests[key[0]].of(np.stack(frame["x"].to_numpy()), frame["n"].to_numpy(float), unit_points(key[0]))
             return pd.DataFrame({"unit": key[0], "k": list(got), "s": list(got.values())})
 
-        rows = self.rows.where(F.col("unit").isin(list(requests)))
-        tiles = rows.groupBy("unit").agg(F.ceil(F.count("*") / TILE).cast("long").alias("tiles"))
-        filed = rows.join(F.broadcast(tiles), "unit").select("unit", "x", F.pmod("h", F.col("tiles")).alias("tile"))
-        found = filed.groupBy("unit", "tile").applyInPandas(tile, "unit int, k int, s double").groupBy("unit", "k").agg(F.sum("s").alias("s"))
+        points = self.points.where(F.col("unit").isin(list(requests)))
+        tiles = points.groupBy("unit").agg(F.ceil(F.count("*") / TILE).cast("long").alias("tiles"))
+        filed = points.join(F.broadcast(tiles), "unit").select("unit", "x", F.col("w")[0].alias("n"), F.pmod(F.xxhash64("x"), F.col("tiles")).alias("tile"))
+        found = spread(filed, "unit", "tile").groupBy("unit", "tile").applyInPandas(tile, "unit int, k int, s double").groupBy("unit", "k").agg(F.sum("s").alias("s"))
         for r in found.collect():  # seven rows a unit
             out.setdefault(r["unit"], {})[r["k"]] = r["s"]
         return out
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by keys over as many tasks as a shuffle has: groups are small tables with long work, which must not be put into one task."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism), *keys)

@@ -252,3 +252,31 @@ def test_serving(spark):
     assert serve.assign_cluster(new, [[0.0], [2.0]], ["size"]).first()["cluster"] == 1
     f = {r["period"]: r["factor"] for r in serve.week_factor(spark.createDataFrame([(1, 0.0), (2, 2.0)], "period int, index_pct double")).collect()}
     assert f == {1: 0.99, 2: 1.01}
+
+
+def test_equal_rows_are_one_point():
+    """Silhouettes and steps work on distinct coordinates: many copies cost no more pairs, with the same results."""
+    from tarifa.operators import clusters
+
+    rng = np.random.default_rng(5)
+    few = clusters.on_grid(rng.integers(0, 4, (400, 2)).astype(float))
+    many, h = np.repeat(few, 250, 0), rng.integers(0, 1 << 63, 100_000).astype(np.uint64)
+    held = clusters.Rows(many, h)
+    assert len(held.points) == 16 and held.weights(-1).sum() == len(many) and held.weights(3).sum() == clusters.weights(h, 3).sum()
+    centres = np.array([[-1.0, 0.0], [1.0, 0.0], [0.0, 1.0]])
+    counts, sums, loss = clusters.Step({3: ([-1, 3], np.stack([centres, centres]))}).answer(many, h)[3]
+    label = clusters.assign(many, centres)
+    for row, w in enumerate((clusters.weights(h, -1), clusters.weights(h, 3))):
+        assert (counts[row] == np.bincount(label, w, 3)).all() and (sums[row, :, 0] == np.bincount(label, w * many[:, 0], 3)).all()
+        assert loss[row] == pytest.approx((w * ((many - centres[label]) ** 2).sum(1)).sum())
+    s = clusters.Silhouettes({3: centres}).answer(many, h)[3]  # 10^10 pairs of rows
+    plain = clusters.Silhouettes({3: centres}).of(few, np.full(400, 250.0), [(few, np.full(400, 250.0))])[3]
+    assert s == pytest.approx(plain)
+
+
+def test_groups_are_spread_over_tasks(spark):
+    from tarifa.operators import clusters
+
+    rows = spark.range(400).selectExpr("id % 40 AS u", "id")
+    found = clusters.spread(rows, "u").groupBy("u").applyInPandas(lambda f: f.assign(task=__import__("pyspark").TaskContext.get().partitionId()).head(1), "u long, id long, task long")
+    assert found.select("task").distinct().count() > 1
