@@ -6,12 +6,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from tarifa.functions.tails import chi2_upper
 from tarifa.operators.panel import average_rank
+from tarifa.sources.scratch import written
 
 # Least absolute rank correlation, largest p-value, least observations.
 MIN_RHO, MAX_P, MIN_ROWS, MAX_CATEGORIES = 0.10, 0.05, 5, 6
@@ -71,10 +72,11 @@ def effect_table(df: DataFrame, target: str, continuous: Sequence[str], categori
     cells = [F.struct(F.lit(c).alias("column"), F.lit("spearman").alias("test"), _known(c).alias("v"), F.lit(None).cast("string").alias("label")) for c in continuous]
     cells += [F.struct(F.lit(c).alias("column"), F.lit("kruskal").alias("test"), F.lit(None).cast("double").alias("v"), F.col(c).cast("string").alias("label")) for c in categorical]
     within = [*by, "column"]
+    df = written(df.select(*dict.fromkeys([*by, target, *continuous, *categorical])), "effect-rows")  # what comes next passes over them several times
     long = df.select(*by, y.alias("y"), F.explode(F.array(*cells)).alias("e")).select(*by, "y", "e.*").where("y IS NOT NULL AND NOT isnan(y) AND (v IS NOT NULL OR label IS NOT NULL)")
     levels = long.where("test = 'kruskal'").groupBy(*within, "label").agg(F.count("*").alias("own"))
     large = long.join(levels.where("own > 1").drop("own"), [*within, "label"], "left_semi")
-    ranked = average_rank(long.where("test = 'spearman'").unionByName(large), "y", "ry", *within)
+    ranked = written(average_rank(long.where("test = 'spearman'").unionByName(large), "y", "ry", *within), "effect-ranks")
 
     numbers = average_rank(ranked.where("test = 'spearman'").drop("label"), "v", "rv", *within).groupBy(*within).agg(F.count("*").alias("n"), F.corr("rv", "ry").alias("rho"))
     rho = F.coalesce(F.when(~F.isnan("rho"), F.col("rho")), F.lit(0.0))
@@ -83,11 +85,13 @@ def effect_table(df: DataFrame, target: str, continuous: Sequence[str], categori
     numbers = numbers.select(*within, F.lit("spearman").alias("test"), "n", rho.alias("statistic"), F.lit(None).cast("double").alias("p_value"), kept.alias("kept"), F.when(few, "too few rows").when(kept, "kept").otherwise("no effect").alias("reason"))
 
     ranks = ranked.where("test = 'kruskal'")
-    sums = ranks.groupBy(*within, "label").agg(F.sum("ry").alias("s"), F.count("*").alias("c")).groupBy(*within).agg(F.sum(F.col("s") * F.col("s") / F.col("c")).alias("ss"), F.sum("c").cast("double").alias("m"), (F.count("*") - 1).alias("df"))
+    sums = ranks.groupBy(*within, "label").agg(F.sum("ry").alias("s"), F.count("*").alias("c")).withColumn("m", F.sum("c").over(Window.partitionBy(*within)).cast("double"))  # a row per label
+    off = F.col("s") - F.col("c") * (F.col("m") + 1) / 2  # exact; the plain formula takes a number as large as m from one that is as large
+    sums = sums.groupBy(*within, "m").agg(F.sum(off * off / F.col("c")).alias("ss"), (F.count("*") - 1).alias("df"))
     t = F.col("t")
     ties = ranks.groupBy(*within, "y").agg(F.count("*").cast("double").alias("t")).groupBy(*within).agg(F.sum(t * t * t - t).alias("ties"))
     m = F.col("m")
-    h = F.try_divide(12.0 / (m * (m + 1)) * F.col("ss") - 3 * (m + 1), 1 - F.try_divide(F.col("ties"), m * m * m - m))
+    h = F.try_divide(12.0 / (m * (m + 1)) * F.col("ss"), 1 - F.try_divide(F.col("ties"), m * m * m - m))
     labels = levels.groupBy(*within).agg(F.sum("own").alias("n")).join(sums, within, "left").join(ties, within, "left").withColumn("h", h)
 
     @F.pandas_udf("double")

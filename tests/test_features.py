@@ -60,3 +60,28 @@ def test_trace_as_table_function(spark):
     got = spark.sql("SELECT * FROM k_trace(TABLE(SELECT brand, xxhash64(id) AS h, array(x, y) AS features FROM rows_of_units) PARTITION BY brand)").orderBy("k")
     want = segments.k_trace(df, ["brand"], ["x", "y"]).orderBy("k").drop("brand")
     assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()] and got.where("chosen").first()["k"] == 2
+
+
+def test_kruskal_of_ranks_keeps_its_digits(spark):
+    """H of many rows is a small number beside their ranks; it must not be the difference of two large ones."""
+    from fractions import Fraction
+
+    from tarifa.operators import selection
+
+    n = 50_000
+    rows = spark.range(n).selectExpr("id * 1.5 + 1 AS price", "concat('l', cast(id * 7919 % 50021 % 3 AS string)) AS label")
+    got = selection.effect_table(rows, "price", [], ["label"]).first()
+    ranks = {}
+    for i in range(n):
+        ranks.setdefault(i * 7919 % 50021 % 3, []).append(i + 1)
+    want = Fraction(12, n * (n + 1)) * sum(Fraction(sum(r)) ** 2 / len(r) for r in ranks.values()) - 3 * (n + 1)
+    assert got["n"] == n and abs(got["statistic"] - float(want)) <= 1e-13 * max(1.0, float(want))
+
+
+def test_panel_is_made_once(spark, monkeypatch):
+    """Queries of fits read rows that were written, not the join and window of the tables again for each pass."""
+    from tarifa.plans import model_queries, week_queries
+
+    plan = model_queries._rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    assert "Join" not in model_queries._segmented(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
