@@ -107,3 +107,16 @@ def test_quantiles_equal_sorting(spark):
     whole = quantiles(df, [], "v", ps).first()
     assert whole["q"] == pytest.approx(np.quantile(np.concatenate(list(groups.values())), ps).tolist())
     assert quantiles(df.limit(0), ["g"], "v", ps).count() == 0
+
+
+def test_fences_of_few_groups_are_sent_to_the_rows(spark):
+    """Three groups of many rows are not three tasks: no shuffle moves the rows to their group."""
+    from pyspark.sql import functions as F
+
+    from tarifa.operators import panel
+
+    x = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("p"))
+    found = panel.iqr_outliers(x, "g", "p")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    assert found.count() == 1000 and found.where("outlier").isEmpty()
