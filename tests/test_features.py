@@ -85,3 +85,14 @@ def test_panel_is_made_once(spark, monkeypatch):
     plan = model_queries._rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Join" not in plan
     assert "Join" not in model_queries._segmented(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sums_by_group_of_many_groups(spark):
+    import numpy as np
+
+    from tarifa.operators import regression
+
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 40 > 0 THEN concat('s', id % 40) END AS s", "CAST(id % 5 AS STRING) AS f", "CAST(id AS DOUBLE) AS v")
+    found = regression._summed(rows, lambda b: b.column(2).to_numpy().sum().reshape(1, 1), (1, 1), by=("s", "f"))
+    assert len(found) == 40 and found["s7", "2"][0, 0] == sum(i for i in range(3000) if i % 40 == 7 and i % 5 == 2) and found["None", "0"][0, 0] == sum(range(0, 3000, 40))
+    assert regression._summed(rows.limit(0), lambda b: b.column(2).to_numpy().sum().reshape(1, 1), (1, 1)).get((), np.zeros((1, 1)))[0, 0] == 0
