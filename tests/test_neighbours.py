@@ -120,3 +120,47 @@ def test_fences_of_few_groups_are_sent_to_the_rows(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
     assert found.count() == 1000 and found.where("outlier").isEmpty()
+
+
+def near_like_brute_force(df, rows, k, different):
+    from tarifa.operators import ranks
+
+    got = {}
+    for r in ranks.nearest(df, df, "block", ["x", "y"], k, different).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["distance"]))
+    for i, b, x, y, m in rows:
+        near = sorted((math.sqrt((x - p) * (x - p) + (y - q) * (y - q)), j) for j, c, p, q, n in rows if c == b and j != i and not (different and n == m))[:k]
+        assert sorted(got.get(i, [])) == [(r + 1, j, d) for r, (d, j) in enumerate(near)], (i, b, x, y, m)
+
+
+def test_a_vector_with_enough_rows_looks_nowhere(spark, monkeypatch):
+    """Copies are each other's neighbours: no grid is made for them."""
+    from tarifa.operators import ranks
+
+    names = []
+    monkeypatch.setattr(ranks, "written", lambda df, name, write=ranks.written: names.append(name) or write(df, name))
+    rows = [(i, "b", float(i % 20), float(i % 20 // 4), f"m{i % 3}") for i in range(80)]
+    near_like_brute_force(spark.createDataFrame(rows, "id long, block string, x double, y double, maker string"), rows, 3, None)
+    assert "knn-vectors" in names and "knn-near" not in names
+
+
+def test_few_rows_of_a_vector_and_few_pairs_of_a_crowd(spark, monkeypatch):
+    """Of 30 makers at a vector two rows are kept; vectors that lie close together, far from one other, don't all meet."""
+    from tarifa.operators import ranks
+
+    tables = {}
+
+    def kept(df, name, write=ranks.written):
+        tables.setdefault(name, []).append(write(df, name))
+        return tables[name][-1]
+
+    monkeypatch.setattr(ranks, "written", kept)
+    rng = random.Random(8)
+    rows = [(i, "crowd", rng.random() / 50, rng.random() / 50, f"m{i % 2}") for i in range(400)] + [(900, "crowd", 40.0, 3.0, "m1")]
+    rows += [(1000 + i, "same", float(i % 3), 0.0, f"m{i % 30}") for i in range(180)] + [(2000 + i, "one maker", float(i), 0.0, "m1") for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, block string, x double, y double, maker string")
+    near_like_brute_force(df, rows, 1, "maker")
+    vectors = tables["knn-vectors"][0]
+    assert vectors.agg(F.max(F.size("__own"))).first()[0] == 2
+    first = tables["knn-left"][0].groupBy("__block").agg(F.count("*"), F.min("__level")).collect()
+    assert [(b, n) for b, n, _ in first] == [("crowd", 401)] and first[0][2] < 0  # a single maker has nobody to find
