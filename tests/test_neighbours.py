@@ -164,3 +164,21 @@ def test_few_rows_of_a_vector_and_few_pairs_of_a_crowd(spark, monkeypatch):
     assert vectors.agg(F.max(F.size("__own"))).first()[0] == 2
     first = tables["knn-left"][0].groupBy("__block").agg(F.count("*"), F.min("__level")).collect()
     assert [(b, n) for b, n, _ in first] == [("crowd", 401)] and first[0][2] < 0  # a single maker has nobody to find
+
+
+def test_twin_gaps_look_nothing_up_and_hold_no_brand(spark):
+    """Prices come with the neighbours, and no task has all gaps of a brand for their median."""
+    from tarifa import registry
+    from tarifa.operators import studies
+
+    plan = registry.QUERIES["twin_gaps"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "median(" not in plan and "percentile(" not in plan
+    rng = random.Random(2)
+    rows = [(i, f"b{i % 2}", f"m{rng.randrange(4)}", float(rng.randrange(1, 60))) for i in range(150)]
+    gaps = studies.twin_gaps(spark.createDataFrame(rows, "id long, block string, brand string, price double"), "block", ["price"])
+    assert not [line for line in gaps._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "query_id" in line]
+    want = []
+    for i, b, m, p in rows:
+        q, j = min((abs(p - q), j, q) for j, c, n, q in rows if c == b and n != m)[2:0:-1]
+        want.append((i, j, m, (p - q) / q * 100))
+    assert sorted(map(tuple, gaps.select("query_id", "id", "brand", "gap_pct").collect())) == want
