@@ -182,3 +182,14 @@ def test_twin_gaps_look_nothing_up_and_hold_no_brand(spark):
         q, j = min((abs(p - q), j, q) for j, c, n, q in rows if c == b and n != m)[2:0:-1]
         want.append((i, j, m, (p - q) / q * 100))
     assert sorted(map(tuple, gaps.select("query_id", "id", "brand", "gap_pct").collect())) == want
+
+
+def test_queries_that_are_made_anew_differently_are_all_answered(spark):
+    """A vector whose last places change with each evaluation still finds its answer."""
+    from tarifa.operators import ranks
+
+    noise = F.udf(lambda: random.random() / 1e9, "double").asNondeterministic()  # noqa: S311
+    rows = spark.range(50).select("id", F.lit("b").alias("block"), F.col("id").cast("double").alias("x"))
+    asked = rows.withColumn("x", F.col("x") + 0.25 + noise())
+    got = {(r["query_id"], r["id"]) for r in ranks.nearest(asked, rows, "block", ["x"], 1).collect()}
+    assert got == {(i, i + 1 if i < 49 else 48) for i in range(50)}

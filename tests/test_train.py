@@ -1,6 +1,7 @@
 """Training, artifacts, scoring, reports and the server of one category."""
 
 import json
+import random
 import threading
 import urllib.error
 import urllib.request
@@ -84,6 +85,15 @@ def test_similar_products_of_a_week(spark):
     assert ids(None) == [3, 5] == ids(9) and ids(1) == [2, 6]
 
 
+def test_similar_products_are_scaled_once(spark):
+    """Mean and deviation that differ from one evaluation to the next, as sums of doubles in another order do: no query is lost, equal products have no distance."""
+    noise = F.udf(lambda: random.random(), "double").asNondeterministic()  # noqa: S311
+    price = F.when(F.col("id") < 40, F.floor(F.col("id") / 2)).otherwise(noise())
+    df = spark.range(60).select("id", F.lit("c").alias("category"), F.lit(1).alias("period"), price.cast("double").alias("price"))
+    found = T.similar_in_week(df.where("id < 40"), df, ["price"], 1, 1)
+    assert sorted((r["query_id"], r["id"], r["distance"]) for r in found.collect()) == [(i, i ^ 1, 0.0) for i in range(40)]
+
+
 def test_ten_reports(trained):
     models, _ = trained
     found = reports.weekly_reports(models.labelled, models.segments, ["ram", "size"], replicates=5, n_boot=50)
